@@ -8,11 +8,16 @@ buckets, folds equal values, and looks up the answer there.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filamet.operators.ordered import ROWS_PER_BUCKET, log_bucket, ordered, with_value_bucket
+from filamet.operators.ordered import log_bucket
+
+#: value buckets per octave; a group spread over one decade falls into about 1700 buckets
+QUANTILE_BUCKETS = 512
 
 
 def q_name(q: float) -> str:
@@ -20,31 +25,24 @@ def q_name(q: float) -> str:
 
 
 def _bucket_edges(rows: DataFrame, keys: list[str], measure: Column) -> DataFrame:
+    """One row per (group, bucket): its total and the running total before it."""
     per_bucket = rows.groupBy(*keys, "__b").agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.sum(measure).alias("__s"),
-        F.min("__x").alias("__lo"),
-        F.max("__x").alias("__hi"),
+        F.count(F.lit(1)).alias("__n"), F.sum(measure).alias("__s"), F.max("__x").alias("__hi")
     )
     across = Window.partitionBy(*keys).orderBy("__b")
-    before = across.rowsBetween(Window.unboundedPreceding, -1)
-    return per_bucket.withColumns(
-        {
-            "__o": F.coalesce(F.sum("__s").over(before), F.lit(0)),
-            "__prev": F.lag("__hi").over(across),
-            "__total": F.sum("__s").over(Window.partitionBy(*keys)),
-        }
+    upto = across.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return per_bucket.select(
+        *keys,
+        "__b",
+        "__s",
+        F.sum("__s").over(upto).alias("__e"),
+        F.lag("__hi").over(across).alias("__prev"),
+        F.lead("__b").over(across).isNull().alias("__final"),
+        F.sum("__s").over(whole).alias("__total"),
     )
 
 
-def _folded(rows: DataFrame, targets: DataFrame, keys: list[str], aggs: list[Column], rows_per_bucket: int) -> DataFrame:
-    """Rows of the target buckets folded per value, with a sub-bucket for crowded buckets."""
-    inside = rows.join(targets, [*keys, "__b"])
-    split = F.least(F.col("__k") - 1, F.floor((F.col("__x") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * F.col("__k")))
-    inside = inside.withColumn("__sub", F.when((F.col("__k") > 1) & (F.col("__hi") > F.col("__lo")), split).otherwise(F.lit(0)).cast("long"))
-    return inside.groupBy(*keys, "__b", "__sub", "__x").agg(*aggs)
-
-
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -52,56 +50,38 @@ def exact_quantiles(
     probs: Sequence[float],
     *,
     names: Sequence[str] | None = None,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    per_octave: int = QUANTILE_BUCKETS,
 ) -> DataFrame:
     """Linear-interpolated quantiles (``numpy.quantile`` default) per group, nulls ignored."""
     keys = list(keys)
     names = list(names or [q_name(q) for q in probs])
     x = F.col(value) if isinstance(value, str) else value
     rows = df.select(*keys, x.cast("double").alias("__x")).where(F.col("__x").isNotNull())
-    rows = rows.withColumn("__b", log_bucket(F.col("__x")))
+    rows = rows.withColumn("__b", log_bucket(F.col("__x"), per_octave))
     edges = _bucket_edges(rows, keys, F.lit(1))
 
-    ranks = []
-    for j, q in enumerate(probs):
+    def rank(q: float, side: int) -> Column:
         pos = (F.col("__total") - 1) * F.lit(float(q))
-        lo = F.floor(pos).cast("long")
-        ranks.append(F.struct(F.lit(j).alias("j"), F.lit(0).alias("side"), lo.alias("rank")))
-        ranks.append(F.struct(F.lit(j).alias("j"), F.lit(1).alias("side"), F.ceil(pos).cast("long").alias("rank")))
-    wanted = F.filter(
-        F.array(*ranks),
-        lambda r: (r["rank"] >= F.col("__o")) & (r["rank"] < F.col("__o") + F.col("__n")),
-    )
-    hits = edges.withColumn("__want", wanted).where(F.size("__want") > 0)
+        return F.ceil(pos) if side else F.floor(pos)
 
-    # a bucket with a single distinct value needs no second look at its rows
-    simple = hits.where(F.col("__lo") == F.col("__hi")).select(
-        *keys, F.col("__lo").alias("__x"), "__total", F.explode("__want").alias("__r")
-    )
-    open_ = hits.where(F.col("__lo") < F.col("__hi"))
-    targets = open_.select(
-        *keys, "__b", "__lo", "__hi",
-        F.least(F.lit(65536), F.ceil(F.col("__n") / rows_per_bucket)).cast("long").alias("__k"),
-    )
-    folded = _folded(rows, targets, keys, [F.count(F.lit(1)).alias("__c")], rows_per_bucket)
-    run = ordered(folded, [*keys, "__b"], ["__x"], bucket="__sub", sums={"__cum": F.col("__c")})
-    found = (
-        run.join(open_.select(*keys, "__b", "__o", "__total", "__want"), [*keys, "__b"])
-        .withColumn("__r", F.explode("__want"))
-        .where(
-            (F.col("__r.rank") - F.col("__o") < F.col("__cum"))
-            & (F.col("__r.rank") - F.col("__o") >= F.col("__cum") - F.col("__c"))
-        )
-        .select(*keys, "__x", "__total", "__r")
+    def holds(r: Column, upto: Column, count: Column) -> Column:
+        return (r < upto) & (r >= upto - count)
+
+    places = [(q, side) for q in probs for side in (0, 1)]
+    hit = reduce(or_, [holds(rank(q, s), F.col("__e"), F.col("__s")) for q, s in places])
+    hits = edges.where(hit).select(*keys, "__b", (F.col("__e") - F.col("__s")).alias("__o"), "__total")
+    # offset and total depend on the bucket, so grouping by them only carries them along
+    folded = rows.join(hits, [*keys, "__b"]).groupBy(*keys, "__b", "__x", "__o", "__total").agg(
+        F.count(F.lit(1)).alias("__c")
     )
-    both = simple.unionByName(found)
+    inside = Window.partitionBy(*keys, "__b").orderBy("__x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = folded.withColumn("__cum", F.col("__o") + F.sum("__c").over(inside))
     out = []
-    for j, q in enumerate(probs):
+    for q, name in zip(probs, names, strict=True):
         pos = (F.max("__total") - 1) * F.lit(float(q))
-        a = F.max(F.when((F.col("__r.j") == j) & (F.col("__r.side") == 0), F.col("__x")))
-        b = F.max(F.when((F.col("__r.j") == j) & (F.col("__r.side") == 1), F.col("__x")))
-        out.append((a + (b - a) * (pos - F.floor(pos))).alias(names[j]))
-    return both.groupBy(*keys).agg(*out) if keys else both.agg(*out)
+        lo, hi = (F.max(F.when(holds(rank(q, s), F.col("__cum"), F.col("__c")), F.col("__x"))) for s in (0, 1))
+        out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
+    return placed.groupBy(*keys).agg(*out) if keys else placed.agg(*out)
 
 
 def weighted_quantiles(
@@ -113,14 +93,14 @@ def weighted_quantiles(
     *,
     tie: Sequence[str] = (),
     names: Sequence[str] | None = None,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    per_octave: int = QUANTILE_BUCKETS,
 ) -> DataFrame:
     """Weighted quantile per group: linear in the right-cumulative weight.
 
     With samples sorted by value (ties in ``tie`` order) and ``c`` the cumulative weight, the
     answer at ``q`` is ``interp(q * total, c, x)``; below the first ``c`` it is the first value.
     Only the first of several equal values matters besides their sum, so equal values fold to
-    two knots.
+    two knots, ``(c - sum + first, x)`` and ``(c, x)``.
     """
     keys = list(keys)
     names = list(names or [q_name(q) for q in probs])
@@ -132,53 +112,45 @@ def weighted_quantiles(
         F.col(weight).cast("double").alias("__w"),
         tie_key.alias("__tie"),
     ).where(F.col("__x").isNotNull() & F.col("__w").isNotNull())
-    rows = rows.withColumn("__b", log_bucket(F.col("__x")))
+    rows = rows.withColumn("__b", log_bucket(F.col("__x"), per_octave))
     edges = _bucket_edges(rows, keys, F.col("__w"))
 
-    wants = [F.struct(F.lit(j).alias("j"), (F.col("__total") * F.lit(float(q))).alias("t")) for j, q in enumerate(probs)]
-    across = Window.partitionBy(*keys).orderBy("__b")
-    edges = edges.withColumn("__final", F.lead("__b").over(across).isNull())
-    wanted = F.filter(
-        F.array(*wants),
-        lambda r: ((r["t"] >= F.col("__o")) | F.col("__prev").isNull())
-        & ((r["t"] < F.col("__o") + F.col("__s")) | F.col("__final")),
-    )
-    hits = edges.withColumn("__want", wanted).where(F.size("__want") > 0)
-    targets = hits.select(
-        *keys, "__b", "__lo", "__hi",
-        F.least(F.lit(65536), F.ceil(F.col("__n") / rows_per_bucket)).cast("long").alias("__k"),
-    )
-    folded = _folded(
-        rows, targets, keys,
-        [F.sum("__w").alias("__sw"), F.min_by("__w", "__tie").alias("__fw")], rows_per_bucket,
-    )
-    run = ordered(folded, [*keys, "__b"], ["__x"], bucket="__sub", sums={"__cum": F.col("__sw")})
-    knots = run.join(hits.select(*keys, "__b", "__o", "__prev", "__want"), [*keys, "__b"]).withColumn(
-        "__c1", F.col("__o") + F.col("__cum")
-    ).withColumn("__c0", F.col("__c1") - F.col("__sw") + F.col("__fw"))
-    per = knots.withColumn("__r", F.explode("__want"))
-    t = F.col("__r.t")
-    # knots of one value: (c0, x) and (c1, x)
-    below_c = F.max(F.when(F.col("__c1") <= t, F.col("__c1")).when(F.col("__c0") <= t, F.col("__c0")))
-    below_x = F.max(F.when(F.col("__c0") <= t, F.col("__x")))
-    above_c = F.min(F.when(F.col("__c0") > t, F.col("__c0")).when(F.col("__c1") > t, F.col("__c1")))
-    above_x = F.min(F.when(F.col("__c1") > t, F.col("__x")))
-    picked = per.groupBy(*keys, F.col("__r.j").alias("__j")).agg(
-        F.max("__r.t").alias("__t"),
-        F.max("__o").alias("__o"),
-        F.max("__prev").alias("__prev"),
-        below_c.alias("__bc"), below_x.alias("__bx"), above_c.alias("__ac"), above_x.alias("__ax"),
-    )
-    x0 = F.coalesce(F.col("__bx"), F.col("__prev"))
-    c0 = F.coalesce(F.col("__bc"), F.when(F.col("__prev").isNotNull(), F.col("__o")))
-    answer = (
-        F.when(F.col("__ax").isNull(), x0)
-        .when(x0.isNull(), F.col("__ax"))
-        .otherwise(x0 + (F.col("__ax") - x0) * (F.col("__t") - c0) / (F.col("__ac") - c0))
+    def target(q: float) -> Column:
+        return F.col("__total") * F.lit(float(q))
+
+    def owns(t: Column, lower: Column, upper: Column, first: Column, last: Column) -> Column:
+        return ((t >= lower) | first) & ((t < upper) | last)
+
+    start = F.col("__e") - F.col("__s")
+    hit = reduce(or_, [owns(target(q), start, F.col("__e"), F.col("__prev").isNull(), F.col("__final")) for q in probs])
+    hits = edges.where(hit).select(*keys, "__b", start.alias("__o"), F.col("__prev").alias("__p"), "__total")
+    folded = (
+        rows.join(hits, [*keys, "__b"])
+        .groupBy(*keys, "__b", "__x", "__o", "__p", "__total")
+        .agg(F.sum("__w").alias("__sw"), F.min_by("__w", "__tie").alias("__fw"))
     )
-    picked = picked.withColumn("__q", answer)
-    out = [F.max(F.when(F.col("__j") == j, F.col("__q"))).alias(names[j]) for j in range(len(probs))]
-    return picked.groupBy(*keys).agg(*out) if keys else picked.agg(*out)
+    order = Window.partitionBy(*keys, "__b").orderBy("__x")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # each row spans (weight before it, value before it) .. (its last knot, its value)
+    knots = folded.select(
+        *keys,
+        "__x",
+        "__total",
+        "__sw",
+        "__fw",
+        (F.col("__o") + F.sum("__sw").over(upto)).alias("__c1"),
+        F.coalesce(F.lag("__x").over(order), F.col("__p")).alias("__xp"),
+        F.lead("__x").over(order).isNull().alias("__last"),
+    ).withColumn("__cp", F.col("__c1") - F.col("__sw"))
+    out = []
+    for q, name in zip(probs, names, strict=True):
+        t = target(q)
+        answer = F.when((t >= F.col("__cp") + F.col("__fw")) | F.col("__xp").isNull(), F.col("__x")).otherwise(
+            F.col("__xp") + (F.col("__x") - F.col("__xp")) * (t - F.col("__cp")) / F.col("__fw")
+        )
+        mine = owns(t, F.col("__cp"), F.col("__c1"), F.col("__xp").isNull(), F.col("__last"))
+        out.append(F.max(F.when(mine, answer)).alias(name))
+    return knots.groupBy(*keys).agg(*out) if keys else knots.agg(*out)
 
 
 def exact_medians(df: DataFrame, keys: Sequence[str], values: dict[str, Column]) -> DataFrame:
@@ -206,4 +178,4 @@ def multi_quantiles(df: DataFrame, keys: Sequence[str], spec: dict) -> DataFrame
     return q.groupBy(*keys).agg(*out) if keys else q.agg(*out)
 
 
-__all__ = ["exact_medians", "exact_quantiles", "multi_quantiles", "q_name", "weighted_quantiles", "with_value_bucket"]
+__all__ = ["exact_medians", "exact_quantiles", "multi_quantiles", "q_name", "weighted_quantiles"]

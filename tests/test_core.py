@@ -22,19 +22,19 @@ def frame(seed=7, n=3000):
     return pd.DataFrame({"g": g, "x": x, "w": w, "i": np.arange(n)})
 
 
-@pytest.mark.parametrize("rows_per_bucket", [1_000_000, 50])
-def test_exact_quantiles(spark, rows_per_bucket):
+@pytest.mark.parametrize("per_octave", [512, 2])
+def test_exact_quantiles(spark, per_octave):
     pdf = frame()
-    got = exact_quantiles(spark.createDataFrame(pdf), ["g"], "x", PROBS, rows_per_bucket=rows_per_bucket).toPandas().set_index("g")
+    got = exact_quantiles(spark.createDataFrame(pdf), ["g"], "x", PROBS, per_octave=per_octave).toPandas().set_index("g")
     for g, part in pdf.groupby("g"):
         np.testing.assert_allclose(got.loc[g].to_numpy(), np.quantile(part.x, PROBS), rtol=1e-12)
 
 
-@pytest.mark.parametrize("rows_per_bucket", [1_000_000, 50])
-def test_weighted_quantiles(spark, rows_per_bucket):
+@pytest.mark.parametrize("per_octave", [512, 2])
+def test_weighted_quantiles(spark, per_octave):
     pdf = frame()
     got = weighted_quantiles(
-        spark.createDataFrame(pdf), ["g"], "x", "w", PROBS, tie=["i"], rows_per_bucket=rows_per_bucket
+        spark.createDataFrame(pdf), ["g"], "x", "w", PROBS, tie=["i"], per_octave=per_octave
     ).toPandas().set_index("g")
     for g, part in pdf.groupby("g"):
         s = part.sort_values(["x", "i"], kind="stable")
