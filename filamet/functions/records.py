@@ -167,10 +167,10 @@ def length_text(value_m: Column) -> Column:
 def normalize_tags(tags: Column) -> Column:
     """Split on commas, trim, drop blanks, keep the first spelling of each tag."""
     parts = F.filter(
-        F.flatten(F.transform(F.array_compact(tags), lambda t: F.transform(F.split(t, ","), F.trim))),
+        F.flatten(F.transform(F.array_compact(tags), lambda t: F.transform(F.split(t, ","), lambda p: F.trim(p)))),
         lambda t: t != "",
     )
-    folded = F.transform(parts, F.lower)
+    folded = F.transform(parts, lambda p: F.lower(p))
     return F.filter(parts, lambda t, i: F.array_position(folded, F.lower(t)) == i + 1)
 
 

@@ -15,8 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PER_OCTAVE = 64
-ROWS_PER_BUCKET = 1_000_000
+#: buckets per octave; a group spread over one decade falls into about 1700 buckets
+PER_OCTAVE = 512
 MAX_SPLITS = 65_536
 #: smallest exponent of a positive double, so that bucket numbers of one sign share a sign
 _EXPONENT_SHIFT = 1075.0
@@ -47,14 +47,17 @@ def with_value_bucket(
     x: str,
     *,
     name: str = "__b",
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = None,
 ) -> DataFrame:
-    """Add a bucket column for numeric ``x``: log buckets, split further where one is crowded.
+    """Add a bucket column for numeric ``x`` (not null).
 
-    The split of a crowded bucket uses its exact row count, minimum and maximum, so it is
-    deterministic.  ``x`` must not be null.
+    Log buckets are enough unless most values of a huge group lie within a fraction of a
+    percent of each other.  For such data set ``rows_per_bucket``: a bucket with more rows is
+    split by its exact count, minimum and maximum, at the cost of one more counting pass.
     """
     keys = list(keys)
+    if rows_per_bucket is None:
+        return df.withColumn(name, log_bucket(F.col(x)))
     rows = df.withColumn("__c", log_bucket(F.col(x)))
     summary = rows.groupBy(*keys, "__c").agg(
         F.count(F.lit(1)).alias("__n"), F.min(x).alias("__lo"), F.max(x).alias("__hi")
@@ -89,12 +92,15 @@ def ordered(
     sums: Mapping[str, Column] | None = None,
     lags: Mapping[str, str] | None = None,
     leads: Mapping[str, str] | None = None,
+    totals: Mapping[str, str] | None = None,
+    count: str | None = None,
     keep_bucket: bool = False,
 ) -> DataFrame:
     """Add row numbers, running sums, and previous/next values in ``order`` within ``keys``.
 
     ``order`` must be a total order within a group and ``bucket`` must be monotone in it.
-    ``lags``/``leads`` map a new column name to an existing column name.
+    ``lags``/``leads`` map a new column name to an existing column name; ``totals`` maps a new
+    name to the name of a running sum whose group total is wanted; ``count`` names the group size.
     """
     keys, order = list(keys), list(order)
     sums, lags, leads = dict(sums or {}), dict(lags or {}), dict(leads or {})
@@ -113,6 +119,10 @@ def ordered(
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     cols = [F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o_n")]
     cols += [F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}_s") for n in sums]
+    whole = Window.partitionBy(*keys)
+    cols += [F.sum(f"__t_{n}").over(whole).alias(t) for t, n in dict(totals or {}).items()]
+    if count:
+        cols.append(F.sum("__n").over(whole).alias(count))
     if lags:
         cols.append(F.lag("__tail").over(across).alias("__tail"))
     if leads:

@@ -14,10 +14,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filamet.operators.ordered import log_bucket
-
-#: value buckets per octave; a group spread over one decade falls into about 1700 buckets
-QUANTILE_BUCKETS = 512
+from filamet.operators.ordered import PER_OCTAVE, log_bucket
 
 
 def q_name(q: float) -> str:
@@ -50,7 +47,7 @@ def exact_quantiles(
     probs: Sequence[float],
     *,
     names: Sequence[str] | None = None,
-    per_octave: int = QUANTILE_BUCKETS,
+    per_octave: int = PER_OCTAVE,
 ) -> DataFrame:
     """Linear-interpolated quantiles (``numpy.quantile`` default) per group, nulls ignored."""
     keys = list(keys)
@@ -93,7 +90,7 @@ def weighted_quantiles(
     *,
     tie: Sequence[str] = (),
     names: Sequence[str] | None = None,
-    per_octave: int = QUANTILE_BUCKETS,
+    per_octave: int = PER_OCTAVE,
 ) -> DataFrame:
     """Weighted quantile per group: linear in the right-cumulative weight.
 

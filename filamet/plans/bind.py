@@ -19,7 +19,7 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
         c("l_suppkey").alias("image_id"),
         c("l_returnflag").alias("method"),
         F.when(c("l_returnflag") == "A", 0).when(c("l_returnflag") == "N", 1).otherwise(2).cast("long").alias("method_ord"),
-        (c("l_extendedprice") / 1000).alias("value"),
+        (c("l_extendedprice") / 997).alias("value"),
         c("l_quantity").alias("weight"),
         c("l_orderkey").alias("ord1"), c("l_linenumber").cast("long").alias("ord2"), c("l_partkey").alias("ord3"),
     )
@@ -81,7 +81,7 @@ CTES = {
     "samples": """
         SELECT l_suppkey AS image_id, l_returnflag AS method,
                CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END::BIGINT AS method_ord,
-               l_extendedprice / 1000 AS value, l_quantity AS weight,
+               l_extendedprice / 997 AS value, l_quantity AS weight,
                l_orderkey AS ord1, l_linenumber::BIGINT AS ord2, l_partkey AS ord3
         FROM lineitem""",
     "measurements": """
