@@ -38,7 +38,8 @@ def linear_bucket(x: Column, width: float) -> Column:
 
 
 def time_bucket(ts: Column, seconds: int) -> Column:
-    return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("long")
+    epoch = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
+    return F.floor(F.timestamp_diff("SECOND", epoch, ts) / F.lit(seconds)).cast("long")
 
 
 def with_value_bucket(

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from filamet.operators.distributions import bin_index, edge
+from filamet.operators.quantiles import exact_quantiles
+
 
 def foreground(value: Column, level: Column | float) -> Column:
     """Strictly above the level."""
@@ -23,3 +29,215 @@ def unit_problem(value: Column) -> Column:
 def quantize(value: Column, levels: int) -> Column:
     """Clip to [0, 1] and round half-even to ``levels`` steps."""
     return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)) * levels, 0) / levels
+
+
+# ---- intensity ------------------------------------------------------------------------------
+
+def luma(r: Column, g: Column, b: Column) -> Column:
+    # fixed values: luma weights
+    return 0.2126 * r + 0.7152 * g + 0.0722 * b
+
+
+def gray(df: DataFrame) -> DataFrame:
+    """Gray passes through; ``r g b`` becomes luma; any other layout is an error."""
+    have = set(df.columns)
+    if "value" in have:
+        return df
+    if {"r", "g", "b"} <= have:
+        return df.withColumn("value", luma(F.col("r"), F.col("g"), F.col("b"))).drop("r", "g", "b")
+    raise ValueError("pixel table needs 'value' or 'r', 'g' and 'b'")
+
+
+def contrast(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    keys = list(keys)
+    base = pixels.groupBy(*keys).agg(F.min("value").alias("min"), F.max("value").alias("max"), F.stddev_pop("value").alias("std"))
+    q = exact_quantiles(pixels, keys, "value", [0.02, 0.98], names=["p2", "p98"])
+    return base.join(q, keys).withColumn("p2_p98", F.col("p98") - F.col("p2"))
+
+
+def clip_normalize(pixels: DataFrame, keys: Sequence[str], low: float, high: float, floor: float) -> DataFrame:
+    """Scale each image between two of its percentiles and clip to [0, 1]."""
+    q = exact_quantiles(pixels, keys, "value", [low, high], names=["_lo", "_hi"])
+    v = (F.col("value") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(floor))
+    return pixels.join(q, list(keys)).withColumn("norm", F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))).drop("_lo", "_hi")
+
+
+def polarity(pixels: DataFrame, keys: Sequence[str], value: str, height: str, width: str) -> DataFrame:
+    """Bright when the interior is brighter than the one-pixel border."""
+    border = (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == F.col(height) - 1) | (F.col("col") == F.col(width) - 1)
+    m = pixels.groupBy(*keys).agg(F.avg(F.when(~border, F.col(value))).alias("interior"), F.avg(F.when(border, F.col(value))).alias("border"))
+    return m.withColumn("is_bright", F.col("interior") > F.col("border"))
+
+
+def otsu(pixels: DataFrame, keys: Sequence[str], value: str, bins: int = 256) -> DataFrame:
+    """Otsu threshold per group over equal bins; at most ``bins`` rows per group reach the windows."""
+    keys = list(keys)
+    edges = common_range(pixels, keys, value, bins)
+    h = pixels.join(edges, keys).groupBy(*keys, bin_index(F.col(value), F.col("lo"), F.col("hi"), F.col("bins")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    full = edges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1))).join(h, [*keys, "bin"], "left")
+    lo, hi, nb, i = F.col("lo"), F.col("hi"), F.col("bins"), F.col("bin")
+    full = full.withColumns({"n": F.coalesce("n", F.lit(0)), "center": (edge(lo, hi, nb, i) + edge(lo, hi, nb, i + 1)) / 2})
+    run = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*keys)
+    full = full.withColumns({
+        "_w1": F.sum("n").over(run), "_s1": F.sum(F.col("n") * F.col("center")).over(run),
+        "_w": F.sum("n").over(whole), "_s": F.sum(F.col("n") * F.col("center")).over(whole),
+    })
+    w2 = F.col("_w") - F.col("_w1")
+    m1 = F.col("_s1") / F.greatest(F.col("_w1").cast("double"), F.lit(1e-12))
+    m2 = (F.col("_s") - F.col("_s1")) / F.greatest(w2.cast("double"), F.lit(1e-12))
+    full = full.where(F.col("bin") < F.col("bins") - 1).withColumn("_v", F.col("_w1") * w2 * (m1 - m2) * (m1 - m2))
+    full = full.withColumn("_best", F.max("_v").over(whole))
+    pick = full.groupBy(*keys).agg(F.floor(F.avg(F.when(F.col("_v") >= F.col("_best") - 1e-5, F.col("bin")))).cast("int").alias("_i"))
+    return pick.join(edges, keys).select(*keys, ((edge(lo, hi, nb, F.col("_i")) + edge(lo, hi, nb, F.col("_i") + 1)) / 2).alias("threshold"))
+
+
+def common_range(df: DataFrame, keys: Sequence[str], value: str, bins: int) -> DataFrame:
+    e = df.groupBy(*keys).agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"))
+    flat = F.col("_mn") == F.col("_mx")
+    return e.select(*keys, F.when(flat, F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("lo"), F.when(flat, F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("hi"), F.lit(bins).alias("bins"))
+
+
+def level_of(value: Column, levels: int) -> Column:
+    """Integer level of a value in [0, 1], half-even."""
+    return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)) * (levels - 1), 0).cast("long")
+
+
+def discrete_otsu(pixels: DataFrame, keys: Sequence[str], value: str, levels: int = 256) -> DataFrame:
+    """Otsu level on the discrete histogram; exact ties average."""
+    keys = list(keys)
+    h = pixels.groupBy(*keys, level_of(F.col(value), levels).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    run = Window.partitionBy(*keys).orderBy("level").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*keys)
+    h = h.withColumns({
+        "_w": F.sum("n").over(run), "_m": F.sum(F.col("n") * F.col("level")).over(run),
+        "_W": F.sum("n").over(whole), "_M": F.sum(F.col("n") * F.col("level")).over(whole), "_next": F.lead("level").over(Window.partitionBy(*keys).orderBy("level")),
+    })
+    # levels without pixels repeat the value of the level before them
+    gap = F.coalesce(F.col("_next") - 1, F.lit(levels - 1))
+    d = F.col("_M") * F.col("_w") - F.col("_m") * F.col("_W")
+    h = h.withColumn("_v", F.when(F.col("_w") < F.col("_W"), d.cast("double") * d / (F.col("_w").cast("double") * (F.col("_W") - F.col("_w")))).otherwise(0.0))
+    best = h.withColumn("_best", F.max("_v").over(whole)).where(F.col("_v") == F.col("_best"))
+    # the mean over runs of equal levels; all levels tie (also those below the first) when there is no contrast
+    span = gap - F.col("level") + 1
+    out = best.groupBy(*keys).agg(
+        F.sum(span).alias("_k"), F.sum(span * (F.col("level") + gap) / 2).alias("_t"), F.max("_best").alias("_b")
+    )
+    return out.select(*keys, (F.when(F.col("_b") > 0, F.col("_t") / F.col("_k")).otherwise((levels - 1) / 2) / (levels - 1)).alias("threshold"))
+
+
+def equalize(pixels: DataFrame, keys: Sequence[str], value: str, *, levels: int = 256, targets: int = 64) -> DataFrame:
+    """Map gray levels to ``targets`` levels by the smallest cumulative error, lowest index first."""
+    keys = list(keys)
+    h = pixels.groupBy(*keys, level_of(F.col(value), levels).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(*keys).orderBy("level")
+    h = h.withColumns({
+        "_cum": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_tot": F.sum("n").over(Window.partitionBy(*keys)),
+        "_pn": F.when(F.lag("level").over(order) == F.col("level") - 1, F.lag("n").over(order)).otherwise(0),
+    })
+    own = F.when(F.col("level") < levels - 1, F.col("n")).otherwise(0)
+    err = (F.col("target") + 1) * (F.col("_tot") / targets) - F.col("_cum") + F.least(own, F.col("_pn")) / 2
+    # fixed value: square root of the double epsilon
+    err = F.when(err < -F.col("_tot") * 1.4901161193847656e-08, F.col("_tot").cast("double")).otherwise(err)
+    mapped = (
+        h.withColumn("target", F.explode(F.sequence(F.lit(0), F.lit(targets - 1))))
+        .groupBy(*keys, "level").agg(F.min(F.struct(err.alias("e"), "target"))["target"].alias("_t"))
+    )
+    lut = mapped.select(*keys, "level", quantize(F.col("_t") / (targets - 1), levels - 1).alias("equalized"))
+    return pixels.withColumn("level", level_of(F.col(value), levels)).join(lut, [*keys, "level"]).drop("level")
+
+
+# ---- neighbourhoods -------------------------------------------------------------------------
+
+def _mirrored(df: DataFrame, axis: str, size: str, half: int) -> DataFrame:
+    """Copies of edge pixels at mirrored positions ``_p``; the edge pixel itself repeats."""
+    j, n = F.col(axis), F.col(size)
+    reach = F.ceil(F.lit(half) / (2 * n)).cast("long") + 1
+    turns = F.sequence(-reach, reach)
+    spots = F.concat(F.transform(turns, lambda m: j + 2 * n * m), F.transform(turns, lambda m: -j - 1 + 2 * n * m))
+    return df.withColumn("_p", F.explode(F.filter(spots, lambda p: (p >= -half) & (p < n + half))))
+
+
+def box_mean(pixels: DataFrame, keys: Sequence[str], value: str, height: str, width: str, size: int = 35) -> DataFrame:
+    """Mean over a ``size`` x ``size`` box with mirrored edges, one axis at a time.
+
+    Windows run within one image row or column, so a task holds at most one line of pixels.
+    """
+    keys, half = list(keys), size // 2
+    frame = lambda *part: Window.partitionBy(*keys, *part).orderBy("_p").rowsBetween(-half, half)
+    across = _mirrored(pixels, "col", width, half).withColumn("_m", F.avg(value).over(frame("row")))
+    across = across.where((F.col("_p") >= 0) & (F.col("_p") < F.col(width))).drop("col").withColumnRenamed("_p", "col")
+    down = _mirrored(across, "row", height, half).withColumn("box_mean", F.avg("_m").over(frame("col")))
+    return down.where((F.col("_p") >= 0) & (F.col("_p") < F.col(height))).drop("row", "_m").withColumnRenamed("_p", "row")
+
+
+def local_threshold(pixels: DataFrame, keys: Sequence[str], value: str, height: str, width: str, *, size: int = 35, offset: float = 0.03) -> DataFrame:
+    return box_mean(pixels, keys, value, height, width, size).withColumn("foreground", F.col(value) > F.col("box_mean") + offset)
+
+
+def detect_footer(pixels: DataFrame, keys: Sequence[str], height: str, *, level: float = 240.0, share: float = 0.60) -> DataFrame:
+    """Longest band of bright rows in the lower part of an image: ``footer_y0``, ``footer_y1``.
+
+    Pixels fold to one row per image row first; the windows then see at most one entry per row.
+    """
+    keys = list(keys)
+    rows = pixels.groupBy(*keys, "row").agg(F.avg((F.col("value") > level).cast("double")).alias("_f"), F.max(height).alias("_h"))
+    lit = rows.where((F.col("_h") >= 100) & (F.col("row") >= F.floor(F.col("_h") * 0.65)) & (F.col("_f") > share))
+    order = Window.partitionBy(*keys).orderBy("row")
+    starts = F.coalesce((F.col("row") - F.lag("row").over(order) > 3).cast("int"), F.lit(1))
+    lit = lit.withColumn("_new", starts).withColumn("_band", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    bands = lit.groupBy(*keys, "_band").agg(F.min("row").alias("_a"), F.max("row").alias("_z"), F.count(F.lit(1)).alias("_k"), F.max("_h").alias("_h"))
+    best = bands.groupBy(*keys).agg(
+        F.sum("_k").alias("_rows"), F.max("_h").alias("_h"),
+        F.max(F.struct((F.col("_z") - F.col("_a")).alias("span"), (-F.col("_a")).alias("na"))).alias("_b"),
+    )
+    a, span = -F.col("_b.na"), F.col("_b.span")
+    found = best.where((F.col("_rows") >= 20) & (span >= 30))
+    return found.select(*keys, F.greatest(F.lit(0), a - 4).alias("footer_y0"), F.least(F.col("_h"), a + span + 5).alias("footer_y1"))
+
+
+# ---- masks and components -------------------------------------------------------------------
+
+def mask_quality(labels: DataFrame, area: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Score of a labelled mask; ``area`` holds the pixel count of every group (``pixels``)."""
+    keys = list(keys)
+    comps = labels.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("_c"))
+    s = comps.groupBy(*keys).agg(F.sum("_c").alias("_fg"), F.max("_c").alias("_big"), F.count(F.lit(1)).alias("components"))
+    j = area.join(s, keys, "left")
+    f = F.coalesce("_fg", F.lit(0)) / F.col("pixels")
+    penalty = F.when(F.col("_big") / F.col("_fg") > 0.40, 0.20).otherwise(1.0) * F.when(F.col("components") > 150, 0.30).otherwise(1.0)
+    score = F.when((f < 0.01) | (f > 0.60), 0.05).otherwise(F.greatest(F.lit(0.01), (1 - F.abs(f - 0.25) * 2) * penalty))
+    return j.select(*keys, F.coalesce("components", F.lit(0)).alias("components"), f.alias("fraction"), score.alias("score"))
+
+
+def best_mask(scores: DataFrame, keys: Sequence[str], method: str, order: Sequence[str]) -> DataFrame:
+    """Highest score; on a tie the earlier method of ``order``."""
+    rank = F.array_position(F.array(*[F.lit(o) for o in order]), F.col(method))
+    return scores.groupBy(*keys).agg(F.max(F.struct(F.col("score"), (-rank).alias("o"), F.col(method).alias("m"))).alias("_b")).select(
+        *keys, F.col("_b.m").alias(method), F.col("_b.score").alias("score")
+    )
+
+
+def component_shape(pixels: DataFrame, keys: Sequence[str], px: str, py: str) -> DataFrame:
+    """Area, centroid, principal axis, elongation and span of each component (in metres / pixels)."""
+    keys = list(keys)
+    x, y = F.col("col") * F.col(px), F.col("row") * F.col(py)
+    s = pixels.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("area_px"), F.avg("col").alias("center_x"), F.avg("row").alias("center_y"),
+        F.var_samp(x).alias("_xx"), F.var_samp(y).alias("_yy"), F.covar_samp(x, y).alias("_xy"), F.max(px).alias("_px"), F.max(py).alias("_py"),
+    )
+    small = F.col("area_px") < 5
+    half, diff = (F.col("_xx") + F.col("_yy")) / 2, (F.col("_xx") - F.col("_yy")) / 2
+    root = F.sqrt(diff * diff + F.col("_xy") * F.col("_xy"))
+    l1 = F.when(small, 1.0).otherwise(half + root)
+    l2 = F.when(small, 1.0).otherwise(F.greatest(half - root, F.lit(1e-24)))
+    theta = F.when(small, F.lit(np.pi / 2)).otherwise(F.atan2(2 * F.col("_xy"), F.col("_xx") - F.col("_yy")) / 2)
+    s = s.withColumns({"elongation": F.sqrt(l1 / l2), "_ux": F.cos(theta) / F.col("_px"), "_uy": F.sin(theta) / F.col("_py")})
+    s = s.withColumns({"axis_x": F.col("_ux") / F.hypot("_ux", "_uy"), "axis_y": F.col("_uy") / F.hypot("_ux", "_uy")}).drop("_ux", "_uy", "_xx", "_yy", "_xy", "_px", "_py")
+    t = (F.col("col") - F.col("center_x")) * F.col("axis_x") + (F.col("row") - F.col("center_y")) * F.col("axis_y")
+    span = pixels.join(s, keys).groupBy(*keys).agg((F.max(t) - F.min(t)).alias("span_px"))
+    return s.join(span, keys)
+
+
+def likely_merged(area: Column, span: Column, elongation: Column, expected_width_px: Column) -> Column:
+    return (area / F.greatest(span, F.lit(1.0)) > 2.8 * expected_width_px) | ((area > 450) & (elongation < 2.5))
