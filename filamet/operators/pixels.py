@@ -133,10 +133,10 @@ def equalize(pixels: DataFrame, keys: Sequence[str], value: str, *, levels: int
     order = Window.partitionBy(*keys).orderBy("level")
     h = h.withColumns({
         "_cum": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_tot": F.sum("n").over(Window.partitionBy(*keys)),
-        "_pn": F.when(F.lag("level").over(order) == F.col("level") - 1, F.lag("n").over(order)).otherwise(0),
     })
-    own = F.when(F.col("level") < levels - 1, F.col("n")).otherwise(0)
-    err = (F.col("target") + 1) * (F.col("_tot") / targets) - F.col("_cum") + F.least(own, F.col("_pn")) / 2
+    # half a level's own pixels count, except at the two ends of the scale
+    own = F.when((F.col("level") > 0) & (F.col("level") < levels - 1), F.col("n")).otherwise(0)
+    err = (F.col("target") + 1) * (F.col("_tot") / targets) - F.col("_cum") + own / 2
     # fixed value: square root of the double epsilon
     err = F.when(err < -F.col("_tot") * 1.4901161193847656e-08, F.col("_tot").cast("double")).otherwise(err)
     mapped = (

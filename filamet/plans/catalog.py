@@ -1,6 +1,6 @@
 """Imports every query module, so the registry is complete."""
 
-from filamet.plans import distribution_queries, row_rules, statistics_queries  # noqa: F401
+from filamet.plans import distribution_queries, image_queries, row_rules, statistics_queries  # noqa: F401
 from filamet.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
