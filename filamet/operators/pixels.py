@@ -111,12 +111,12 @@ def discrete_otsu(pixels: DataFrame, keys: Sequence[str], value: str, levels: in
     whole = Window.partitionBy(*keys)
     h = h.withColumns({
         "_w": F.sum("n").over(run), "_m": F.sum(F.col("n") * F.col("level")).over(run),
-        "_W": F.sum("n").over(whole), "_M": F.sum(F.col("n") * F.col("level")).over(whole), "_next": F.lead("level").over(Window.partitionBy(*keys).orderBy("level")),
+        "_tw": F.sum("n").over(whole), "_tm": F.sum(F.col("n") * F.col("level")).over(whole), "_next": F.lead("level").over(Window.partitionBy(*keys).orderBy("level")),
     })
     # levels without pixels repeat the value of the level before them
     gap = F.coalesce(F.col("_next") - 1, F.lit(levels - 1))
-    d = F.col("_M") * F.col("_w") - F.col("_m") * F.col("_W")
-    h = h.withColumn("_v", F.when(F.col("_w") < F.col("_W"), d.cast("double") * d / (F.col("_w").cast("double") * (F.col("_W") - F.col("_w")))).otherwise(0.0))
+    d = F.col("_tm") * F.col("_w") - F.col("_m") * F.col("_tw")
+    h = h.withColumn("_v", F.when(F.col("_w") < F.col("_tw"), d.cast("double") * d / (F.col("_w").cast("double") * (F.col("_tw") - F.col("_w")))).otherwise(0.0))
     best = h.withColumn("_best", F.max("_v").over(whole)).where(F.col("_v") == F.col("_best"))
     # the mean over runs of equal levels; all levels tie (also those below the first) when there is no contrast
     span = gap - F.col("level") + 1

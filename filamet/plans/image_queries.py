@@ -217,7 +217,7 @@ b AS (SELECT v.image_id, v.roi, v.row, v.col, count(n.row) AS k FROM v LEFT JOIN
 p AS (SELECT image_id, roi, count(*) FILTER (k < 4) AS bn FROM b GROUP BY ALL),
 s AS (SELECT image_id, roi, count(*) AS n, avg(col) AS cx, avg(row) AS cy, avg(value) AS mean, stddev_pop(value) AS sd FROM v GROUP BY ALL),
 w AS (SELECT image_id, roi, count(*) AS raw FROM m GROUP BY ALL)
-SELECT image_id, roi, n AS valid_pixels, round((raw-n)/raw, 9) AS excluded_fraction, round(n*{PX*PY*1e18}, 6) AS area_nm2, round(bn*sqrt({PX*PX*1e18}+{PY*PY*1e18})/1.414, 6) AS perimeter_nm, round(cx, 9) AS cx, round(cy, 9) AS cy, round(mean, 9) AS mean, round(sd, 9) AS std FROM s JOIN p USING (image_id, roi) JOIN w USING (image_id, roi)""", "pixels")
+SELECT image_id, roi, n AS valid_pixels, round((raw-n)/raw, 9) AS excluded_fraction, round((n*{PX*PY*1e18})::DOUBLE, 6) AS area_nm2, round(bn*sqrt({PX*PX*1e18}+{PY*PY*1e18})/1.414, 6) AS perimeter_nm, round(cx, 9) AS cx, round(cy, 9) AS cy, round(mean, 9) AS mean, round(sd, 9) AS std FROM s JOIN p USING (image_id, roi) JOIN w USING (image_id, roi)""", "pixels")
 def j14(spark, sf):
     p = bind.pixels(spark, sf)
     pt = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
