@@ -93,7 +93,7 @@ def w08(spark, sf):
 
 @query("w09_diagnostic_rois", """
 WITH i AS (SELECT image_id, width_px*2 AS w, CASE WHEN image_id % 3 = 0 THEN height_px*2 - 60 ELSE height_px*2 END AS h FROM images),
-k AS (SELECT *, w//2 AS cx, h//2 AS cy, least(w,h)//3 AS th, least(500, (w-150)//2, (h-150)//2) AS q FROM i),
+k AS (SELECT *, floor(w/2.0)::BIGINT AS cx, floor(h/2.0)::BIGINT AS cy, floor(least(w,h)/3.0)::BIGINT AS th, least(500, (w-150)//2, (h-150)//2) AS q FROM i),
 b AS (SELECT image_id, CASE WHEN w < 600 OR h < 600 THEN [[greatest(0,cx-th), greatest(0,cy-th), least(w,cx+th), least(h,cy+th)]]
   WHEN q > 100 THEN [[cx-250, cy-250, cx+250, cy+250], [50, 50, 50+q, 50+q], [w-50-q, 50, w-50, 50+q], [cx-q//2, h-50-q, cx-q//2+q, h-50]] ELSE [[cx-250, cy-250, cx+250, cy+250]] END AS bx FROM k)
 SELECT image_id, (o-1)::INTEGER AS roi_ord, bx[o][1] AS x0, bx[o][2] AS y0, bx[o][3] AS x1, bx[o][4] AS y1 FROM b, LATERAL (SELECT unnest(range(1, len(bx)+1)) AS o)""", "images")

@@ -81,25 +81,55 @@ PROTOCOL_SCHEMA = (
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 
 RECORD = (
-    "measurement_id string, kind string, name string, tags array<string>, notes string, note string, "
-    "status string, accepted boolean, source string, method string, image_id string, sample_id string, "
-    "fiber_id string, roi_id string, `group` int, defect string, "
-    "geometry struct<p1:array<double>,p2:array<double>,pt_a:array<double>,pt_b:array<double>,"
-    "pt_c:array<double>,points:array<array<double>>,bbox:array<int>>, "
-    "values struct<length_m:double,width_m:double,total_length_m:double,tortuosity:double,"
+    "struct<measurement_id:string,kind:string,name:string,tags:array<string>,notes:string,note:string,"
+    "status:string,accepted:boolean,source:string,method:string,image_id:string,sample_id:string,"
+    "fiber_id:string,roi_id:string,`group`:int,defect:string,"
+    "geometry:struct<p1:array<double>,p2:array<double>,pt_a:array<double>,pt_b:array<double>,"
+    "pt_c:array<double>,points:array<array<double>>,bbox:array<int>>,"
+    "values:struct<length_m:double,width_m:double,total_length_m:double,tortuosity:double,"
     "interior_angle_deg:double,area_m2:double,perimeter_m:double,mean_intensity_au:double,"
-    "std_intensity_au:double,main_reported_value_m:double>, "
-    "p1 array<double>, p2 array<double>, width_m double, "
-    "quality_flags array<string>, confidence double, created_at string, updated_at string"
+    "mean_intensity:double,std_intensity_au:double,main_reported_value_m:double>,"
+    "p1:array<double>,p2:array<double>,width_m:double,quality_flags:array<string>,confidence:double,"
+    "created_at:string,updated_at:string>"
 )
 PROJECT_SCHEMA = (
     "schema_version int, image struct<path:string,image_id:string,source_sha256:string,"
     "calibration:struct<pixel_size_x_m:double,pixel_size_y_m:double,source:string,confidence:double>>, "
-    f"records array<struct<{RECORD.replace(' string', ':string').replace(' array', ':array').replace(' struct', ':struct').replace(' double', ':double').replace(' int', ':int').replace(' boolean', ':boolean')}>>, "
-    f"measurements array<struct<{RECORD.replace(' string', ':string').replace(' array', ':array').replace(' struct', ':struct').replace(' double', ':double').replace(' int', ':int').replace(' boolean', ':boolean')}>>, "
+    f"records array<{RECORD}>, measurements array<{RECORD}>, "
     "next_record_counter int, next_fiber_counter int, target_sections int, active_fiber_id string, "
     "active_protocol_id string, sample_id string, sample_name string"
 )
+SESSION_SCHEMA = (
+    "study_id string, operator_id string, random_seed int, is_completed boolean, items array<struct<"
+    "reference_group_id:string,record_id:string,original_value_m:double,round_number:int,"
+    "measured_value_m:double,timestamp:string>>"
+)
+ORACLE_RUN_SCHEMA = (
+    "run_id string, oracle_id string, image_id string, input_sha256 string, local_diameters_px array<double>, "
+    "gaussian_center_px double, arithmetic_mean_px double, median_px double, std_px double, status string"
+)
+DISTRIBUTION = "struct<unit:string,estimand:string,n:bigint,weight_sum:double,mean:double,median:double,p05:double,p25:double,p50:double,p75:double,p95:double>"
+PAYLOAD_SCHEMA = (
+    "image_id string, results array<struct<method_id:string,method_version:string,status:string,native_result:double,"
+    f"native_statistics:map<string,double>,quality_flags:array<string>,common_distribution:{DISTRIBUTION},"
+    f"secondary_distributions:map<string,{DISTRIBUTION}>>>, "
+    "agreements array<struct<left_method:string,right_method:string,wasserstein_1:double,median_difference:double>>, _corrupt string"
+)
+CELL = "struct<row:int,column:int,status:string,diameter:double,unit:string,operator:string,notes:string,timestamp:string>"
+REVIEW_STORE_SCHEMA = f"dataset_id string, reviews map<string,struct<case_id:string,protocol_id:string,cells:array<{CELL}>>>, status map<string,string>"
+
+# --- fixed values: column order of the measurement CSV ----------------------------------------
+MEASUREMENT_CSV = [
+    "measurement_id", "name", "kind", "status", "source", "image_id", "sample_id", "fiber_id", "roi_id",
+    "primary_value", "primary_unit", "tags", "notes", "quality_flags", "created_at", "updated_at", "length_m",
+    "projected_width_m", "angle_deg", "area_m2", "perimeter_m", "tortuosity", "mean_intensity", "std_intensity",
+]
+# --- fixed values: columns of the dataset inventory -------------------------------------------
+INVENTORY_FIELDS = [
+    "case_id", "filename", "absolute_path", "sha256", "file_size_bytes", "width_px", "height_px", "channels", "dtype",
+    "zeiss_metadata_status", "footer_start_row", "footer_height_px", "pixel_size_x", "pixel_size_y", "physical_unit",
+    "magnification", "accelerating_voltage", "working_distance", "detector", "source_reader", "reader_flags",
+]
 
 
 def resolution_presets(spark: SparkSession) -> DataFrame:
