@@ -292,7 +292,7 @@ def j20(spark, sf):
 
 
 @query("j16_insert_proposals", """
-WITH have AS (SELECT 'M' || lpad(o_orderkey::VARCHAR, 4, '0') AS id FROM orders WHERE o_orderkey % 2 = 0), nx AS (SELECT max(o_orderkey) + 1 AS nx FROM orders WHERE o_orderkey % 2 = 0),
+WITH have AS (SELECT 'M' || CASE WHEN o_orderkey < 10000 THEN lpad(o_orderkey::VARCHAR, 4, '0') ELSE o_orderkey::VARCHAR END AS id FROM orders WHERE o_orderkey % 2 = 0), nx AS (SELECT max(o_orderkey) + 1 AS nx FROM orders WHERE o_orderkey % 2 = 0),
 f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) + 3 AS fn FROM embeddings),
 p AS (SELECT vec_id, i, row_number() OVER (ORDER BY vec_id, i) - 1 + nx AS num FROM embeddings, (SELECT unnest([0,1,2]) AS i), nx)
 SELECT id AS measurement_id, NULL AS fiber_id, 'ACCEPTED' AS status, NULL::DOUBLE AS width FROM have
@@ -310,10 +310,12 @@ def j16(spark, sf):
     return C.insert_proposals(records, props, "measurement_id")
 
 
-@query("w06_next_numbers", "SELECT max(o_orderkey) + 1 AS \"next\" FROM orders")
+@query("w06_next_numbers", "SELECT o_orderstatus, max(o_orderkey) FILTER (o_orderkey % 7 > 0) + 1 AS \"next\" FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL")
 def w06(spark, sf):
-    ids = bind.table(spark, sf, "orders").select(F.when(c("o_orderstatus").isNotNull(), F.format_string("M%04d", c("o_orderkey"))).alias("measurement_id"))
-    return C.next_numbers(ids.unionByName(ids.limit(1).select(LIT("X999999999").alias("measurement_id"))), "measurement_id", "M")
+    k = c("o_orderkey")
+    o = bind.table(spark, sf, "orders").where(c("o_orderstatus") == "F")
+    ids = o.select(F.when(k % 7 == 0, F.concat(LIT("MX"), k)).otherwise(F.format_string("M%04d", k)).alias("measurement_id"))
+    return C.next_numbers(ids, "measurement_id", "M").select(LIT("F").alias("o_orderstatus"), "next")
 
 
 @query("j17_calibration_audit", """

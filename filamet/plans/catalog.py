@@ -6,6 +6,7 @@ from filamet.plans import (  # noqa: F401
     image_queries,
     row_rules,
     run_queries,
+    sink_queries,
     statistics_queries,
 )
 from filamet.plans.registry import QUERIES, SQL
