@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from filamet.operators.ordered import linear_bucket, log_bucket, ordered
 from filamet.operators.quantiles import exact_quantiles
+from filamet.session import cut_lineage
 
 BLOCK = 100_000
 
@@ -46,7 +47,7 @@ def hierarchical_bootstrap(df: DataFrame, image: str, fiber: str, x: str, ident:
     plan = _slots(plan.select("r", "si", "sf", "img", "fib", "n_sec"), "n_sec", "ss", ["r", "si", "sf"])
     plan = plan.withColumn("s", draw(seed, F.col("n_sec"), F.col("r"), F.col("si"), F.col("sf"), F.col("ss")))
     drawn = plan.join(sec.select("img", "fib", "s", "v"), ["img", "fib", "s"])
-    medians = exact_quantiles(drawn, ["r", "si", "sf"], "v", [0.5], names=["m"])
+    medians = cut_lineage(exact_quantiles(drawn, ["r", "si", "sf"], "v", [0.5], names=["m"]))
     per_rep = exact_quantiles(medians, ["r"], "m", [0.5], names=["m"])
     # one row per replicate from here on
     return per_rep.agg(

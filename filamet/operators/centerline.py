@@ -9,14 +9,22 @@ from pyspark.sql import functions as F
 
 from filamet.operators.ordered import log_bucket, ordered
 from filamet.operators.quantiles import exact_quantiles
+from filamet.session import cut_lineage
 
 
-def arc_length(runs: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, x: str, y: str) -> DataFrame:
-    """Add ``step`` (distance from the sample before) and the running ``s`` along each run."""
+def steps(runs: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, x: str, y: str, *, lags: dict[str, str] | None = None) -> DataFrame:
+    """Add ``step``, the distance from the sample before (null for the first one).
+
+    The result is stored once, since every operator along a run reads it more than once.
+    """
     keys = list(keys)
     rows = runs.withColumn("__b", bucket)
-    lagged = ordered(rows, keys, order, lags={"_px": x, "_py": y}, keep_bucket=True)
-    stepped = lagged.withColumn("step", F.hypot(F.col(x) - F.col("_px"), F.col(y) - F.col("_py"))).drop("_px", "_py")
+    lagged = ordered(rows, keys, order, lags={"_px": x, "_py": y, **(lags or {})}, keep_bucket=True)
+    return cut_lineage(lagged.withColumn("step", F.hypot(F.col(x) - F.col("_px"), F.col(y) - F.col("_py"))).drop("_px", "_py"))
+
+
+def arc_length(stepped: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add the running length ``s`` along each run to the output of :func:`steps`."""
     return ordered(stepped, keys, order, sums={"s": F.coalesce("step", F.lit(0.0))}, keep_bucket=True)
 
 
@@ -28,19 +36,19 @@ def median_step(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
 def fragments(runs: DataFrame, keys: Sequence[str], order: Sequence[str], refinable: str, *, gap_factor: float = 2.0, min_points: int = 5) -> DataFrame:
     """Cut runs where a sample is not refinable or the gap to the one before is too wide.
 
-    Needs ``s``, ``step`` and ``__b`` from :func:`arc_length`.  The gap counts from the sample
-    before, refinable or not.  Only refinable samples are returned, with their fragment number,
-    its size and whether it is too short to be smoothed.
+    Needs ``step``, ``__b`` and ``ok_before`` from :func:`steps` with ``lags={"ok_before":
+    refinable}``.  The gap counts from the sample before, refinable or not.  Only refinable
+    samples are returned, with their fragment number, its size and whether it is too short to
+    be smoothed.
     """
     keys = list(keys)
     limits = median_step(runs, keys).select(*keys, (F.col("median_step") * gap_factor).alias("_max"))
     rows = runs.join(limits, keys)
-    flagged = ordered(rows, keys, order, lags={"_ok_before": refinable}, keep_bucket=True)
-    joined_on = F.coalesce(F.col("_ok_before"), F.lit(False)) & (F.col("_max") > 0) & (F.col("step") <= F.col("_max"))
+    joined_on = F.coalesce("ok_before", F.lit(False)) & (F.col("_max") > 0) & (F.col("step") <= F.col("_max"))
     starts = (F.col(refinable) & ~joined_on).cast("int")
-    numbered = ordered(flagged, keys, order, sums={"fragment": starts}, keep_bucket=True).where(refinable)
+    numbered = cut_lineage(ordered(rows, keys, order, sums={"fragment": starts}, keep_bucket=True).where(refinable))
     sizes = numbered.groupBy(*keys, "fragment").agg(F.count(F.lit(1)).alias("points"))
-    return numbered.join(sizes, [*keys, "fragment"]).withColumn("too_short", F.col("points") < min_points).drop("_max", "_ok_before")
+    return numbered.join(sizes, [*keys, "fragment"]).withColumn("too_short", F.col("points") < min_points).drop("_max", "ok_before")
 
 
 def tangents_normals(samples: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, y: str, raw_nx: str, raw_ny: str) -> DataFrame:

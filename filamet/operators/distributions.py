@@ -99,16 +99,14 @@ def scott_edges(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
 def weighted_moments(df: DataFrame, keys: Sequence[str], x: str, w: str) -> DataFrame:
     """n, weight sum, weighted mean and population SD (two passes, so no cancellation)."""
     keys = list(keys)
-    base = agg(
-        df.where(F.col(x).isNotNull()), keys,
-        F.count(x).alias("n"), F.sum(w).alias("weight_sum"), (F.sum(F.col(w) * F.col(x)) / F.sum(w)).alias("mean"),
+    rows = df.where(F.col(x).isNotNull()).select(*keys, x, w)
+    base = agg(rows, keys, F.count(x).alias("_n"), F.sum(w).alias("_w"), (F.sum(F.col(w) * F.col(x)) / F.sum(w)).alias("_m"))
+    off = F.col(x) - F.col("_m")
+    return agg(
+        join_groups(rows, base, keys), keys,
+        F.max("_n").alias("n"), F.max("_w").alias("weight_sum"), F.max("_m").alias("mean"),
+        F.sqrt(F.sum(F.col(w) * off * off) / F.max("_w")).alias("std"),
     )
-    means = base.select(*keys, F.col("mean").alias("_m"))
-    spread = agg(
-        join_groups(df, means, keys), keys,
-        F.sqrt(F.sum(F.col(w) * (F.col(x) - F.col("_m")) * (F.col(x) - F.col("_m"))) / F.sum(w)).alias("std"),
-    )
-    return join_groups(base, spread, keys)
 
 
 def weighted_summary(df: DataFrame, keys: Sequence[str], x: str, w: str, *, tie: Sequence[str] = ()) -> DataFrame:
@@ -130,7 +128,7 @@ def ecdf(df: DataFrame, keys: Sequence[str], x: str, w: str, tie: Sequence[str])
 
 def pair_distances(
     df: DataFrame, keys: Sequence[str], series: str, names: Sequence[str], x: str, w: str,
-    pairs: Sequence[tuple[str, str]] | None = None,
+    pairs: Sequence[tuple[str, str]] | None = None, *, weighted: bool = True,
 ) -> DataFrame:
     """Wasserstein-1 (weighted and plain) and KS (always unweighted) for pairs of series.
 
@@ -139,11 +137,11 @@ def pair_distances(
     """
     keys = list(keys)
     pairs = list(pairs if pairs is not None else combinations(names, 2))
-    cells = df.groupBy(*keys, F.col(x).alias("_x")).agg(
-        *[F.sum(F.when(F.col(series) == m, F.col(w)).otherwise(0.0)).alias(f"w{i}") for i, m in enumerate(names)],
-        *[F.sum(F.when(F.col(series) == m, F.lit(1.0)).otherwise(0.0)).alias(f"n{i}") for i, m in enumerate(names)],
-    )
-    cols = [f"{k}{i}" for i in range(len(names)) for k in ("w", "n")]
+    measures = {"w": F.col(w), "n": F.lit(1.0)} if weighted else {"n": F.lit(1.0)}
+    cells = df.groupBy(*keys, F.col(x).alias("_x")).agg(*[
+        F.sum(F.when(F.col(series) == m, v).otherwise(0.0)).alias(f"{k}{i}") for i, m in enumerate(names) for k, v in measures.items()
+    ])
+    cols = [f"{k}{i}" for i in range(len(names)) for k in measures]
     run = ordered(
         with_value_bucket(cells, keys, "_x"), keys, ["_x"],
         sums={f"c{k}": F.col(k) for k in cols}, totals={f"t{k}": f"c{k}" for k in cols}, leads={"_nx": "_x"},
@@ -159,7 +157,7 @@ def pair_distances(
     out = []
     for p, (a, b) in enumerate(pairs):
         out += [
-            F.sum(gap("w", a, b) * step).alias(f"_w{p}"),
+            (F.sum(gap("w", a, b) * step) if weighted else F.lit(None).cast("double")).alias(f"_w{p}"),
             F.sum(gap("n", a, b) * step).alias(f"_u{p}"),
             F.max(gap("n", a, b)).alias(f"_k{p}"),
         ]

@@ -91,7 +91,7 @@ def estimator_distances(df: DataFrame, keys: Sequence[str]) -> DataFrame:
         value, mask = n.split("@")
         cells.append(F.struct(F.lit(n).alias("series"), F.when(F.col(f"{mask}_accepted"), usable(F.col(value))).alias("value")))
     long = df.withColumn("_p", F.explode(F.array(*cells))).select(*keys, "_p.*", F.lit(1.0).alias("one")).where(F.col("value").isNotNull())
-    d = pair_distances(long, keys, "series", names, "value", "one", list(W1_PAIRS.values()))
+    d = pair_distances(long, keys, "series", names, "value", "one", list(W1_PAIRS.values()), weighted=False)
     label = None
     for name, (a, b) in W1_PAIRS.items():
         hit = (F.col("left") == a) & (F.col("right") == b)

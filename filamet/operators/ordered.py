@@ -107,13 +107,17 @@ def ordered(
     sums, lags, leads = dict(sums or {}), dict(lags or {}), dict(leads or {})
     rows = df.withColumns({f"__m_{n}": c for n, c in sums.items()}) if sums else df
 
+    # a previous/next value of the one order column itself is a plain maximum/minimum
+    own = len(order) == 1 and set(lags.values()) | set(leads.values()) <= set(order)
     position = F.struct(*order)
     aggs = [F.count(F.lit(1)).alias("__n")]
     aggs += [F.sum(f"__m_{n}").alias(f"__t_{n}") for n in sums]
     if lags:
-        aggs.append(F.max_by(F.struct(*sorted(set(lags.values()))), position).alias("__tail"))
+        tail = F.struct(*sorted(set(lags.values())))
+        aggs.append((F.max(order[0]) if own else F.max_by(tail, position)).alias("__tail"))
     if leads:
-        aggs.append(F.min_by(F.struct(*sorted(set(leads.values()))), position).alias("__head"))
+        head = F.struct(*sorted(set(leads.values())))
+        aggs.append((F.min(order[0]) if own else F.min_by(head, position)).alias("__head"))
     summary = rows.groupBy(*keys, bucket).agg(*aggs)
 
     across = Window.partitionBy(*keys).orderBy(bucket)
@@ -142,12 +146,12 @@ def ordered(
     if lags:
         first = F.row_number().over(inside) == 1
         for n, c in lags.items():
-            new[n] = F.when(first, F.col(f"__tail.{c}")).otherwise(F.lag(c).over(inside))
+            new[n] = F.when(first, F.col("__tail" if own else f"__tail.{c}")).otherwise(F.lag(c).over(inside))
     if leads:
         size = F.count(F.lit(1)).over(Window.partitionBy(*keys, bucket))
         last = F.row_number().over(inside) == size
         for n, c in leads.items():
-            new[n] = F.when(last, F.col(f"__head.{c}")).otherwise(F.lead(c).over(inside))
+            new[n] = F.when(last, F.col("__head" if own else f"__head.{c}")).otherwise(F.lead(c).over(inside))
     out = joined.withColumns(new) if new else joined
     drop = ["__o_n", "__tail", "__head", *(f"__m_{n}" for n in sums), *(f"__o_{n}_s" for n in sums)]
     if not keep_bucket:

@@ -72,7 +72,7 @@ def diameter_parity(df: DataFrame, keys: Sequence[str], side: str, names: tuple[
 
     cols = ("n", "mean", "p50", "pop_std")
     wide = s.groupBy(*keys).agg(*[pick(cn, nm).alias(f"{cn}_{t}") for cn in cols for t, nm in (("a", a), ("b", b))])
-    dist = pair_distances(df.withColumn("_one", F.lit(1.0)), keys, side, names, x, "_one").select(*keys, F.col("w1_unweighted").alias("wasserstein"), "ks")
+    dist = pair_distances(df.withColumn("_one", F.lit(1.0)), keys, side, names, x, "_one", weighted=False).select(*keys, F.col("w1_unweighted").alias("wasserstein"), "ks")
     left = df.where(F.col(side) == a).select(*keys, at, F.col(x).alias("_a"))
     right = df.where(F.col(side) == b).select(*keys, at, F.col(x).alias("_b"))
     pairs = left.join(right, [*keys, at]).withColumn("_d", F.abs(F.col("_a") - F.col("_b")))

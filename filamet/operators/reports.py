@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from filamet import schemas as S
 from filamet.operators.quantiles import exact_quantiles, multi_quantiles
+from filamet.session import cut_lineage
 
 
 def estimator_table(summary: DataFrame, image: str, series: str, labels: Sequence[tuple[str, str]]) -> DataFrame:
@@ -65,7 +66,7 @@ def method_summary(samples: DataFrame, image: str, series: str, x: str, coverage
 
     The image is the unit here; samples are never pooled.
     """
-    med = exact_quantiles(samples, [image, series], x, [0.5], names=["m"])
+    med = cut_lineage(exact_quantiles(samples, [image, series], x, [0.5], names=["m"]))
     base = med.groupBy(series).agg(F.count(F.lit(1)).alias("images"), F.avg("m").alias("mean"), F.stddev_pop("m").alias("std"))
     q = exact_quantiles(med, [series], "m", [0.25, 0.5, 0.75], names=["p25", "median", "p75"])
     out = base.join(q, series).withColumn("iqr", F.col("p75") - F.col("p25"))

@@ -29,21 +29,19 @@ def nearest(
     keys, order, payload = list(keys), list(order), list(payload)
     rank = F.struct(*order, *[p for p in payload if p not in order])
     places = refs.groupBy(*keys, "x", "y").agg(F.min(rank).alias("_ref"))
-    places = cut_lineage(places.withColumnRenamed("x", "rx").withColumnRenamed("y", "ry"))
-    extent = agg(places, keys, F.count(F.lit(1)).alias("_n"), F.min("rx").alias("_x0"), F.max("rx").alias("_x1"), F.min("ry").alias("_y0"), F.max("ry").alias("_y1"))
+    places = places.withColumnsRenamed({"x": "rx", "y": "ry"})
+    extent = agg(refs, keys, F.count(F.lit(1)).alias("_n"), F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"))
     area = (F.col("_x1") - F.col("_x0") + 1e-9) * (F.col("_y1") - F.col("_y0") + 1e-9)
     size = F.lit(start) if start is not None else F.greatest(F.lit(1e-6), 2 * F.sqrt(area / F.col("_n")))
     if radius is not None:
         size = F.least(F.lit(float(radius)), size)
-    extent = extent.select(*keys, size.alias("_s"), F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")).alias("_w"))
+    extent = extent.select(*keys, size.alias("_s"))
     open_ = queries.select(*keys, "x", "y").distinct().join(extent, keys)
-    extent_places = cut_lineage(places.join(extent.select(*keys, "_s"), keys))
-    open_ = cut_lineage(open_)
+    extent_places = cut_lineage(places.join(extent, keys))
     done: DataFrame | None = None
     factor = 1.0
     while True:
         cell = F.col("_s") * factor if radius is None else F.least(F.col("_s") * factor, F.lit(float(radius)))
-        # a cell as wide as the whole group, or as the radius, is the last one needed
         around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
         probes = (
             open_.withColumns({"_c": cell, "_d": F.explode(around)})

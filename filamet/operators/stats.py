@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from filamet.operators.groups import agg, join_groups, sd_or_zero
 from filamet.operators.ordered import ordered
 from filamet.operators.quantiles import exact_quantiles
+from filamet.session import cut_lineage
 
 LEVEL_PROBS = [0.05, 0.25, 0.5, 0.75, 0.95]
 LEVEL_NAMES = ["p05", "p25", "median", "p75", "p95"]
@@ -41,7 +42,9 @@ def fiber_summary(df: DataFrame, keys: Sequence[str], fiber: str, x: str) -> Dat
     """Statistics over fiber medians, so every fiber weighs the same."""
     keys = list(keys)
     sections = agg(df, keys, F.count(x).alias("n_measurements"))
-    return join_groups(level_metrics(fiber_medians(df, [*keys, fiber], x), keys, "fiber_median"), sections, keys)
+    # the medians feed three aggregates, so they are computed once
+    medians = cut_lineage(fiber_medians(df, [*keys, fiber], x))
+    return join_groups(level_metrics(medians, keys, "fiber_median"), sections, keys)
 
 
 def hierarchy(df: DataFrame, project: str, image: str, fiber: str, x: str) -> DataFrame:
@@ -53,8 +56,9 @@ def hierarchy(df: DataFrame, project: str, image: str, fiber: str, x: str) -> Da
     rows = df.where(F.col(x).isNotNull()).withColumn(
         fiber, F.when(F.col(fiber).isNull() | (F.col(fiber) == ""), "UNASSIGNED").otherwise(F.col(fiber))
     )
-    per_fiber = exact_quantiles(rows, [project, image, fiber], x, [0.5], names=["m"])
-    per_image = exact_quantiles(rows, [project, image], x, [0.5], names=["m"])
+    # the medians feed several aggregates, so they are computed once
+    per_fiber = cut_lineage(exact_quantiles(rows, [project, image, fiber], x, [0.5], names=["m"]))
+    per_image = cut_lineage(exact_quantiles(rows, [project, image], x, [0.5], names=["m"]))
     long = (
         rows.select(project, F.lit("section").alias("level"), F.col(x).alias("m"))
         .unionByName(per_fiber.select(project, F.lit("fiber").alias("level"), "m"))

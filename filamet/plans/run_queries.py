@@ -25,13 +25,13 @@ run AS (SELECT *, sum(coalesce(step, 0)) OVER (PARTITION BY run_id ORDER BY ts,
 def runs(spark, sf):
     e = bind.table(spark, sf, "events").select(
         c("user_id").alias("run_id"), "ts", "event_id", c("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"), (c("event_type") != "error").alias("ok"))
-    return L.arc_length(e, ["run_id"], ORDER, time_bucket(c("ts"), HOUR), "x", "y")
+    return L.steps(e, ["run_id"], ORDER, time_bucket(c("ts"), HOUR), "x", "y", lags={"ok_before": "ok"})
 
 
 @query("w02_arc_length", f"WITH {RUN_SQL} SELECT run_id, event_id, round(s, 7) AS s, round(quantile_cont(step, 0.5) OVER (PARTITION BY run_id), 8) AS median_step FROM run")
 def w02(spark, sf):
-    a = runs(spark, sf)
-    return a.join(L.median_step(a, ["run_id"]), "run_id").select("run_id", "event_id", r("s", 7).alias("s"), r(F.when(c("median_step") > 0, c("median_step")), 8).alias("median_step"))
+    st = runs(spark, sf)
+    return L.arc_length(st, ["run_id"], ORDER).join(L.median_step(st, ["run_id"]), "run_id").select("run_id", "event_id", r("s", 7).alias("s"), r(F.when(c("median_step") > 0, c("median_step")), 8).alias("median_step"))
 
 
 @query("w03_fragments", f"""
@@ -58,7 +58,7 @@ def w04(spark, sf):
 @query("w05_arc_weights", f"""
 WITH {RUN_SQL} SELECT run_id, event_id, round((coalesce(lead(s) OVER o, s) - coalesce(lag(s) OVER o, s))/2, 7) AS arc_weight FROM run WINDOW o AS (PARTITION BY run_id ORDER BY ts, event_id)""")
 def w05(spark, sf):
-    w = L.half_neighbour_weights(runs(spark, sf), ["run_id"], ORDER)
+    w = L.half_neighbour_weights(L.arc_length(runs(spark, sf), ["run_id"], ORDER), ["run_id"], ORDER)
     return w.select("run_id", "event_id", r("arc_weight", 7).alias("arc_weight"))
 
 
