@@ -20,6 +20,8 @@ PER_OCTAVE = 512
 MAX_SPLITS = 65_536
 #: smallest exponent of a positive double, so that bucket numbers of one sign share a sign
 _EXPONENT_SHIFT = 1075.0
+#: bucket of infinity, beyond any finite value
+_END = 1 << 40
 
 
 def log_bucket(x: Column, per_octave: int = PER_OCTAVE) -> Column:
@@ -27,6 +29,7 @@ def log_bucket(x: Column, per_octave: int = PER_OCTAVE) -> Column:
     mag = F.floor((F.log2(F.abs(x)) + _EXPONENT_SHIFT) * per_octave) + 1
     return (
         F.when(x == 0, F.lit(0).cast("long"))
+        .when(F.abs(x) == F.lit(float("inf")), F.when(x > 0, _END).otherwise(-_END))
         .when(x > 0, mag)
         .otherwise(-mag)
         .cast("long")

@@ -49,11 +49,11 @@ def exact_quantiles(
     names: Sequence[str] | None = None,
     per_octave: int = PER_OCTAVE,
 ) -> DataFrame:
-    """Linear-interpolated quantiles (``numpy.quantile`` default) per group, nulls ignored."""
+    """Linear-interpolated quantiles (``numpy.quantile`` default) per group; null and NaN ignored."""
     keys = list(keys)
     names = list(names or [q_name(q) for q in probs])
     x = F.col(value) if isinstance(value, str) else value
-    rows = df.select(*keys, x.cast("double").alias("__x")).where(F.col("__x").isNotNull())
+    rows = df.select(*keys, x.cast("double").alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
     rows = rows.withColumn("__b", log_bucket(F.col("__x"), per_octave))
     edges = _bucket_edges(rows, keys, F.lit(1))
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filamet.plans.bind import CTES
+from filamet.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,7 +21,7 @@ def query(name: str, sql: str | None = None, *ctes: str) -> Callable[[Query], Qu
 
     def add(fn: Query) -> Query:
         assert name not in QUERIES, name
-        QUERIES[name] = fn
+        QUERIES[name] = wraps(fn)(lambda spark, sf: (tune(spark), fn(spark, sf))[1])
         if sql is not None:
             body = sql.strip()
             shared = ", ".join(f"{c} AS ({CTES[c]})" for c in ctes)

@@ -13,12 +13,12 @@ from filamet.plans.registry import query, r
 
 c = F.col
 
-USED = "used AS (SELECT *, width_m*1e6::DOUBLE AS v FROM measurements WHERE status IN ('ACCEPTED','MANUALLY_EDITED') AND width_m > 0)"
+USED = "used AS (SELECT *, width_m*1e9::DOUBLE/997 AS v FROM measurements WHERE status IN ('ACCEPTED','MANUALLY_EDITED') AND width_m > 0)"
 
 
 def used(spark, sf):
     m = bind.measurements(spark, sf)
-    return stats.usable_sections(m, R.is_included(c("status")), "width_m").withColumn("v", c("width_m") * 1e6)
+    return stats.usable_sections(m, R.is_included(c("status")), "width_m").withColumn("v", c("width_m") * 1e9 / 997)
 
 
 def level_sql(src: str, keys: str, x: str = "v") -> str:
@@ -50,7 +50,7 @@ def a03(spark, sf):
 
 
 @query("a04_hierarchy", f"""
-WITH u AS (SELECT sample_id, image_id, CASE WHEN fiber_id = 'F001' THEN 'UNASSIGNED' ELSE fiber_id END AS fiber_id, width_m*1e6::DOUBLE AS v FROM measurements WHERE status IN ('ACCEPTED','MANUALLY_EDITED') AND kind = 'PROJECTED_WIDTH'),
+WITH u AS (SELECT sample_id, image_id, CASE WHEN fiber_id = 'F001' THEN 'UNASSIGNED' ELSE fiber_id END AS fiber_id, width_m*1e9::DOUBLE/997 AS v FROM measurements WHERE status IN ('ACCEPTED','MANUALLY_EDITED') AND kind = 'PROJECTED_WIDTH'),
 l AS (SELECT sample_id, 'section' AS level, v FROM u UNION ALL SELECT sample_id, 'fiber', quantile_cont(v, 0.5) FROM u GROUP BY sample_id, image_id, fiber_id
   UNION ALL SELECT sample_id, 'image', quantile_cont(v, 0.5) FROM u GROUP BY sample_id, image_id),
 k AS (SELECT sample_id, count(DISTINCT image_id) AS n_images, count(DISTINCT image_id || '/' || fiber_id) AS n_fibers, count(*) AS n_sections FROM u GROUP BY sample_id),
@@ -59,7 +59,7 @@ SELECT *, NULL::BIGINT AS n_images, NULL::BIGINT AS n_fibers, NULL::BIGINT AS n_
 UNION ALL SELECT m.* REPLACE ('sample' AS level), n_images, n_fibers, n_sections FROM m JOIN k USING (sample_id) WHERE level = 'image'""", "measurements")
 def a04(spark, sf):
     m = bind.measurements(spark, sf).where(R.is_included(c("status")) & (c("kind") == "PROJECTED_WIDTH"))
-    m = m.select("sample_id", "image_id", F.when(c("fiber_id") != "F001", c("fiber_id")).alias("fiber_id"), (c("width_m") * 1e6).alias("v"))
+    m = m.select("sample_id", "image_id", F.when(c("fiber_id") != "F001", c("fiber_id")).alias("fiber_id"), (c("width_m") * 1e9 / 997).alias("v"))
     return rounded_levels(stats.hierarchy(m, "sample_id", "image_id", "fiber_id", "v"), "sample_id", "level", "n_images", "n_fibers", "n_sections")
 
 

@@ -27,6 +27,16 @@ def local_session(cpus: int | str = 8, app: str = "filamet", partitions: int | N
     )
 
 
+def tune(spark: SparkSession) -> None:
+    """Adaptive settings the operators count on.
+
+    A join of rows with a per-group table followed by an aggregate on the same key would keep a
+    hot group in one task; forcing the skew split lets Spark deal such a group out over tasks.
+    """
+    for key in ("adaptive.enabled", "adaptive.skewJoin.enabled", "adaptive.forceOptimizeSkewedJoin"):
+        spark.conf.set(f"spark.sql.{key}", "true")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 
