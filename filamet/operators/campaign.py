@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filamet.operators.groups import agg, join_groups
+from filamet.operators.groups import agg, attach_row, join_groups
 from filamet.operators.ordered import ordered
 
 
@@ -108,8 +108,7 @@ def next_numbers(existing: DataFrame, ident: str, prefix: str, *, stored: int =
 def assign_ids(new: DataFrame, first: DataFrame, order: Sequence[str], bucket: Column, fmt: str, name: str) -> DataFrame:
     """Number new rows in ``order`` from the next free number on; ids are never reused."""
     numbered = ordered(new.withColumn("__b", bucket), [], list(order), number="_n")
-    # ``first`` is one row by construction
-    return numbered.crossJoin(F.broadcast(first)).withColumn(name, F.format_string(fmt, F.col("next") + F.col("_n") - 1)).drop("_n", "next")
+    return attach_row(numbered, first).withColumn(name, F.format_string(fmt, F.col("next") + F.col("_n") - 1)).drop("_n", "next")
 
 
 def insert_proposals(records: DataFrame, proposals: DataFrame, key: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filamet.operators.distributions import pair_distances
+from filamet.operators.groups import attach_row
 from filamet.operators.quantiles import multi_quantiles
 
 
@@ -106,7 +107,7 @@ def refinement_effect(distances: DataFrame, image: str, pair: str = "pair") -> D
     w = wide.withColumn("_ok", both)
     base = w.agg(F.count(F.lit(1)).alias("images"), F.count_if(F.col("_ok") & (F.col("edt_edge_refined") < F.col("edt_edge_raw"))).alias("improved"))
     q = multi_quantiles(w.where("_ok"), [], {("a", 0.5): ("median_raw", F.col("edt_edge_raw")), ("b", 0.5): ("median_refined", F.col("edt_edge_refined"))})
-    return base.crossJoin(F.broadcast(q))
+    return attach_row(base, q)
 
 
 def truth_error(df: DataFrame, keys: Sequence[str], value: str, truth: str) -> DataFrame:

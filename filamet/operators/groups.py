@@ -12,9 +12,15 @@ def agg(df: DataFrame, keys: Sequence[str], *cols: Column) -> DataFrame:
     return df.groupBy(*keys).agg(*cols) if keys else df.agg(*cols)
 
 
+def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table as a scalar subquery; more than one row is an error."""
+    value = row.select(F.struct("*").alias("_row")).scalar()
+    return df.withColumn("_row", value).select(*df.columns, "_row.*")
+
+
 def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join two per-group tables; without keys both hold exactly one row."""
-    return left.join(right, list(keys), how) if keys else left.crossJoin(F.broadcast(right))
+    """Join with a per-group table; without keys the right side is a single row."""
+    return left.join(right, list(keys), how) if keys else attach_row(left, right)
 
 
 def sd_or_zero(x: Column | str) -> Column:

@@ -15,6 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from filamet.operators.groups import attach_row
+
 #: buckets per octave; a group spread over one decade falls into about 1700 buckets
 PER_OCTAVE = 512
 MAX_SPLITS = 65_536
@@ -173,9 +175,5 @@ def string_bucket(df: DataFrame, column: str, chars: int = 3) -> DataFrame:
         "if(acc = i - 1 and substring(__s0, i, 1) = substring(__s1, i, 1), i, acc))"
     )
     ends = ends.select(common.alias("__skip"))
-    # one row by construction
-    return (
-        df.crossJoin(F.broadcast(ends))
-        .withColumn("__b", F.expr(f"substring({column}, __skip + 1, {chars})"))
-        .drop("__skip")
-    )
+    skipped = attach_row(df, ends)
+    return skipped.withColumn("__b", F.expr(f"substring({column}, __skip + 1, {chars})")).drop("__skip")

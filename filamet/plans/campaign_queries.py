@@ -9,6 +9,7 @@ from filamet.functions import records as R
 from filamet.operators import campaign as C
 from filamet.operators import distributions as D
 from filamet.operators import fitting, parity, plugins, reports
+from filamet.operators.groups import attach_row
 from filamet.operators.ordered import linear_bucket
 from filamet.operators.quantiles import weighted_quantiles
 from filamet.plans import bind
@@ -474,7 +475,7 @@ def a16(spark, sf):
     from filamet.streaming.campaign import review_state
     st = review_state(review_events(spark, sf), "case_id", "cell", "status", "ts", "event_id")
     per, total = reports.review_progress(st, "case_id")
-    return per.crossJoin(F.broadcast(total.select("reference")))  # one row
+    return attach_row(per, total.select("reference"))
 
 
 @query("a17_array_fingerprint", """
