@@ -133,7 +133,7 @@ def repeatability(df: DataFrame, keys: Sequence[str], original: str, measured: s
 def blind_session(df: DataFrame, ident: str, value: str, seed: int) -> DataFrame:
     """Rows with a value in a seeded order, numbered GRP_001 ... without showing the value's rank."""
     rows = df.where(F.col(value).isNotNull()).withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(ident))))
-    rows = rows.withColumn("__b", F.substring("_h", 1, 3))
+    rows = rows.withColumn("__b", F.substring("_h", 1, 4))
     out = ordered(rows, [], ["_h", ident, value], number="_n")
     return out.select(
         F.format_string("GRP_%03d", F.col("_n")).alias("reference_group_id"), F.col(ident).alias("record_id"),
