@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from filamet.llm.ngram_join import ngram_jaccard
 from filamet.llm.shared import table
+from filamet.llm.substring_dedup import substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,3 +27,20 @@ def query(name: str, sql: str | None = None):
 @query("op3_ngram_jaccard")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(table(spark, sf_dir, "documents"))
+
+
+WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+
+@query("op8_substring_dedup", rf"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+win AS (SELECT doc_id, p, array_to_string(w[p : p + 49], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d)),
+first AS (SELECT s, min(doc_id) AS source FROM win GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT doc_id, p FROM win JOIN first USING (s) WHERE source < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS q FROM hit),
+per AS (SELECT doc_id, list(q) AS g FROM gone GROUP BY doc_id),
+kept AS (SELECT doc_id, w, coalesce(len(g), 0) AS n_removed, CASE WHEN g IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(g, i)) END AS k FROM d LEFT JOIN per USING (doc_id))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))

@@ -120,3 +120,50 @@ def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list,
 
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
+
+
+# -- fixed-size filter of ids -------------------------------------------------------------------
+
+FILTER_BITS = 1 << 23
+
+
+def _bit(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(41)).astype(np.int64)
+
+
+def _filter_words(batches):
+    for batch in batches:
+        bit = np.unique(_bit(batch.column(0).drop_null().to_numpy()))
+        word, at = np.unique(bit >> 6, return_index=True)
+        if len(word):
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (bit & 63).astype(np.uint64), at)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(signed(bits))], ["word", "bits"])
+
+
+def id_filter(ids: DataFrame):
+    """Broadcast bitmap of FILTER_BITS bits (1 MB) with the hashes of a column of ids.
+
+    It only thins out rows before an exact join, so hash clashes and a full bitmap are harmless.
+    """
+    words = ids.mapInArrow(_filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    bitmap = np.zeros(FILTER_BITS >> 6, dtype=np.uint64)
+    for row in words.toLocalIterator():  # FILTER_BITS / 64 rows at most
+        bitmap[row["word"]] = np.int64(row["bits"]).view(np.uint64)
+    return ids.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def passing(docs: DataFrame, column: str, bitmap) -> DataFrame:
+    """Rows whose id may be in the bitmap; null ids go."""
+    at = docs.columns.index(column)
+
+    def run(batches):
+        bits = bitmap.value
+        for batch in batches:
+            ids = batch.column(at)
+            bit = _bit(ids.fill_null(0).to_numpy())
+            hit = (bits[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
+            hit &= ~ids.is_null().to_numpy(zero_copy_only=False)
+            if hit.any():
+                yield batch.filter(pa.array(hit))
+
+    return docs.mapInArrow(run, docs.schema)
