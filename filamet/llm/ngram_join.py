@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filamet.llm.graph import components
-from filamet.llm.shared import ID, TEXT, hash_words, mix, rows, shingles, signed, split_words, stored
+from filamet.llm.shared import ID, TEXT, hash_words, id_filter, mix, passing, rows, shingles, signed, split_words, stored, summed_chunks
 
 ORDERS = 3
 COUNTERS = 1 << 18
@@ -79,17 +79,6 @@ def _count(width: int, lower: bool):
     return run
 
 
-def _add_chunks(batches):
-    """Sums per chunk; what is held is bounded by the number of chunks, not by the rows."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            value = np.frombuffer(raw, dtype="<u4").astype(np.int64)
-            sums[chunk] = sums[chunk] + value if chunk in sums else value
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype("<i8").tobytes() for v in sums.values()], pa.binary())], ["chunk", "counts"])
-
-
 def _ordered(tokens: np.ndarray, sketch: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens by the order's counter, ties by a hash of the token; and the counters."""
     count = sketch[order][_cells(tokens, order)]
@@ -230,17 +219,14 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = ID, text_col: str = TEXT, wi
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     first = stored(docs.mapInArrow(_count(width, lower), "id long, n long, k1 long, k2 long, chunk int, counts binary"), "ngram-sketch")
-    chunks = first.where("chunk is not null").select("chunk", "counts").repartition(16, "chunk").mapInArrow(_add_chunks, "chunk int, counts binary")
-    counters = np.zeros((ORDERS * COUNTERS // CHUNK, CHUNK), dtype=np.int64)
-    for row in chunks.toLocalIterator():  # ORDERS * COUNTERS counters, whatever the input
-        counters[row["chunk"]] = np.frombuffer(row["counts"], dtype="<i8")
-    sketch = spark.sparkContext.broadcast(counters.reshape(ORDERS, COUNTERS))
+    counters = summed_chunks(first.where("chunk is not null").select("chunk", "counts"), ORDERS * COUNTERS // CHUNK, CHUNK).reshape(ORDERS, COUNTERS)
+    sketch = spark.sparkContext.broadcast(counters)
 
     nodes = first.where("chunk is null").select("id", "n", "k1", "k2")
     schema = "token long, salt long, k1 long, k2 long"
     prefix = docs.select("text").mapInArrow(_prefixes(sketch, width, percent, lower), schema)
     near = _token_edges(prefix)
-    if int(counters[: COUNTERS // CHUNK].max()) >= SALT_ROWS:
+    if int(counters[0].max()) >= SALT_ROWS:
         near = near.unionByName(_salted_edges(prefix.where("salt >= 0")))
     clusters = components(near)
 
@@ -256,7 +242,8 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = ID, text_col: str = TEXT, wi
         "id", "k1", "k2",
         F.transform(other, lambda j: F.concat_ws("/", "label", F.least("block", j), F.greatest("block", j))).alias("unit"),
         F.transform(other, lambda j: F.when(F.col("block") > j, 1).otherwise(0)).alias("side"))
-    known = units.where("id is not null").join(docs.where("id is not null"), "id").select("unit", "k1", "k2", "side", "text")
+    some = passing(docs, "id", id_filter(member.select("id")))
+    known = units.where("id is not null").join(some, "id").select("unit", "k1", "k2", "side", "text")
     rare = docs.where("id is null").mapInArrow(_name_texts(width, lower), "k1 long, k2 long, text string")
     unnamed = units.where("id is null").drop("id").join(rare, ["k1", "k2"]).select("unit", "k1", "k2", "side", "text")
     sets = known.unionByName(unnamed).mapInArrow(_texts(width, lower), "unit array<string>, k1 long, k2 long, side array<int>, tokens binary")

@@ -60,23 +60,8 @@ def split_words(text: str | None, lower: bool = False) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
-class Hashes(dict):
-    """Word -> 64-bit hash, remembered; a bounded cache, so it never changes a result."""
-
-    LIMIT = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-HASHES = Hashes()
-
-
 def hash_words(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -122,6 +107,28 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+# -- counters of fixed size ----------------------------------------------------------------------
+
+
+def _add_chunks(batches):
+    """Sums per chunk; what is held is bounded by the number of chunks, not by the rows."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            value = np.frombuffer(raw, dtype="<u4").astype(np.int64)
+            sums[chunk] = sums[chunk] + value if chunk in sums else value
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype("<i8").tobytes() for v in sums.values()], pa.binary())], ["chunk", "counts"])
+
+
+def summed_chunks(chunks: DataFrame, number: int, size: int) -> np.ndarray:
+    """Add up (chunk, counts) rows of little-endian 32-bit counters; ``number * size`` of them reach the driver."""
+    out = np.zeros((number, size), dtype=np.int64)
+    for row in chunks.repartition(min(16, number), "chunk").mapInArrow(_add_chunks, "chunk int, counts binary").toLocalIterator():
+        out[row["chunk"]] = np.frombuffer(row["counts"], dtype="<i8")
+    return out
+
+
 # -- fixed-size filter of ids -------------------------------------------------------------------
 
 FILTER_BITS = 1 << 23
