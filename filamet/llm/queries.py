@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from filamet.llm.decontaminate import contained_items
 from filamet.llm.ngram_join import ngram_jaccard
 from filamet.llm.shared import table
 from filamet.llm.substring_dedup import substring_dedup
+from filamet.llm.token_file import read_documents, write_tokens
 from filamet.llm.toxicity import toxicity
+from filamet.session import checkpoint_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,3 +55,29 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_toxicity")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "n_passages")
+
+
+SHINGLES_SQL = "CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p : p + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
+LOWER_SQL = WORDS_SQL.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
+
+@query("op4_decontaminate", f"""
+WITH i AS (SELECT item_id, list_distinct({SHINGLES_SQL}) AS s FROM (SELECT DISTINCT item_id, {LOWER_SQL} AS w FROM benchmark)),
+d AS (SELECT doc_id, list_distinct({SHINGLES_SQL}) AS s FROM (SELECT doc_id, {LOWER_SQL} AS w FROM documents)),
+p AS (SELECT doc_id, item_id, n_item, count(*) AS n_shared FROM (SELECT doc_id, unnest(s) AS x FROM d) JOIN (SELECT item_id, len(s) AS n_item, unnest(s) AS x FROM i) USING (x) GROUP BY ALL)
+SELECT doc_id, item_id, n_item, n_shared FROM p WHERE 100 * n_shared >= 80 * n_item
+""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_token_binary")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(spark, table(spark, sf_dir, "documents"))
+
+
+def token_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Write the token file of the documents and describe them from it."""
+    out = f"{checkpoint_root(spark)}/tokens-{uuid.uuid4().hex}"
+    width = write_tokens(docs, out, public_tokenizers.path("word_bpe_49k.json"))
+    return read_documents(spark, out, width)

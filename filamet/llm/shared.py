@@ -159,8 +159,8 @@ def id_filter(ids: DataFrame):
     return ids.sparkSession.sparkContext.broadcast(bitmap)
 
 
-def passing(docs: DataFrame, column: str, bitmap) -> DataFrame:
-    """Rows whose id may be in the bitmap; null ids go."""
+def passing(docs: DataFrame, column: str, bitmap, inverse: bool = False) -> DataFrame:
+    """Rows whose id may be in the bitmap (null ids never are), or all others."""
     at = docs.columns.index(column)
 
     def run(batches):
@@ -170,7 +170,22 @@ def passing(docs: DataFrame, column: str, bitmap) -> DataFrame:
             bit = _bit(ids.fill_null(0).to_numpy())
             hit = (bits[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
             hit &= ~ids.is_null().to_numpy(zero_copy_only=False)
+            hit ^= inverse
             if hit.any():
                 yield batch.filter(pa.array(hit))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose 64-bit key is not in the one-column table ``gone``.
+
+    Only rows whose key may be listed (by a bitmap of fixed size) are shuffled for the exact join.
+    """
+    name = "_key"
+    while name in docs.columns:
+        name += "_"
+    bitmap = id_filter(gone)
+    keyed = docs.withColumn(name, key)
+    listed = passing(keyed, name, bitmap).join(gone.toDF(name), name, "left_anti")
+    return passing(keyed, name, bitmap, inverse=True).drop(name).unionByName(listed.drop(name))
