@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from filamet.llm.decontaminate import contained_items
 from filamet.llm.ngram_join import ngram_jaccard
+from filamet.llm.quality import quality
 from filamet.llm.shared import table
 from filamet.llm.substring_dedup import substring_dedup
 from filamet.llm.token_file import read_documents, write_tokens
@@ -81,3 +82,8 @@ def token_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
     out = f"{checkpoint_root(spark)}/tokens-{uuid.uuid4().hex}"
     width = write_tokens(docs, out, public_tokenizers.path("word_bpe_49k.json"))
     return read_documents(spark, out, width)
+
+
+@query("op1_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
