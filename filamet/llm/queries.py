@@ -7,14 +7,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from filamet.llm.decontaminate import contained_items
+from filamet.llm.mixing import mix_sources
 from filamet.llm.ngram_join import ngram_jaccard
 from filamet.llm.quality import quality
 from filamet.llm.shared import table
 from filamet.llm.substring_dedup import substring_dedup
 from filamet.llm.token_file import read_documents, write_tokens
 from filamet.llm.toxicity import toxicity
+from filamet.llm.url_filter import url_filter
 from filamet.session import checkpoint_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +90,24 @@ def token_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
 @query("op1_quality")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@query("op6_url_filter")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages carry the number of the document they show in their path; that document's quality labels them."""
+    number = F.regexp_extract("url", r"/([0-9]{1,18})(?:\.html|/)?(?:[?#].*)?$", 1)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), F.col("quality").alias("good"))
+    pages = table(spark, sf_dir, "pages")
+    return url_filter(pages, labels, RULES, label_key=F.when(number != "", number)).select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
+
+
+MIX_WEIGHTS = {("domain0",): 4, ("domain1",): 3, ("domain2",): 2, ("domain3",): 1, ("*", "en"): 5, ("*", "de"): 2, ("*", "fr"): 2, ("*", "es"): 1}
+
+
+@query("op10_mixing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix_sources(table(spark, sf_dir, "documents"), weights=MIX_WEIGHTS, share=0.5, max_epochs=2)
+    return out.select("row.doc_id", "domain", "lang", "source", "epoch", "n_tokens")
