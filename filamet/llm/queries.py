@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filamet.llm.decontaminate import contained_items
+from filamet.llm.license_scan import license_scan
 from filamet.llm.mixing import mix_sources
 from filamet.llm.ngram_join import ngram_jaccard
+from filamet.llm.piece_counts import token_counts
 from filamet.llm.quality import quality
 from filamet.llm.shared import table
 from filamet.llm.substring_dedup import substring_dedup
@@ -111,3 +113,13 @@ MIX_WEIGHTS = {("domain0",): 4, ("domain1",): 3, ("domain2",): 2, ("domain3",):
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(table(spark, sf_dir, "documents"), weights=MIX_WEIGHTS, share=0.5, max_epochs=2)
     return out.select("row.doc_id", "domain", "lang", "source", "epoch", "n_tokens")
+
+
+@query("op2_token_counts")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query("op7_license_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
