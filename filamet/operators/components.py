@@ -28,11 +28,11 @@ def _small_star(edges: DataFrame, keys: list[str]) -> DataFrame:
     return leaves.unionByName(own).where(F.col("u") != F.col("v")).distinct()
 
 
-def connected_components(mask: DataFrame, keys: Sequence[str], *, eight: bool = False, max_rounds: int = 60) -> DataFrame:
+def connected_components(mask: DataFrame, keys: Sequence[str], *, eight: bool = False) -> DataFrame:
     """Add ``component``: the smallest pixel id (row * 2**31 + col) of the component.
 
-    Rounds grow with the logarithm of the longest path, not with the path; every round works on
-    edges spread over the cluster and is checkpointed.
+    Rounds run until no edge changes.  Their number grows with the logarithm of the longest path, not
+    with the path; every round works on edges spread over the cluster and is checkpointed.
     """
     keys = list(keys)
     nodes = mask.select(*keys, "row", "col", (F.col("row").cast("long") * _SHIFT + F.col("col")).alias("u"))
@@ -40,7 +40,7 @@ def connected_components(mask: DataFrame, keys: Sequence[str], *, eight: bool =
     probes = nodes.withColumn("_o", F.explode(steps)).select(*keys, "u", ((F.col("row") + F.col("_o.dr")).cast("long") * _SHIFT + F.col("col") + F.col("_o.dc")).alias("v"))
     edges = cut_lineage(probes.join(nodes.select(*keys, F.col("u").alias("v")), [*keys, "v"]).select(*keys, "u", "v"))
     before = None
-    for _ in range(max_rounds):
+    while True:
         edges = cut_lineage(_small_star(_large_star(edges, keys), keys))
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)"))).first()
         if state == before:

@@ -94,12 +94,23 @@ def scott_edges(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     )
 
 
+def present(df: DataFrame, x: str) -> DataFrame:
+    """Rows with a value: null and NaN are missing."""
+    return df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")))
+
+
+def known_series(df: DataFrame, series: str, names: Sequence[str]) -> DataFrame:
+    """The rows, with an error raised by any series that ``names`` lacks."""
+    wrong = F.concat(F.lit("series without a place in the list: "), F.coalesce(F.col(series).cast("string"), F.lit("null")))
+    return df.withColumn(series, F.when(F.col(series).isin(*names), F.col(series)).otherwise(F.raise_error(wrong).cast(df.schema[series].dataType)))
+
+
 # ---- summaries -------------------------------------------------------------------------------
 
 def weighted_moments(df: DataFrame, keys: Sequence[str], x: str, w: str) -> DataFrame:
     """n, weight sum, weighted mean and population SD (two passes, so no cancellation)."""
     keys = list(keys)
-    rows = df.where(F.col(x).isNotNull()).select(*keys, x, w)
+    rows = present(df, x).select(*keys, x, w)
     base = agg(rows, keys, F.count(x).alias("_n"), F.sum(w).alias("_w"), (F.sum(F.col(w) * F.col(x)) / F.sum(w)).alias("_m"))
     off = F.col(x) - F.col("_m")
     return agg(
@@ -118,8 +129,8 @@ def weighted_summary(df: DataFrame, keys: Sequence[str], x: str, w: str, *, tie:
 
 
 def ecdf(df: DataFrame, keys: Sequence[str], x: str, w: str, tie: Sequence[str]) -> DataFrame:
-    """One ECDF point per sample, ties in ``tie`` order."""
-    rows = with_value_bucket(df, keys, x)
+    """One ECDF point per sample with a value, ties in ``tie`` order."""
+    rows = with_value_bucket(present(df, x), keys, x)
     out = ordered(rows, keys, [x, *tie], sums={"_cum": F.col(w)}, totals={"_total": "_cum"})
     return out.withColumn("ecdf", F.col("_cum") / F.col("_total")).drop("_cum", "_total")
 
@@ -133,12 +144,13 @@ def pair_distances(
     """Wasserstein-1 (weighted and plain) and KS (always unweighted) for pairs of series.
 
     Samples fold to one row per value with one weight per series, so all pairs of a group share
-    one pass of running sums and no pair multiplies the rows.  ``names`` is the fixed method list.
+    one pass of running sums and no pair multiplies the rows.  ``names`` is the method list; a series
+    outside it is an error.
     """
     keys = list(keys)
     pairs = list(pairs if pairs is not None else combinations(names, 2))
     measures = {"w": F.col(w), "n": F.lit(1.0)} if weighted else {"n": F.lit(1.0)}
-    cells = df.groupBy(*keys, F.col(x).alias("_x")).agg(*[
+    cells = known_series(present(df, x), series, names).groupBy(*keys, F.col(x).alias("_x")).agg(*[
         F.sum(F.when(F.col(series) == m, v).otherwise(0.0)).alias(f"{k}{i}") for i, m in enumerate(names) for k, v in measures.items()
     ])
     cols = [f"{k}{i}" for i in range(len(names)) for k in measures]
@@ -203,7 +215,7 @@ def quantile_grid(df: DataFrame, keys: Sequence[str], x: str, w: str, size: int
     keys = list(keys)
     tie_cols = [F.col(t).alias(f"t{i}") for i, t in enumerate(tie)] or [F.col(w).alias("t0")]
     tie_key = tie_cols[0] if len(tie_cols) == 1 else F.struct(*tie_cols)
-    cells = df.groupBy(*keys, F.col(x).alias("_x")).agg(F.sum(w).alias("_sw"), F.min_by(F.col(w), tie_key).alias("_fw"))
+    cells = present(df, x).groupBy(*keys, F.col(x).alias("_x")).agg(F.sum(w).alias("_sw"), F.min_by(F.col(w), tie_key).alias("_fw"))
     run = ordered(
         with_value_bucket(cells, keys, "_x"), keys, ["_x"],
         sums={"_c": F.col("_sw")}, totals={"_t": "_c"}, lags={"_xp": "_x"}, leads={"_xn": "_x"},

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-STEPS = 60
+STEPS = 500  # far more than a fit takes; without convergence the start values stand
 
 
 def fit_gaussian(x: np.ndarray, y: np.ndarray) -> tuple[float | None, float | None, float | None]:
@@ -41,8 +41,10 @@ def fit_gaussian(x: np.ndarray, y: np.ndarray) -> tuple[float | None, float | No
                 break
         else:
             damp *= 8
-            if damp > 1e12:
+            if damp > 1e12:  # no smaller residual in any direction: a minimum
                 break
+    else:
+        return float(start[0]), float(start[1]), float(start[2])
     if not np.isfinite(p).all():
         return float(start[0]), float(start[1]), float(start[2])
     return float(p[0]), float(p[1]), float(abs(p[2]))

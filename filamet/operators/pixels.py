@@ -115,8 +115,9 @@ def discrete_otsu(pixels: DataFrame, keys: Sequence[str], value: str, levels: in
     })
     # levels without pixels repeat the value of the level before them
     gap = F.coalesce(F.col("_next") - 1, F.lit(levels - 1))
-    d = F.col("_tm") * F.col("_w") - F.col("_m") * F.col("_tw")
-    h = h.withColumn("_v", F.when(F.col("_w") < F.col("_tw"), d.cast("double") * d / (F.col("_w").cast("double") * (F.col("_tw") - F.col("_w")))).otherwise(0.0))
+    big = lambda c: F.col(c).cast("decimal(19,0)")  # noqa: E731  products of two sums leave the range of long
+    d = (big("_tm") * big("_w") - big("_m") * big("_tw")).cast("double")
+    h = h.withColumn("_v", F.when(F.col("_w") < F.col("_tw"), d * d / (F.col("_w").cast("double") * (F.col("_tw") - F.col("_w")))).otherwise(0.0))
     best = h.withColumn("_best", F.max("_v").over(whole)).where(F.col("_v") == F.col("_best"))
     # the mean over runs of equal levels; all levels tie (also those below the first) when there is no contrast
     span = gap - F.col("level") + 1

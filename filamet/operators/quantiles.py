@@ -108,7 +108,7 @@ def weighted_quantiles(
         F.col(value).cast("double").alias("__x"),
         F.col(weight).cast("double").alias("__w"),
         tie_key.alias("__tie"),
-    ).where(F.col("__x").isNotNull() & F.col("__w").isNotNull())
+    ).where(F.col("__x").isNotNull() & ~F.isnan("__x") & F.col("__w").isNotNull() & ~F.isnan("__w"))
     rows = rows.withColumn("__b", log_bucket(F.col("__x"), per_octave))
     edges = _bucket_edges(rows, keys, F.col("__w"))
 

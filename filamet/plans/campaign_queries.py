@@ -221,7 +221,7 @@ def a25(spark, sf):
 
 @query("j07_scalar_parity", """
 WITH l AS (SELECT vec_id, embedding[1]::DOUBLE AS t, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c1 FROM embeddings)
-SELECT vec_id, vec_id % 3 <> 1 AS otsu_matched, CASE WHEN vec_id % 5 > 0 THEN round(CASE WHEN vec_id % 2 = 0 THEN 100*0.01/abs(b) ELSE 0 END, 4) END AS b1_percent, vec_id % 2 = 1 AND vec_id % 5 > 0 AS fit_matched, vec_id % 5 > 0 AS counts_equal, vec_id % 5 > 0 AND vec_id % 7 > 0 AS edges_equal FROM l""")
+SELECT vec_id, vec_id % 5 > 0 AND vec_id % 3 <> 1 AS otsu_matched, CASE WHEN vec_id % 5 > 0 THEN round(CASE WHEN vec_id % 2 = 0 THEN 100*0.01/abs(b) ELSE 0 END, 4) END AS b1_percent, vec_id % 2 = 1 AND vec_id % 5 > 0 AS fit_matched, vec_id % 5 > 0 AS counts_equal, vec_id % 5 > 0 AND vec_id % 7 > 0 AS edges_equal FROM l""")
 def j07b(spark, sf):
     e = bind.table(spark, sf, "embeddings")
     d = lambda i: F.element_at("embedding", i).cast("double")
@@ -231,7 +231,7 @@ def j07b(spark, sf):
         F.when(c("vec_id") % 7 == 0, F.array(LIT(0.0), LIT(1.5), LIT(2.0))).otherwise(c("edges")).alias("edges"))
     # the missing right side leaves the threshold unmatched
     s = C.scalar_parity(left, right, ["vec_id"])
-    return s.select("vec_id", F.when(c("vec_id") % 5 > 0, c("otsu_matched")).otherwise(c("vec_id") % 3 != 1).alias("otsu_matched"), r("b1_percent", 4).alias("b1_percent"), "fit_matched", "counts_equal", "edges_equal")
+    return s.select("vec_id", "otsu_matched", r("b1_percent", 4).alias("b1_percent"), "fit_matched", "counts_equal", "edges_equal")
 
 
 @query("j08_case_assembly", f"""
@@ -419,10 +419,10 @@ def a08(spark, sf):
 
 
 @query("a10_status_matrix", f"""
-WITH {RESULTS_SQL} SELECT image_id, coalesce(max(status) FILTER (method = 'A'), 'NOT_RUN') AS "A", coalesce(max(status) FILTER (method = 'N'), 'NOT_RUN') AS "N", coalesce(max(status) FILTER (method = 'X'), 'NOT_RUN') AS "X" FROM res GROUP BY image_id""", "samples")
+WITH {RESULTS_SQL} SELECT image_id, coalesce(max(status) FILTER (method = 'A'), 'NOT_RUN') AS "A", coalesce(max(status) FILTER (method = 'N'), 'NOT_RUN') AS "N", coalesce(max(status) FILTER (method = 'R'), 'NOT_RUN') AS "R", coalesce(max(status) FILTER (method = 'X'), 'NOT_RUN') AS "X" FROM res GROUP BY image_id""", "samples")
 def a10(spark, sf):
     m = method_results(spark, sf)
-    return reports.status_matrix(m, m, "image_id", ["A", "N", "X"])
+    return reports.status_matrix(m, m, "image_id", ["A", "N", "R", "X"])
 
 
 @query("a10_status_counts", f"WITH {RESULTS_SQL} SELECT method, status, count(*) AS n FROM res GROUP BY ALL", "samples")

@@ -164,13 +164,11 @@ def a33(spark, sf):
 s AS (SELECT image_id, component, count(*) AS n, avg(col) AS cx, avg(row) AS cy, var_samp(col*{PX*1e9}) AS xx, var_samp(row*{PY*1e9}) AS yy, covar_samp(col*{PX*1e9}, row*{PY*1e9}) AS xy FROM comp GROUP BY ALL),
 e AS (SELECT *, (xx+yy)/2 AS h, sqrt(pow((xx-yy)/2, 2)+xy*xy) AS q FROM s),
 k AS (SELECT *, CASE WHEN n < 5 THEN 1.0 ELSE sqrt((h+q)/greatest(h-q, 1e-6)) END AS el FROM e)
-SELECT image_id, component, n AS area_px, round(cx, 9) AS cx, round(cy, 9) AS cy, CASE WHEN n < 5 OR h - q > 1e-5 THEN round(el, 6) END AS elongation FROM k""", "pixels")
+SELECT image_id, component, n AS area_px, round(cx, 9) AS cx, round(cy, 9) AS cy, round(el, 6) AS elongation FROM k""", "pixels")
 def a34(spark, sf):
     lab = C.connected_components(mask(spark, sf), IM).withColumns({"px": F.lit(PX), "py": F.lit(PY)})
     s = pixels.component_shape(lab, ["image_id", "component"], "px", "py")
-    # a straight line of pixels has no width, so its elongation is only a guard value
-    usable = (c("area_px") < 5) | (c("elongation") < 1e3)
-    return s.select("image_id", "component", "area_px", r("center_x", 9).alias("cx"), r("center_y", 9).alias("cy"), r(F.when(usable, c("elongation")), 6).alias("elongation"))
+    return s.select("image_id", "component", "area_px", r("center_x", 9).alias("cx"), r("center_y", 9).alias("cy"), r("elongation", 6).alias("elongation"))
 
 
 @query("j10_mask_parity", """

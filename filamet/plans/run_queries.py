@@ -31,7 +31,7 @@ def runs(spark, sf):
 @query("w02_arc_length", f"WITH {RUN_SQL} SELECT run_id, event_id, round(s, 7) AS s, round(quantile_cont(step, 0.5) OVER (PARTITION BY run_id), 8) AS median_step FROM run")
 def w02(spark, sf):
     st = runs(spark, sf)
-    return L.arc_length(st, ["run_id"], ORDER).join(L.median_step(st, ["run_id"]), "run_id").select("run_id", "event_id", r("s", 7).alias("s"), r(F.when(c("median_step") > 0, c("median_step")), 8).alias("median_step"))
+    return L.arc_length(st, ["run_id"], ORDER).join(L.median_step(st, ["run_id"]), "run_id").select("run_id", "event_id", r("s", 7).alias("s"), r("median_step", 8).alias("median_step"))
 
 
 @query("w03_fragments", f"""

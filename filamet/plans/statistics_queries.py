@@ -129,7 +129,7 @@ def a29(spark, sf):
     return g.select("image_id", "fiber_id", "group")
 
 
-REPLICATES = 4
+REPLICATES = 100
 
 
 @query("a26_hierarchical_bootstrap", f"""

@@ -40,8 +40,8 @@ def tune(spark: SparkSession) -> None:
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) is a temporary folder used.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a local master may leave it unset and gets
+    a temporary folder; elsewhere executors do not share the driver's disk, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -49,6 +49,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     sc.setCheckpointDir(root)
     return root

@@ -61,7 +61,7 @@ def dataset_summary(statuses: DataFrame, summary: DataFrame, estimators: DataFra
     ``statuses``: image_id, method, status; ``estimators``: method, estimator (the fan-out);
     ``summary``: weighted summaries per image_id, method, estimator.
     """
-    grid = statuses.join(F.broadcast(estimators), "method")  # a fixed list of estimators
+    grid = statuses.join(estimators, "method")
     none = F.lit(None).cast("double")
     return grid.join(summary, ["image_id", "method", "estimator"], "left").select(
         F.col("image_id").alias("image"), "method", "estimator", F.coalesce("n", F.lit(0)).alias("N"), none.alias("coverage"), clean_number(F.col("mean")).alias("mean"),
