@@ -12,8 +12,16 @@ from filamet.operators.ordered import ordered
 
 
 def candidate_vs_manual(candidates: DataFrame, manual: DataFrame, keys: Sequence[str], cand: str, man: str) -> DataFrame:
+    """Differences of width and, where ``cx cy`` (candidate) and ``mx my`` (manual) are given, of centres.
+
+    A candidate without a width counts as 0, one without a centre as the origin.
+    """
     d = F.abs(F.coalesce(F.col(cand), F.lit(0.0)) - F.col(man))
-    return candidates.join(manual, list(keys)).withColumns({"abs_diff": d, "rel_diff_pct": d / F.greatest(F.col(man), F.lit(1e-12)) * 100})
+    j = candidates.join(manual, list(keys)).withColumns({"abs_diff": d, "rel_diff_pct": d / F.greatest(F.col(man), F.lit(1e-12)) * 100})
+    if not {"cx", "cy", "mx", "my"} <= set(j.columns):
+        return j
+    at = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return j.withColumn("center_dist_px", F.hypot(at("cx") - F.col("mx"), at("cy") - F.col("my")))
 
 
 def verify_sources(registered: DataFrame, inventory: DataFrame, key: str) -> DataFrame:

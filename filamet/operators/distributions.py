@@ -105,6 +105,35 @@ def known_series(df: DataFrame, series: str, names: Sequence[str]) -> DataFrame:
     return df.withColumn(series, F.when(F.col(series).isin(*names), F.col(series)).otherwise(F.raise_error(wrong).cast(df.schema[series].dataType)))
 
 
+EMPTY_OR_INCOMPATIBLE = "EMPTY_OR_INCOMPATIBLE_COMMON_DISTRIBUTION"
+
+
+def consensus_members(members: DataFrame, samples: DataFrame, keys: Sequence[str], series: str, names: Sequence[str], x: str) -> DataFrame:
+    """Which series of a group may enter a consensus: adds ``included`` and ``reason``.
+
+    ``members`` has one row per group and series with ``unit`` and ``estimand``.  The first member in
+    the order of ``names`` sets both; others, and members without a value, are excluded.
+    """
+    keys = list(keys)
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(series))
+    known = known_series(members, series, names)
+    first = known.groupBy(*keys).agg(F.min_by(F.struct("unit", "estimand"), place).alias("_first"))
+    filled = present(samples, x).groupBy(*keys, series).agg(F.lit(True).alias("_filled"))
+    ok = F.col("_filled").isNotNull() & F.col("unit").eqNullSafe(F.col("_first.unit")) & F.col("estimand").eqNullSafe(F.col("_first.estimand"))
+    out = known.join(first, keys).join(filled, [*keys, series], "left").withColumn("included", ok)
+    return out.withColumn("reason", F.when(~F.col("included"), F.lit(EMPTY_OR_INCOMPATIBLE))).drop("_first", "_filled")
+
+
+def require_same(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The rows, with an error raised by a group whose series differ in one of ``columns`` (unit, estimand)."""
+    keys = list(keys)
+    mixed = F.lit(False)
+    for c in columns:
+        mixed = mixed | ~F.min(F.col(c)).eqNullSafe(F.max(F.col(c))) | (F.count(F.col(c)) != F.count(F.lit(1)))
+    same = df.groupBy(*keys).agg(F.when(mixed, F.raise_error(F.lit("comparison requires matching unit and estimand")).cast("boolean")).otherwise(F.lit(True)).alias("_same"))
+    return df.join(same, keys).where("_same").drop("_same")
+
+
 # ---- summaries -------------------------------------------------------------------------------
 
 def weighted_moments(df: DataFrame, keys: Sequence[str], x: str, w: str) -> DataFrame:
@@ -192,9 +221,10 @@ def agreements(df: DataFrame, keys: Sequence[str], series: str, names: Sequence[
     stats = means.join(medians, [*keys, series])
     left = stats.select(*keys, F.col(series).alias("left"), F.col("mean").alias("_lm"), F.col("median").alias("_ld"))
     right = stats.select(*keys, F.col(series).alias("right"), F.col("mean").alias("_rm"), F.col("median").alias("_rd"))
-    d = pair_distances(df, keys, series, names, x, w).where(F.col("w1").isNotNull())
+    # a pair with an empty side stays, without values
+    d = pair_distances(df, keys, series, names, x, w)
     return (
-        d.join(left, [*keys, "left"]).join(right, [*keys, "right"])
+        d.join(left, [*keys, "left"], "left").join(right, [*keys, "right"], "left")
         .select(
             *keys, "left", "right",
             (F.col("_lm") - F.col("_rm")).alias("mean_difference"),

@@ -69,9 +69,17 @@ def polarity(pixels: DataFrame, keys: Sequence[str], value: str, height: str, wi
     return m.withColumn("is_bright", F.col("interior") > F.col("border"))
 
 
+NO_PIXELS = 128.0  # fixed value
+
+
 def otsu(pixels: DataFrame, keys: Sequence[str], value: str, bins: int = 256) -> DataFrame:
-    """Otsu threshold per group over equal bins; at most ``bins`` rows per group reach the windows."""
+    """Otsu threshold per group over equal bins; at most ``bins`` rows per group reach the windows.
+
+    Pixels that are null, NaN or infinite are left out; a group without any other gets NO_PIXELS.
+    """
     keys = list(keys)
+    groups, v = pixels.select(*keys).distinct(), F.col(value).cast("double")
+    pixels = pixels.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     edges = common_range(pixels, keys, value, bins)
     h = pixels.join(edges, keys).groupBy(*keys, bin_index(F.col(value), F.col("lo"), F.col("hi"), F.col("bins")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     full = edges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1))).join(h, [*keys, "bin"], "left")
@@ -89,7 +97,8 @@ def otsu(pixels: DataFrame, keys: Sequence[str], value: str, bins: int = 256) ->
     full = full.where(F.col("bin") < F.col("bins") - 1).withColumn("_v", F.col("_w1") * w2 * (m1 - m2) * (m1 - m2))
     full = full.withColumn("_best", F.max("_v").over(whole))
     pick = full.groupBy(*keys).agg(F.floor(F.avg(F.when(F.col("_v") >= F.col("_best") - 1e-5, F.col("bin")))).cast("int").alias("_i"))
-    return pick.join(edges, keys).select(*keys, ((edge(lo, hi, nb, F.col("_i")) + edge(lo, hi, nb, F.col("_i") + 1)) / 2).alias("threshold"))
+    found = pick.join(edges, keys).select(*keys, ((edge(lo, hi, nb, F.col("_i")) + edge(lo, hi, nb, F.col("_i") + 1)) / 2).alias("threshold"))
+    return groups.join(found, keys, "left").select(*keys, F.coalesce("threshold", F.lit(NO_PIXELS)).alias("threshold"))
 
 
 def common_range(df: DataFrame, keys: Sequence[str], value: str, bins: int) -> DataFrame:

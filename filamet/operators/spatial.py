@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filamet.functions.geometry import point_in_polygon
-from filamet.operators.groups import agg
-from filamet.session import cut_lineage
+from filamet.operators.groups import agg, join_groups
+from filamet.session import stored
 
 GROWTH = 4.0
+CROWD = 64
+SMALLEST = 1e-6
 
 
 def nearest(
@@ -23,21 +25,24 @@ def nearest(
     Both sides fold to distinct locations first; of references at one place the first in
     ``order`` stays, and ``order`` also breaks ties of distance.  Each pass looks only into the
     3 x 3 cells around a location.  A hit closer than one cell is final; the rest goes to the
-    next pass with larger cells, so dense places never pair everything with everything.  The
-    first cell size follows the group's own density.  Returns one row per distinct location.
+    next pass with larger cells.  The first cell size follows the group's own density and shrinks
+    until no cell holds more than CROWD references, so dense places pair with few others.
+    Locations and references with a null, NaN or infinite coordinate have no distance: they are
+    left out.  Every pass ends with larger cells, and a location of a group with references finds
+    one at the latest when a cell covers the group.  Returns one row per distinct location.
     """
     keys, order, payload = list(keys), list(order), list(payload)
+    refs, queries = _located(refs), _located(queries)
     rank = F.struct(*order, *[p for p in payload if p not in order])
-    places = refs.groupBy(*keys, "x", "y").agg(F.min(rank).alias("_ref"))
-    places = places.withColumnsRenamed({"x": "rx", "y": "ry"})
-    extent = agg(refs, keys, F.count(F.lit(1)).alias("_n"), F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"))
+    places = stored(refs.groupBy(*keys, "x", "y").agg(F.min(rank).alias("_ref")).withColumnsRenamed({"x": "rx", "y": "ry"}), "places")
+    extent = agg(places, keys, F.count(F.lit(1)).alias("_n"), F.min("rx").alias("_x0"), F.max("rx").alias("_x1"), F.min("ry").alias("_y0"), F.max("ry").alias("_y1"))
     area = (F.col("_x1") - F.col("_x0") + 1e-9) * (F.col("_y1") - F.col("_y0") + 1e-9)
-    size = F.lit(start) if start is not None else F.greatest(F.lit(1e-6), 2 * F.sqrt(area / F.col("_n")))
+    size = F.lit(start) if start is not None else F.greatest(F.lit(SMALLEST), 2 * F.sqrt(area / F.col("_n")))
     if radius is not None:
         size = F.least(F.lit(float(radius)), size)
-    extent = extent.select(*keys, size.alias("_s"))
+    extent = _uncrowded(places, extent.select(*keys, size.alias("_s")), keys)
     open_ = queries.select(*keys, "x", "y").distinct().join(extent, keys)
-    extent_places = cut_lineage(places.join(extent, keys))
+    extent_places = places.join(extent, keys)
     done: DataFrame | None = None
     factor = 1.0
     while True:
@@ -46,27 +51,45 @@ def nearest(
         probes = (
             open_.withColumns({"_c": cell, "_d": F.explode(around)})
             .withColumns({"_cx": F.floor(F.col("x") / F.col("_c")) + F.col("_d.i"), "_cy": F.floor(F.col("y") / F.col("_c")) + F.col("_d.j")})
-            .select(*keys, "x", "y", "_c", "_cx", "_cy")
+            .select(*keys, "x", "y", "_s", "_c", "_cx", "_cy")
         )
         cells = extent_places.withColumn("_c", cell).withColumns({"_cx": F.floor(F.col("rx") / F.col("_c")), "_cy": F.floor(F.col("ry") / F.col("_c"))})
-        pairs = probes.join(cells.select(*keys, "rx", "ry", "_ref", "_cx", "_cy"), [*keys, "_cx", "_cy"])
-        best = pairs.groupBy(*keys, "x", "y", "_c").agg(
-            F.min(F.struct(F.sqrt((F.col("x") - F.col("rx")) * (F.col("x") - F.col("rx")) + (F.col("y") - F.col("ry")) * (F.col("y") - F.col("ry"))).alias("d"), "_ref")).alias("_b")
-        )
-        final = best.where(F.col("_b.d") <= F.col("_c")).select(
-            *keys, "x", "y", F.col("_b.d").alias("distance"), *[F.col(f"_b._ref.{p}").alias(p) for p in payload]
-        )
-        final = cut_lineage(final)
+        pairs = probes.join(cells.select(*keys, "rx", "ry", "_ref", "_cx", "_cy"), [*keys, "_cx", "_cy"], "left")
+        # one table per pass: every open location with the best reference around it, if any
+        best = stored(pairs.groupBy(*keys, "x", "y", "_s", "_c").agg(
+            F.min(F.when(F.col("rx").isNotNull(), F.struct(F.sqrt((F.col("x") - F.col("rx")) * (F.col("x") - F.col("rx")) + (F.col("y") - F.col("ry")) * (F.col("y") - F.col("ry"))).alias("d"), "_ref"))).alias("_b")
+        ), "nearest")
+        hit = F.coalesce(F.col("_b.d") <= F.col("_c"), F.lit(False))
+        final = best.where(hit).select(*keys, "x", "y", F.col("_b.d").alias("distance"), *[F.col(f"_b._ref.{p}").alias(p) for p in payload])
         done = final if done is None else done.unionByName(final)
-        left = open_.join(final.select(*keys, "x", "y"), [*keys, "x", "y"], "left_anti")
-        if radius is not None:
-            left = left.where(F.col("_s") * factor < float(radius))
-        open_ = cut_lineage(left)
+        left = best.where(~hit).select(*keys, "x", "y", "_s")
+        open_ = left if radius is None else left.where(F.col("_s") * factor < float(radius))
         if open_.isEmpty():
             return done
         factor *= GROWTH
 
 
+def _located(df: DataFrame) -> DataFrame:
+    """Rows whose coordinates are finite numbers."""
+    ok = F.lit(True)
+    for c in ("x", "y"):
+        v = F.col(c).cast("double")
+        ok = ok & v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    return df.where(ok)
+
+
+def _uncrowded(places: DataFrame, extent: DataFrame, keys: list[str]) -> DataFrame:
+    """Shrink the cell size of each group until no cell holds more than CROWD places (or it is SMALLEST)."""
+    while True:
+        cells = join_groups(places, extent, keys).groupBy(*keys, "_s", F.floor(F.col("rx") / F.col("_s")).alias("_cx"), F.floor(F.col("ry") / F.col("_s")).alias("_cy")).agg(F.count(F.lit(1)).alias("_n"))
+        most = cells.groupBy(*keys, "_s").agg(F.max("_n").alias("_m"))
+        full = (F.col("_m") > CROWD) & (F.col("_s") > SMALLEST)
+        extent = stored(most.select(*keys, F.when(full, F.col("_s") / GROWTH).otherwise(F.col("_s")).alias("_s"), full.alias("_full")), "cells")
+        if extent.where("_full").isEmpty():
+            return extent.drop("_full")
+        extent = extent.drop("_full")
+
+
 def neighbours(df: DataFrame, keys: Sequence[str], offsets: Sequence[tuple[int, int]]) -> DataFrame:
     """Every pixel joined to its present neighbours: adds ``nrow``, ``ncol``, ``dr``, ``dc``."""
     keys = list(keys)

@@ -13,7 +13,7 @@ from filamet.operators.groups import attach_row
 from filamet.operators.ordered import linear_bucket
 from filamet.operators.quantiles import weighted_quantiles
 from filamet.plans import bind
-from filamet.plans.distribution_queries import IM, SUMMARY_SQL, TIE, dist_sql, wq_sql
+from filamet.plans.distribution_queries import IM, MEMBERS_SQL, SUMMARY_SQL, TIE, dist_sql, members, wq_sql
 from filamet.plans.registry import query, r
 from filamet.sources import files, projects, stores
 
@@ -356,12 +356,13 @@ EXC_SQL = RESULTS_SQL + ", ex AS (SELECT image_id, method, CASE WHEN NOT has_com
 
 
 @query("u02_exclusions", f"""
-WITH {EXC_SQL}, al AS (SELECT image_id, method, reason, 1 AS o FROM ex UNION ALL SELECT image_id, 'N', 'EMPTY_OR_INCOMPATIBLE_COMMON_DISTRIBUTION', 0 FROM (SELECT DISTINCT image_id FROM samples) WHERE image_id % 2 = 0),
+WITH {EXC_SQL}, {MEMBERS_SQL}, al AS (SELECT image_id, method, reason, 1 AS o FROM ex UNION ALL SELECT image_id, method, 'EMPTY_OR_INCOMPATIBLE_COMMON_DISTRIBUTION', 0 FROM mb JOIN fm USING (image_id) WHERE unit <> base),
 l AS (SELECT image_id, method, arg_max(reason, o) AS reason FROM al GROUP BY ALL)
 SELECT image_id, string_agg(method || '=' || reason, ';' ORDER BY method) AS excluded FROM l GROUP BY image_id""", "samples")
 def u02(spark, sf):
     m = method_results(spark, sf)
-    earlier = m.select("image_id").distinct().where(c("image_id") % 2 == 0).select("image_id", LIT("N").alias("method"), LIT("EMPTY_OR_INCOMPATIBLE_COMMON_DISTRIBUTION").alias("reason"))
+    s = bind.samples(spark, sf)
+    earlier = D.consensus_members(members(spark, sf), s, ["image_id"], "method", bind.METHODS, "value").where(~c("included")).select("image_id", "method", "reason")
     x = reports.exclusion_maps(reports.exclusions(m), earlier, "image_id")
     return x.select("image_id", F.array_join(F.transform(F.map_entries("excluded"), lambda e: F.concat(e["key"], LIT("="), e["value"])), ";").alias("excluded"))
 

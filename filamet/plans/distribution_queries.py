@@ -129,13 +129,24 @@ def j03(spark, sf):
                     r("relative_median_difference_percent", 7).alias("rel_percent"), r("wasserstein_1", 9).alias("w1"), r("ks_statistic", 10).alias("ks"))
 
 
+MEMBERS_SQL = "mb AS (SELECT DISTINCT image_id, method, CASE WHEN method = 'N' AND image_id % 2 = 0 THEN 'px' ELSE 'um' END AS unit FROM samples), fm AS (SELECT image_id, arg_min(unit, method) AS base FROM mb GROUP BY image_id), cs AS (SELECT s.* FROM samples s JOIN mb USING (image_id, method) JOIN fm USING (image_id) WHERE unit = base)"
+
+
+def members(spark, sf):
+    """Series of each image with unit and estimand; method N of every other image is uncalibrated."""
+    s = bind.samples(spark, sf).select("image_id", "method").distinct()
+    return s.withColumns({"unit": F.when((c("method") == "N") & (c("image_id") % 2 == 0), "px").otherwise("um"), "estimand": F.lit("DIAMETER")})
+
+
 @query("d07_consensus", f"""
-WITH {wq_sql("samples", "image_id, method", "list_transform(range(0, 101), lambda i: i/100.0::DOUBLE)")},
+WITH {MEMBERS_SQL}, {wq_sql("cs", "image_id, method", "list_transform(range(0, 101), lambda i: i/100.0::DOUBLE)")},
 c AS (SELECT image_id, round(q*100)::INTEGER AS level, quantile_cont(v, 0.5) AS con, count(*) AS n_methods FROM wq GROUP BY ALL),
-d AS (SELECT image_id, round(q*100)::INTEGER AS level, quantile_cont(abs(v-con), 0.5) AS mad FROM wq JOIN c ON wq.image_id = c.image_id AND round(wq.q*100)::INTEGER = c.level GROUP BY wq.image_id, round(q*100)::INTEGER)
-SELECT image_id, level, n_methods, round(con, 8) AS consensus, round(mad, 8) AS disagreement_mad FROM c JOIN d USING (image_id, level)""".replace("SELECT image_id, round(q*100)::INTEGER AS level, quantile_cont(abs", "SELECT wq.image_id, round(q*100)::INTEGER AS level, quantile_cont(abs"), "samples")
+d AS (SELECT wq.image_id, round(q*100)::INTEGER AS level, quantile_cont(abs(v-con), 0.5) AS mad FROM wq JOIN c ON wq.image_id = c.image_id AND round(wq.q*100)::INTEGER = c.level GROUP BY wq.image_id, round(q*100)::INTEGER)
+SELECT image_id, level, n_methods, round(con, 8) AS consensus, round(mad, 8) AS disagreement_mad FROM c JOIN d USING (image_id, level)""", "samples")
 def d07(spark, sf):
-    k = D.consensus(bind.samples(spark, sf), ["image_id"], "method", "value", "weight", tie=TIE)
+    s = bind.samples(spark, sf)
+    m = D.consensus_members(members(spark, sf), s, ["image_id"], "method", bind.METHODS, "value").where("included").select("image_id", "method")
+    k = D.consensus(s.join(m, ["image_id", "method"]), ["image_id"], "method", "value", "weight", tie=TIE)
     return k.select("image_id", "level", "n_methods", r("consensus", 8).alias("consensus"), r("disagreement_mad", 8).alias("disagreement_mad"))
 
 

@@ -171,13 +171,14 @@ def j01(spark, sf):
 
 @query("j02_candidate_vs_manual", """
 SELECT a.o_orderkey AS pair_id, round(a.o_totalprice/1009, 8) AS candidate_um, round(l.l_extendedprice/1009, 8) AS manual_um, round(abs(a.o_totalprice-l.l_extendedprice)/1009, 8) AS abs_diff_um,
-  round(abs(a.o_totalprice-l.l_extendedprice)/l.l_extendedprice*100, 8) AS rel_diff_pct, l.l_linenumber FROM orders a JOIN lineitem l ON a.o_orderkey = l.l_orderkey WHERE l.l_returnflag = 'A'""")
+  round(abs(a.o_totalprice-l.l_extendedprice)/l.l_extendedprice*100, 8) AS rel_diff_pct,
+  round(sqrt(pow(CASE WHEN a.o_orderkey % 5 > 0 THEN a.o_custkey ELSE 0 END - l.l_partkey, 2) + pow(CASE WHEN a.o_orderkey % 5 > 0 THEN a.o_orderkey % 977 ELSE 0 END - l.l_suppkey, 2)), 8) AS center_dist_px, l.l_linenumber FROM orders a JOIN lineitem l ON a.o_orderkey = l.l_orderkey WHERE l.l_returnflag = 'A'""")
 def j02(spark, sf):
     from filamet.operators.campaign import candidate_vs_manual
-    cand = bind.table(spark, sf, "orders").select(c("o_orderkey").alias("pair_id"), (c("o_totalprice") / 1009).alias("candidate"))
-    man = bind.table(spark, sf, "lineitem").where(c("l_returnflag") == "A").select(c("l_orderkey").alias("pair_id"), "l_linenumber", (c("l_extendedprice") / 1009).alias("manual"))
+    cand = bind.table(spark, sf, "orders").select(c("o_orderkey").alias("pair_id"), (c("o_totalprice") / 1009).alias("candidate"), *[F.when(c("o_orderkey") % 5 > 0, v.cast("double")).alias(n) for n, v in (("cx", c("o_custkey")), ("cy", c("o_orderkey") % 977))])
+    man = bind.table(spark, sf, "lineitem").where(c("l_returnflag") == "A").select(c("l_orderkey").alias("pair_id"), "l_linenumber", (c("l_extendedprice") / 1009).alias("manual"), c("l_partkey").cast("double").alias("mx"), c("l_suppkey").cast("double").alias("my"))
     d = candidate_vs_manual(cand, man, ["pair_id"], "candidate", "manual")
-    return d.select("pair_id", r("candidate", 8).alias("candidate_um"), r("manual", 8).alias("manual_um"), r("abs_diff", 8).alias("abs_diff_um"), r("rel_diff_pct", 8).alias("rel_diff_pct"), "l_linenumber")
+    return d.select("pair_id", r("candidate", 8).alias("candidate_um"), r("manual", 8).alias("manual_um"), r("abs_diff", 8).alias("abs_diff_um"), r("rel_diff_pct", 8).alias("rel_diff_pct"), r("center_dist_px", 8).alias("center_dist_px"), "l_linenumber")
 
 
 @query("j22_baseline_comparison", """

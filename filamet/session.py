@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -56,6 +57,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def stored(df, name: str = "table"):
+    """Write a table once to the shared folder and read it back; unlike a checkpoint it is computed once."""
+    path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df):
     """Reliable checkpoint: survives the loss of executors."""
     checkpoint_root(df.sparkSession)

@@ -140,3 +140,115 @@ def test_otsu_levels(spark):
     got = {r.img: r.threshold for r in pixels.discrete_otsu(df, ["img"], "u").collect()}
     # levels 51 .. 203 all tie: the mean of them
     assert got[1] == pytest.approx((51 + 203) / 2 / 255) and got[2] == pytest.approx(0.5)
+
+
+def test_nearest_ends_without_coordinates(spark):
+    from filamet.operators.spatial import nearest
+
+    none, nan = None, float("nan")
+    q = spark.createDataFrame([(1, 0.0, 0.0), (1, none, 1.0), (1, nan, 1.0), (2, 5.0, 5.0), (3, 1.0, float("inf"))], "g int, x double, y double")
+    r = spark.createDataFrame([(1, 3.0, 4.0, 7), (1, none, none, 8), (1, nan, 0.0, 9), (2, nan, nan, 1), (3, 1.0, 1.0, 2)], "g int, x double, y double, p int")
+    got = nearest(q, r, ["g"], order=["p"], payload=["p"]).collect()
+    assert [(x["g"], x["x"], x["y"], x["distance"], x["p"]) for x in got] == [(1, 0.0, 0.0, 5.0, 7)]
+
+
+def test_nearest_splits_crowded_cells(spark):
+    import random
+
+    from filamet.operators import spatial
+
+    rnd = random.Random(3)
+    points = [(1, 100 + rnd.random() * 10, 100 + rnd.random() * 10, k) for k in range(3000)] + [(1, 90000.0, 90000.0, 3000)]
+    r = spark.createDataFrame(points, "g int, x double, y double, p int")
+    cells = spatial._uncrowded(r.selectExpr("g", "x as rx", "y as ry"), spark.createDataFrame([(1, 3650.0)], "g int, _s double"), ["g"]).first()["_s"]
+    most = r.groupBy((r.x / cells).cast("int"), (r.y / cells).cast("int")).count().agg({"count": "max"}).first()[0]
+    assert most <= spatial.CROWD
+    q = spark.createDataFrame([(1, 103.0, 104.0), (1, 50000.0, 50000.0)], "g int, x double, y double")
+    for row in spatial.nearest(q, r, ["g"], order=["p"], payload=["p"]).collect():
+        want = min(((row["x"] - x) ** 2 + (row["y"] - y) ** 2) ** 0.5 for _, x, y, _ in points)
+        assert abs(row["distance"] - want) < 1e-9
+
+
+def test_missing_values_and_unknown_series(spark):
+    import pytest
+
+    from filamet.operators.distributions import ecdf, pair_distances
+
+    nan = float("nan")
+    rows = [(1, "A", 1.0, 1.0, 1), (1, "A", nan, 1.0, 2), (1, "A", None, 1.0, 3), (1, "B", 2.0, 1.0, 4)]
+    df = spark.createDataFrame(rows, "g int, m string, x double, w double, t int")
+    got = {(r["m"], r["x"]): r["ecdf"] for r in ecdf(df, ["g", "m"], "x", "w", ["t"]).collect()}
+    assert got == {("A", 1.0): 1.0, ("B", 2.0): 1.0}
+    assert [r["w1"] for r in pair_distances(df, ["g"], "m", ["A", "B"], "x", "w").collect()] == [1.0]
+    with pytest.raises(Exception, match="series without a place"):
+        pair_distances(df, ["g"], "m", ["A", "C"], "x", "w").collect()
+
+
+def test_discrete_otsu_on_a_large_image(spark):
+    """Products of sums beyond the range of long; by plain integers in Python."""
+    from pyspark.sql import functions as F
+
+    from filamet.operators import pixels
+
+    counts = {0: 3, 20000: 5, 40000: 2, 65535: 4}
+    h = spark.createDataFrame([(1, v / 65535) for v, k in counts.items() for _ in range(k)], "image_id int, value double")
+    many = h.withColumn("n", F.lit(1))
+    got = pixels.discrete_otsu(many, ["image_id"], "value", levels=65536).first()["threshold"]
+    best, total, mass = {}, sum(counts.values()), sum(v * k for v, k in counts.items())
+    for level in range(65535):
+        w = sum(k for v, k in counts.items() if v <= level)
+        m = sum(v * k for v, k in counts.items() if v <= level)
+        if w < total:
+            best.setdefault((mass * w - m * total) ** 2 / (w * (total - w)), []).append(level)
+    top = best[max(best)]
+    assert abs(got - sum(top) / len(top) / 65535) < 1e-9
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    import pytest
+
+    from filamet.session import checkpoint_root
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_root(Session())
+
+
+def test_consensus_members_and_units(spark):
+    """The first member sets unit and estimand; others and empty members are excluded with the reason."""
+    import pytest
+
+    from filamet.operators.distributions import EMPTY_OR_INCOMPATIBLE, agreements, consensus_members, require_same
+
+    members = spark.createDataFrame([(1, "A", "um", "D"), (1, "B", "px", "D"), (1, "C", "um", "L"), (1, "E", "um", "D"), (2, "B", "px", "D"), (2, "C", "px", "D")], "g int, m string, unit string, estimand string")
+    samples = spark.createDataFrame([(1, "A", 1.0), (1, "B", 1.0), (1, "C", 1.0), (1, "E", float("nan")), (2, "B", 2.0), (2, "C", 3.0)], "g int, m string, x double")
+    got = {(r["g"], r["m"]): (r["included"], r["reason"]) for r in consensus_members(members, samples, ["g"], "m", ["A", "B", "C", "E"], "x").collect()}
+    out = (False, EMPTY_OR_INCOMPATIBLE)
+    assert got == {(1, "A"): (True, None), (1, "B"): out, (1, "C"): out, (1, "E"): out, (2, "B"): (True, None), (2, "C"): (True, None)}
+    rows = samples.join(members, ["g", "m"])
+    assert require_same(rows.where("g = 2"), ["g"], ["unit", "estimand"]).count() == 2
+    with pytest.raises(Exception, match="matching unit and estimand"):
+        require_same(rows, ["g"], ["unit", "estimand"]).collect()
+    pairs = agreements(samples.where("g = 1 and m in ('A', 'B')").withColumn("w", samples.x), ["g"], "m", ["A", "B", "E"], "x", "w").collect()
+    assert {(r["left"], r["right"]): r["wasserstein_1"] for r in pairs} == {("A", "B"): 0.0, ("A", "E"): None, ("B", "E"): None}
+
+
+def test_otsu_without_pixels(spark):
+    from filamet.operators.pixels import NO_PIXELS, otsu
+
+    nan = float("nan")
+    df = spark.createDataFrame([(1, nan), (1, None), (2, 0.0), (2, 0.0), (2, 1.0), (2, nan), (2, float("inf"))], "g int, v double")
+    got = {r["g"]: r["threshold"] for r in otsu(df, ["g"], "v").collect()}
+    assert got[1] == NO_PIXELS and 0 < got[2] < 1
