@@ -8,10 +8,17 @@ Orders put rare tokens first.  How often a token occurs is read from a sketch of
 row of counters per order, each with its own hash, so the orders err on different tokens.  Passages
 that thousands of documents share therefore stand last in every order and produce no candidates.
 
-Steps, all in Spark: count the sketch; emit the prefix tokens of the first order; documents that
-share one form candidate clusters (linear edges to the least document of the token, never pairs);
-the word sets of clustered documents meet in units of bounded size, where the filters of all orders
-are intersected and the survivors verified; links make the components.
+Steps, all in Spark:
+
+1. Count the sketch; emit the prefix tokens of the first order.
+2. Tokens shared by up to SMALL documents give pairs with their number of shared prefix tokens.  As
+   at most ``n - prefix`` tokens can be shared beyond the prefix, a pair needs a minimum of them;
+   shared tokens that are too frequent to be paired count as shared until proven otherwise.
+3. Frequent tokens tie their documents to the least one of the token: linear, never pairs.
+4. What 2 and 3 leave forms candidate clusters.  Their shingle sets meet in units of bounded size,
+   where the filters of all orders are intersected and the survivors verified.  A cluster above the
+   unit size is first compared with its central document; then only documents without that link
+   meet the blocks of the cluster.  Units return spanning forests of links, and these the components.
 """
 
 from __future__ import annotations
@@ -26,12 +33,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filamet.llm.graph import components
-from filamet.llm.shared import ID, TEXT, hash_words, id_filter, mix, passing, rows, shingles, signed, split_words, stored, summed_chunks
+from filamet.llm.shared import ID, TEXT, hash_words, id_filter, mix, passing, rows, shingles, signed, split_words, stored, summed_chunks, without
 
 ORDERS = 3
 COUNTERS = 1 << 18
 CHUNK = 1 << 13
 SALT_ROWS = 100_000
+SMALL = 32
 UNIT_DOCS = 512
 UNIT_TOKENS = 2_000_000
 
@@ -91,10 +99,12 @@ def _prefix_length(n: int, percent: int) -> int:
 
 
 def _prefixes(sketch, width: int, percent: int, lower: bool):
+    """Prefix tokens of the first order with the text's name and size; salt is -1 for tokens that need none."""
+
     def run(batches):
         counts = sketch.value
         for (texts,) in rows(batches, "text"):
-            token, k1, k2, salt = [], [], [], []
+            token, k1, k2, salt, size = [], [], [], [], []
             for s in _sets(texts, width, lower):
                 if not len(s):
                     continue
@@ -103,11 +113,12 @@ def _prefixes(sketch, width: int, percent: int, lower: bool):
                 a, b = _node(s)
                 token.append(first[:m])
                 parts = 1 + often[:m] // SALT_ROWS
-                salt.append((a & 0xFFFFFFFF) % parts)
+                salt.append(np.where(parts > 1, (a & 0xFFFFFFFF) % parts, -1).astype(np.int32))
                 k1.append(np.full(m, a, dtype=np.int64))
                 k2.append(np.full(m, b, dtype=np.int64))
+                size.append(np.full(m, len(s), dtype=np.int32))
             if token:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(token))), *(pa.array(np.concatenate(x).astype(np.int64)) for x in (salt, k1, k2))], ["token", "salt", "k1", "k2"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(token))), *(pa.array(np.concatenate(x)) for x in (salt, k1, k2, size))], ["token", "salt", "k1", "k2", "n"])
 
     return run
 
@@ -116,13 +127,12 @@ def _texts(width: int, lower: bool):
     """Shingle sets of the clustered documents, kept if the text is the one the node was named after."""
 
     def run(batches):
-        for unit, k1, k2, side, texts in rows(batches, "unit", "k1", "k2", "side", "text"):
+        for label, k1, k2, texts in rows(batches, "label", "k1", "k2", "text"):
             sets = list(_sets(texts, width, lower))
             keep = [i for i, s in enumerate(sets) if _node(s) == (k1[i], k2[i])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([unit[i] for i in keep], pa.list_(pa.string())), pa.array([k1[i] for i in keep], pa.int64()), pa.array([k2[i] for i in keep], pa.int64()),
-                 pa.array([side[i] for i in keep], pa.list_(pa.int32())), pa.array([sets[i].tobytes() for i in keep], pa.binary())],
-                ["unit", "k1", "k2", "side", "tokens"])
+                [pa.array([label[i] for i in keep], pa.string()), pa.array([k1[i] for i in keep], pa.int64()), pa.array([k2[i] for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary())],
+                ["label", "k1", "k2", "tokens"])
 
     return run
 
@@ -130,8 +140,8 @@ def _texts(width: int, lower: bool):
 def _links(sketch, percent: int):
     """Links inside a unit that join what is not joined yet: a spanning forest of its similar pairs.
 
-    Side 0 and 1 are two blocks of a large cluster: pairs within each block are met in the block's
-    own unit.  Pairs go through the prefix filter of every order; survivors are verified.
+    With both sides 0 and 1 present, only pairs across the sides are looked at.  Pairs go through
+    the prefix filter of every order; survivors are verified.
     """
 
     def run(key: tuple, data: pa.Table) -> pa.Table:
@@ -181,27 +191,35 @@ def _links(sketch, percent: int):
     return run
 
 
-def _token_edges(prefix: DataFrame) -> DataFrame:
-    """(a, b): documents that share a prefix token, each tied to the least one of its token.
+def _name():
+    return F.concat_ws(":", F.col("k1").cast("string"), F.col("k2").cast("string"))
 
-    Tokens that the sketch calls frequent are salted; the least ones of the salted parts are tied in
-    a second step, which gets one row per part.
-    """
-    node = F.struct("k1", "k2")
-    run = Window.partitionBy("token", "salt").orderBy("k1", "k2")
-    near = prefix.withColumn("first", F.first(node).over(run))
-    name = lambda c: F.concat_ws(":", F.col(f"{c}k1").cast("string"), F.col(f"{c}k2").cast("string"))
-    inner = near.where((F.col("first.k1") != F.col("k1")) | (F.col("first.k2") != F.col("k2"))).groupBy("first", "k1", "k2").agg(F.lit(1).alias("x"))
-    return inner.select(name("").alias("a"), name("first.").alias("b"))
 
+def _candidates(prefix: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) that hold every similar pair in one component, and (node, heavy) tokens per document."""
+    run = Window.partitionBy("token", "salt")
+    met = prefix.withColumn("m", F.count(F.lit(1)).over(run)).where("m > 1 or salt >= 0").distinct()
+    met = stored(met.select("token", "salt", "m", _name().alias("node"), "n"), "ngram-tokens")
+    rare = met.where(f"salt < 0 and m <= {SMALL}")
+    heavy = met.where(f"salt >= 0 or m > {SMALL}")
+    load = stored(heavy.groupBy("node").agg(F.count(F.lit(1)).alias("heavy")), "ngram-heavy")
+
+    # at most SMALL documents per token here
+    lists = rare.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("node", "n"))).alias("d")).where("size(d) > 1")
+    fits = lambda x, y: F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent
+    pairs = F.flatten(F.transform("d", lambda x, i: F.transform(F.filter(F.slice("d", i + 2, SMALL), lambda y: fits(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), x["n"].alias("na"), y["n"].alias("nb")))))
+    counted = lists.select(F.explode(pairs).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("shared")).select("p.*", "shared")
+    ends = [load.select(F.col("node").alias(c), F.col("heavy").alias(f"h{c}")) for c in "ab"]
+    known = counted.join(ends[0], "a", "left").join(ends[1], "b", "left")
+    beyond = lambda n: F.ceil(F.col(n) * percent / 100) - 1
+    needed = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent)) - F.greatest(beyond("na"), beyond("nb"))
+    close = known.where(F.col("shared") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= needed).select("a", "b")
 
-def _salted_edges(prefix: DataFrame) -> DataFrame:
-    """Ties between the salted parts of frequent tokens (a row per part after partial minima)."""
-    heads = prefix.groupBy("token", "salt").agg(F.min(F.struct("k1", "k2")).alias("h"))
-    ends = heads.groupBy("token").agg(F.min("h").alias("first"), F.max("salt").alias("parts")).where("parts > 0").drop("parts")
-    pairs = heads.join(ends, "token").where("h <> first")
-    name = lambda c: F.concat_ws(":", F.col(f"{c}.k1").cast("string"), F.col(f"{c}.k2").cast("string"))
-    return pairs.select(name("h").alias("a"), name("first").alias("b")).distinct()
+    # salted parts first, then their least documents: both steps are partial minima
+    least = heavy.groupBy("token", "salt").agg(F.min("node").alias("b"))
+    tied = heavy.select("token", "salt", F.col("node").alias("a")).join(least, ["token", "salt"]).where("a <> b").select("a", "b").distinct()
+    heads = least.groupBy("token").agg(F.min("b").alias("first")).join(least, "token").where("b <> first").select(F.col("b").alias("a"), F.col("first").alias("b"))
+    return close.unionByName(tied).unionByName(heads), load
 
 
 def ngram_jaccard(docs: DataFrame, *, id_col: str = ID, text_col: str = TEXT, width: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
@@ -223,35 +241,41 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = ID, text_col: str = TEXT, wi
     sketch = spark.sparkContext.broadcast(counters)
 
     nodes = first.where("chunk is null").select("id", "n", "k1", "k2")
-    schema = "token long, salt long, k1 long, k2 long"
-    prefix = docs.select("text").mapInArrow(_prefixes(sketch, width, percent, lower), schema)
-    near = _token_edges(prefix)
-    if int(counters[0].max()) >= SALT_ROWS:
-        near = near.unionByName(_salted_edges(prefix.where("salt >= 0")))
-    clusters = components(near)
-
-    # one text per node; a cluster above the unit size is cut into blocks, and every two blocks meet
-    name = F.concat_ws(":", F.col("k1").cast("string"), F.col("k2").cast("string"))
-    member = nodes.where("n > 0").withColumn("node", name).join(clusters, "node").groupBy("node", "label", "k1", "k2").agg(F.min("id").alias("id"), F.max("n").alias("n"))
+    prefix = docs.select("text").mapInArrow(_prefixes(sketch, width, percent, lower), "token long, salt int, k1 long, k2 long, n int")
+    edges, load = _candidates(prefix, percent)
+    clusters = components(edges)
+
+    # one text per node
+    member = nodes.where("n > 0").withColumn("node", _name()).join(clusters, "node").groupBy("node", "label", "k1", "k2").agg(F.min("id").alias("id"), F.max("n").alias("n"))
     member = stored(member, "ngram-members")
-    size = member.groupBy("label").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens"))
-    size = size.select("label", F.greatest(F.ceil(F.col("docs") / UNIT_DOCS), F.ceil(F.col("tokens") / UNIT_TOKENS)).cast("int").alias("blocks"))
-    placed = member.join(size, "label").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    units = placed.select(
-        "id", "k1", "k2",
-        F.transform(other, lambda j: F.concat_ws("/", "label", F.least("block", j), F.greatest("block", j))).alias("unit"),
-        F.transform(other, lambda j: F.when(F.col("block") > j, 1).otherwise(0)).alias("side"))
     some = passing(docs, "id", id_filter(member.select("id")))
-    known = units.where("id is not null").join(some, "id").select("unit", "k1", "k2", "side", "text")
-    rare = docs.where("id is null").mapInArrow(_name_texts(width, lower), "k1 long, k2 long, text string")
-    unnamed = units.where("id is null").drop("id").join(rare, ["k1", "k2"]).select("unit", "k1", "k2", "side", "text")
-    sets = known.unionByName(unnamed).mapInArrow(_texts(width, lower), "unit array<string>, k1 long, k2 long, side array<int>, tokens binary")
-    spread = sets.select(F.explode(F.arrays_zip("unit", "side")).alias("u"), "k1", "k2", "tokens").select(F.col("u.unit").alias("unit"), F.col("u.side").alias("side"), "k1", "k2", "tokens").dropDuplicates(["unit", "k1", "k2"])
-    links = spread.groupBy("unit").applyInArrow(_links(sketch, percent), "a string, b string")
+    known = member.where("id is not null").join(some, "id").select("label", "k1", "k2", "text")
+    unnamed = member.where("id is null").join(docs.where("id is null").mapInArrow(_name_texts(width, lower), "k1 long, k2 long, text string"), ["k1", "k2"]).select("label", "k1", "k2", "text")
+    sets = known.unionByName(unnamed).mapInArrow(_texts(width, lower), "label string, k1 long, k2 long, tokens binary").dropDuplicates(["k1", "k2"])
+    sets = stored(sets.withColumn("node", _name()), "ngram-sets")
+
+    size = member.groupBy("label").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens"))
+    size = stored(size.select("label", F.greatest(F.ceil(F.col("docs") / UNIT_DOCS), F.ceil(F.col("tokens") / UNIT_TOKENS)).cast("int").alias("blocks")), "ngram-sizes")
+    placed = sets.join(size, "label").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    small = placed.where("blocks = 1").select(F.col("label").alias("unit"), F.lit(0).alias("side"), "k1", "k2", "tokens")
+    big = placed.where("blocks > 1")
+    # the document with the most frequent tokens is central: it has the fewest of its own
+    lead = member.join(size.where("blocks > 1"), "label").join(load, "node", "left").groupBy("label", "blocks").agg(F.max(F.struct(F.coalesce("heavy", F.lit(0)).alias("heavy"), "node")).alias("l")).select("label", "blocks", F.col("l.node").alias("node"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    centre = lead.join(sets.drop("label"), "node").withColumn("j", every).select(F.concat_ws("/", "label", "j").alias("unit"), F.lit(0).alias("side"), "k1", "k2", "tokens")
+    around = big.select(F.concat_ws("/", "label", "block").alias("unit"), F.lit(1).alias("side"), "k1", "k2", "tokens")
+    find = lambda units: units.groupBy("unit").applyInArrow(_links(sketch, percent), "a string, b string")
+    first_links = stored(find(small.unionByName(centre).unionByName(around)), "ngram-links")
+    tied = first_links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    loose = big.join(tied, "node", "left_anti")
+    groups = loose.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / UNIT_DOCS).cast("int").alias("rest"))
+    loose = loose.join(groups, "label").withColumn("part", F.expr("cast(pmod(xxhash64(node, 1), rest) as int)"))
+    one = loose.withColumn("j", every).select(F.concat_ws("/", "label", "part", "j").alias("unit"), F.lit(0).alias("side"), "k1", "k2", "tokens")
+    two = big.join(groups, "label").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("rest") - 1))).select(F.concat_ws("/", "label", "j", "block").alias("unit"), F.lit(1).alias("side"), "k1", "k2", "tokens")
+    links = first_links.unionByName(find(one.unionByName(two)))
     linked = components(links)
 
-    named = nodes.withColumn("node", name)
+    named = nodes.withColumn("node", _name())
     label = named.join(linked, "node").groupBy("label").agg(F.min("id").alias("component_id"))
     per_node = linked.join(label, "label").select("node", "component_id")
     own = named.where("n > 0").groupBy("node").agg(F.min("id").alias("_own"))
@@ -276,3 +300,25 @@ def prefix_bound(n: int, percent: int = 80) -> int:
 def required_overlap(n: int, m: int, percent: int = 80) -> int:
     """Least overlap of sets of n and m tokens that reaches the similarity."""
     return math.ceil(percent * (n + m) / (100 + percent))
+
+
+def drop_similar(docs: DataFrame, *, id_col: str = ID, text_col: str = TEXT, width: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of ``docs``, all columns, with one document left of each component: the one with the least id.
+
+    Rows that repeat an id and its text count as one document.  Rows with a null id stay.
+    """
+    found = stored(ngram_jaccard(docs, id_col=id_col, text_col=text_col, width=width, percent=percent), "ngram-components")
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").cast("long").alias("key")).distinct()
+    again = stored(found.where("component_id = doc_id").groupBy(F.col("doc_id").cast("long").alias("key")).count().where("count > 1").select("key"), "repeated-ids")
+    left = without(docs, F.col(id_col).cast("long"), gone)
+    if again.isEmpty():
+        return left
+    bitmap = id_filter(again)
+    name = "_key"
+    while name in docs.columns:
+        name += "_"
+    keyed = left.withColumn(name, F.col(id_col).cast("long"))
+    once = keyed.where(F.col(name).isNotNull()).transform(lambda d: passing(d, name, bitmap))
+    rank = Window.partitionBy(name, F.xxhash64(text_col)).orderBy(F.lit(0))
+    once = once.withColumn(f"{name}n", F.row_number().over(rank)).where(F.col(f"{name}n") == 1).drop(name, f"{name}n")
+    return passing(keyed, name, bitmap, inverse=True).drop(name).unionByName(once)
