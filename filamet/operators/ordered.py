@@ -20,6 +20,8 @@ from filamet.operators.groups import attach_row
 #: buckets per octave; a group spread over one decade falls into about 1700 buckets
 PER_OCTAVE = 512
 MAX_SPLITS = 65_536
+#: rows that a bucket of time or numbers may hold
+ROWS_PER_BUCKET = 100_000
 #: smallest exponent of a positive double, so that bucket numbers of one sign share a sign
 _EXPONENT_SHIFT = 1075.0
 #: bucket of infinity, beyond any finite value
@@ -47,6 +49,28 @@ def time_bucket(ts: Column, seconds: int) -> Column:
     return F.floor(F.timestamp_diff("SECOND", epoch, ts) / F.lit(seconds)).cast("long")
 
 
+def time_width(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, rows: int = ROWS_PER_BUCKET) -> int:
+    """Seconds per time bucket: ``seconds`` or fewer, until no bucket of a group holds more than ``rows``."""
+    while True:
+        sizes = df.groupBy(*keys, time_bucket(F.col(ts), seconds).alias("__w")).agg(F.count(F.lit(1)).alias("__n"))
+        most = sizes.agg(F.max("__n")).first()[0] or 0
+        if most <= rows or seconds == 1:
+            return seconds
+        seconds = max(1, seconds // -(-most // rows))
+
+
+def linear_width(df: DataFrame, x: str, rows: int = ROWS_PER_BUCKET) -> float:
+    """Width of linear buckets of a whole number: about ``rows`` rows each, however sparse the numbers are."""
+    lo, hi, n = df.agg(F.min(x), F.max(x), F.count(x)).first()
+    width = max(1.0, (hi - lo + 1) / n * rows) if n else 1.0
+    while True:
+        sizes = df.groupBy(linear_bucket(F.col(x), width).alias("__w")).agg(F.count(F.lit(1)).alias("__n"))
+        most = sizes.agg(F.max("__n")).first()[0] or 0
+        if most <= 2 * rows or width == 1.0:
+            return width
+        width = max(1.0, width // -(-most // rows))
+
+
 def with_value_bucket(
     df: DataFrame,
     keys: Sequence[str],

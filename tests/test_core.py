@@ -73,3 +73,18 @@ def test_ordered_equals_plain_window(spark, bucketing):
     a = got.orderBy("i").toPandas()[["g", "x", "i", "rn", "cum", "px", "nx", "ni"]]
     e = want.orderBy("i").toPandas()[a.columns]
     pd.testing.assert_frame_equal(a, e, check_dtype=False, rtol=1e-9)
+
+
+def test_bucket_widths(spark):
+    """A run dense in time and ids far apart: buckets follow the counts."""
+    from pyspark.sql import functions as F
+
+    from filamet.operators.ordered import linear_bucket, linear_width, time_bucket, time_width
+
+    dense = spark.range(5000).select(F.lit(1).alias("k"), F.expr("timestamp_seconds(1700000000 + id div 5)").alias("ts"))
+    width = time_width(dense, ["k"], "ts", 3600, rows=200)
+    sizes = dense.groupBy(time_bucket(F.col("ts"), width)).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 200
+    sparse = spark.range(3000).select((F.col("id") * 10_000_019).alias("x"))
+    assert sparse.groupBy(linear_bucket(F.col("x"), linear_width(sparse, "x", rows=300))).count().count() <= 21
+    assert linear_width(sparse.where("false"), "x") == 1.0
