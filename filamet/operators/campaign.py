@@ -140,10 +140,18 @@ def calibration_summary(audit: DataFrame, keys: Sequence[str]) -> DataFrame:
     return s.withColumn("calibration", kind)
 
 
-def first_divergence(stages: DataFrame, keys: Sequence[str], stage: str, order: str, matched: str) -> DataFrame:
-    """First stage in order that does not match, 'MATCHED' if none."""
+def first_divergence(stages: DataFrame, keys: Sequence[str], stage: str, order: str, matched: str, evidence: Sequence[str] = ()) -> DataFrame:
+    """First stage in order that does not match, 'MATCHED' if none, with that stage's ``evidence`` columns."""
     bad = F.when(~F.col(matched), F.col(order))
-    return stages.groupBy(*keys).agg(F.coalesce(F.min_by(stage, bad), F.lit("MATCHED")).alias("first_divergence"), F.count_if(~F.col(matched)).alias("divergent"))
+    first = stages.groupBy(*keys).agg(F.min_by(F.struct(F.col(stage).alias("_s"), *evidence), bad).alias("_f"), F.count_if(~F.col(matched)).alias("divergent"))
+    return first.select(*keys, F.coalesce("_f._s", F.lit("MATCHED")).alias("first_divergence"), "divergent", *[F.col(f"_f.{e}").alias(e) for e in evidence])
+
+
+def all_stages(arrays: DataFrame, scalars: DataFrame, keys: Sequence[str], stage: str) -> DataFrame:
+    """Hash parity of the array stages together with the two stages judged by numbers."""
+    numbers = F.array(*[F.struct(F.lit(s).alias("s"), F.col(m).alias("m"), F.col(d).alias("d")) for s, m, d in (("OTSU", "otsu_matched", "threshold_delta"), ("GAUSSIAN_FIT", "fit_matched", "b1_delta"))])
+    rows = scalars.withColumn("_n", F.explode(numbers)).select(*keys, F.col("_n.s").alias(stage), F.col("_n.m").alias("matched"), F.col("_n.d").alias("difference"))
+    return arrays.unionByName(rows, allowMissingColumns=True)
 
 
 def stage_parity(left: DataFrame, right: DataFrame, keys: Sequence[str], stage: str) -> DataFrame:

@@ -203,15 +203,28 @@ def j07(spark, sf):
     return C.stage_parity(left, right, ["case_id"], "stage").select("case_id", "stage", "left_foreground", "right_foreground", "matched")
 
 
+def scalar_sides(spark, sf):
+    e = bind.table(spark, sf, "embeddings")
+    d = lambda i: F.element_at("embedding", i).cast("double")
+    left = e.select("vec_id", d(1).alias("threshold"), d(2).alias("b1"), d(3).alias("c1"), F.array(LIT(1), LIT(2)).alias("counts"), F.array(LIT(0.0), LIT(1.0), LIT(2.0)).alias("edges"))
+    right = left.where(c("vec_id") % 5 > 0).select(
+        "vec_id", F.when(c("vec_id") % 3 == 1, c("threshold") + 1e-9).otherwise(c("threshold")).alias("threshold"), F.when(c("vec_id") % 2 == 0, c("b1") + 0.01).otherwise(c("b1")).alias("b1"), "c1", "counts",
+        F.when(c("vec_id") % 7 == 0, F.array(LIT(0.0), LIT(1.5), LIT(2.0))).otherwise(c("edges")).alias("edges"))
+    return left, right
+
+
 def divergences(spark, sf):
     left, right = stage_sides(spark, sf)
-    p = C.stage_parity(left, right, ["case_id"], "stage")
+    numbers = C.scalar_parity(*scalar_sides(spark, sf), ["vec_id"]).withColumnRenamed("vec_id", "case_id")
+    p = C.all_stages(C.stage_parity(left, right, ["case_id"], "stage"), numbers, ["case_id"], "stage")
     p = p.withColumn("ord", F.array_position(F.array(*[LIT(s) for s in S.STAGE_ORDER]), c("stage")))
-    return C.first_divergence(p, ["case_id"], "stage", "ord", "matched")
+    return C.first_divergence(p, ["case_id"], "stage", "ord", "matched", ["left_foreground", "right_foreground"])
 
 
 DIV_SQL = STAGES_SQL + f""",
-dv AS (SELECT case_id, coalesce(arg_min(stage, list_position({ORDER_LIST}, stage)) FILTER (NOT matched), 'MATCHED') AS first_divergence, count(*) FILTER (NOT matched) AS divergent FROM m GROUP BY case_id)"""
+mm AS (SELECT case_id, stage, matched, lf, rf FROM m UNION ALL SELECT vec_id, 'OTSU', vec_id % 5 > 0 AND vec_id % 3 <> 1, NULL, NULL FROM embeddings UNION ALL SELECT vec_id, 'GAUSSIAN_FIT', vec_id % 5 > 0 AND vec_id % 2 = 1, NULL, NULL FROM embeddings),
+dw AS (SELECT case_id, arg_min({{'s': stage, 'lf': lf, 'rf': rf}}, list_position({ORDER_LIST}, stage)) FILTER (NOT matched) AS w, count(*) FILTER (NOT matched) AS divergent FROM mm GROUP BY case_id),
+dv AS (SELECT case_id, coalesce(w.s, 'MATCHED') AS first_divergence, divergent, w.lf AS left_foreground, w.rf AS right_foreground FROM dw)"""
 
 
 @query("a25_first_divergence", f"WITH {DIV_SQL} SELECT * FROM dv")
@@ -223,13 +236,8 @@ def a25(spark, sf):
 WITH l AS (SELECT vec_id, embedding[1]::DOUBLE AS t, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c1 FROM embeddings)
 SELECT vec_id, vec_id % 5 > 0 AND vec_id % 3 <> 1 AS otsu_matched, CASE WHEN vec_id % 5 > 0 THEN round(CASE WHEN vec_id % 2 = 0 THEN 100*0.01/abs(b) ELSE 0 END, 4) END AS b1_percent, vec_id % 2 = 1 AND vec_id % 5 > 0 AS fit_matched, vec_id % 5 > 0 AS counts_equal, vec_id % 5 > 0 AND vec_id % 7 > 0 AS edges_equal FROM l""")
 def j07b(spark, sf):
-    e = bind.table(spark, sf, "embeddings")
-    d = lambda i: F.element_at("embedding", i).cast("double")
-    left = e.select("vec_id", d(1).alias("threshold"), d(2).alias("b1"), d(3).alias("c1"), F.array(LIT(1), LIT(2)).alias("counts"), F.array(LIT(0.0), LIT(1.0), LIT(2.0)).alias("edges"))
-    right = left.where(c("vec_id") % 5 > 0).select(
-        "vec_id", F.when(c("vec_id") % 3 == 1, c("threshold") + 1e-9).otherwise(c("threshold")).alias("threshold"), F.when(c("vec_id") % 2 == 0, c("b1") + 0.01).otherwise(c("b1")).alias("b1"), "c1", "counts",
-        F.when(c("vec_id") % 7 == 0, F.array(LIT(0.0), LIT(1.5), LIT(2.0))).otherwise(c("edges")).alias("edges"))
-    # the missing right side leaves the threshold unmatched
+    # a missing right side leaves the threshold unmatched
+    left, right = scalar_sides(spark, sf)
     s = C.scalar_parity(left, right, ["vec_id"])
     return s.select("vec_id", "otsu_matched", r("b1_percent", 4).alias("b1_percent"), "fit_matched", "counts_equal", "edges_equal")
 
