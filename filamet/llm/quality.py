@@ -35,8 +35,12 @@ def _hashes(ws: Column) -> Column:
     return F.transform(ws, lambda w: F.xxhash64(w))
 
 
-def ngram_buckets(hashes: Column) -> Column:
-    """Buckets of all unigrams and bigrams."""
+def ngram_buckets(text: Column) -> Column:
+    """Buckets of all unigrams and bigrams of a text."""
+    return let(_hashes(words(text)), _buckets)
+
+
+def _buckets(hashes: Column) -> Column:
     one = F.transform(hashes, lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))
     two = F.zip_with(F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0))), F.slice(hashes, 2, F.greatest(F.size(hashes) - 1, F.lit(0))), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(BUCKETS)).cast("int"))
     return F.concat(one, two)
@@ -74,8 +78,9 @@ def base_counts(text: Column) -> dict[str, Column]:
 def ratios(docs: DataFrame, labels: DataFrame, id_col: str = ID, text_col: str = TEXT, label: str = "quality") -> DataFrame:
     """(bucket, ratio): log(target / raw) of every bucket in millionths; 0 if nothing is labelled good."""
     good = labels.where((F.col(label) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct().withColumn("_good", F.lit(1))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(good, "_id", "left")
-    grams = rows.select("_good", F.explode(ngram_buckets(_hashes(words(F.col("_text"))))).alias("bucket"))
+    # a merge join at every size: what is shuffled then grows as the input does
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(good.hint("merge"), "_id", "left")
+    grams = rows.select("_good", F.explode(ngram_buckets(F.col("_text"))).alias("bucket"))
     counts = stored(grams.groupBy("bucket").agg(F.count("_good").alias("t"), F.count(F.lit(1)).alias("r")), "ngram-counts")
     n = counts.agg(F.sum("t").alias("t"), F.sum("r").alias("r")).first()
     p = lambda k, m: (k + SMOOTHING) / F.lit(float((m or 0) + SMOOTHING * BUCKETS))
@@ -98,12 +103,14 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = ID, text_col: s
     # BUCKETS rows at most, whatever the input
     table = F.broadcast(ratios(docs, labels, id_col, text_col))
     text = F.col(text_col)
-    h = _hashes(words(text))
-    key = (F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
+    # adding 0 * partition id makes the keys count as non-deterministic, so they are worked out once
+    # per text; otherwise they would be hashed anew for every n-gram of the text
+    once = F.spark_partition_id() * 0
+    key = ((F.xxhash64(text) + once).alias("k1"), (F.xxhash64(F.lit(1), text) + once).alias("k2"))
     # the mean of equal texts is that of one, so the text itself names the group
-    grams = docs.select(*key, F.explode(ngram_buckets(h)).alias("bucket"))
+    grams = docs.select(*key, text.alias("t")).select("k1", "k2", F.explode(ngram_buckets(F.col("t"))).alias("bucket"))
     mean = grams.join(table, "bucket").groupBy("k1", "k2").agg(F.sum("ratio").alias("sum"), F.count(F.lit(1)).alias("grams"))
-    base = docs.select(F.col(id_col).alias("doc_id"), *key, h.alias("h"), *[c.alias(n) for n, c in base_counts(text).items()])
+    base = docs.select(F.col(id_col).alias("doc_id"), *key, _hashes(words(text)).alias("h"), *[c.alias(n) for n, c in base_counts(text).items()])
     base = base.select("doc_id", "k1", "k2", F.size("h").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeated_words(F.col("h")).alias("n_repeat_words"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = base.join(mean, ["k1", "k2"], "left").withColumn("llr", F.coalesce(F.col("sum") / F.col("grams") / MILLION, F.lit(0.0))).withColumn("base_failed", failed)
