@@ -24,6 +24,9 @@ def edge(lo: Column, hi: Column, bins: Column | int, i: Column) -> Column:
     return F.when(i >= n, hi).otherwise(i * ((hi - lo) / n) + lo)
 
 
+BIN_PIECE = 4096
+
+
 def bin_index(x: Column, lo: Column, hi: Column, bins: Column | int) -> Column:
     """Bin of ``x``: left-closed bins, the last one closed on both sides.
 
@@ -52,14 +55,20 @@ def common_edges(df: DataFrame, keys: Sequence[str], x: str, bins: int = 32) ->
 def weighted_histogram(
     df: DataFrame, keys: Sequence[str], series: Sequence[str], x: str, w: str, edges: DataFrame,
 ) -> DataFrame:
-    """Histogram and density of each series over the group's common edges, empty bins kept."""
+    """Histogram and density of each series over the group's common edges, empty bins kept.
+
+    Bins are laid out in pieces of BIN_PIECE that are dealt over the tasks, as outliers can stretch a
+    range to any number of bins.
+    """
     keys, series = list(keys), list(series)
-    rows = join_groups(df, edges, keys)
+    rows = join_groups(present(df, x), edges, keys)
     counted = rows.groupBy(*keys, *series, bin_index(F.col(x), F.col("lo"), F.col("hi"), F.col("bins")).alias("bin")).agg(
         F.sum(w).alias("h"), F.count(F.lit(1)).alias("n")
     )
-    present = counted.groupBy(*keys, *series).agg(F.sum("h").alias("total"))
-    frame = join_groups(present, edges, keys).withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))
+    totals = join_groups(counted.groupBy(*keys, *series).agg(F.sum("h").alias("total")), edges, keys)
+    pieces = totals.withColumn("_p", F.explode(F.sequence(F.lit(0), F.expr(f"cast((bins - 1) div {BIN_PIECE} as int)")))).repartition(*keys, *series, "_p")
+    first = F.col("_p") * BIN_PIECE
+    frame = pieces.withColumn("bin", F.explode(F.sequence(first, F.least(first + BIN_PIECE, F.col("bins")) - 1))).drop("_p")
     lo, hi, n, i = F.col("lo"), F.col("hi"), F.col("bins"), F.col("bin")
     return (
         frame.join(counted, [*keys, *series, "bin"], "left")

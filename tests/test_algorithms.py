@@ -252,3 +252,15 @@ def test_otsu_without_pixels(spark):
     df = spark.createDataFrame([(1, nan), (1, None), (2, 0.0), (2, 0.0), (2, 1.0), (2, nan), (2, float("inf"))], "g int, v double")
     got = {r["g"]: r["threshold"] for r in otsu(df, ["g"], "v").collect()}
     assert got[1] == NO_PIXELS and 0 < got[2] < 1
+
+
+def test_histogram_with_outliers(spark):
+    """Far outliers stretch the range to many bins; each bin has a row, values and missing ones are counted right."""
+    from filamet.operators.distributions import weighted_histogram
+
+    rows = [(1, float(k % 100) / 10, 1.0) for k in range(2000)] + [(1, 50_000.0, 2.0), (1, float("nan"), 1.0), (1, None, 1.0)]
+    df = spark.createDataFrame(rows, "g int, x double, w double")
+    edges = spark.createDataFrame([(1, 0.0, 50_000.0, 10_000)], "g int, lo double, hi double, bins int")
+    got = {r["bin"]: (r["n"], r["h"]) for r in weighted_histogram(df, ["g"], [], "x", "w", edges).collect()}
+    assert len(got) == 10_000 and sum(n for n, _ in got.values()) == 2001
+    assert got[0] == (1000, 1000.0) and got[1] == (1000, 1000.0) and got[9_999] == (1, 2.0) and got[5_000] == (0, 0.0)
