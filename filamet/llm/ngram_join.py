@@ -104,21 +104,20 @@ def _prefixes(sketch, width: int, percent: int, lower: bool):
     def run(batches):
         counts = sketch.value
         for (texts,) in rows(batches, "text"):
-            token, k1, k2, salt, size = [], [], [], [], []
+            token, k1, salt, size = [], [], [], []
             for s in _sets(texts, width, lower):
                 if not len(s):
                     continue
                 first, often = _ordered(s, counts, 0)
                 m = _prefix_length(len(s), percent)
-                a, b = _node(s)
+                a, _ = _node(s)
                 token.append(first[:m])
                 parts = 1 + often[:m] // SALT_ROWS
                 salt.append(np.where(parts > 1, (a & 0xFFFFFFFF) % parts, -1).astype(np.int32))
                 k1.append(np.full(m, a, dtype=np.int64))
-                k2.append(np.full(m, b, dtype=np.int64))
                 size.append(np.full(m, len(s), dtype=np.int32))
             if token:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(token))), *(pa.array(np.concatenate(x)) for x in (salt, k1, k2, size))], ["token", "salt", "k1", "k2", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(token))), *(pa.array(np.concatenate(x)) for x in (salt, k1, size))], ["token", "salt", "k1", "n"])
 
     return run
 
@@ -131,7 +130,7 @@ def _texts(width: int, lower: bool):
             sets = list(_sets(texts, width, lower))
             keep = [i for i, s in enumerate(sets) if _node(s) == (k1[i], k2[i])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([label[i] for i in keep], pa.string()), pa.array([k1[i] for i in keep], pa.int64()), pa.array([k2[i] for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary())],
+                [pa.array([label[i] for i in keep], pa.int64()), pa.array([k1[i] for i in keep], pa.int64()), pa.array([k2[i] for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary())],
                 ["label", "k1", "k2", "tokens"])
 
     return run
@@ -196,10 +195,16 @@ def _name():
 
 
 def _candidates(prefix: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Edges (a, b) that hold every similar pair in one component, and (node, heavy) tokens per document."""
+    """Edges (a, b) that hold every similar pair in one component, and (node, heavy) tokens per document.
+
+    Documents go by the first half of their name here: should two share it, their clusters merge,
+    which costs comparisons but no link.
+    """
     run = Window.partitionBy("token", "salt")
-    met = prefix.withColumn("m", F.count(F.lit(1)).over(run)).where("m > 1 or salt >= 0").distinct()
-    met = stored(met.select("token", "salt", "m", _name().alias("node"), "n"), "ngram-tokens")
+    # copies of a text give equal rows: one stays, in the task that has the token anyway
+    once = prefix.repartition("token", "salt").distinct()
+    met = once.withColumn("m", F.count(F.lit(1)).over(run)).where("m > 1 or salt >= 0")
+    met = stored(met.select("token", "salt", F.col("m").cast("int").alias("m"), F.col("k1").alias("node"), "n"), "ngram-tokens")
     rare = met.where(f"salt < 0 and m <= {SMALL}")
     heavy = met.where(f"salt >= 0 or m > {SMALL}")
     load = stored(heavy.groupBy("node").agg(F.count(F.lit(1)).alias("heavy")), "ngram-heavy")
@@ -208,7 +213,7 @@ def _candidates(prefix: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     lists = rare.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("node", "n"))).alias("d")).where("size(d) > 1")
     fits = lambda x, y: F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent
     pairs = F.flatten(F.transform("d", lambda x, i: F.transform(F.filter(F.slice("d", i + 2, SMALL), lambda y: fits(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), x["n"].alias("na"), y["n"].alias("nb")))))
-    counted = lists.select(F.explode(pairs).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("shared")).select("p.*", "shared")
+    counted = lists.select(F.explode(pairs).alias("p")).select("p.*").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
     ends = [load.select(F.col("node").alias(c), F.col("heavy").alias(f"h{c}")) for c in "ab"]
     known = counted.join(ends[0], "a", "left").join(ends[1], "b", "left")
     beyond = lambda n: F.ceil(F.col(n) * percent / 100) - 1
@@ -241,26 +246,26 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = ID, text_col: str = TEXT, wi
     sketch = spark.sparkContext.broadcast(counters)
 
     nodes = first.where("chunk is null").select("id", "n", "k1", "k2")
-    prefix = docs.select("text").mapInArrow(_prefixes(sketch, width, percent, lower), "token long, salt int, k1 long, k2 long, n int")
+    prefix = docs.select("text").mapInArrow(_prefixes(sketch, width, percent, lower), "token long, salt int, k1 long, n int")
     edges, load = _candidates(prefix, percent)
     clusters = components(edges)
 
     # one text per node
-    member = nodes.where("n > 0").withColumn("node", _name()).join(clusters, "node").groupBy("node", "label", "k1", "k2").agg(F.min("id").alias("id"), F.max("n").alias("n"))
+    member = nodes.where("n > 0").join(clusters.withColumnRenamed("node", "k1"), "k1").withColumn("node", _name()).groupBy("node", "label", "k1", "k2").agg(F.min("id").alias("id"), F.max("n").alias("n"))
     member = stored(member, "ngram-members")
     some = passing(docs, "id", id_filter(member.select("id")))
     known = member.where("id is not null").join(some, "id").select("label", "k1", "k2", "text")
     unnamed = member.where("id is null").join(docs.where("id is null").mapInArrow(_name_texts(width, lower), "k1 long, k2 long, text string"), ["k1", "k2"]).select("label", "k1", "k2", "text")
-    sets = known.unionByName(unnamed).mapInArrow(_texts(width, lower), "label string, k1 long, k2 long, tokens binary").dropDuplicates(["k1", "k2"])
+    sets = known.unionByName(unnamed).mapInArrow(_texts(width, lower), "label long, k1 long, k2 long, tokens binary").dropDuplicates(["k1", "k2"])
     sets = stored(sets.withColumn("node", _name()), "ngram-sets")
 
     size = member.groupBy("label").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens"))
     size = stored(size.select("label", F.greatest(F.ceil(F.col("docs") / UNIT_DOCS), F.ceil(F.col("tokens") / UNIT_TOKENS)).cast("int").alias("blocks")), "ngram-sizes")
     placed = sets.join(size, "label").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-    small = placed.where("blocks = 1").select(F.col("label").alias("unit"), F.lit(0).alias("side"), "k1", "k2", "tokens")
+    small = placed.where("blocks = 1").select(F.col("label").cast("string").alias("unit"), F.lit(0).alias("side"), "k1", "k2", "tokens")
     big = placed.where("blocks > 1")
     # the document with the most frequent tokens is central: it has the fewest of its own
-    lead = member.join(size.where("blocks > 1"), "label").join(load, "node", "left").groupBy("label", "blocks").agg(F.max(F.struct(F.coalesce("heavy", F.lit(0)).alias("heavy"), "node")).alias("l")).select("label", "blocks", F.col("l.node").alias("node"))
+    lead = member.join(size.where("blocks > 1"), "label").join(load.withColumnRenamed("node", "k1"), "k1", "left").groupBy("label", "blocks").agg(F.max(F.struct(F.coalesce("heavy", F.lit(0)).alias("heavy"), "node")).alias("l")).select("label", "blocks", F.col("l.node").alias("node"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     centre = lead.join(sets.drop("label"), "node").withColumn("j", every).select(F.concat_ws("/", "label", "j").alias("unit"), F.lit(0).alias("side"), "k1", "k2", "tokens")
     around = big.select(F.concat_ws("/", "label", "block").alias("unit"), F.lit(1).alias("side"), "k1", "k2", "tokens")
