@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -28,12 +29,25 @@ def local_session(cpus: int | str = 8, app: str = "filamet", partitions: int | N
     )
 
 
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from its folder, whatever folder the driver was started in.
+
+    On a cluster the package is installed or shipped with ``--py-files``; an unknown path does no harm.
+    """
+    root = str(Path(__file__).resolve().parents[1])
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def tune(spark: SparkSession) -> None:
     """Adaptive settings the operators count on.
 
     A join of rows with a per-group table followed by an aggregate on the same key would keep a
     hot group in one task; forcing the skew split lets Spark deal such a group out over tasks.
     """
+    find_package(spark)
     for key in ("adaptive.enabled", "adaptive.skewJoin.enabled", "adaptive.forceOptimizeSkewedJoin"):
         spark.conf.set(f"spark.sql.{key}", "true")
 
