@@ -13,6 +13,7 @@ documents.  Repeated rows are near copies of each other: one stays.  Empty table
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,32 +23,48 @@ from filamet.llm.ngram_join import drop_similar
 from filamet.llm.queries import token_digest
 from filamet.llm.shared import stored, table
 from filamet.llm.toxicity import drop_toxic
+from filamet.session import find_package
 
 MIX_SHARE = 0.95
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def stage(fn: Stage) -> Stage:
+    @wraps(fn)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        find_package(spark)
+        return fn(spark, docs, sf_dir)
+
+    return call
+
+
+@stage
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+@stage
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_similar(docs)
 
 
+@stage
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Equal targets for domains, languages and sources; what scarce ones lack, the others give."""
     return mix_sources(docs, share=MIX_SHARE, max_epochs=1).select("row.*")
 
 
+@stage
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_digest(spark, docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("toxicity", toxicity_stage),
     ("ngram_jaccard", jaccard_stage),
     ("decontamination", decontamination_stage),
@@ -61,6 +78,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    for name, apply in STAGES:
+        docs = stored(apply(spark, docs, sf_dir), name)
     return docs

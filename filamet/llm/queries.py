@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from filamet.llm.substring_dedup import substring_dedup
 from filamet.llm.token_file import read_documents, write_tokens
 from filamet.llm.toxicity import toxicity
 from filamet.llm.url_filter import url_filter
-from filamet.session import checkpoint_root
+from filamet.session import checkpoint_root, find_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,7 +29,7 @@ SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def add(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = wraps(fn)(lambda spark, sf_dir: (find_package(spark), fn(spark, sf_dir))[1])
         if sql:
             SQL[name] = sql
         return fn
