@@ -10,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filamet.llm import sql
 from filamet.llm.decontaminate import contained_items
 from filamet.llm.license_scan import license_scan
 from filamet.llm.mixing import mix_sources
@@ -27,34 +28,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, text: str | None = None):
     def add(fn):
         QUERIES[name] = wraps(fn)(lambda spark, sf_dir: (find_package(spark), fn(spark, sf_dir))[1])
-        if sql:
-            SQL[name] = sql
+        if text:
+            SQL[name] = text
         return fn
 
     return add
 
 
-@query("op3_ngram_jaccard")
+@query("op3_ngram_jaccard", sql.NGRAM_JACCARD)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(table(spark, sf_dir, "documents"))
 
 
-WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
-
-
-@query("op8_substring_dedup", rf"""
-WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
-win AS (SELECT doc_id, p, array_to_string(w[p : p + 49], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d)),
-first AS (SELECT s, min(doc_id) AS source FROM win GROUP BY s HAVING count(*) > 1),
-hit AS (SELECT doc_id, p FROM win JOIN first USING (s) WHERE source < doc_id),
-gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS q FROM hit),
-per AS (SELECT doc_id, list(q) AS g FROM gone GROUP BY doc_id),
-kept AS (SELECT doc_id, w, coalesce(len(g), 0) AS n_removed, CASE WHEN g IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(g, i)) END AS k FROM d LEFT JOIN per USING (doc_id))
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
-""")
+@query("op8_substring_dedup", sql.SUBSTRING_DEDUP)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -64,16 +53,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "n_passages")
 
 
-SHINGLES_SQL = "CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p : p + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
-LOWER_SQL = WORDS_SQL.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
-
-
-@query("op4_decontaminate", f"""
-WITH i AS (SELECT item_id, list_distinct({SHINGLES_SQL}) AS s FROM (SELECT DISTINCT item_id, {LOWER_SQL} AS w FROM benchmark)),
-d AS (SELECT doc_id, list_distinct({SHINGLES_SQL}) AS s FROM (SELECT doc_id, {LOWER_SQL} AS w FROM documents)),
-p AS (SELECT doc_id, item_id, n_item, count(*) AS n_shared FROM (SELECT doc_id, unnest(s) AS x FROM d) JOIN (SELECT item_id, len(s) AS n_item, unnest(s) AS x FROM i) USING (x) GROUP BY ALL)
-SELECT doc_id, item_id, n_item, n_shared FROM p WHERE 100 * n_shared >= 80 * n_item
-""")
+@query("op4_decontaminate", sql.DECONTAMINATE)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -98,7 +78,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
-@query("op6_url_filter")
+@query("op6_url_filter", sql.URL_FILTER)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages carry the number of the document they show in their path; that document's quality labels them."""
     number = F.regexp_extract("url", r"/([0-9]{1,18})(?:\.html|/)?(?:[?#].*)?$", 1)
@@ -110,7 +90,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIX_WEIGHTS = {("domain0",): 4, ("domain1",): 3, ("domain2",): 2, ("domain3",): 1, ("*", "en"): 5, ("*", "de"): 2, ("*", "fr"): 2, ("*", "es"): 1}
 
 
-@query("op10_mixing")
+@query("op10_mixing", sql.MIXING)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(table(spark, sf_dir, "documents"), weights=MIX_WEIGHTS, share=0.5, max_epochs=2)
     return out.select("row.doc_id", "domain", "lang", "source", "epoch", "n_tokens")
