@@ -21,9 +21,8 @@ from filamet.llm.decontaminate import drop_contaminated
 from filamet.llm.mixing import mix_sources
 from filamet.llm.ngram_join import drop_similar
 from filamet.llm.queries import token_digest
-from filamet.llm.shared import stored, table
+from filamet.llm.shared import prepare, stored, table
 from filamet.llm.toxicity import drop_toxic
-from filamet.session import find_package
 
 MIX_SHARE = 0.95
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -32,7 +31,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def stage(fn: Stage) -> Stage:
     @wraps(fn)
     def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        find_package(spark)
+        prepare(spark)
         return fn(spark, docs, sf_dir)
 
     return call

@@ -17,12 +17,12 @@ from filamet.llm.mixing import mix_sources
 from filamet.llm.ngram_join import ngram_jaccard
 from filamet.llm.piece_counts import token_counts
 from filamet.llm.quality import quality
-from filamet.llm.shared import table
+from filamet.llm.shared import prepare, table
 from filamet.llm.substring_dedup import substring_dedup
 from filamet.llm.token_file import read_documents, write_tokens
 from filamet.llm.toxicity import toxicity
 from filamet.llm.url_filter import url_filter
-from filamet.session import checkpoint_root, find_package
+from filamet.session import checkpoint_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,7 +30,7 @@ SQL: dict[str, str] = {}
 
 def query(name: str, text: str | None = None):
     def add(fn):
-        QUERIES[name] = wraps(fn)(lambda spark, sf_dir: (find_package(spark), fn(spark, sf_dir))[1])
+        QUERIES[name] = wraps(fn)(lambda spark, sf_dir: (prepare(spark), fn(spark, sf_dir))[1])
         if text:
             SQL[name] = text
         return fn

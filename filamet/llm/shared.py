@@ -12,7 +12,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filamet.session import checkpoint_root
+from filamet.session import checkpoint_root, find_package
+
+ARROW_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Session settings the operators count on: workers find the package, and texts, which may be long,
+    go to them in small batches, so that what a worker holds stays a few megabytes."""
+    find_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"

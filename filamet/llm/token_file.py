@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from filamet.llm.shared import ID, TEXT, rows, split_words
 
 BLOCK_IDS = 1 << 16
-REMEMBERED = 400_000
+REMEMBERED = 250_000  # words per generation
 SCHEMA = "shard int, block int, first long, n_ids int, doc_ids array<long>, offsets array<long>, bits binary"
 
 
@@ -60,7 +60,9 @@ class Encoder:
     """Ids of a text, word by word.
 
     The tokenizer drops white space and never joins what it separates, so the ids of a text are
-    those of its words; each distinct word is tokenised once while it is remembered.
+    those of its words.  A word that ends in sentence marks after a letter or digit has the ids of
+    both parts, and ASCII letters are lower-cased by the tokenizer anyway, so most words lead to one
+    that is known.  Words are remembered in two generations: what is used again stays.
     """
 
     def __init__(self, path: str):
@@ -70,21 +72,42 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _recall(self, words: set[bytes]) -> set[bytes]:
+        """Words that are not remembered; those of the old generation become young again."""
+        new = words - self.young.keys()
+        again = new & self.old.keys()
+        for w in again:
+            self.young[w] = self.old[w]
+        return new - again
 
     def encode(self, texts: list) -> list[bytes]:
         """Little-endian 32-bit ids per text."""
         lists = [split_words(t) for t in texts]
-        new = {w for ws in lists for w in ws} - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = {w for ws in lists for w in ws}
-        fresh = list(new)
+        words = {w for ws in lists for w in ws}
+        if len(self.young) + len(words) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        new = self._recall(words)
+        parts = {w: _parts(w) for w in new}
+        fresh = list(self._recall({x for xy in parts.values() for x in xy if x}))
         for at in range(0, len(fresh), 10_000):
             part = fresh[at : at + 10_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in lists]
+                self.young[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for w, (core, tail) in parts.items():
+            self.young[w] = self.young[core] + self.young[tail] if tail else self.young[core]
+        return [b"".join(map(self.young.__getitem__, ws)) for ws in lists]
+
+
+def _parts(word: bytes) -> tuple[bytes, bytes]:
+    """A word without its closing sentence marks, in lower case if it is ASCII letters, and the marks."""
+    core = word.rstrip(b".,;:!?")
+    end = core[-1:]
+    if core != word and not (end.isalnum() or end > b"\x7f" and core.decode("utf-8", "surrogatepass")[-1].isalpha()):
+        return word, b""
+    return (core.lower() if core.isalpha() else core), word[len(core) :]
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -265,3 +265,15 @@ def test_alignment_and_winnowing():
     assert set(winnow(grams, 4).tolist()) == want
 
 
+
+
+def test_encoding_remembers_and_forgets(rows, monkeypatch):
+    """Tiny generations: what is forgotten is tokenised again, with the same ids."""
+    import filamet.llm.token_file as f
+
+    monkeypatch.setattr(f, "REMEMBERED", 40)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, e = Tokenizer.from_file(path), f.Encoder(path)
+    texts = [r[1] for r in rows] + ["End). (x)? foo!? 3.5, 7; é! ».. it's. <|endoftext|>. <|ENDOFTEXT|>! ... a.b."]
+    for x in texts + texts[:20]:
+        assert np.frombuffer(e.encode([x])[0], dtype="<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids
