@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from filamet.llm.shared import ID, TEXT, rows, split_words
 
 BLOCK_IDS = 1 << 16
-REMEMBERED = 250_000  # words per generation
+REMEMBERED = 150_000  # words per generation; some 30 MB each
 SCHEMA = "shard int, block int, first long, n_ids int, doc_ids array<long>, offsets array<long>, bits binary"
 
 
