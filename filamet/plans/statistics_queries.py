@@ -130,7 +130,7 @@ def a29(spark, sf):
     return g.select("image_id", "fiber_id", "group")
 
 
-REPLICATES = 100
+REPLICATES = 1000
 
 
 @query("a26_hierarchical_bootstrap", f"""

@@ -106,6 +106,36 @@ def test_bootstrap_interval(spark):
     assert r.ci_lower <= r.bootstrap_mean <= r.ci_upper and r.replicates == 30
 
 
+def test_bootstrap_query_draws_all_replicates(spark, tmp_path):
+    from hashlib import md5
+
+    from filamet.plans import catalog
+
+    rng = np.random.default_rng(2)
+    rows = [(i, n, 20 * i + f, i, "A", "F", float(rng.integers(20_000, 80_000)), 1.0, 0.0, 0.0, None) for i in (1, 2, 3) for f in range(3) for n in range(1, 3 + f)]
+    names = ("orderkey", "linenumber", "partkey", "suppkey", "returnflag", "linestatus", "extendedprice", "quantity", "discount", "tax", "shipdate")
+    kinds = ("long", "int", "long", "long", "string", "string", "double", "double", "double", "double", "date")
+    spark.createDataFrame(rows, ", ".join(f"l_{n} {k}" for n, k in zip(names, kinds, strict=True))).write.parquet(f"{tmp_path}/lineitem.parquet")
+
+    tree: dict = {}
+    for o, n, p, s, *_, price, _, _, _, _ in rows:
+        tree.setdefault(s, {}).setdefault(p % 20, []).append((price / 997, f"{o}-{n}-{p}-{s}"))
+    images = [[[v for v, _ in sorted(sections)] for _, sections in sorted(fibers.items())] for _, fibers in sorted(tree.items())]
+    draw = lambda n, *path: int(md5("|".join(map(str, (42, *path))).encode()).hexdigest()[:8], 16) % n
+    medians = []
+    for k in range(1, 1001):
+        found = []
+        for i in range(1, len(images) + 1):
+            fibers = images[draw(len(images), k, i)]
+            for f in range(1, len(fibers) + 1):
+                sections = fibers[draw(len(fibers), k, i, f)]
+                found.append(np.median([sections[draw(len(sections), k, i, f, x)] for x in range(1, len(sections) + 1)]))
+        medians.append(np.median(found))
+    got = catalog.QUERIES["a26_hierarchical_bootstrap"](spark, str(tmp_path)).first()
+    assert got.replicates == 1000
+    assert (got.bootstrap_mean, got.ci_lower, got.ci_upper) == pytest.approx((np.mean(medians), *np.percentile(medians, [2.5, 97.5])), abs=1e-6)
+
+
 def test_fragments(spark):
     # gap after the third sample, one unusable sample later on
     s = [0, 1, 2, 10, 11, 12, 13, 14, 15, 16]
