@@ -2,8 +2,9 @@
 
 Templates are reduced to lower-case words.  Of every ``SPAN`` consecutive 3-word hashes the least is
 kept (winnowing), so a passage and a template that share a run of ``SPAN + 2`` words share a
-fingerprint; templates too short for that keep all their hashes.  The inverted index from
-fingerprint to (template, position) is as small as the templates and travels with the tasks.
+fingerprint.  In templates of up to ``SHORT`` words few edits break every such run; if a passage may
+lack k words of them, k + 1 single words are indexed instead, of which it must hold one.  The inverted
+index from fingerprint to (template, position) is as small as the templates and travels with the tasks.
 
 Hits of a text are grouped by template and diagonal; each group is aligned by a banded dynamic
 program over words around that diagonal, which gives the matched share of the template (coverage)
@@ -13,7 +14,7 @@ and the first and last word of the match in the text.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -26,6 +27,7 @@ from filamet.llm.shared import windows as window_hashes
 
 GRAM = 3
 SPAN = 4
+SHORT = 24
 BAND = 8
 LEAST_COVERAGE = 0.8
 
@@ -103,22 +105,33 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND)
 class Index:
     """Inverted index of winnowed template fingerprints."""
 
-    def __init__(self, templates: Mapping[str, str]):
+    def __init__(self, templates: Mapping[str, str], least: float = LEAST_COVERAGE):
         self.names = sorted(templates)
         self.words = [hash_words(tokens(templates[n])) for n in self.names]
+        # fewest matched words of a passage
+        self.need = [next((m for m in range(1, len(h) + 1) if m >= least * len(h)), len(h) + 1) for h in self.words]
         self.posting: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.widths = set()
+        common = Counter(w for h in self.words for w in set(h.tolist()))
         for t, h in enumerate(self.words):
-            grams = window_hashes(h, GRAM) if len(h) >= GRAM else window_hashes(h, max(1, len(h)))
-            # a short template must be found whole, so all of it is indexed; texts are read at every position
-            for p in winnow(grams).tolist():
+            if len(h) > SHORT:
+                width, at = GRAM, winnow(window_hashes(h, GRAM)).tolist()
+            else:
+                # words of few templates first, then long ones: they are the rarest in texts
+                text = tokens(templates[self.names[t]])
+                rare = sorted(range(len(h)), key=lambda p: (common[int(h[p])], -len(text[p]), p))
+                width, at = 1, rare[: len(h) - self.need[t] + 1]
+            self.widths.add(width)
+            grams = window_hashes(h, width)
+            for p in at:
                 self.posting[int(grams[p])].append((t, p))
         self.keys = np.array(sorted(self.posting), dtype=np.uint64)
 
-    def matches(self, text: str | None, least: float = LEAST_COVERAGE) -> list[tuple[str, float, int, int]]:
+    def matches(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(template, coverage, first word, end word) of every passage, best first; passages do not overlap."""
         h = hash_words(tokens(text))
         hits: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for width in {GRAM} | {len(w) for w in self.words if 0 < len(w) < GRAM}:
+        for width in self.widths:
             grams = window_hashes(h, width)
             if not len(grams) or not len(self.keys):
                 continue
@@ -130,7 +143,7 @@ class Index:
         for (t, _), shifts in hits.items():
             shift = sorted(shifts)[len(shifts) // 2]
             m, first, end = align(self.words[t], h, shift)
-            if m >= least * len(self.words[t]):
+            if m >= self.need[t]:
                 found.add((-m, first, end, t))
         out: list[tuple[str, float, int, int]] = []
         for m, first, end, t in sorted(found):
@@ -147,12 +160,12 @@ def license_scan(docs: DataFrame, templates: Mapping[str, str] | None = None, *,
     ids keep theirs; repeated rows repeat theirs; a template without words never matches.  Templates
     are few and given in code.  Other columns are ignored.
     """
-    index = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates))
+    index = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates, least_coverage))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
         for batch in batches:
-            out = [(i, *hit) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in own.matches(t, least_coverage)]
+            out = [(i, *hit) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in own.matches(t)]
             if out:
                 ids, names, coverage, first, end = zip(*out, strict=True)
                 matched = [round(c * len(own.words[own.names.index(n)])) for c, n in zip(coverage, names, strict=True)]

@@ -254,6 +254,26 @@ def test_license_edited():
     assert abs(hits[0][1] - (len(tokens(TEMPLATES["MIT"])) - 3) / len(tokens(TEMPLATES["MIT"]))) < 1e-9
 
 
+def test_short_licenses_edited():
+    """Every change of as many words as the coverage bar allows, and words put in anywhere, in every short template."""
+    from itertools import combinations
+
+    from filamet.llm.license_scan import LEAST_COVERAGE, TEMPLATES, tokens
+
+    index = Index(TEMPLATES)
+    for name in ("Apache-2.0-short", "MIT-short", "GPL-3.0-short", "CC-BY-NC-4.0-short"):
+        words = [w.decode() for w in tokens(TEMPLATES[name])]
+        most = max(k for k in range(len(words)) if len(words) - k >= LEAST_COVERAGE * len(words))
+        for k in range(1, most + 1):
+            for gone in combinations(range(len(words)), k):
+                text = " ".join(["some", "intro", *("changed" if i in gone else w for i, w in enumerate(words)), "and", "an", "end"])
+                hits = index.matches(text)
+                assert [(h[0], round(h[1] * len(words))) for h in hits] == [(name, len(words) - k)], text
+        for at in combinations(range(1, len(words)), 2):
+            text = " ".join(("new " if i in at else "") + w for i, w in enumerate(words))
+            assert index.matches(text) == [(name, 1.0, 0, len(words) + 2)], text
+
+
 def test_alignment_and_winnowing():
     a = np.array([1, 2, 3, 4, 5], dtype=np.uint64)
     assert align(a, np.array([9, 9, 1, 2, 8, 3, 5], dtype=np.uint64), 2) == (4, 2, 7)
