@@ -6,16 +6,19 @@ fingerprint.  In templates of up to ``SHORT`` words few edits break every such r
 lack k words of them, k + 1 single words are indexed instead, of which it must hold one.  The inverted
 index from fingerprint to (template, position) is as small as the templates and travels with the tasks.
 
-Hits of a text are grouped by template and diagonal; each group is aligned by a banded dynamic
-program over words around that diagonal, which gives the matched share of the template (coverage)
-and the first and last word of the match in the text.
+Each diagonal with a hit (of a long template one of every ``BAND``) is aligned by a banded dynamic
+program over words around it, which gives the matched share of the template (coverage) and the first
+and last word of the match in the text.  The best passage is taken, and the others are aligned again
+in the rest of the text, so that each of several copies in a row gets its row.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -77,28 +80,29 @@ def winnow(grams: np.ndarray, span: int = SPAN) -> np.ndarray:
     return np.unique(n - 1 - (np.arange(n - span + 1) + view.argmin(axis=1)))
 
 
-def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
+def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND, within: tuple[int, int] | None = None) -> tuple[int, int, int]:
     """Longest common subsequence of words within ``band`` of a diagonal: (matched, first, end) in the text.
 
-    ``shift`` is text position minus template position.  Of equal lengths the earliest end counts.
+    ``shift`` is text position minus template position; only the words ``within`` (from, end) count.
+    Of equal lengths the one nearest to the diagonal counts, then the earliest.
     """
+    low, high = (0, len(text)) if within is None else within
+    start = max(low, shift - band)
+    words = text[start : max(start, min(high, shift + len(template) + band))].tolist()
     width = 2 * band + 1
-    best = [(0, 0, 0)] * width  # (matched, -first, -end): larger is better
-    for i in range(len(template)):
-        row: list[tuple[int, int, int]] = [(0, 0, 0)] * width
+    none = (0, 0, 0, 0)
+    best = [none] * width  # (matched, -words off the diagonal, -first, -end): larger is better
+    for i, w in enumerate(template.tolist()):
+        row = []
         for d in range(width):
+            here = max(best[d + 1] if d + 1 < width else none, row[d - 1] if d else none)
             j = i + shift + d - band
-            if not 0 <= j < len(text):
-                # the cells beside the text keep what was reached before
-                row[d] = max(best[d + 1] if d + 1 < width else (0, 0, 0), row[d - 1] if d and j >= len(text) else (0, 0, 0))
-                continue
-            here = max(best[d + 1] if d + 1 < width else (0, 0, 0), row[d - 1] if d else (0, 0, 0))
-            if template[i] == text[j]:
-                m, first, _ = best[d]
-                here = max(here, (m + 1, first if m else -j, -(j + 1)))
-            row[d] = here
+            if start <= j < start + len(words) and w == words[j - start]:
+                m, off, first, _ = best[d]
+                here = max(here, (m + 1, off - abs(d - band), first if m else -j, -(j + 1)))
+            row.append(here)
         best = row
-    m, first, end = max(best)
+    m, _, first, end = max(best)
     return m, -first, -end
 
 
@@ -127,10 +131,9 @@ class Index:
                 self.posting[int(grams[p])].append((t, p))
         self.keys = np.array(sorted(self.posting), dtype=np.uint64)
 
-    def matches(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(template, coverage, first word, end word) of every passage, best first; passages do not overlap."""
-        h = hash_words(tokens(text))
-        hits: dict[tuple[int, int], set[int]] = defaultdict(set)
+    def _shifts(self, h: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(template, shift) of the diagonals to align: all of a short template, one of every BAND of a long one."""
+        hits: dict[int, set[int]] = defaultdict(set)
         for width in self.widths:
             grams = window_hashes(h, width)
             if not len(grams) or not len(self.keys):
@@ -138,17 +141,70 @@ class Index:
             at = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
             for j in np.flatnonzero(self.keys[at] == grams).tolist():
                 for t, p in self.posting[int(grams[j])]:
-                    hits[t, (j - p) // BAND].add(j - p)
-        found = set()
-        for (t, _), shifts in hits.items():
-            shift = sorted(shifts)[len(shifts) // 2]
-            m, first, end = align(self.words[t], h, shift)
+                    hits[t].add(j - p)
+        for t, found in hits.items():
+            size = len(self.words[t])
+            shifts = np.array(sorted(found))
+            # words of the template in the band around a diagonal: no more than these can match
+            held = np.concatenate([[0], np.cumsum(np.isin(h, self.words[t]))])
+            shifts = shifts[held[np.minimum(shifts + size + BAND, len(h))] - held[np.maximum(shifts - BAND, 0)] >= self.need[t]]
+            while len(shifts):
+                near = 1 if size <= SHORT else int(np.searchsorted(shifts, shifts[0] + BAND, "right"))
+                yield t, int(shifts[near // 2])
+                shifts = shifts[near:]
+
+    def matches(self, text: str | None) -> list[tuple[str, float, int, int]]:
+        """(template, coverage, first word, end word) of every passage, best first; passages do not overlap.
+
+        The best alignment is taken and its words are covered; what overlaps it is aligned again in
+        the uncovered rest, until nothing is left.
+        """
+        h = hash_words(tokens(text))
+        shifts = defaultdict(list)
+        heap: list[tuple[int, int, int, int, int, int, bool]] = []
+        covered: list[tuple[int, int]] = []  # in the order of the text
+
+        def put(t: int, shift: int, band: int, low: int, high: int) -> None:
+            m, first, end = align(self.words[t], h, shift, band, (low, high))
             if m >= self.need[t]:
-                found.add((-m, first, end, t))
+                heappush(heap, (-m, end - first, first, end, t, shift, band < BAND))
+
+        for t, shift in self._shifts(h):
+            shifts[t].append(shift)
+            put(t, shift, BAND, 0, len(h))
         out: list[tuple[str, float, int, int]] = []
-        for m, first, end, t in sorted(found):
-            if all(end <= a or b <= first for _, _, a, b in out):
-                out.append((self.names[t], -m / len(self.words[t]), first, end))
+        while heap:
+            m, span, first, end, t, shift, tight = heappop(heap)
+            at = bisect_left(covered, (first, first))
+            if at and covered[at - 1][1] > first or at < len(covered) and covered[at][0] < end:
+                # the gaps that the band reaches
+                low, high = shift - BAND, shift + len(self.words[t]) + BAND
+                at = max(0, bisect_left(covered, (low, low)) - 1)
+                begin = covered[at - 1][1] if at else 0
+                while begin < min(high, len(h)):
+                    stop = covered[at][0] if at < len(covered) else len(h)
+                    if stop - begin >= self.need[t] and stop > low:
+                        put(t, shift, BAND, begin, stop)
+                    begin, at = covered[at][1] if at < len(covered) else len(h), at + 1
+                continue
+            if span >= 2 * self.need[t] and not tight:
+                parts = self._parts(t, h, shifts[t], first, end)
+                if len(parts) > 1:
+                    for k, a, b, s in parts:
+                        heappush(heap, (-k, b - a, a, b, t, s, True))
+                    continue
+            insort(covered, (first, end))
+            out.append((self.names[t], -m / len(self.words[t]), first, end))
+        return out
+
+    def _parts(self, t: int, h: np.ndarray, shifts: list[int], first: int, end: int) -> list[tuple[int, int, int, int]]:
+        """Disjoint passages of a template within a wide one, each near its own diagonal: (matched, first, end, shift)."""
+        band = min(BAND - 1, len(self.words[t]) // 2)
+        near = [(*align(self.words[t], h, s, band, (first, end)), s) for s in shifts if first - len(self.words[t]) < s < end]
+        out: list[tuple[int, int, int, int]] = []
+        for k, a, b, s in sorted(near, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+            if k >= self.need[t] and all(b <= x[1] or x[2] <= a for x in out):
+                out.append((k, a, b, s))
         return out
 
 

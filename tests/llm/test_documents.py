@@ -274,6 +274,27 @@ def test_short_licenses_edited():
             assert index.matches(text) == [(name, 1.0, 0, len(words) + 2)], text
 
 
+def test_repeated_licenses():
+    """Every copy of a notice is a passage: in a row, edited, among other notices."""
+    from filamet.llm.license_scan import TEMPLATES, tokens
+
+    index = Index(TEMPLATES)
+    spans = lambda text: sorted((h[2], h[3], h[0]) for h in index.matches(text))
+    sizes = {name: len(tokens(t)) for name, t in TEMPLATES.items()}
+    for name, size in sizes.items():
+        for k in (2, 3, 9):
+            assert spans(" ".join([TEMPLATES[name]] * k)) == [(i * size, (i + 1) * size, name) for i in range(k)]
+    mit = "MIT-short"
+    assert spans("Released the MIT License. Released under the MIT License.") == [(0, 4, mit), (4, 9, mit)]
+    assert spans("Released under the MIT Licence. Release under the MIT License.") == [(0, 4, mit), (6, 10, mit)]
+    assert spans("Released under the new and improved MIT License.") == [(0, 8, mit)]
+    at, text, want = 0, [], []
+    for name in [mit, "Apache-2.0-short", mit, "MIT", "CC-BY-NC-4.0-short", "CC-BY-NC-4.0-short", "GPL-3.0-short", "Apache-2.0", "Apache-2.0-short"] * 2:
+        text.append(TEMPLATES[name])
+        want.append((at, at := at + sizes[name], name))
+    assert spans("\n".join(text)) == want
+
+
 def test_alignment_and_winnowing():
     a = np.array([1, 2, 3, 4, 5], dtype=np.uint64)
     assert align(a, np.array([9, 9, 1, 2, 8, 3, 5], dtype=np.uint64), 2) == (4, 2, 7)
