@@ -1,8 +1,8 @@
 """URL filter: host and path rules first, else a tree of path templates.  DataFrame functions only.
 
 Paths become templates level by level.  Numbers are written ``{n}`` at once.  Below each node of a
-host's tree, a segment stays as it is if it carries a fair share of the node's pages; all others are
-variable and generalise to ``*``.  Good and bad labels are counted per template.  Sibling templates
+host's tree, a segment stays as it is if it carries a fair share of the node's pages, or labels enough
+to be tested by itself however large the node; all others are variable and generalise to ``*``.  Good and bad labels are counted per template.  Sibling templates
 whose good rate does not differ from that of all siblings (two-sided z below ``similar``) are merged
 into one branch and judged together.  A branch is rejected if its smoothed purity, the good rate
 drawn towards the host's and that towards the overall rate, is below ``least_purity``.
@@ -13,14 +13,15 @@ Everything after the first aggregation works on distinct shapes of paths, with c
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filamet.llm.shared import ascii_lower, stored
 
-DEPTH = 4
 LEAST_SHARE = 0.02
+LEAST_LABELS = 30  # a rate of so many is near enough to normal for the z test
 SIMILAR = 2.0
 PRIOR = 10.0
 LEAST_PURITY = 0.6
@@ -47,29 +48,42 @@ def first_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Colum
 
 
 def segments(path: Column) -> Column:
-    """First DEPTH segments with numbers as {n}; deeper ones count as one."""
-    parts = F.split(F.regexp_replace(F.regexp_replace(path, "^/", ""), "[0-9]+", "{n}"), "/", DEPTH)
-    return parts
+    """All segments, with numbers as {n}."""
+    return F.split(F.regexp_replace(F.regexp_replace(path, "^/", ""), "[0-9]+", "{n}"), "/")
 
 
 def _templates(shapes: DataFrame) -> DataFrame:
-    """(host, segs) with counts -> adds template and parent."""
-    rows = shapes.select("host", "segs", "pages", F.lit("").alias("at"), F.lit("").alias("parent"))
-    for k in range(DEPTH):
-        seg = F.get("segs", F.lit(k))
-        here = rows.withColumn("seg", seg)
-        child = here.where("seg is not null").groupBy("host", "at", "seg").agg(F.sum("pages").alias("n"))
-        total = child.groupBy("host", "at").agg(F.sum("n").alias("all"))
-        fixed = child.join(total, ["host", "at"]).where(F.col("n") >= F.greatest(F.lit(2), F.col("all") * LEAST_SHARE)).select("host", "at", "seg", F.lit(1).alias("fixed"))
-        step = here.join(fixed, ["host", "at", "seg"], "left")
-        name = F.concat("at", F.lit("/"), F.when(F.col("fixed") == 1, F.col("seg")).otherwise("*"))
-        rows = step.select("host", "segs", "pages", F.when(F.col("seg").isNull(), F.col("parent")).otherwise(F.col("at")).alias("parent"), F.when(F.col("seg").isNull(), F.col("at")).otherwise(name).alias("at"))
-    return rows.select("host", "segs", F.col("at").alias("template"), "parent")
+    """(host, segs) with counts -> adds template and parent.
+
+    One level after the other, until no path has a further segment; a shape alone below its node is
+    named to its end at once, as all its segments have the same counts.
+    """
+    rows = shapes.select("host", "segs", "pages", "labelled", F.lit("").alias("at"))
+    done: list[DataFrame] = []
+    k = 0
+    while True:
+        here = rows.withColumn("seg", F.get("segs", F.lit(k)))
+        child = here.groupBy("host", "at", "seg").agg(F.sum("pages").alias("n"), F.sum("labelled").alias("marks"), F.count(F.lit(1)).alias("shapes"))
+        total = child.groupBy("host", "at").agg(F.sum("n").alias("all"), F.sum("shapes").alias("below"))
+        fixed = (F.col("n") >= F.greatest(F.lit(2), F.col("all") * LEAST_SHARE)) | (F.col("marks") >= LEAST_LABELS)
+        known = child.join(total, ["host", "at"]).select("host", "at", "seg", fixed.alias("fixed"), (F.col("below") == 1).alias("alone")).where("fixed or alone")
+        step = here.join(known, ["host", "at", "seg"], "left").withColumns({"fixed": F.coalesce("fixed", F.lit(False)), "alone": F.coalesce("alone", F.lit(False))})
+        upto = F.when(F.col("alone"), F.size("segs")).otherwise(k + 1)
+        rest = F.slice("segs", F.lit(k + 1), upto - k)
+        names = F.when(F.col("fixed"), rest).otherwise(F.transform(rest, lambda x: F.lit("*")))
+        joined = lambda parts: F.concat("at", F.concat_ws("", F.transform(parts, lambda x: F.concat(F.lit("/"), x))))
+        level = step.select("host", "segs", "pages", "labelled", joined(names).alias("template"), joined(F.slice(names, F.lit(1), upto - k - 1)).alias("parent"), (upto == F.size("segs")).alias("over"))
+        level = stored(level, "url-level")
+        done.append(level.where("over").select("host", "segs", "template", "parent"))
+        rows = level.where("not over").select("host", "segs", "pages", "labelled", F.col("template").alias("at"))
+        if rows.isEmpty():
+            return reduce(DataFrame.unionAll, done)
+        k += 1
 
 
 def template_verdicts(shapes: DataFrame) -> DataFrame:
     """(host, segs, pages, good, labelled) -> (host, segs, template, purity, verdict)."""
-    named = stored(_templates(shapes), "url-templates")
+    named = _templates(shapes)
     counts = shapes.join(named, ["host", "segs"]).groupBy("host", "parent", "template").agg(F.sum("good").alias("good"), F.sum("labelled").alias("n"))
     siblings = counts.groupBy("host", "parent").agg(F.sum("good").alias("pg"), F.sum("n").alias("pn"))
     tested = counts.join(siblings, ["host", "parent"])

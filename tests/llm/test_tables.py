@@ -197,6 +197,17 @@ def test_url_templates(spark):
     assert url_filter(pages.where("false"), known, RULES).count() == 0
 
 
+def test_url_sections_of_a_hot_host(spark):
+    """A bad section with labels enough is judged by itself, however small its share and however deep it parts."""
+    letter = lambda i: f"{chr(97 + i // 26)}{chr(97 + i % 26)}"
+    rows = [(i, f"http://hot.org/sec-{letter(i % 60)}/title-{letter(i // 60)}", i % 60 != 7) for i in range(2400)]
+    rows += [(3000 + i, f"http://deep.org/a/b/c/d/{'bad' if i % 4 == 0 else 'good'}/title-{letter(i)}", i % 4 > 0) for i in range(240)]
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    known = spark.createDataFrame([(i, int(good)) for i, _, good in rows], "key long, good int")
+    got = {r["page_id"]: r["verdict"] for r in url_filter(pages, known, []).collect()}
+    assert got == {i: "allow" if good else "block" for i, _, good in rows}
+
+
 # -- mixing -------------------------------------------------------------------------------------
 
 
