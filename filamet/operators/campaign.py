@@ -106,11 +106,11 @@ def review_queue(cases: DataFrame, results: DataFrame, previous: DataFrame, grid
     )
 
 
-def next_numbers(existing: DataFrame, ident: str, prefix: str, *, stored: int = 1) -> DataFrame:
-    """One row: the next free number, above the highest used suffix and the stored counter."""
+def next_numbers(existing: DataFrame, ident: str, prefix: str, *, stored: int = 1, keys: Sequence[str] = ()) -> DataFrame:
+    """One row, or one per ``keys``: the next free number, above the highest used suffix and the stored counter."""
     used = F.regexp_extract(F.col(ident), f"^{prefix}([0-9]+)$", 1)
-    top = existing.agg(F.max(F.when(used != "", used.cast("long"))).alias("_top"))
-    return top.select(F.greatest(F.lit(stored).cast("long"), F.coalesce(F.col("_top"), F.lit(0)) + 1).alias("next"))
+    top = existing.groupBy(*keys).agg(F.max(F.when(used != "", used.cast("long"))).alias("_top"))
+    return top.select(*keys, F.greatest(F.lit(stored).cast("long"), F.coalesce(F.col("_top"), F.lit(0)) + 1).alias("next"))
 
 
 def assign_ids(new: DataFrame, first: DataFrame, order: Sequence[str], bucket: Column, fmt: str, name: str) -> DataFrame:

@@ -323,8 +323,8 @@ def j16(spark, sf):
 def w06(spark, sf):
     k = c("o_orderkey")
     o = bind.table(spark, sf, "orders").where(c("o_orderstatus") == "F")
-    ids = o.select(F.when(k % 7 == 0, F.concat(LIT("MX"), k)).otherwise(F.format_string("M%04d", k)).alias("measurement_id"))
-    return C.next_numbers(ids, "measurement_id", "M").select(LIT("F").alias("o_orderstatus"), "next")
+    ids = o.select("o_orderstatus", F.when(k % 7 == 0, F.concat(LIT("MX"), k)).otherwise(F.format_string("M%04d", k)).alias("measurement_id"))
+    return C.next_numbers(ids, "measurement_id", "M", keys=["o_orderstatus"])
 
 
 @query("j17_calibration_audit", """

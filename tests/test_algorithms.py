@@ -136,6 +136,16 @@ def test_bootstrap_query_draws_all_replicates(spark, tmp_path):
     assert (got.bootstrap_mean, got.ci_lower, got.ci_upper) == pytest.approx((np.mean(medians), *np.percentile(medians, [2.5, 97.5])), abs=1e-6)
 
 
+def test_next_numbers_per_project(spark):
+    from filamet.operators.campaign import next_numbers
+
+    ids = spark.createDataFrame([("F", "M0007"), ("F", "M0003"), ("O", "M12345"), ("O", "MX99999"), ("P", "MX1"), (None, "M0002")], "project string, id string")
+    got = {r["project"]: r["next"] for r in next_numbers(ids, "id", "M", keys=["project"]).collect()}
+    assert got == {"F": 8, "O": 12346, "P": 1, None: 3}
+    assert [tuple(r) for r in next_numbers(ids, "id", "M").collect()] == [(12346,)]
+    assert [tuple(r) for r in next_numbers(ids.where("false"), "id", "M", stored=5).collect()] == [(5,)]
+
+
 def test_fragments(spark):
     # gap after the third sample, one unusable sample later on
     s = [0, 1, 2, 10, 11, 12, 13, 14, 15, 16]
