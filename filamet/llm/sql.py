@@ -94,3 +94,55 @@ k AS (SELECT d.*, whole, rest, md5('17:' || whole || ':' || coalesce(doc_id::VAR
 t AS (SELECT *, whole + CASE WHEN coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < rest THEN 1 ELSE 0 END AS times FROM k)
 SELECT doc_id, domain, lang, source, CAST(unnest(range(CAST(times AS BIGINT))) AS INTEGER) AS epoch, tokens AS n_tokens FROM t
 """
+
+
+# crc32 of the decimal id: bytes folded one by one, eight shifts each
+_CRC = "xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda s, b: list_reduce(range(8), lambda v, k: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END), xor(s, b)), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"
+
+
+def _merkle(levels: int = 5) -> str:
+    """Trees of up to 16**levels leaves: per level, runs of 16 in order, the path's place in its run kept."""
+    cell = lambda c: f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(cell, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    parts = [
+        f"d AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {_CRC} % 5 = 0 THEN {leaf(LOWER_TEXT)} END AS claim FROM documents)",
+        "s0 AS (SELECT source AS g, leaf AS h, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM d)",
+        "b0 AS (SELECT doc_id, source AS g, leaf, coalesce(claim, leaf) AS fold, '' AS sib, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM d)",
+    ]
+
+    def climb(tree: str, base: str, keep: str) -> None:
+        for k in range(levels):
+            parts.append(f"{tree}r{k} AS (SELECT g, i // 16 AS r, list(h ORDER BY i) AS hs, any_value(n) AS n FROM {tree}{k} GROUP BY g, i // 16)")
+            parts.append(f"{tree}{k + 1} AS (SELECT g, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h, r AS i, (n + 15) // 16 AS n FROM {tree}r{k})")
+            left, right = f"array_to_string(hs[1 : b.i % 16], '')", "array_to_string(hs[b.i % 16 + 2 : 16], '')"
+            parts.append(f"{base}{k + 1} AS (SELECT {keep}, CASE WHEN b.n = 1 THEN fold ELSE sha256({left} || fold || {right}) END AS fold, CASE WHEN b.n = 1 THEN sib ELSE sib || {left} || {right} END AS sib, b.i // 16 AS i, (b.n + 15) // 16 AS n FROM {base}{k} b JOIN {tree}r{k} t ON b.g IS NOT DISTINCT FROM t.g AND b.i // 16 = t.r)")
+
+    climb("s", "b", "doc_id, b.g, leaf")
+    parts.append(f"t0 AS (SELECT 1 AS g, h, row_number() OVER (ORDER BY encode(g) NULLS FIRST) - 1 AS i, count(*) OVER () AS n, g AS name FROM s{levels})")
+    parts.append(f"c0 AS (SELECT doc_id, b.g AS name, leaf, t.h AS subroot, fold, sib, t.i, t.n, 1 AS g FROM b{levels} b JOIN t0 t ON b.g IS NOT DISTINCT FROM t.name)")
+    climb("t", "c", "doc_id, leaf, subroot, b.g")
+    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, leaf, subroot, h AS root, sha256(sib) AS proof_sha256, fold AS folded_root, fold = h AS verified FROM c{levels} CROSS JOIN (SELECT h FROM t{levels})"
+
+
+LOWER_TEXT = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+MERKLE_MANIFEST = _merkle()
+
+# runs are stretches of word pairs p apart: 16-word windows that return p words later, one after another
+PERIODIC_RUNS = rf"""
+WITH raw AS (SELECT doc_id, {WORDS} AS w, {_CRC} AS h FROM documents),
+laid AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM raw),
+d AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) ELSE w END AS w FROM laid),
+win AS (SELECT doc_id, p, hash(array_to_string(w[p + 1 : p + 16], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(0, len(w) - 15)) AS p FROM d)),
+twice AS (SELECT doc_id, s FROM win GROUP BY ALL HAVING count(*) > 1),
+few AS (SELECT win.* FROM win JOIN twice USING (doc_id, s)),
+pair AS (SELECT x.doc_id, x.p, y.p - x.p AS q FROM few x JOIN few y ON x.doc_id = y.doc_id AND x.s = y.s AND x.p < y.p),
+island AS (SELECT doc_id, q, p, p - row_number() OVER (PARTITION BY doc_id, q ORDER BY p) AS k FROM pair),
+stretch AS (SELECT doc_id, q, min(p) AS s, max(p) + q + 16 AS e FROM island GROUP BY doc_id, q, k),
+run AS (SELECT doc_id, s AS start, e - s AS length, min(q) AS period FROM stretch WHERE e - s >= greatest(24, 3 * q) GROUP BY doc_id, s, e),
+per AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM run GROUP BY doc_id),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS k FROM run),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(start + period, start + length)) AS p FROM run) GROUP BY doc_id),
+kept AS (SELECT d.doc_id, array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i - 1)) END, ' ') AS k FROM d LEFT JOIN gone USING (doc_id))
+SELECT kept.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(kept.k) AS collapsed_sha256
+FROM kept LEFT JOIN per USING (doc_id) LEFT JOIN (SELECT * FROM best WHERE k = 1) b USING (doc_id)
+"""
