@@ -4,69 +4,117 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filamet.functions.geometry import point_in_polygon
-from filamet.operators.groups import agg, join_groups
 from filamet.session import stored
 
-GROWTH = 4.0
+#: places that a leaf may hold, and cells per side of the grid that splits a larger node
 CROWD = 64
-SMALLEST = 1e-6
+FAN = 8
+ROOT = 1
+MAX_DEPTH = 9  # a path keeps FAN * FAN numbers per level in a long
 
 
 def nearest(
-    queries: DataFrame, refs: DataFrame, keys: Sequence[str], *, order: Sequence[str], payload: Sequence[str],
-    radius: float | None = None, start: float | None = None,
+    queries: DataFrame, refs: DataFrame, keys: Sequence[str], *, order: Sequence[str], payload: Sequence[str], radius: float | None = None,
 ) -> DataFrame:
     """For every query location the nearest reference of its group (columns ``x``, ``y``).
 
     Both sides fold to distinct locations first; of references at one place the first in
-    ``order`` stays, and ``order`` also breaks ties of distance.  Each pass looks only into the
-    3 x 3 cells around a location.  A hit closer than one cell is final; the rest goes to the
-    next pass with larger cells.  The first cell size follows the group's own density and shrinks
-    until no cell holds more than CROWD references, so dense places pair with few others.
+    ``order`` stays, and ``order`` also breaks ties of distance.  The places form a tree of cells
+    (``cell_tree``).  A location first descends to the leaf that lies nearest on every level; the best
+    reference there bounds its distance.  Then it descends again into the nodes that lie within the
+    bound, of which there are few wherever it stands: none but those that could hold the answer.
     Locations and references with a null, NaN or infinite coordinate have no distance: they are
-    left out.  Every pass ends with larger cells, and a location of a group with references finds
-    one at the latest when a cell covers the group.  Returns one row per distinct location.
+    left out, as are locations of groups without references and those with none within ``radius``.
+    Returns one row per distinct location.
     """
     keys, order, payload = list(keys), list(order), list(payload)
     refs, queries = _located(refs), _located(queries)
     rank = F.struct(*order, *[p for p in payload if p not in order])
-    places = stored(refs.groupBy(*keys, "x", "y").agg(F.min(rank).alias("_ref")).withColumnsRenamed({"x": "rx", "y": "ry"}), "places")
-    extent = agg(places, keys, F.count(F.lit(1)).alias("_n"), F.min("rx").alias("_x0"), F.max("rx").alias("_x1"), F.min("ry").alias("_y0"), F.max("ry").alias("_y1"))
-    area = (F.col("_x1") - F.col("_x0") + 1e-9) * (F.col("_y1") - F.col("_y0") + 1e-9)
-    size = F.lit(start) if start is not None else F.greatest(F.lit(SMALLEST), 2 * F.sqrt(area / F.col("_n")))
+    places = stored(refs.groupBy(*keys, F.col("x").alias("rx"), F.col("y").alias("ry")).agg(F.min(rank).alias("_ref")), "places")
+    inner, leaves, depth = cell_tree(places, keys)
+    here = queries.select(*keys, "x", "y").distinct()
+    first = stored(_bounds(here, inner, leaves, depth, keys), "bounds")
     if radius is not None:
-        size = F.least(F.lit(float(radius)), size)
-    extent = _uncrowded(places, extent.select(*keys, size.alias("_s")), keys)
-    open_ = queries.select(*keys, "x", "y").distinct().join(extent, keys)
-    extent_places = places.join(extent, keys)
-    done: DataFrame | None = None
-    factor = 1.0
-    while True:
-        cell = F.col("_s") * factor if radius is None else F.least(F.col("_s") * factor, F.lit(float(radius)))
-        around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        probes = (
-            open_.withColumns({"_c": cell, "_d": F.explode(around)})
-            .withColumns({"_cx": F.floor(F.col("x") / F.col("_c")) + F.col("_d.i"), "_cy": F.floor(F.col("y") / F.col("_c")) + F.col("_d.j")})
-            .select(*keys, "x", "y", "_s", "_c", "_cx", "_cy")
-        )
-        cells = extent_places.withColumn("_c", cell).withColumns({"_cx": F.floor(F.col("rx") / F.col("_c")), "_cy": F.floor(F.col("ry") / F.col("_c"))})
-        pairs = probes.join(cells.select(*keys, "rx", "ry", "_ref", "_cx", "_cy"), [*keys, "_cx", "_cy"], "left")
-        # one table per pass: every open location with the best reference around it, if any
-        best = stored(pairs.groupBy(*keys, "x", "y", "_s", "_c").agg(
-            F.min(F.when(F.col("rx").isNotNull(), F.struct(F.sqrt((F.col("x") - F.col("rx")) * (F.col("x") - F.col("rx")) + (F.col("y") - F.col("ry")) * (F.col("y") - F.col("ry"))).alias("d"), "_ref"))).alias("_b")
-        ), "nearest")
-        hit = F.coalesce(F.col("_b.d") <= F.col("_c"), F.lit(False))
-        final = best.where(hit).select(*keys, "x", "y", F.col("_b.d").alias("distance"), *[F.col(f"_b._ref.{p}").alias(p) for p in payload])
-        done = final if done is None else done.unionByName(final)
-        left = best.where(~hit).select(*keys, "x", "y", "_s")
-        open_ = left if radius is None else left.where(F.col("_s") * factor < float(radius))
-        if open_.isEmpty():
-            return done
-        factor *= GROWTH
+        first = first.withColumn("_bound", F.least("_bound", F.lit(float(radius))))
+    found = _candidates(first, inner, depth, keys).join(leaves, [*keys, "_path"]).groupBy(*keys, "x", "y").agg(F.min(_best()).alias("_b"))
+    within = F.lit(True) if radius is None else F.col("_b.d") <= float(radius)
+    return found.where(within).select(*keys, "x", "y", F.col("_b.d").alias("distance"), *[F.col(f"_b._ref.{p}").alias(p) for p in payload])
+
+
+def _best() -> Column:
+    return F.array_min(F.transform("_places", lambda p: F.struct(_distance(p).alias("d"), p["_ref"].alias("_ref"))))
+
+
+def _bounds(here: DataFrame, inner: DataFrame, leaves: DataFrame, depth: int, keys: list[str]) -> DataFrame:
+    """Distance to the best place in the leaf that is reached through the nearest node of every level."""
+    at = here.withColumn("_path", F.lit(ROOT).cast("long"))
+    for _ in range(depth):
+        close = F.array_min(F.transform("_children", lambda n: F.struct(_gap(n).alias("d"), n["_path"].alias("p"))))["p"]
+        at = at.join(inner, [*keys, "_path"], "left").select(*keys, "x", "y", F.coalesce(close, "_path").alias("_path"))
+    return at.join(leaves, [*keys, "_path"]).select(*keys, "x", "y", _best()["d"].alias("_bound"))
+
+
+def _candidates(first: DataFrame, inner: DataFrame, depth: int, keys: list[str]) -> DataFrame:
+    """Every location with the leaves that lie within its bound."""
+    at = first.withColumn("_path", F.lit(ROOT).cast("long"))
+    for _ in range(depth):
+        near = F.transform(F.filter("_children", lambda n: _gap(n) <= F.col("_bound")), lambda n: n["_path"])
+        at = at.join(inner, [*keys, "_path"], "left").select(*keys, "x", "y", "_bound", F.explode(F.coalesce(near, F.array("_path"))).alias("_path"))
+    return at
+
+
+def _distance(p: Column) -> Column:
+    dx, dy = F.col("x") - p["rx"], F.col("y") - p["ry"]
+    return F.sqrt(dx * dx + dy * dy)
+
+
+def _gap(n: Column) -> Column:
+    """Distance to a box; never more than the distance to a place in it, also as rounded numbers."""
+    dx = F.greatest(n["_x0"] - F.col("x"), F.lit(0.0), F.col("x") - n["_x1"])
+    dy = F.greatest(n["_y0"] - F.col("y"), F.lit(0.0), F.col("y") - n["_y1"])
+    return F.sqrt(dx * dx + dy * dy)
+
+
+def cell_tree(places: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame, int]:
+    """Tree of cells over distinct places (``rx``, ``ry``, ``_ref``) of each group.
+
+    A node with more than CROWD places is split by a grid of FAN x FAN cells over the box that its
+    places fill, so a dense spot far from everything else takes one level and not many.  One pass per
+    level over the places that are not in a leaf yet.  Returns the inner nodes (``_path`` and
+    ``_children`` with path and box, FAN * FAN at most), the leaves (``_path``, ``_places``) and the
+    number of levels.  Only places that stay crowded to MAX_DEPTH share a larger leaf.
+    """
+    keys = list(keys)
+    box = [F.min("rx").alias("_x0"), F.max("rx").alias("_x1"), F.min("ry").alias("_y0"), F.max("ry").alias("_y1")]
+    rows = places.withColumn("_path", F.lit(ROOT).cast("long"))
+    inner = leaves = None
+    for depth in range(MAX_DEPTH + 1):
+        nodes = stored(rows.groupBy(*keys, "_path").agg(F.count(F.lit(1)).alias("_n"), *box), "cells")
+        if depth:
+            up = nodes.select(*keys, F.floor(F.col("_path") / FAN**2).cast("long").alias("_up"), F.struct("_path", "_x0", "_x1", "_y0", "_y1").alias("_c"))
+            level = up.groupBy(*keys, F.col("_up").alias("_path")).agg(F.collect_list("_c").alias("_children"))
+            inner = level if inner is None else inner.unionByName(level)
+        full = nodes.where((F.col("_n") > CROWD) & F.lit(depth < MAX_DEPTH))
+        small = rows.join(nodes.where((F.col("_n") <= CROWD) | F.lit(depth == MAX_DEPTH)).select(*keys, "_path"), [*keys, "_path"], "left_semi")
+        small = small.groupBy(*keys, "_path").agg(F.collect_list(F.struct("rx", "ry", "_ref")).alias("_places"))
+        leaves = small if leaves is None else leaves.unionByName(small)
+        if full.isEmpty():
+            break
+        cell = _cell("rx", "_x0", "_x1") * FAN + _cell("ry", "_y0", "_y1")
+        rows = stored(rows.join(full, [*keys, "_path"]).select(*keys, "rx", "ry", "_ref", (F.col("_path") * FAN**2 + cell).alias("_path")), "places")
+    if inner is None:
+        inner = nodes.select(*keys, "_path", F.array().cast("array<struct<_path:bigint,_x0:double,_x1:double,_y0:double,_y1:double>>").alias("_children")).limit(0)
+    return stored(inner, "nodes") if depth else inner, stored(leaves, "leaves"), depth
+
+
+def _cell(v: str, lo: str, hi: str) -> Column:
+    """Cell of a value within its box; halves are taken first so that no difference overflows."""
+    share = (F.col(v) / 2 - F.col(lo) / 2) / (F.col(hi) / 2 - F.col(lo) / 2)
+    return F.when(F.col(hi) > F.col(lo), F.least(F.lit(FAN - 1), F.floor(share * FAN))).otherwise(0).cast("long")
 
 
 def _located(df: DataFrame) -> DataFrame:
@@ -78,18 +126,6 @@ def _located(df: DataFrame) -> DataFrame:
     return df.where(ok)
 
 
-def _uncrowded(places: DataFrame, extent: DataFrame, keys: list[str]) -> DataFrame:
-    """Shrink the cell size of each group until no cell holds more than CROWD places (or it is SMALLEST)."""
-    while True:
-        cells = join_groups(places, extent, keys).groupBy(*keys, "_s", F.floor(F.col("rx") / F.col("_s")).alias("_cx"), F.floor(F.col("ry") / F.col("_s")).alias("_cy")).agg(F.count(F.lit(1)).alias("_n"))
-        most = cells.groupBy(*keys, "_s").agg(F.max("_n").alias("_m"))
-        full = (F.col("_m") > CROWD) & (F.col("_s") > SMALLEST)
-        extent = stored(most.select(*keys, F.when(full, F.col("_s") / GROWTH).otherwise(F.col("_s")).alias("_s"), full.alias("_full")), "cells")
-        if extent.where("_full").isEmpty():
-            return extent.drop("_full")
-        extent = extent.drop("_full")
-
-
 def neighbours(df: DataFrame, keys: Sequence[str], offsets: Sequence[tuple[int, int]]) -> DataFrame:
     """Every pixel joined to its present neighbours: adds ``nrow``, ``ncol``, ``dr``, ``dc``."""
     keys = list(keys)
@@ -247,7 +283,7 @@ def symmetric_displacement(left: DataFrame, right: DataFrame, keys: Sequence[str
     def one_way(a: DataFrame, b: DataFrame) -> DataFrame:
         q = a.select(*keys, F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
         ref = b.select(*keys, F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), F.lit(0).alias("o"))
-        return nearest(q, ref, keys, order=["o"], payload=["o"], start=1.0).select(*keys, "distance")
+        return nearest(q, ref, keys, order=["o"], payload=["o"]).select(*keys, "distance")
 
     return one_way(left, right).unionByName(one_way(right, left))
 

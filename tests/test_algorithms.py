@@ -200,15 +200,64 @@ def test_nearest_splits_crowded_cells(spark):
     rnd = random.Random(3)
     points = [(1, 100 + rnd.random() * 10, 100 + rnd.random() * 10, k) for k in range(3000)] + [(1, 90000.0, 90000.0, 3000)]
     r = spark.createDataFrame(points, "g int, x double, y double, p int")
-    cells = spatial._uncrowded(r.selectExpr("g", "x as rx", "y as ry"), spark.createDataFrame([(1, 3650.0)], "g int, _s double"), ["g"]).first()["_s"]
-    most = r.groupBy((r.x / cells).cast("int"), (r.y / cells).cast("int")).count().agg({"count": "max"}).first()[0]
-    assert most <= spatial.CROWD
+    places = r.selectExpr("g", "x as rx", "y as ry", "struct(p) as _ref")
+    _, leaves, depth = spatial.cell_tree(places, ["g"])
+    sizes = [len(x["_places"]) for x in leaves.collect()]
+    assert max(sizes) <= spatial.CROWD and sum(sizes) == len(points) and depth <= 3
     q = spark.createDataFrame([(1, 103.0, 104.0), (1, 50000.0, 50000.0)], "g int, x double, y double")
     for row in spatial.nearest(q, r, ["g"], order=["p"], payload=["p"]).collect():
         want = min(((row["x"] - x) ** 2 + (row["y"] - y) ** 2) ** 0.5 for _, x, y, _ in points)
         assert abs(row["distance"] - want) < 1e-9
 
 
+def _far_visits(spark, places, locations):
+    """Leaves that locations far from a dense place look into, and whether the answers are right."""
+    import random
+
+    from filamet.operators import spatial
+
+    rnd = random.Random(places)
+    points = [(1, rnd.random(), rnd.random(), k) for k in range(places)]
+    far = [(1, 1e5 + rnd.random() * 50, 1e5 + rnd.random() * 50) for _ in range(locations)]
+    r = spark.createDataFrame(points, "g int, x double, y double, p int")
+    q = spark.createDataFrame(far, "g int, x double, y double")
+    inner, leaves, depth = spatial.cell_tree(r.selectExpr("g", "x as rx", "y as ry", "struct(p) as _ref"), ["g"])
+    first = spatial._bounds(q, inner, leaves, depth, ["g"])
+    visits = spatial._candidates(first, inner, depth, ["g"]).count()
+    got = {(x["x"], x["y"]): x["distance"] for x in spatial.nearest(q, r, ["g"], order=["p"], payload=["p"]).collect()}
+    for _, x, y in far[:20]:
+        assert got[x, y] == min(((x - a) ** 2 + (y - b) ** 2) ** 0.5 for _, a, b, _ in points)
+    return visits / locations
+
+
+def test_far_locations_look_into_few_leaves(spark):
+    """500 locations far from 1000 or 8000 references in one place: the leaves each looks into hardly grow."""
+    few, many = _far_visits(spark, 1000, 500), _far_visits(spark, 8000, 500)
+    assert few < 6 and many < 8
+
+
+def test_nearest_against_force(spark):
+    """Ties, repeated places, a radius, lines of places, one place and several groups."""
+    import random
+
+    from filamet.operators import spatial
+
+    rnd = random.Random(11)
+    points = [(g, float(rnd.randrange(30)), float(rnd.randrange(30)), k) for k in range(900) for g in (1, 2)]
+    points += [(3, 5.0, float(k), k) for k in range(400)] + [(4, 1.0, 1.0, 9), (4, 1.0, 1.0, 3)]
+    locations = [(g, rnd.randrange(-20, 100) / 2, rnd.randrange(-20, 100) / 2) for _ in range(60) for g in (1, 2, 3, 4, 5)]
+    r = spark.createDataFrame(points, "g int, x double, y double, p int")
+    q = spark.createDataFrame(locations, "g int, x double, y double")
+    for radius in (None, 4.0):
+        got = {(x["g"], x["x"], x["y"]): (x["distance"], x["p"]) for x in spatial.nearest(q, r, ["g"], order=["p"], payload=["p"], radius=radius).collect()}
+        want = {}
+        for g, x, y in locations:
+            best = min(((((x - a) ** 2 + (y - b) ** 2) ** 0.5, p) for h, a, b, p in points if h == g), default=None)
+            if best and (radius is None or best[0] <= radius):
+                want[g, x, y] = best
+        assert got == want
+
+
 def test_missing_values_and_unknown_series(spark):
     import pytest
 
