@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filamet.operators.ordered import linear_bucket, linear_width, log_bucket, ordered, string_bucket
+from filamet.operators.ordered import order_bucket, ordered, with_value_bucket
 from filamet.operators.quantiles import exact_quantiles
 from filamet.session import cut_lineage
 
@@ -33,11 +33,11 @@ def hierarchical_bootstrap(df: DataFrame, image: str, fiber: str, x: str, ident:
     is ever collected.  ``image`` must be numeric; ``ident`` orders sections within a fiber.
     """
     rows = df.select(F.col(image).alias("img"), F.col(fiber).alias("fib"), F.col(x).alias("v"), F.col(ident).alias("id")).where(F.col("v").isNotNull())
-    sec = ordered(rows.withColumn("__b", log_bucket(F.col("v"))), ["img", "fib"], ["v", "id"], number="s")
+    sec = ordered(with_value_bucket(rows, ["img", "fib"], "v", ["id"]), ["img", "fib"], ["v", "id"], number="s")
     sizes = rows.groupBy("img", "fib").agg(F.count(F.lit(1)).alias("n_sec"))
-    fib = ordered(string_bucket(sizes, "fib"), ["img"], ["fib"], number="f")
+    fib = ordered(order_bucket(sizes, ["img"], ["fib"]), ["img"], ["fib"], number="f")
     per_image = fib.groupBy("img").agg(F.count(F.lit(1)).alias("n_fib"))
-    img = ordered(per_image.withColumn("__b", linear_bucket(F.col("img"), linear_width(per_image, "img"))), [], ["img"], number="i", count="n_img")
+    img = ordered(order_bucket(per_image, [], ["img"]), [], ["img"], number="i", count="n_img")
 
     # every image slot of every replicate draws an image
     plan = img.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).select("r", F.col("i").alias("si"), draw(seed, F.col("n_img"), F.col("r"), F.col("i")).alias("i"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filamet.operators.groups import agg, attach_row, join_groups
-from filamet.operators.ordered import ordered
+from filamet.operators.ordered import order_bucket, ordered
 
 
 def candidate_vs_manual(candidates: DataFrame, manual: DataFrame, keys: Sequence[str], cand: str, man: str) -> DataFrame:
@@ -113,9 +113,9 @@ def next_numbers(existing: DataFrame, ident: str, prefix: str, *, stored: int =
     return top.select(*keys, F.greatest(F.lit(stored).cast("long"), F.coalesce(F.col("_top"), F.lit(0)) + 1).alias("next"))
 
 
-def assign_ids(new: DataFrame, first: DataFrame, order: Sequence[str], bucket: Column, fmt: str, name: str) -> DataFrame:
+def assign_ids(new: DataFrame, first: DataFrame, order: Sequence[str], fmt: str, name: str) -> DataFrame:
     """Number new rows in ``order`` from the next free number on; ids are never reused."""
-    numbered = ordered(new.withColumn("__b", bucket), [], list(order), number="_n")
+    numbered = ordered(order_bucket(new, [], order), [], list(order), number="_n")
     return attach_row(numbered, first).withColumn(name, F.format_string(fmt, F.col("next") + F.col("_n") - 1)).drop("_n", "next")
 
 

@@ -4,22 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filamet.operators.ordered import log_bucket, ordered
+from filamet.operators.ordered import log_bucket, order_bucket, ordered
 from filamet.operators.quantiles import exact_quantiles
 from filamet.session import cut_lineage
 
 
-def steps(runs: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, x: str, y: str, *, lags: dict[str, str] | None = None) -> DataFrame:
+def steps(runs: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, y: str, *, lags: dict[str, str] | None = None) -> DataFrame:
     """Add ``step``, the distance from the sample before (null for the first one).
 
     The result is stored once, since every operator along a run reads it more than once.
     """
     keys = list(keys)
-    rows = runs.withColumn("__b", bucket)
-    lagged = ordered(rows, keys, order, lags={"_px": x, "_py": y, **(lags or {})}, keep_bucket=True)
+    lagged = ordered(order_bucket(runs, keys, order), keys, order, lags={"_px": x, "_py": y, **(lags or {})}, keep_bucket=True)
     return cut_lineage(lagged.withColumn("step", F.hypot(F.col(x) - F.col("_px"), F.col(y) - F.col("_py"))).drop("_px", "_py"))
 
 

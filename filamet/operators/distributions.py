@@ -168,7 +168,7 @@ def weighted_summary(df: DataFrame, keys: Sequence[str], x: str, w: str, *, tie:
 
 def ecdf(df: DataFrame, keys: Sequence[str], x: str, w: str, tie: Sequence[str]) -> DataFrame:
     """One ECDF point per sample with a value, ties in ``tie`` order."""
-    rows = with_value_bucket(present(df, x), keys, x)
+    rows = with_value_bucket(present(df, x), keys, x, tie)
     out = ordered(rows, keys, [x, *tie], sums={"_cum": F.col(w)}, totals={"_total": "_cum"})
     return out.withColumn("ecdf", F.col("_cum") / F.col("_total")).drop("_cum", "_total")
 

@@ -2,10 +2,14 @@
 
 A plain window over ``partitionBy(key)`` puts a whole group into one task, so one key that
 holds a third of all rows stalls the job.  Here a group is first cut into *buckets* that are
-monotone in the order column.  Each bucket is windowed on its own; what a bucket needs from
+monotone in the order.  Each bucket is windowed on its own; what a bucket needs from
 its neighbours (running totals, the row before, the row after) comes from a summary with one
-row per bucket, which is small and built with map-side combine.  Bucket ids are pure functions
-of the data, so a retried task always assigns the same ids.
+row per bucket, which is small and built with map-side combine.
+
+Buckets start as whole groups, or as a function of the value where that is free (``log_bucket``).
+Those with too many rows are split at the quantiles of a mergeable sketch of the first order column
+that varies within them; rows that tie there are split by the next column (``order_bucket``).
+Split points are stored before they are used, so a retried task assigns the same buckets.
 """
 
 from __future__ import annotations
@@ -14,14 +18,18 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from filamet.operators.groups import attach_row
+from filamet.session import stored
 
 #: buckets per octave; a group spread over one decade falls into about 1700 buckets
 PER_OCTAVE = 512
-MAX_SPLITS = 65_536
-#: rows that a bucket of time or numbers may hold
+#: rows that a bucket may hold
 ROWS_PER_BUCKET = 100_000
+#: parts that a crowded bucket is cut into at once
+SPLITS = 64
+#: bytes of a string that make a number
+STRING_BYTES = 6
 #: smallest exponent of a positive double, so that bucket numbers of one sign share a sign
 _EXPONENT_SHIFT = 1075.0
 #: bucket of infinity, beyond any finite value
@@ -49,67 +57,74 @@ def time_bucket(ts: Column, seconds: int) -> Column:
     return F.floor(F.timestamp_diff("SECOND", epoch, ts) / F.lit(seconds)).cast("long")
 
 
-def time_width(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, rows: int = ROWS_PER_BUCKET) -> int:
-    """Seconds per time bucket: ``seconds`` or fewer, until no bucket of a group holds more than ``rows``."""
-    while True:
-        sizes = df.groupBy(*keys, time_bucket(F.col(ts), seconds).alias("__w")).agg(F.count(F.lit(1)).alias("__n"))
-        most = sizes.agg(F.max("__n")).first()[0] or 0
-        if most <= rows or seconds == 1:
-            return seconds
-        seconds = max(1, seconds // -(-most // rows))
+def order_bucket(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, first: Column | None = None, name: str = "__b", rows: int | None = None) -> DataFrame:
+    """Add a bucket column that never decreases in ``order`` within a group, with about ``rows`` rows at most.
 
+    ``first`` is a bucket to start from, monotone in the order; without it a group starts as one.
+    Order columns are numbers, times or strings; nulls come first, as in a window, and NaN last.
+    Only rows alike in all order columns stay together, however many they are.  Where no bucket is too
+    large, all this costs is one count; else each round sketches the rows of those that are.
+    """
+    keys, rows, order = list(keys), rows or ROWS_PER_BUCKET, list(order)
+    df = df.withColumn(name, (F.lit(0) if first is None else first).cast("long"))
+    if df.groupBy(*keys, name).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows).isEmpty():
+        return df
+    # from here on a bucket is its path of splits, compared part by part
+    df = df.withColumn(name, F.array(name))
+    kinds = {c: df.schema[c].dataType for c in order}
+    scratch = ["__n", "__i", *(f"__{k}{i}" for i in range(len(order)) for k in ("lo", "hi", "c"))]
+
+    def image(i: int, value: Column) -> Column:
+        return _image(kinds[order[i]], value, F.col(f"__lo{i}"), F.col(f"__hi{i}"))
 
-def linear_width(df: DataFrame, x: str, rows: int = ROWS_PER_BUCKET) -> float:
-    """Width of linear buckets of a whole number: about ``rows`` rows each, however sparse the numbers are."""
-    lo, hi, n = df.agg(F.min(x), F.max(x), F.count(x)).first()
-    width = max(1.0, (hi - lo + 1) / n * rows) if n else 1.0
     while True:
-        sizes = df.groupBy(linear_bucket(F.col(x), width).alias("__w")).agg(F.count(F.lit(1)).alias("__n"))
-        most = sizes.agg(F.max("__n")).first()[0] or 0
-        if most <= 2 * rows or width == 1.0:
-            return width
-        width = max(1.0, width // -(-most // rows))
-
-
-def with_value_bucket(
-    df: DataFrame,
-    keys: Sequence[str],
-    x: str,
-    *,
-    name: str = "__b",
-    rows_per_bucket: int | None = None,
-) -> DataFrame:
-    """Add a bucket column for numeric ``x`` (not null).
-
-    Log buckets are enough unless most values of a huge group lie within a fraction of a
-    percent of each other.  For such data set ``rows_per_bucket``: a bucket with more rows is
-    split by its exact count, minimum and maximum, at the cost of one more counting pass.
-    """
-    keys = list(keys)
-    if rows_per_bucket is None:
-        return df.withColumn(name, log_bucket(F.col(x)))
-    rows = df.withColumn("__c", log_bucket(F.col(x)))
-    summary = rows.groupBy(*keys, "__c").agg(
-        F.count(F.lit(1)).alias("__n"), F.min(x).alias("__lo"), F.max(x).alias("__hi")
-    )
-    crowded = summary.where(
-        (F.col("__n") > rows_per_bucket) & (F.col("__hi") > F.col("__lo"))
-    ).select(
-        *keys,
-        "__c",
-        F.col("__lo").cast("double").alias("__lo"),
-        (F.col("__hi") - F.col("__lo")).cast("double").alias("__span"),
-        F.least(F.lit(MAX_SPLITS), F.ceil(F.col("__n") / rows_per_bucket)).cast("long").alias("__k"),
-    )
-    split = F.least(
-        F.col("__k") - 1,
-        F.floor((F.col(x) - F.col("__lo")) / F.col("__span") * F.col("__k")),
-    )
-    return (
-        rows.join(crowded, [*keys, "__c"], "left")
-        .withColumn(name, F.col("__c") * MAX_SPLITS + F.coalesce(split, F.lit(0)).cast("long"))
-        .drop("__c", "__lo", "__span", "__k")
-    )
+        ends = [e for i, c in enumerate(order) for e in (F.min(c).alias(f"__lo{i}"), F.max(c).alias(f"__hi{i}"), F.count(c).alias(f"__c{i}"))]
+        sizes = df.groupBy(*keys, name).agg(F.count(F.lit(1)).alias("__n"), *ends)
+        # the first column that varies; null differs from any value
+        varies = F.coalesce(*[
+            F.when((F.col(f"__c{i}") > 0) & ((image(i, F.col(f"__lo{i}")) < image(i, F.col(f"__hi{i}"))) | (F.col(f"__c{i}") < F.col("__n"))), i)
+            for i in range(len(order))])
+        crowded = stored(sizes.where(F.col("__n") > rows).withColumn("__i", varies).where("__i is not null"), "crowded")
+        if crowded.isEmpty():
+            return df
+        value = F.coalesce(*[F.when(F.col("__i") == i, image(i, F.col(c))) for i, c in enumerate(order)])
+        spread = df.join(crowded, [*keys, name]).select(*keys, name, value.alias("__v"))
+        levels = F.array(*[F.lit(k / SPLITS) for k in range(1, SPLITS)])
+        sketched = spread.groupBy(*keys, name).agg(F.kll_sketch_agg_double("__v").alias("__s"), F.min("__v").alias("__least"))
+        # the least value is a split point too, so every round parts something
+        points = F.array_sort(F.array_distinct(F.concat(F.kll_sketch_get_quantile_double("__s", levels), F.array("__least"))))
+        splits = stored(sketched.select(*keys, name, points.alias("__p")), "splits").join(crowded, [*keys, name])
+        df = df.join(splits, [*keys, name], "left")
+        # a split point parts what is below it, what ties with it and what is beyond
+        part = F.aggregate("__p", F.lit(0).cast("long"), lambda n, p: n + F.when(value > p, F.lit(2)).when(value == p, F.lit(1)).otherwise(F.lit(0)).cast("long"))
+        df = df.withColumn(name, F.when(F.col("__p").isNotNull(), F.concat(name, F.array(part))).otherwise(F.col(name))).drop("__p", *scratch)
+
+
+def _image(kind: T.DataType, x: Column, lo: Column, hi: Column) -> Column:
+    """A double that never decreases as ``x`` grows between ``lo`` and ``hi``, and tells apart what is near; null is least."""
+    if isinstance(kind, T.StringType):
+        raw, low, high = (c.cast("binary") for c in (x, lo, hi))
+        n = F.least(F.octet_length(lo), F.octet_length(hi))
+        same = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), F.lit(0), lambda acc, i: F.when((acc == i - 1) & (i <= n) & (F.substring(low, i, F.lit(1)) == F.substring(high, i, F.lit(1))), i).otherwise(acc))
+        # bytes after those that all share; one that ends earlier comes before
+        value = F.conv(F.rpad(F.hex(F.substring(raw, same + 1, F.lit(STRING_BYTES))), 2 * STRING_BYTES, "0"), 16, 10).cast("double")
+        value = value + F.least(F.octet_length(x) - same, F.lit(STRING_BYTES + 1)) / 16
+    elif isinstance(kind, (T.TimestampType, T.DateType)):
+        value = (F.unix_micros(x.cast("timestamp")) - F.unix_micros(lo.cast("timestamp"))).cast("double")
+    elif isinstance(kind, T.TimestampNTZType):
+        value = F.timestamp_diff("MICROSECOND", lo, x).cast("double")
+    elif isinstance(kind, (T.FloatType, T.DoubleType)):
+        value = F.when(F.isnan(x), F.lit(float("inf"))).otherwise(x.cast("double"))
+    elif isinstance(kind, T.BooleanType):
+        value = x.cast("double")
+    else:
+        value = (x.cast("decimal(38,6)") - lo.cast("decimal(38,6)")).cast("double")
+    return F.coalesce(value, F.lit(float("-inf")))
+
+
+def with_value_bucket(df: DataFrame, keys: Sequence[str], x: str, tie: Sequence[str] = (), *, name: str = "__b", rows: int | None = None) -> DataFrame:
+    """Buckets of a numeric column ``x`` (not null): about 1/PER_OCTAVE octave wide, crowded ones split, ties by ``tie``."""
+    return order_bucket(df, keys, [x, *tie], first=log_bucket(F.col(x)), name=name, rows=rows)
 
 
 def ordered(
@@ -186,18 +201,3 @@ def ordered(
     if not keep_bucket:
         drop.append(bucket)
     return out.drop(*drop)
-
-
-def string_bucket(df: DataFrame, column: str, chars: int = 3) -> DataFrame:
-    """Add ``__b`` for ordering by a string: the first characters after the common prefix.
-
-    All values share the prefix that the smallest and largest share, so it is skipped.
-    """
-    ends = df.agg(F.min(column).alias("__s0"), F.max(column).alias("__s1"))
-    common = F.expr(
-        "aggregate(sequence(1, greatest(1, length(__s0))), 0, (acc, i) -> "
-        "if(acc = i - 1 and substring(__s0, i, 1) = substring(__s1, i, 1), i, acc))"
-    )
-    ends = ends.select(common.alias("__skip"))
-    skipped = attach_row(df, ends)
-    return skipped.withColumn("__b", F.expr(f"substring({column}, __skip + 1, {chars})")).drop("__skip")

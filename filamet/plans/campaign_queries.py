@@ -10,7 +10,6 @@ from filamet.operators import campaign as C
 from filamet.operators import distributions as D
 from filamet.operators import fitting, parity, plugins, reports
 from filamet.operators.groups import attach_row
-from filamet.operators.ordered import linear_bucket, linear_width
 from filamet.operators.quantiles import weighted_quantiles
 from filamet.plans import bind
 from filamet.plans.distribution_queries import IM, MEMBERS_SQL, SUMMARY_SQL, TIE, dist_sql, members, wq_sql
@@ -312,9 +311,9 @@ def j16(spark, sf):
     cand = bind.table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 3).alias("sections"))
     # three fibers exist already
     fibers = spark.range(1).select(LIT(4).cast("long").alias("next"))
-    with_fiber = C.assign_ids(cand, fibers, ["vec_id"], linear_bucket(c("vec_id"), linear_width(cand, "vec_id")), "F%03d", "fiber_id")
+    with_fiber = C.assign_ids(cand, fibers, ["vec_id"], "F%03d", "fiber_id")
     sections = with_fiber.select("vec_id", "fiber_id", F.posexplode("sections").alias("i", "width"))
-    numbered = C.assign_ids(sections, C.next_numbers(records, "measurement_id", "M"), ["vec_id", "i"], linear_bucket(c("vec_id"), linear_width(sections, "vec_id")), "M%04d", "measurement_id")
+    numbered = C.assign_ids(sections, C.next_numbers(records, "measurement_id", "M"), ["vec_id", "i"], "M%04d", "measurement_id")
     props = numbered.select("measurement_id", "fiber_id", LIT("PROPOSED").alias("status"), r(c("width").cast("double"), 7).alias("width"))
     return C.insert_proposals(records, props, "measurement_id")
 

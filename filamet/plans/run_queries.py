@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 from filamet.functions import samples as P
 from filamet.operators import centerline as L
 from filamet.operators import field_stats as FS
-from filamet.operators.ordered import time_bucket, time_width
 from filamet.plans import bind
 from filamet.plans.registry import query, r
 from filamet.plans.row_rules import FIELD_SQL, field_samples
 
 c = F.col
 ORDER = ["ts", "event_id"]
-HOUR = 3600
 
 RUN_SQL = """
 ev AS (SELECT user_id AS run_id, ts, event_id, value AS x, (props->>'k')::DOUBLE AS y, event_type <> 'error' AS ok FROM events),
@@ -25,7 +23,7 @@ run AS (SELECT *, sum(coalesce(step, 0)) OVER (PARTITION BY run_id ORDER BY ts,
 def runs(spark, sf):
     e = bind.table(spark, sf, "events").select(
         c("user_id").alias("run_id"), "ts", "event_id", c("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"), (c("event_type") != "error").alias("ok"))
-    return L.steps(e, ["run_id"], ORDER, time_bucket(c("ts"), time_width(e, ["run_id"], "ts", HOUR)), "x", "y", lags={"ok_before": "ok"})
+    return L.steps(e, ["run_id"], ORDER, "x", "y", lags={"ok_before": "ok"})
 
 
 @query("w02_arc_length", f"WITH {RUN_SQL} SELECT run_id, event_id, round(s, 7) AS s, round(quantile_cont(step, 0.5) OVER (PARTITION BY run_id), 8) AS median_step FROM run")

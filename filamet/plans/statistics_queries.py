@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from filamet.functions import records as R
 from filamet.operators import bootstrap, kmeans, spatial, stats
-from filamet.operators.ordered import ordered, time_bucket, time_width
+from filamet.operators.ordered import order_bucket, ordered
 from filamet.operators.quantiles import exact_quantiles
 from filamet.plans import bind
 from filamet.plans.registry import query, r
@@ -84,8 +84,8 @@ def w01(spark, sf):
 def repeatability_items(spark, sf):
     o = bind.table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus", (c("o_totalprice") / 1009).alias("price"))
     # consecutive orders of a customer are the two rounds of one item
-    width = time_width(o, ["o_custkey"], "o_orderdate", 30 * 86400)
-    run = ordered(o.withColumn("__b", time_bucket(c("o_orderdate"), width)), ["o_custkey"], ["o_orderdate", "o_orderkey"], lags={"original": "price"})
+    order = ["o_orderdate", "o_orderkey"]
+    run = ordered(order_bucket(o, ["o_custkey"], order), ["o_custkey"], order, lags={"original": "price"})
     return run.where(c("original").isNotNull()).select(
         (c("o_custkey") % 400).alias("study_id"), "original", F.when(c("o_orderstatus") != "P", c("price")).alias("measured"))
 

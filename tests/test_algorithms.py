@@ -12,7 +12,6 @@ from filamet.operators import components as C
 from filamet.operators import distributions as D
 from filamet.operators import fitting, pixels, plugins
 from filamet.operators.bootstrap import hierarchical_bootstrap
-from filamet.operators.ordered import time_bucket
 from filamet.operators.quantiles import exact_quantiles
 
 
@@ -151,7 +150,7 @@ def test_fragments(spark):
     s = [0, 1, 2, 10, 11, 12, 13, 14, 15, 16]
     ok = [True] * 6 + [False] + [True] * 3
     df = spark.createDataFrame([(1, i, float(x), 0.0, o) for i, (x, o) in enumerate(zip(s, ok))], "run int, i int, x double, y double, ok boolean").withColumn("ts", F.timestamp_add("SECOND", F.col("i"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")))
-    a = L.steps(df, ["run"], ["ts"], time_bucket(F.col("ts"), 3), "x", "y", lags={"ok_before": "ok"})
+    a = L.steps(df, ["run"], ["ts"], "x", "y", lags={"ok_before": "ok"})
     got = {r.i: (r.fragment, r.points) for r in L.fragments(a, ["run"], ["ts"], "ok").collect()}
     assert got == {0: (1, 3), 1: (1, 3), 2: (1, 3), 3: (2, 3), 4: (2, 3), 5: (2, 3), 7: (3, 3), 8: (3, 3), 9: (3, 3)}
 

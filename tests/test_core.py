@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from filamet.operators.ordered import linear_bucket, log_bucket, ordered, with_value_bucket
+from filamet.operators.ordered import linear_bucket, log_bucket, order_bucket, ordered, with_value_bucket
 from filamet.operators.quantiles import exact_quantiles, multi_quantiles, weighted_quantiles
 
 PROBS = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
@@ -62,7 +62,7 @@ def test_ordered_equals_plain_window(spark, bucketing):
     if bucketing == "log":
         b = df.withColumn("__b", log_bucket(F.col("x")))
     elif bucketing == "value":
-        b = with_value_bucket(df, ["g"], "x", rows_per_bucket=40)
+        b = with_value_bucket(df, ["g"], "x", ["i"], rows=40)
     else:
         b = df.withColumn("__b", linear_bucket(F.col("x"), 10.0))
     got = ordered(b, ["g"], ["x", "i"], number="rn", sums={"cum": F.col("w")}, lags={"px": "x"}, leads={"nx": "x", "ni": "i"})
@@ -75,16 +75,45 @@ def test_ordered_equals_plain_window(spark, bucketing):
     pd.testing.assert_frame_equal(a, e, check_dtype=False, rtol=1e-9)
 
 
-def test_bucket_widths(spark):
-    """A run dense in time and ids far apart: buckets follow the counts."""
-    from pyspark.sql import functions as F
+def sizes_of(df, *keys):
+    return df.groupBy(*keys, "__b").count().agg(F.max("count"), F.count("*")).first()
 
-    from filamet.operators.ordered import linear_bucket, linear_width, time_bucket, time_width
 
-    dense = spark.range(5000).select(F.lit(1).alias("k"), F.expr("timestamp_seconds(1700000000 + id div 5)").alias("ts"))
-    width = time_width(dense, ["k"], "ts", 3600, rows=200)
-    sizes = dense.groupBy(time_bucket(F.col("ts"), width)).count()
-    assert sizes.agg(F.max("count")).first()[0] <= 200
-    sparse = spark.range(3000).select((F.col("id") * 10_000_019).alias("x"))
-    assert sparse.groupBy(linear_bucket(F.col("x"), linear_width(sparse, "x", rows=300))).count().count() <= 21
-    assert linear_width(sparse.where("false"), "x") == 1.0
+def monotone(df, keys, order):
+    """Buckets never decrease in the order of a group."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_last", F.lag("__b").over(w)).where("_last > __b").isEmpty()
+
+
+def test_buckets_follow_the_counts(spark):
+    """A run dense in time, ids far apart, names with one beginning, nulls: about the wanted rows each."""
+    dense = spark.range(5000).select(F.lit(1).alias("k"), F.expr("timestamp_micros(1700000000000000 + id div 5)").alias("ts"), "id")
+    sparse = spark.range(5000).select(F.lit(1).alias("k"), F.expr("if(id < 4990, id, id * 10000000000019)").alias("x"))
+    names = spark.range(5000).select(F.lit(1).alias("k"), F.concat(F.lit("measurement-campaign-"), F.when(F.col("id") < 4900, F.lpad(F.col("id").cast("string"), 40, "0")).otherwise(F.col("id").cast("string"))).alias("n"))
+    nulls = spark.range(5000).select(F.lit(1).alias("k"), F.when(F.col("id") % 10 == 0, F.col("id").cast("double")).alias("v"), "id")
+    for df, order in ((dense, ["ts", "id"]), (sparse, ["x"]), (names, ["n"]), (nulls, ["v", "id"])):
+        b = order_bucket(df, ["k"], order, rows=200).cache()
+        most, number = sizes_of(b, "k")
+        assert most <= 200 and number <= 200, (order, most, number)
+        assert monotone(b, ["k"], order)
+
+
+def test_ties_are_split(spark):
+    """Nine rows in ten have one value: the busiest bucket stays below its target."""
+    df = spark.range(6000).select((F.col("id") % 2).alias("g"), F.when(F.col("id") % 20 < 18, 3.0).otherwise(F.rand(1)).alias("x"), F.concat(F.lit("row"), "id").alias("i"), F.lit(0.5).alias("w"))
+    df = spark.createDataFrame(df.toPandas())
+    b = with_value_bucket(df, ["g"], "x", ["i"], rows=150).cache()
+    assert sizes_of(b, "g")[0] <= 150 and monotone(b, ["g"], ["x", "i"])
+    got = ordered(b, ["g"], ["x", "i"], number="n", sums={"c": F.col("w")}, leads={"nx": "i"})
+    w = Window.partitionBy("g").orderBy("x", "i")
+    want = df.withColumns({"n": F.row_number().over(w).cast("long"), "c": F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0)), "nx": F.lead("i").over(w)})
+    assert got.select(want.columns).exceptAll(want).isEmpty()
+
+
+def test_rows_alike_stay_together(spark):
+    """Rows equal in all order columns cannot be split; infinities and NaN keep their place."""
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame([(1, v) for v in [5.0] * 300 + [inf, -inf, nan, 1.0, -0.0, 0.0] * 20], "k int, x double")
+    b = order_bucket(df, ["k"], ["x"], rows=50).cache()
+    assert b.where("x = 5").select("__b").distinct().count() == 1 and monotone(b, ["k"], ["x"])
+    assert order_bucket(df.where("false"), ["k"], ["x"], rows=50).count() == 0
