@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filamet.operators.groups import agg, bounded_median, join_groups
+from filamet.operators.groups import agg, join_groups, list_median
 from filamet.operators.ordered import ordered, with_value_bucket
 from filamet.operators.quantiles import exact_quantiles, weighted_quantiles
 
@@ -41,7 +41,7 @@ def bin_index(x: Column, lo: Column, hi: Column, bins: Column | int) -> Column:
 
 def common_edges(df: DataFrame, keys: Sequence[str], x: str, bins: int = 32) -> DataFrame:
     """Pooled range per group: ``lo``, ``hi`` and ``bins``; a degenerate range gets one bin."""
-    e = agg(df, keys, F.min(x).alias("_mn"), F.max(x).alias("_mx"))
+    e = agg(present(df, x), keys, F.min(x).alias("_mn"), F.max(x).alias("_mx"))
     flat = F.abs(F.col("_mn") - F.col("_mx")) <= 1e-8 + 1e-5 * F.abs(F.col("_mx"))
     half = F.greatest(F.abs(F.col("_mn")) * 0.05, F.lit(0.5))
     return e.select(
@@ -61,7 +61,7 @@ def weighted_histogram(
     range to any number of bins.
     """
     keys, series = list(keys), list(series)
-    rows = join_groups(present(df, x), edges, keys)
+    rows = join_groups(present(df, x, w), edges, keys)
     counted = rows.groupBy(*keys, *series, bin_index(F.col(x), F.col("lo"), F.col("hi"), F.col("bins")).alias("bin")).agg(
         F.sum(w).alias("h"), F.count(F.lit(1)).alias("n")
     )
@@ -83,7 +83,7 @@ def weighted_histogram(
 
 def scott_edges(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     """Automatic bins: Scott width rounded to 1, 2, 3, 5 or 10 times a power of ten."""
-    s = agg(df, keys, F.min(x).alias("_mn"), F.max(x).alias("_mx"), F.stddev_samp(x).alias("_sd"), F.count(x).alias("_n"))
+    s = agg(present(df, x), keys, F.min(x).alias("_mn"), F.max(x).alias("_mx"), F.stddev_samp(x).alias("_sd"), F.count(x).alias("_n"))
     raw = 3.5 * F.col("_sd") * F.pow(F.col("_n"), F.lit(-1.0 / 3.0))
     power = F.pow(F.lit(10.0), F.floor(F.log10(F.col("_raw"))))
     # nearest choice, the smaller one on a tie
@@ -103,9 +103,13 @@ def scott_edges(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     )
 
 
-def present(df: DataFrame, x: str) -> DataFrame:
-    """Rows with a value: null and NaN are missing."""
-    return df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")))
+def present(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows whose value (and weight, if named) is a finite number: null, NaN and infinity are missing."""
+    finite = F.lit(True)
+    for c in columns:
+        # false for infinity and, as no number is below NaN, for NaN
+        finite = finite & F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False))
+    return df.where(finite)
 
 
 def known_series(df: DataFrame, series: str, names: Sequence[str]) -> DataFrame:
@@ -148,7 +152,7 @@ def require_same(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) ->
 def weighted_moments(df: DataFrame, keys: Sequence[str], x: str, w: str) -> DataFrame:
     """n, weight sum, weighted mean and population SD (two passes, so no cancellation)."""
     keys = list(keys)
-    rows = present(df, x).select(*keys, x, w)
+    rows = present(df, x, w).select(*keys, x, w)
     base = agg(rows, keys, F.count(x).alias("_n"), F.sum(w).alias("_w"), (F.sum(F.col(w) * F.col(x)) / F.sum(w)).alias("_m"))
     off = F.col(x) - F.col("_m")
     return agg(
@@ -159,6 +163,7 @@ def weighted_moments(df: DataFrame, keys: Sequence[str], x: str, w: str) -> Data
 
 
 def weighted_summary(df: DataFrame, keys: Sequence[str], x: str, w: str, *, tie: Sequence[str] = ()) -> DataFrame:
+    df = present(df, x, w)
     return join_groups(
         weighted_moments(df, keys, x, w),
         weighted_quantiles(df, keys, x, w, SUMMARY_PROBS, tie=tie, names=SUMMARY_NAMES),
@@ -168,7 +173,7 @@ def weighted_summary(df: DataFrame, keys: Sequence[str], x: str, w: str, *, tie:
 
 def ecdf(df: DataFrame, keys: Sequence[str], x: str, w: str, tie: Sequence[str]) -> DataFrame:
     """One ECDF point per sample with a value, ties in ``tie`` order."""
-    rows = with_value_bucket(present(df, x), keys, x, tie)
+    rows = with_value_bucket(present(df, x, w), keys, x, tie)
     out = ordered(rows, keys, [x, *tie], sums={"_cum": F.col(w)}, totals={"_total": "_cum"})
     return out.withColumn("ecdf", F.col("_cum") / F.col("_total")).drop("_cum", "_total")
 
@@ -188,7 +193,7 @@ def pair_distances(
     keys = list(keys)
     pairs = list(pairs if pairs is not None else combinations(names, 2))
     measures = {"w": F.col(w), "n": F.lit(1.0)} if weighted else {"n": F.lit(1.0)}
-    cells = known_series(present(df, x), series, names).groupBy(*keys, F.col(x).alias("_x")).agg(*[
+    cells = known_series(present(df, x, w) if weighted else present(df, x), series, names).groupBy(*keys, F.col(x).alias("_x")).agg(*[
         F.sum(F.when(F.col(series) == m, v).otherwise(0.0)).alias(f"{k}{i}") for i, m in enumerate(names) for k, v in measures.items()
     ])
     cols = [f"{k}{i}" for i in range(len(names)) for k in measures]
@@ -225,6 +230,7 @@ def pair_distances(
 def agreements(df: DataFrame, keys: Sequence[str], series: str, names: Sequence[str], x: str, w: str, *, tie: Sequence[str] = ()) -> DataFrame:
     """Mean, median, relative median difference, W1 and KS for every pair of series of a group."""
     keys = list(keys)
+    df = present(df, x, w)
     means = df.groupBy(*keys, series).agg((F.sum(F.col(w) * F.col(x)) / F.sum(w)).alias("mean"))
     medians = weighted_quantiles(df, [*keys, series], x, w, [0.5], tie=tie, names=["median"])
     stats = means.join(medians, [*keys, series])
@@ -254,7 +260,7 @@ def quantile_grid(df: DataFrame, keys: Sequence[str], x: str, w: str, size: int
     keys = list(keys)
     tie_cols = [F.col(t).alias(f"t{i}") for i, t in enumerate(tie)] or [F.col(w).alias("t0")]
     tie_key = tie_cols[0] if len(tie_cols) == 1 else F.struct(*tie_cols)
-    cells = present(df, x).groupBy(*keys, F.col(x).alias("_x")).agg(F.sum(w).alias("_sw"), F.min_by(F.col(w), tie_key).alias("_fw"))
+    cells = present(df, x, w).groupBy(*keys, F.col(x).alias("_x")).agg(F.sum(w).alias("_sw"), F.min_by(F.col(w), tie_key).alias("_fw"))
     run = ordered(
         with_value_bucket(cells, keys, "_x"), keys, ["_x"],
         sums={"_c": F.col("_sw")}, totals={"_t": "_c"}, lags={"_xp": "_x"}, leads={"_xn": "_x"},
@@ -276,23 +282,21 @@ def consensus(df: DataFrame, keys: Sequence[str], series: str, x: str, w: str, s
     """Pointwise median of the methods' quantile curves and the raw MAD around it."""
     keys = list(keys)
     curves = quantile_grid(df, [*keys, series], x, w, size, tie=tie)
-    # one value per method and level, so a group holds at most the number of methods
-    values = curves.groupBy(*keys, "level").agg(bounded_median("quantile").alias("consensus"), F.count(F.lit(1)).alias("n_methods"))
-    mad = (
-        curves.join(values, [*keys, "level"])
-        .groupBy(*keys, "level")
-        .agg(bounded_median(F.abs(F.col("quantile") - F.col("consensus"))).alias("disagreement_mad"))
-    )
-    return values.join(mad, [*keys, "level"])
+    # one value per method and level, so a list holds at most the number of methods
+    lists = curves.groupBy(*keys, "level").agg(F.collect_list("quantile").alias("_q")).withColumn("consensus", list_median(F.col("_q")))
+    off = F.transform("_q", lambda q: F.abs(q - F.col("consensus")))
+    return lists.select(*keys, "level", "consensus", F.size("_q").cast("long").alias("n_methods"), list_median(off).alias("disagreement_mad"))
 
 
 def mixture(df: DataFrame, image: str, series: str, x: str, w: str) -> DataFrame:
     """Weights rescaled so that every image has mass one per series; images without mass drop."""
+    df = present(df, x, w)
     totals = df.groupBy(image, series).agg(F.sum(w).alias("_tw")).where(F.col("_tw") > 0)
     return df.join(totals, [image, series]).withColumn("mix_weight", F.col(w) / F.col("_tw")).drop("_tw")
 
 
 def mixture_table(df: DataFrame, image: str, series: str, x: str, w: str, *, tie: Sequence[str] = ()) -> DataFrame:
+    df = present(df, x, w)
     m = mixture(df, image, series, x, w)
     images = df.groupBy(image, series).agg(F.sum(w).alias("_tw")).where(F.col("_tw") > 0).groupBy(series).agg(F.count(F.lit(1)).alias("images"))
     return weighted_summary(m, [series], x, "mix_weight", tie=tie).join(images, [series]).withColumn("iqr", F.col("p75") - F.col("p25"))
@@ -307,7 +311,7 @@ def image_balanced_samples(summaries: DataFrame, image: str, series: str) -> Dat
 
 def range_and_tail(df: DataFrame, keys: Sequence[str], series: str, x: str, w: str, *, exclude: Sequence[str] = (), tie: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Right end of a shared axis (largest weighted P99 times 1.12) and tail ratio P95/median."""
-    q = weighted_quantiles(df, [*keys, series], x, w, [0.5, 0.95, 0.99], tie=tie, names=["q50", "q95", "q99"])
+    q = weighted_quantiles(present(df, x, w), [*keys, series], x, w, [0.5, 0.95, 0.99], tie=tie, names=["q50", "q95", "q99"])
     usable = ~F.col(series).isin(list(exclude)) & (F.col("q99") > 0) if exclude else F.col("q99") > 0
     axis = agg(q, keys, (F.max(F.when(usable, F.col("q99"))) * 1.12).alias("x_max"))
     tail = q.select(*keys, series, F.when(F.col("q50") > 0, F.col("q95") / F.col("q50")).alias("tail_ratio"))
@@ -316,6 +320,7 @@ def range_and_tail(df: DataFrame, keys: Sequence[str], series: str, x: str, w: s
 
 def measurement_histogram(df: DataFrame, keys: Sequence[str], x: str, bins: int = 10) -> DataFrame:
     """Equal-width histogram of positive values; a constant input gets a range of +-0.5."""
+    df = present(df, x)
     e = agg(df, keys, F.min(x).alias("_mn"), F.max(x).alias("_mx"))
     flat = F.col("_mn") == F.col("_mx")
     edges = e.select(
@@ -326,4 +331,5 @@ def measurement_histogram(df: DataFrame, keys: Sequence[str], x: str, bins: int
 
 
 def mean_and_median(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
+    df = present(df, x)
     return join_groups(agg(df, keys, F.count(x).alias("n"), F.avg(x).alias("mean")), exact_quantiles(df, keys, x, [0.5], names=["median"]), keys)

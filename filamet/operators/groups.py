@@ -28,6 +28,8 @@ def sd_or_zero(x: Column | str) -> Column:
     return F.when(F.count(x) > 1, F.stddev_samp(x)).when(F.count(x) == 1, F.lit(0.0))
 
 
-def bounded_median(x: Column | str) -> Column:
-    """Exact median of a group whose size is bounded by design (methods, bins, replicates)."""
-    return F.percentile(x, 0.5)
+def list_median(values: Column) -> Column:
+    """Exact median of a list that is short by design; null for an empty one."""
+    # sorted once for both middle values
+    middle = F.transform(F.array(F.array_sort(values)), lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2)
+    return F.get(middle, F.lit(0))

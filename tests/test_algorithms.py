@@ -352,3 +352,59 @@ def test_histogram_with_outliers(spark):
     got = {r["bin"]: (r["n"], r["h"]) for r in weighted_histogram(df, ["g"], [], "x", "w", edges).collect()}
     assert len(got) == 10_000 and sum(n for n, _ in got.values()) == 2001
     assert got[0] == (1000, 1000.0) and got[1] == (1000, 1000.0) and got[9_999] == (1, 2.0) and got[5_000] == (0, 0.0)
+
+
+# -- missing values: null, NaN and infinity in values and weights -----------------------------------
+
+MISSING = [(None, 8.0), (float("nan"), 8.0), (float("inf"), 8.0), (float("-inf"), 8.0), (50.0, None), (50.0, float("nan")), (50.0, float("inf"))]
+
+
+@pytest.fixture(scope="module")
+def holes(spark):
+    """Series A = 1, 3 and B = 2, 4 of one image, with every kind of missing value or weight in both."""
+    rows = [(1, "A", 1.0, 1.0), (1, "A", 3.0, 1.0), (1, "B", 2.0, 1.0), (1, "B", 4.0, 1.0)]
+    rows += [(1, s, x, w) for s in "AB" for x, w in MISSING]
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "image_id int, method string, x double, w double, i int")
+
+
+def test_agreements_without_missing(holes):
+    from filamet.operators.distributions import agreements
+
+    row = agreements(holes, ["image_id"], "method", ["A", "B"], "x", "w", tie=["i"]).first()
+    assert (row["mean_difference"], row["median_difference"], row["wasserstein_1"], row["ks_statistic"]) == (-1.0, -1.0, 1.0, 0.5)
+
+
+def test_edges_without_missing(holes):
+    from filamet.operators.distributions import common_edges, measurement_histogram, scott_edges, weighted_histogram
+
+    values = holes.where("w = 1 or x is null or x <> 50")  # missing values, not missing weights
+    e = common_edges(values, ["image_id"], "x", bins=4).first()
+    assert (e["lo"], e["hi"], e["bins"]) == (1.0, 4.0, 4)
+    s, plain = (scott_edges(d, ["image_id"], "x").first() for d in (values, holes.where("w = 1 and x < 9")))
+    assert s == plain and s["bins"] > 0
+    m = measurement_histogram(values, ["image_id"], "x", bins=3).orderBy("bin").collect()
+    assert [r["n"] for r in m] == [1, 1, 2] and m[0]["left_edge"] == 1.0 and m[-1]["right_edge"] == 4.0
+    edges = common_edges(values, ["image_id"], "x", bins=3)
+    h = weighted_histogram(holes, ["image_id"], ["method"], "x", "w", edges).where("method = 'A'").orderBy("bin").collect()
+    assert [r["h"] for r in h] == [1.0, 0.0, 1.0]
+
+
+def test_mixture_without_missing(holes):
+    from filamet.operators.distributions import mixture, mixture_table
+
+    assert sorted((r["method"], r["x"], r["mix_weight"]) for r in mixture(holes, "image_id", "method", "x", "w").collect()) == [("A", 1.0, 0.5), ("A", 3.0, 0.5), ("B", 2.0, 0.5), ("B", 4.0, 0.5)]
+    assert {(r["method"], r["mean"], r["images"]) for r in mixture_table(holes, "image_id", "method", "x", "w", tie=["i"]).collect()} == {("A", 2.0, 1), ("B", 3.0, 1)}
+
+
+def test_curves_without_missing(holes):
+    from filamet.operators.distributions import consensus, ecdf, mean_and_median, quantile_grid, range_and_tail, weighted_summary
+
+    good = holes.where("w = 1 and x < 9")
+    for keys in (["image_id"], ["image_id", "method"]):
+        a, b = (sorted(map(tuple, quantile_grid(d, keys, "x", "w", 5, tie=["i"]).collect())) for d in (holes, good))
+        assert a == b and len(a) == 5 * (1 if len(keys) == 1 else 2)
+    for fn in (lambda d: consensus(d, ["image_id"], "method", "x", "w", 5, tie=["i"]), lambda d: weighted_summary(d, ["method"], "x", "w", tie=["i"]),
+               lambda d: ecdf(d, ["method"], "x", "w", ["i"]).select("method", "x", "ecdf"), lambda d: range_and_tail(d, ["image_id"], "method", "x", "w", tie=["i"])[1]):
+        assert sorted(map(tuple, fn(holes).collect())) == sorted(map(tuple, fn(good).collect()))
+    row = mean_and_median(holes.where("w = 1 or x <> 50"), ["image_id"], "x").first()
+    assert (row["n"], row["mean"], row["median"]) == (4, 2.5, 2.5)
