@@ -7,6 +7,8 @@ bits that the vocabulary needs.  A file is a Parquet dataset of blocks:
     block      int            position within the shard
     first      long           ids of the shard before this block
     n_ids      int            ids in the block
+    least      long           least and greatest id of the block's documents
+    greatest   long
     doc_ids    array<long>    documents of the block (whole documents only)
     offsets    array<long>    first id of each document within the block, and the end
     bits       binary         ids, little-endian, ``width`` bits each
@@ -17,7 +19,10 @@ at bit ``width * offset``.  Documents before a shard follow from the sums of ``n
 
 from __future__ import annotations
 
+import re
 import zlib
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +33,12 @@ from pyspark.sql import functions as F
 from filamet.llm.shared import ID, TEXT, rows, split_words
 
 BLOCK_IDS = 1 << 16
-REMEMBERED = 150_000  # words per generation; some 30 MB each
-SCHEMA = "shard int, block int, first long, n_ids int, doc_ids array<long>, offsets array<long>, bits binary"
+REMEMBERED = 500_000  # words per generation; some 100 MB each
+JOINED = 500  # words of letters that go through the tokenizer as one text
+WORD_END = "</w>"  # ends the pieces that end a word
+MARKS = re.compile("[\u0300-\u036f]")
+CLOSING = re.compile(r"[.,;:!?](?<=[^\W_][.,;:!?])[.,;:!?]*(?!\S)")
+SCHEMA = "shard int, block int, first long, n_ids int, least long, greatest long, doc_ids array<long>, offsets array<long>, bits binary"
 
 
 def bit_width(vocabulary: int) -> int:
@@ -60,9 +69,7 @@ class Encoder:
     """Ids of a text, word by word.
 
     The tokenizer drops white space and never joins what it separates, so the ids of a text are
-    those of its words.  A word that ends in sentence marks after a letter or digit has the ids of
-    both parts, and ASCII letters are lower-cased by the tokenizer anyway, so most words lead to one
-    that is known.  Words are remembered in two generations: what is used again stays.
+    those of its words.  Words are remembered in two generations: what is used again stays.
     """
 
     def __init__(self, path: str):
@@ -72,42 +79,76 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+        self.special = [a.content.lower().encode() for a in self.tokenizer.get_added_tokens_decoder().values()]
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def _recall(self, words: set[bytes]) -> set[bytes]:
+    def _recall(self, words: set[bytes]) -> list[bytes]:
         """Words that are not remembered; those of the old generation become young again."""
-        new = words - self.young.keys()
-        again = new & self.old.keys()
-        for w in again:
-            self.young[w] = self.old[w]
-        return new - again
+        young, old, new = self.young, self.old, []
+        for w in words:
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    new.append(w)
+        return new
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Remember the ids of words.
+
+        A word of letters is one stretch for the tokenizer, so its last id is the first one that ends
+        a word.  Many such words go through it as one text, cut at these ids; where their number does
+        not fit (letters that normalise to something else) each word goes on its own.
+        """
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        alone = [k for k, t in enumerate(texts) if not t.isalpha()]
+        letters = [k for k, t in enumerate(texts) if t.isalpha()]
+        parts = [letters[at : at + JOINED] for at in range(0, len(letters), JOINED)]
+        for at in range(0, len(parts), 16):
+            some = parts[at : at + 16]
+            for part, e in zip(some, self._batch([" ".join([texts[k] for k in part]) for part in some]), strict=True):
+                ids = np.array(e.ids, dtype="<u4")
+                end = np.flatnonzero(self.ends[ids]) + 1
+                if len(end) != len(part) or len(ids) != end[-1]:
+                    alone += part
+                    continue
+                raw, cut = ids.tobytes(), [0, *(4 * end).tolist()]
+                self.young.update((words[k], raw[i:j]) for k, i, j in zip(part, cut, cut[1:], strict=False))
+        for at in range(0, len(alone), 10_000):
+            part = alone[at : at + 10_000]
+            for k, e in zip(part, self._batch([texts[k] for k in part]), strict=True):
+                self.young[words[k]] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def _batch(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
+    def _words(self, text: str | None) -> list[bytes]:
+        """Words of a text such that their ids are its ids, and few differ.
+
+        Sentence marks at the end of a word stand alone if a letter or number is before them, and ASCII
+        letters are lower-cased unless the text has combining marks, which join some lower-case letters
+        only.  A text that spells a special token, in whatever case, stays as it is.
+        """
+        text = text or ""
+        raw = CLOSING.sub(r" \g<0>", text).encode("utf-8", "surrogatepass")
+        low = raw.lower()
+        if any(s in low for s in self.special):
+            return split_words(text)
+        return (raw if MARKS.search(text) else low).split()
 
     def encode(self, texts: list) -> list[bytes]:
         """Little-endian 32-bit ids per text."""
-        lists = [split_words(t) for t in texts]
+        lists = [self._words(t) for t in texts]
         words = {w for ws in lists for w in ws}
         if len(self.young) + len(words) > REMEMBERED:
             self.old, self.young = self.young, {}
-        new = self._recall(words)
-        parts = {w: _parts(w) for w in new}
-        fresh = list(self._recall({x for xy in parts.values() for x in xy if x}))
-        for at in range(0, len(fresh), 10_000):
-            part = fresh[at : at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False), strict=True):
-                self.young[w] = np.array(e.ids, dtype="<u4").tobytes()
-        for w, (core, tail) in parts.items():
-            self.young[w] = self.young[core] + self.young[tail] if tail else self.young[core]
-        return [b"".join(map(self.young.__getitem__, ws)) for ws in lists]
-
-
-def _parts(word: bytes) -> tuple[bytes, bytes]:
-    """A word without its closing sentence marks, in lower case if it is ASCII letters, and the marks."""
-    core = word.rstrip(b".,;:!?")
-    end = core[-1:]
-    if core != word and not (end.isalnum() or end > b"\x7f" and core.decode("utf-8", "surrogatepass")[-1].isalpha()):
-        return word, b""
-    return (core.lower() if core.isalpha() else core), word[len(core) :]
+        self._learn(self._recall(words))
+        young = self.young
+        return [b"".join(map(young.__getitem__, ws)) for ws in lists]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -132,9 +173,10 @@ def _blocks(path: str, width: int, end_id: int):
         def close():
             ids = np.frombuffer(b"".join(parts), dtype="<u4")
             offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts])))
-            values = [[shard], [block], [first], [len(ids)], [docs], [offsets.tolist()], [pack(ids, width)]]
-            types = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], ["shard", "block", "first", "n_ids", "doc_ids", "offsets", "bits"])
+            known = [d for d in docs if d is not None] or [None]
+            values = [[shard], [block], [first], [len(ids)], [known[0]], [known[-1]], [docs], [offsets.tolist()], [pack(ids, width)]]
+            types = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], ["shard", "block", "first", "n_ids", "least", "greatest", "doc_ids", "offsets", "bits"])
 
         for names, texts in rows(batches, "id", "text"):
             for name, raw in zip(names, enc.encode(texts), strict=True):
@@ -193,7 +235,10 @@ def read_documents(spark: SparkSession, path: str, width: int, *, with_ids: bool
 
 
 def read_at(spark: SparkSession, path: str, width: int, doc_ids: list[int]) -> list[tuple[int, list[int]]]:
-    """Random access: ids of a few documents, decoding only their own bits."""
+    """Random access: ids of a few documents, decoding only their own bits.
+
+    Ids ascend through the file, so the statistics of ``least`` and ``greatest`` leave few row groups to read.
+    """
     wanted = set(doc_ids)
-    hit = read_blocks(spark, path).where(F.arrays_overlap("doc_ids", F.lit(list(wanted))))
-    return [(d, unpack(b["bits"], width, j - i, i).tolist()) for b in hit.toLocalIterator() for d, i, j in zip(b["doc_ids"], b["offsets"], b["offsets"][1:], strict=False) if d in wanted]
+    blocks = read_blocks(spark, path).where(reduce(or_, [(F.col("least") <= d) & (F.col("greatest") >= d) for d in wanted], F.lit(False)))
+    return [(d, unpack(b["bits"], width, j - i, i).tolist()) for b in blocks.toLocalIterator() for d, i, j in zip(b["doc_ids"], b["offsets"], b["offsets"][1:], strict=False) if d in wanted]

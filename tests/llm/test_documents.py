@@ -318,3 +318,14 @@ def test_encoding_remembers_and_forgets(rows, monkeypatch):
     texts = [r[1] for r in rows] + ["End). (x)? foo!? 3.5, 7; é! ».. it's. <|endoftext|>. <|ENDOFTEXT|>! ... a.b."]
     for x in texts + texts[:20]:
         assert np.frombuffer(e.encode([x])[0], dtype="<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids
+
+
+def test_words_of_letters_go_together(monkeypatch):
+    """Letters that normalise to more than letters, and combining marks, do not shift the cut."""
+    import filamet.llm.token_file as f
+
+    monkeypatch.setattr(f, "JOINED", 7)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, e = Tokenizer.from_file(path), f.Encoder(path)
+    for x in ["क़ख़ग़ alpha beta gamma", "ẖello H̱ELLO T̈a J̌ ẘ", "İstanbul ISTANBUL ıI ﬁn ǅ ΣΑΣ ΑΣ", "x². ½, Ⅷ; a_. a_b, _!", "a b c d e f g h i j k l m n o p q r s t", "don't. WE'LL! o'clock's, 's. ''d;"]:
+        assert np.frombuffer(e.encode([x])[0], dtype="<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
