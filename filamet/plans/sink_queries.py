@@ -174,8 +174,8 @@ def r02(spark, sf):
     out, ck = K.scratch_path(spark, "review"), K.scratch_path(spark, "review-ck")
     status = F.when(c("event_type") == "purchase", "MEASURED").when(c("event_type") == "error", "NO_VALID_FIBER").otherwise("NOT_REVIEWED")
     ev = _stream(spark, sf, "events").select(c("user_id").alias("case_id"), (c("event_id") % 25).alias("cell"), status.alias("status"), "ts", "event_id")
-    SC.run_review_state(SC.review_state(ev, "case_id", "cell", "status", "ts", "event_id"), out, ck)
-    s = SC.read_review_state(spark, out, "case_id", "cell")
-    return s.select("case_id", "cell", "status", "revisions", F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss").alias("last_ts"))
+    SC.run_review_state(ev, "case_id", "cell", "status", "ts", "event_id", out, ck)
+    s = SC.read_review_state(spark, out)
+    return s.select(c("case").cast("long").alias("case_id"), c("cell").cast("long").alias("cell"), "status", "revisions", F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss").alias("last_ts"))
 
 

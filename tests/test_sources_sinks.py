@@ -100,8 +100,60 @@ def test_review_state_over_two_batches_equals_batch(spark, tmp_path):
     for part in (df.where("event_id < 3"), df.where("event_id >= 3")):
         part.coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(schema).parquet(src)
-        SC.run_review_state(SC.review_state(stream, "case_id", "cell", "status", "ts", "event_id"), out, ck)
+        SC.run_review_state(stream, "case_id", "cell", "status", "ts", "event_id", out, ck)
     key = lambda r: (r.case_id, r.cell, r.status, r.revisions)
-    got = sorted(map(key, SC.read_review_state(spark, out, "case_id", "cell").collect()))
+    got = sorted((int(r.case), int(r.cell), r.status, r.revisions) for r in SC.read_review_state(spark, out).collect())
     want = sorted(map(key, SC.review_state(df, "case_id", "cell", "status", "ts", "event_id").collect()))
     assert got == want == [(1, 0, "B", 3), (1, 1, "C", 1)]
+
+
+def test_state_stays_bounded_over_fifty_batches(spark, tmp_path):
+    """Each batch opens a case and closes the one before: the state never holds more than a few cells."""
+    src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
+    schema = "case_id int, cell int, status string, ts timestamp, event_id int"
+    rows = [(k - late, cell, f"S{k}", k * 100 + cell, k * 100 + cell + 50 * late) for k in range(50) for late in (0, 1) if k >= late for cell in range(3)]
+    df = spark.createDataFrame(rows, "case_id int, cell int, status string, s int, event_id int").select("case_id", "cell", "status", F.timestamp_seconds("s").alias("ts"), "event_id")
+    for k in range(50):  # one file per batch
+        df.where(F.col("status") == f"S{k}").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    sizes = SC.run_review_state(stream, "case_id", "cell", "status", "ts", "event_id", out, ck, closes=F.col("event_id") % 100 >= 50)
+    assert len(sizes) >= 50 and max(sizes.values()) <= 8
+    got = sorted((int(r["case"]), int(r["cell"]), r["status"], r["revisions"], r["last_ts"]) for r in SC.read_review_state(spark, out).collect())
+    want = sorted((r["case_id"], r["cell"], r["status"], r["revisions"], r["last_ts"]) for r in SC.review_state(df, "case_id", "cell", "status", "ts", "event_id").collect())
+    assert got == want and len(got) == 150
+    # the batches are folded into one snapshot, and nothing happens without new files
+    assert len(list((tmp_path / "out" / "changes").glob("batch=*"))) <= 1 and len(list((tmp_path / "out" / "snapshot").glob("upto=*"))) == 1
+    SC.run_review_state(stream, "case_id", "cell", "status", "ts", "event_id", out, ck)
+    assert SC.read_review_state(spark, out).count() == 150
+
+
+def test_reopened_case_counts_on(spark, tmp_path):
+    src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
+    schema = "case_id int, cell int, status string, ts timestamp, event_id int"
+    rows = [(1, 0, "A", 10, 1), (1, 0, "closed", 20, 2), (1, 0, "again", 30, 3), (1, None, "x", 31, 4)]
+    df = spark.createDataFrame(rows, "case_id int, cell int, status string, s int, event_id int").select("case_id", "cell", "status", F.timestamp_seconds("s").alias("ts"), "event_id")
+    for part in (df.where("event_id < 3"), df.where("event_id = 3")):
+        part.coalesce(1).write.mode("append").parquet(src)
+        SC.run_review_state(spark.readStream.schema(schema).parquet(src), "case_id", "cell", "status", "ts", "event_id", out, ck, closes=F.col("status") == "closed")
+    row = SC.read_review_state(spark, out).first()
+    assert (row["status"], row["revisions"]) == ("again", 3)
+
+
+def test_batches_read_their_own_buckets(spark, tmp_path):
+    """What a batch reads of the key index does not grow with the history, and the buckets grow in number."""
+    out = str(tmp_path / "results")
+    index = SC.KeyIndex(spark, f"{out}-keys", "id", bits=1, bucket_keys=40)
+    read = []
+    for k in range(12):
+        batch = spark.createDataFrame([(i,) for i in range(k * 30, k * 30 + 30)] + [(7,)], "id long").dropDuplicates()
+        fresh = index.unseen(batch, k)
+        assert fresh.count() == (30 if k else 30)
+        index.add(fresh, k)
+        one = spark.createDataFrame([(k * 30,)], "id long")
+        paths = index.buckets_of(one)
+        assert len(paths) == 1
+        read.append(spark.read.parquet(*paths).count())
+    assert max(read) <= 40 and index.level() >= 4
+    # a replayed batch sees only what came before it
+    assert index.unseen(spark.createDataFrame([(331,), (3,)], "id long"), 11).count() == 1
+    assert index.unseen(spark.createDataFrame([(331,), (3,)], "id long"), 12).count() == 0
