@@ -168,16 +168,29 @@ def _mirrored(df: DataFrame, axis: str, size: str, half: int) -> DataFrame:
     return df.withColumn("_p", F.explode(F.filter(spots, lambda p: (p >= -half) & (p < n + half))))
 
 
+def _line_mean(df: DataFrame, keys: Sequence[str], value: str, half: int, name: str) -> DataFrame:
+    """Mean of the positions ``_p - half`` to ``_p + half`` of a line that has them all."""
+    line = Window.partitionBy(*keys).orderBy("_p")
+    v = F.col(value).cast("double")
+    finite = F.abs(v) < float("inf")
+    # sums up to a position: of finite values, of their number, of the others
+    parts = {"_s": F.when(finite, v).otherwise(0.0), "_n": F.when(finite, 1).otherwise(0), "_o": F.when(v.isNotNull() & ~finite, 1).otherwise(0)}
+    upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = df.withColumns({k: F.sum(c).over(upto) for k, c in parts.items()})
+    s, n, o = (F.lead(k, half).over(line) - F.coalesce(F.lag(k, half + 1).over(line), F.lit(0)) for k in parts)
+    return run.withColumn(name, F.when(o > 0, F.lit(float("nan"))).when(n > 0, s / n)).drop(*parts)
+
+
 def box_mean(pixels: DataFrame, keys: Sequence[str], value: str, height: str, width: str, size: int = 35) -> DataFrame:
-    """Mean over a ``size`` x ``size`` box with mirrored edges, one axis at a time.
+    """Mean over a ``size`` x ``size`` box with mirrored edges, by prefix sums: four look-ups per pixel, two per axis.
 
-    Windows run within one image row or column, so a task holds at most one line of pixels.
+    Windows run within one image row or column, so a task holds at most one line of pixels.  Null
+    pixels do not count; a box with a NaN or infinite pixel has the mean NaN.
     """
     keys, half = list(keys), size // 2
-    frame = lambda *part: Window.partitionBy(*keys, *part).orderBy("_p").rowsBetween(-half, half)
-    across = _mirrored(pixels, "col", width, half).withColumn("_m", F.avg(value).over(frame("row")))
+    across = _line_mean(_mirrored(pixels, "col", width, half), [*keys, "row"], value, half, "_m")
     across = across.where((F.col("_p") >= 0) & (F.col("_p") < F.col(width))).drop("col").withColumnRenamed("_p", "col")
-    down = _mirrored(across, "row", height, half).withColumn("box_mean", F.avg("_m").over(frame("col")))
+    down = _line_mean(_mirrored(across, "row", height, half), [*keys, "col"], "_m", half, "box_mean")
     return down.where((F.col("_p") >= 0) & (F.col("_p") < F.col(height))).drop("row", "_m").withColumnRenamed("_p", "row")
 
 

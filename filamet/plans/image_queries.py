@@ -69,7 +69,10 @@ def a32(spark, sf):
 @query("a31_otsu", """
 WITH e AS (SELECT image_id, min(value) AS lo, max(value) AS hi FROM pixels GROUP BY image_id),
 b AS (SELECT image_id, i AS bin, i*((hi-lo)/256)+lo AS l, CASE WHEN i = 255 THEN hi ELSE (i+1)*((hi-lo)/256)+lo END AS u FROM e, (SELECT unnest(range(0, 256)) AS i)),
-h AS (SELECT b.image_id, b.bin, (any_value(l)+any_value(u))/2 AS ctr, count(value) AS n FROM b LEFT JOIN pixels p ON p.image_id = b.image_id AND value >= l AND (value < u OR bin = 255) GROUP BY b.image_id, b.bin),
+g AS (SELECT image_id, value, lo, hi, least(255, greatest(0, floor((value-lo)*(256/(hi-lo)))))::INTEGER AS i FROM pixels JOIN e USING (image_id)),
+d AS (SELECT *, CASE WHEN value < i*((hi-lo)/256)+lo THEN i-1 ELSE i END AS j FROM g),
+n AS (SELECT image_id, CASE WHEN j < 255 AND value >= (j+1)*((hi-lo)/256)+lo THEN j+1 ELSE j END AS bin, count(*) AS n FROM d GROUP BY ALL),
+h AS (SELECT b.image_id, b.bin, (l+u)/2 AS ctr, coalesce(n.n, 0) AS n FROM b LEFT JOIN n ON n.image_id = b.image_id AND n.bin = b.bin),
 w AS (SELECT *, sum(n) OVER k AS w1, sum(n*ctr) OVER k AS s1, sum(n) OVER g AS w, sum(n*ctr) OVER g AS s FROM h WINDOW k AS (PARTITION BY image_id ORDER BY bin ROWS UNBOUNDED PRECEDING), g AS (PARTITION BY image_id)),
 v AS (SELECT image_id, bin, w1*(w-w1)*pow(s1/greatest(w1, 1e-12) - (s-s1)/greatest(w-w1, 1e-12), 2) AS v FROM w WHERE bin < 255),
 m AS (SELECT image_id, floor(avg(bin))::INTEGER AS bin FROM (SELECT *, max(v) OVER (PARTITION BY image_id) AS mv FROM v) WHERE v >= mv - 1e-5 GROUP BY image_id)
@@ -257,9 +260,11 @@ def j21(spark, sf):
 
 
 @query("w10_local_threshold", """
-WITH x AS (SELECT i, CASE WHEN m < 8 THEN m ELSE 15 - m END AS j, count(*) AS k FROM (SELECT i, ((i + o) % 16 + 16) % 16 AS m FROM (SELECT unnest(range(0, 8)) AS i), (SELECT unnest(range(-17, 18)) AS o)) GROUP BY ALL),
-a AS (SELECT p.image_id, p.row, x.i AS col, sum(value * k) / 35 AS v FROM pixels p JOIN x ON x.j = p.col GROUP BY ALL),
-b AS (SELECT a.image_id, x.i AS row, a.col, sum(v * k) / 35 AS m FROM a JOIN x ON x.j = a.row GROUP BY ALL)
+WITH y AS (SELECT k, CASE WHEN m < 8 THEN m ELSE 15 - m END AS j FROM (SELECT k, ((k % 16) + 16) % 16 AS m FROM (SELECT unnest(range(-17, 25)) AS k))),
+p1 AS (SELECT image_id, row, k, sum(value) OVER (PARTITION BY image_id, row ORDER BY k ROWS UNBOUNDED PRECEDING) AS s FROM pixels JOIN y ON y.j = col),
+a AS (SELECT image_id, row, k AS col, (lead(s, 17) OVER w - coalesce(lag(s, 18) OVER w, 0)) / 35 AS v FROM p1 WINDOW w AS (PARTITION BY image_id, row ORDER BY k)),
+p2 AS (SELECT image_id, col, k, sum(v) OVER (PARTITION BY image_id, col ORDER BY k ROWS UNBOUNDED PRECEDING) AS s FROM a JOIN y ON y.j = row WHERE col BETWEEN 0 AND 7),
+b AS (SELECT image_id, col, k AS row, (lead(s, 17) OVER w - coalesce(lag(s, 18) OVER w, 0)) / 35 AS m FROM p2 WINDOW w AS (PARTITION BY image_id, col ORDER BY k))
 SELECT image_id, row, col, round(m, 10) AS box_mean, value > m + 0.03 AS foreground FROM b JOIN pixels USING (image_id, row, col)""", "pixels")
 def w10(spark, sf):
     t = pixels.local_threshold(px(spark, sf), IM, "value", "height", "width")

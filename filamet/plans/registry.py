@@ -24,7 +24,8 @@ def query(name: str, sql: str | None = None, *ctes: str) -> Callable[[Query], Qu
         QUERIES[name] = wraps(fn)(lambda spark, sf: (tune(spark), fn(spark, sf))[1])
         if sql is not None:
             body = sql.strip()
-            shared = ", ".join(f"{c} AS ({CTES[c]})" for c in ctes)
+            # bindings are read more than once: computed once
+            shared = ", ".join(f"{c} AS MATERIALIZED ({CTES[c]})" for c in ctes)
             if not shared:
                 SQL[name] = body
             elif body.upper().startswith("WITH RECURSIVE"):

@@ -116,7 +116,21 @@ def medians(spark, sf):
     return exact_quantiles(used(spark, sf), ["image_id", "fiber_id"], "v", [0.5], names=["median_um"])
 
 
-@query("a28_cluster_fibers")
+# Lloyd steps for all k side by side until nothing changes; then the least BIC, the smaller k on a tie
+@query("a28_cluster_fibers", f"""
+WITH RECURSIVE {USED}, f AS (SELECT image_id, fiber_id, quantile_cont(v, 0.5) AS m FROM used GROUP BY ALL), d AS (SELECT image_id, fiber_id, m, ln(m) AS x FROM f WHERE m > 0),
+t AS (SELECT count(*) AS n FROM d), ks AS (SELECT unnest(range(1, least(4, n) + 1)) AS k FROM t),
+q AS (SELECT quantile_cont(x, 0.5) AS h, [quantile_cont(x, 0.3333333333333333), quantile_cont(x, 0.6666666666666666)] AS c2, [quantile_cont(x, 0.25), quantile_cont(x, 0.5), quantile_cont(x, 0.75)] AS c3, [quantile_cont(x, 0.2), quantile_cont(x, 0.4), quantile_cont(x, 0.6), quantile_cont(x, 0.8)] AS c4 FROM d),
+s0 AS (SELECT k, CASE k WHEN 1 THEN [h] WHEN 2 THEN c2 WHEN 3 THEN c3 ELSE c4 END AS cs FROM ks, q),
+st(k, cs, old, step) AS (SELECT k, cs, NULL::DOUBLE[], 0 FROM s0
+  UNION ALL SELECT k, list(coalesce(c, cs[j]) ORDER BY j), cs, step + 1 FROM (
+    SELECT k, cs, step, j, avg(x) FILTER (lab = j) AS c FROM (
+      SELECT st.k, cs, step, x, unnest(range(1, st.k + 1)) AS j, list_position(list_transform(cs, lambda c: abs(x - c)), list_min(list_transform(cs, lambda c: abs(x - c)))) AS lab FROM st, d WHERE step < 100 AND (old IS NULL OR old <> cs)) z
+      GROUP BY k, cs, step, j) y GROUP BY k, cs, step),
+fin AS (SELECT k, list_sort(arg_max(cs, step)) AS cs FROM st GROUP BY k),
+bic AS (SELECT k, cs, n * ln(greatest(rss / n, 1e-12)) + 2 * k * ln(greatest(n, 2)) + 1.5 * k AS b FROM (SELECT k, cs, sum(list_min(list_transform(cs, lambda c: pow(x - c, 2)))) AS rss FROM fin, d GROUP BY k, cs), t),
+best AS (SELECT cs FROM bic ORDER BY b, k LIMIT 1)
+SELECT image_id, fiber_id, round(m, 6) AS median_um, (list_position(list_transform(cs, lambda c: abs(x - c)), list_min(list_transform(cs, lambda c: abs(x - c)))) - 1)::INTEGER AS "group" FROM d, best""", "measurements")
 def a28(spark, sf):
     g = kmeans.cluster_log_medians(medians(spark, sf), "median_um")
     return g.select("image_id", "fiber_id", r("median_um", 6).alias("median_um"), "group")
