@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from filamet.operators.components import connected_components
 from filamet.operators.distributions import bin_index, edge
 from filamet.operators.quantiles import exact_quantiles
 
@@ -233,6 +234,37 @@ def mask_quality(labels: DataFrame, area: DataFrame, keys: Sequence[str]) -> Dat
     return j.select(*keys, F.coalesce("components", F.lit(0)).alias("components"), f.alias("fraction"), score.alias("score"))
 
 
+#: fixed values: percentile, size and offset of the three masks
+MASKS = ["local", "otsu", "percentile"]
+MASK_PERCENTILE, MASK_SIZE, MASK_OFFSET = 0.65, 35, 0.03
+
+
+def candidate_masks(pixels: DataFrame, keys: Sequence[str], value: str, height: str, width: str) -> DataFrame:
+    """Foreground pixels (``method``, ``row``, ``col``) of the three thresholds on a normalised image.
+
+    Otsu on 255 levels, the percentile and the local mean; in an image that is not bright the pixels
+    below the threshold are the foreground.
+    """
+    keys = list(keys)
+    levels = otsu(pixels.withColumn("_g", F.col(value) * 255.0), keys, "_g").select(*keys, (F.col("threshold") / 255.0).alias("_otsu"))
+    levels = levels.join(exact_quantiles(pixels, keys, value, [MASK_PERCENTILE], names=["_percentile"]), keys)
+    levels = levels.join(polarity(pixels, keys, value, height, width).select(*keys, F.col("is_bright").alias("_bright")), keys)
+    rows = box_mean(pixels, keys, value, height, width, MASK_SIZE).join(levels, keys)
+    side = F.when(F.col("_bright"), 1.0).otherwise(-1.0)
+    limits = {"local": F.col("box_mean") + side * MASK_OFFSET, "otsu": F.col("_otsu"), "percentile": F.col("_percentile")}
+    options = F.array(*[F.struct(F.lit(m).alias("m"), limits[m].alias("t")) for m in MASKS])
+    inside = F.when(F.col("_bright"), F.col(value) > F.col("_k.t")).otherwise(F.col(value) < F.col("_k.t"))
+    return rows.withColumn("_k", F.explode(options)).where(inside).select(*keys, F.col("_k.m").alias("method"), "row", "col")
+
+
+def auto_threshold(pixels: DataFrame, keys: Sequence[str], value: str, height: str, width: str) -> DataFrame:
+    """The best of the three masks per group: ``method`` and ``score``; on a tie the earlier of MASKS."""
+    keys = list(keys)
+    area = pixels.groupBy(*keys).agg(F.count(F.lit(1)).alias("pixels")).withColumn("method", F.explode(F.array(*[F.lit(m) for m in MASKS])))
+    labels = connected_components(candidate_masks(pixels, keys, value, height, width), [*keys, "method"])
+    return best_mask(mask_quality(labels, area, [*keys, "method"]), keys, "method", MASKS)
+
+
 def best_mask(scores: DataFrame, keys: Sequence[str], method: str, order: Sequence[str]) -> DataFrame:
     """Highest score; on a tie the earlier method of ``order``."""
     rank = F.array_position(F.array(*[F.lit(o) for o in order]), F.col(method))

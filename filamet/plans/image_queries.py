@@ -66,17 +66,25 @@ def a32(spark, sf):
     return t.join(p, IM).select("image_id", r("threshold", 9).alias("threshold"), r("interior", 9).alias("interior"), r("border", 9).alias("border"), "is_bright")
 
 
-@query("a31_otsu", """
-WITH e AS (SELECT image_id, min(value) AS lo, max(value) AS hi FROM pixels GROUP BY image_id),
+BOX = """WITH y AS (SELECT k, CASE WHEN m < 8 THEN m ELSE 15 - m END AS j FROM (SELECT k, ((k % 16) + 16) % 16 AS m FROM (SELECT unnest(range(-17, 25)) AS k))),
+p1 AS (SELECT image_id, row, k, sum(value) OVER (PARTITION BY image_id, row ORDER BY k ROWS UNBOUNDED PRECEDING) AS s FROM {src} JOIN y ON y.j = col),
+a AS (SELECT image_id, row, k AS col, (lead(s, 17) OVER w - coalesce(lag(s, 18) OVER w, 0)) / 35 AS v FROM p1 WINDOW w AS (PARTITION BY image_id, row ORDER BY k)),
+p2 AS (SELECT image_id, col, k, sum(v) OVER (PARTITION BY image_id, col ORDER BY k ROWS UNBOUNDED PRECEDING) AS s FROM a JOIN y ON y.j = row WHERE col BETWEEN 0 AND 7)
+SELECT image_id, col, k AS row, (lead(s, 17) OVER w - coalesce(lag(s, 18) OVER w, 0)) / 35 AS m FROM p2 WINDOW w AS (PARTITION BY image_id, col ORDER BY k)"""
+
+OTSU = """WITH e AS (SELECT image_id, min(value) AS lo, max(value) AS hi FROM {src} GROUP BY image_id),
 b AS (SELECT image_id, i AS bin, i*((hi-lo)/256)+lo AS l, CASE WHEN i = 255 THEN hi ELSE (i+1)*((hi-lo)/256)+lo END AS u FROM e, (SELECT unnest(range(0, 256)) AS i)),
-g AS (SELECT image_id, value, lo, hi, least(255, greatest(0, floor((value-lo)*(256/(hi-lo)))))::INTEGER AS i FROM pixels JOIN e USING (image_id)),
+g AS (SELECT image_id, value, lo, hi, least(255, greatest(0, floor((value-lo)*(256/(hi-lo)))))::INTEGER AS i FROM {src} JOIN e USING (image_id)),
 d AS (SELECT *, CASE WHEN value < i*((hi-lo)/256)+lo THEN i-1 ELSE i END AS j FROM g),
 n AS (SELECT image_id, CASE WHEN j < 255 AND value >= (j+1)*((hi-lo)/256)+lo THEN j+1 ELSE j END AS bin, count(*) AS n FROM d GROUP BY ALL),
 h AS (SELECT b.image_id, b.bin, (l+u)/2 AS ctr, coalesce(n.n, 0) AS n FROM b LEFT JOIN n ON n.image_id = b.image_id AND n.bin = b.bin),
 w AS (SELECT *, sum(n) OVER k AS w1, sum(n*ctr) OVER k AS s1, sum(n) OVER g AS w, sum(n*ctr) OVER g AS s FROM h WINDOW k AS (PARTITION BY image_id ORDER BY bin ROWS UNBOUNDED PRECEDING), g AS (PARTITION BY image_id)),
 v AS (SELECT image_id, bin, w1*(w-w1)*pow(s1/greatest(w1, 1e-12) - (s-s1)/greatest(w-w1, 1e-12), 2) AS v FROM w WHERE bin < 255),
 m AS (SELECT image_id, floor(avg(bin))::INTEGER AS bin FROM (SELECT *, max(v) OVER (PARTITION BY image_id) AS mv FROM v) WHERE v >= mv - 1e-5 GROUP BY image_id)
-SELECT image_id, round(ctr, 9) AS threshold FROM m JOIN h USING (image_id, bin)""", "pixels")
+SELECT image_id, {threshold} AS threshold FROM m JOIN h USING (image_id, bin)"""
+
+
+@query("a31_otsu", OTSU.format(src="pixels", threshold="round(ctr, 9)"), "pixels")
 def a31(spark, sf):
     return pixels.otsu(bind.pixels(spark, sf), IM, "value").withColumn("threshold", r("threshold", 9))
 
@@ -145,21 +153,19 @@ def j13(spark, sf):
 
 
 @query("a33_mask_quality", f"""
-WITH RECURSIVE {NORM}, th AS (SELECT image_id, quantile_cont(v, 0.65) AS p65, avg(v) + 0.1 AS m FROM norm GROUP BY image_id),
-fg0 AS (SELECT image_id*4 + k AS image_id, row, col FROM norm JOIN th USING (image_id), (SELECT unnest([0,1,2]) AS k) WHERE v > CASE k WHEN 0 THEN m WHEN 1 THEN 0.5 ELSE p65 END),
+WITH RECURSIVE {NORM}, p65 AS (SELECT image_id, quantile_cont(v, 0.65) AS p65, avg(v) FILTER (row BETWEEN 1 AND 6 AND col BETWEEN 1 AND 6) > avg(v) FILTER (NOT (row BETWEEN 1 AND 6 AND col BETWEEN 1 AND 6)) AS bright FROM norm GROUP BY image_id),
+ot AS (SELECT image_id, threshold / 255 AS otsu FROM ({OTSU.format(src="(SELECT image_id, v * 255 AS value FROM norm)", threshold="ctr")})),
+bx AS ({BOX.format(src="(SELECT image_id, row, col, v AS value FROM norm)")}),
+fg0 AS (SELECT image_id*4 + k AS image_id, row, col FROM norm JOIN p65 USING (image_id) JOIN ot USING (image_id) JOIN bx USING (image_id, row, col), (SELECT unnest([0,1,2]) AS k)
+  WHERE CASE WHEN bright THEN v > CASE k WHEN 0 THEN m + 0.03 WHEN 1 THEN otsu ELSE p65 END ELSE v < CASE k WHEN 0 THEN m - 0.03 WHEN 1 THEN otsu ELSE p65 END END),
 {COMP.format(src="fg0", near=NEAR4)},
 k AS (SELECT image_id, component, count(*) AS c FROM comp GROUP BY ALL),
 s AS (SELECT image_id, sum(c) AS fg, max(c) AS big, count(*) AS n FROM k GROUP BY image_id),
-q AS (SELECT image_id // 4 AS image_id, image_id % 4 AS k, CASE WHEN fg/64.0 < 0.01 OR fg/64.0 > 0.6 THEN 0.05 ELSE greatest(0.01, (1-2*abs(fg/64.0-0.25))*CASE WHEN big/fg > 0.4 THEN 0.2 ELSE 1 END*CASE WHEN n > 150 THEN 0.3 ELSE 1 END) END::DOUBLE AS score FROM s)
+every AS (SELECT DISTINCT image_id*4 + k AS image_id FROM norm, (SELECT unnest([0,1,2]) AS k)),
+q AS (SELECT image_id // 4 AS image_id, image_id % 4 AS k, CASE WHEN fg IS NULL OR fg/64.0 < 0.01 OR fg/64.0 > 0.6 THEN 0.05 ELSE greatest(0.01, (1-2*abs(fg/64.0-0.25))*CASE WHEN big/fg > 0.4 THEN 0.2 ELSE 1 END*CASE WHEN n > 150 THEN 0.3 ELSE 1 END) END::DOUBLE AS score FROM every LEFT JOIN s USING (image_id))
 SELECT image_id, CASE k WHEN 0 THEN 'local' WHEN 1 THEN 'otsu' ELSE 'percentile' END AS method, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, k) AS rn FROM q) WHERE rn = 1""", "pixels")
 def a33(spark, sf):
-    n = normalized(spark, sf)
-    levels = n.groupBy("image_id").agg((F.avg("norm") + 0.1).alias("m")).join(exact_quantiles(n, IM, "norm", [0.65], names=["p65"]), IM)
-    opts = F.array(*[F.struct(F.lit(k).alias("k"), v.alias("t")) for k, v in (("local", c("m")), ("otsu", F.lit(0.5)), ("percentile", c("p65")))])
-    cand = n.join(levels, IM).withColumn("o", F.explode(opts)).where(c("norm") > c("o.t")).select("image_id", c("o.k").alias("method"), "row", "col")
-    area = n.groupBy("image_id").agg(F.count(F.lit(1)).alias("pixels")).withColumn("method", F.explode(F.array(F.lit("local"), F.lit("otsu"), F.lit("percentile"))))
-    lab = C.connected_components(cand, ["image_id", "method"])
-    best = pixels.best_mask(pixels.mask_quality(lab, area, ["image_id", "method"]), IM, "method", ["local", "otsu", "percentile"])
+    best = pixels.auto_threshold(normalized(spark, sf), IM, "norm", "height", "width")
     return best.select("image_id", "method", r("score", 9).alias("score"))
 
 
@@ -259,12 +265,7 @@ def j21(spark, sf):
     return b.select("image_id", "sid", r("tangent_alignment", 8).alias("tangent_alignment"), r("normal_consistency", 8).alias("normal_consistency"))
 
 
-@query("w10_local_threshold", """
-WITH y AS (SELECT k, CASE WHEN m < 8 THEN m ELSE 15 - m END AS j FROM (SELECT k, ((k % 16) + 16) % 16 AS m FROM (SELECT unnest(range(-17, 25)) AS k))),
-p1 AS (SELECT image_id, row, k, sum(value) OVER (PARTITION BY image_id, row ORDER BY k ROWS UNBOUNDED PRECEDING) AS s FROM pixels JOIN y ON y.j = col),
-a AS (SELECT image_id, row, k AS col, (lead(s, 17) OVER w - coalesce(lag(s, 18) OVER w, 0)) / 35 AS v FROM p1 WINDOW w AS (PARTITION BY image_id, row ORDER BY k)),
-p2 AS (SELECT image_id, col, k, sum(v) OVER (PARTITION BY image_id, col ORDER BY k ROWS UNBOUNDED PRECEDING) AS s FROM a JOIN y ON y.j = row WHERE col BETWEEN 0 AND 7),
-b AS (SELECT image_id, col, k AS row, (lead(s, 17) OVER w - coalesce(lag(s, 18) OVER w, 0)) / 35 AS m FROM p2 WINDOW w AS (PARTITION BY image_id, col ORDER BY k))
+@query("w10_local_threshold", f"""WITH b AS ({BOX.format(src='pixels')})
 SELECT image_id, row, col, round(m, 10) AS box_mean, value > m + 0.03 AS foreground FROM b JOIN pixels USING (image_id, row, col)""", "pixels")
 def w10(spark, sf):
     t = pixels.local_threshold(px(spark, sf), IM, "value", "height", "width")

@@ -408,3 +408,52 @@ def test_curves_without_missing(holes):
         assert sorted(map(tuple, fn(holes).collect())) == sorted(map(tuple, fn(good).collect()))
     row = mean_and_median(holes.where("w = 1 or x <> 50"), ["image_id"], "x").first()
     assert (row["n"], row["mean"], row["median"]) == (4, 2.5, 2.5)
+
+
+# -- runs of pixels and thresholds -------------------------------------------------------------------
+
+
+def test_solid_areas_have_an_edge_per_row(spark):
+    """40 rows of 200 pixels: 39 edges, in one piece; a comb and a diagonal keep their parts."""
+    solid = spark.createDataFrame([(1, r, k) for r in range(40) for k in range(30, 230)], "img int, row int, col int")
+    pixels = C.pixel_runs(solid, ["img"])
+    runs = pixels.groupBy("img", "row", "u", "_c0").agg(F.max("col").alias("_c1"))
+    assert runs.count() == 40 and C.run_edges(runs, ["img"]).count() == 39 and C.run_edges(runs, ["img"], eight=True).count() == 39
+    comb = [(2, 0, k) for k in range(101)] + [(2, 1, k) for k in range(0, 101, 2)] + [(3, k, 63 - k) for k in range(64)]
+    got = {e: C.connected_components(spark.createDataFrame(comb, "img int, row int, col int"), ["img"], eight=e).groupBy("img").agg(F.countDistinct("component")).collect() for e in (False, True)}
+    assert {tuple(r) for r in got[False]} == {(2, 1), (3, 64)} and {tuple(r) for r in got[True]} == {(2, 1), (3, 1)}
+
+
+def test_local_mean_against_force(spark):
+    """Mirrored edges, lines shorter than the box, null and NaN pixels."""
+    rng = np.random.default_rng(2)
+    image = rng.random((6, 11))
+    rows = [(1, r, k, float(image[r, k])) for r in range(6) for k in range(11)]
+    holes = [(2, r, k, None if (r, k) == (0, 0) else float("nan") if (r, k) == (5, 10) else 1.0) for r in range(6) for k in range(11)]
+    df = spark.createDataFrame(rows + holes, "img int, row long, col long, v double").withColumns({"h": F.lit(6), "w": F.lit(11)})
+    for size in (3, 9, 35):
+        half = size // 2
+        wide = np.pad(image, half, mode="symmetric")
+        got = {(r["img"], r["row"], r["col"]): r["box_mean"] for r in pixels.box_mean(df, ["img"], "v", "h", "w", size).collect()}
+        for r in range(6):
+            for k in range(11):
+                assert got[1, r, k] == pytest.approx(wide[r : r + size, k : k + size].mean(), abs=1e-12)
+    small = {(r["row"], r["col"]): r["box_mean"] for r in pixels.box_mean(df.where("img = 2"), ["img"], "v", "h", "w", 3).collect()}
+    assert small[0, 0] == 1.0 and small[2, 5] == 1.0 and np.isnan(small[5, 10]) and np.isnan(small[4, 9])
+
+
+def test_best_of_three_masks(spark):
+    """Bright and dark images, an image of one value."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for img, sign in ((1, 1), (2, -1), (3, 0)):
+        for r in range(24):
+            for k in range(24):
+                stripe = 0.4 if 4 < r < 20 and k % 8 in (2, 3) and 2 < k < 22 else 0.0
+                rows.append((img, r, k, 0.5 + sign * (stripe + 0.02 * rng.random())))
+    df = spark.createDataFrame(rows, "img int, row long, col long, v double").withColumns({"h": F.lit(24), "w": F.lit(24)})
+    got = {r["img"]: (r["method"], r["score"]) for r in pixels.auto_threshold(df, ["img"], "v", "h", "w").collect()}
+    masks = {(r["img"], r["method"]): r["n"] for r in pixels.candidate_masks(df, ["img"], "v", "h", "w").groupBy("img", "method").agg(F.count("*").alias("n")).collect()}
+    stripes = sum(4 < r < 20 and k % 8 in (2, 3) and 2 < k < 22 for r in range(24) for k in range(24))
+    assert masks[1, "otsu"] == masks[2, "otsu"] == stripes and got[1][1] > 0.3 and got[2][1] > 0.3
+    assert got[3] == ("local", 0.05)
