@@ -302,13 +302,13 @@ def j20(spark, sf):
 @query("j16_insert_proposals", """
 WITH have AS (SELECT 'M' || CASE WHEN o_orderkey < 10000 THEN lpad(o_orderkey::VARCHAR, 4, '0') ELSE o_orderkey::VARCHAR END AS id FROM orders WHERE o_orderkey % 2 = 0), nx AS (SELECT max(o_orderkey) + 1 AS nx FROM orders WHERE o_orderkey % 2 = 0),
 f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) + 3 AS fn FROM embeddings),
-p AS (SELECT vec_id, i, row_number() OVER (ORDER BY vec_id, i) - 1 + nx AS num FROM embeddings, (SELECT unnest([0,1,2]) AS i), nx)
+p AS (SELECT vec_id, i, row_number() OVER (ORDER BY vec_id, i) - 1 + nx AS num FROM embeddings, (SELECT unnest(range(0, 64)) AS i), nx)
 SELECT id AS measurement_id, NULL AS fiber_id, 'ACCEPTED' AS status, NULL::DOUBLE AS width FROM have
 UNION ALL SELECT 'M' || CASE WHEN num < 10000 THEN lpad(num::VARCHAR, 4, '0') ELSE num::VARCHAR END, 'F' || CASE WHEN fn < 1000 THEN lpad(fn::VARCHAR, 3, '0') ELSE fn::VARCHAR END, 'PROPOSED', round(embedding[i+1]::DOUBLE, 7) FROM p JOIN f USING (vec_id) JOIN embeddings e USING (vec_id)""")
 def j16(spark, sf):
     o = bind.table(spark, sf, "orders")
     records = o.where(c("o_orderkey") % 2 == 0).select(F.format_string("M%04d", c("o_orderkey")).alias("measurement_id"), LIT("ACCEPTED").alias("status"))
-    cand = bind.table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 3).alias("sections"))
+    cand = bind.table(spark, sf, "embeddings").select("vec_id", c("embedding").alias("sections"))
     # three fibers exist already
     fibers = spark.range(1).select(LIT(4).cast("long").alias("next"))
     with_fiber = C.assign_ids(cand, fibers, ["vec_id"], "F%03d", "fiber_id")
@@ -318,10 +318,10 @@ def j16(spark, sf):
     return C.insert_proposals(records, props, "measurement_id")
 
 
-@query("w06_next_numbers", "SELECT o_orderstatus, max(o_orderkey) FILTER (o_orderkey % 7 > 0) + 1 AS \"next\" FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL")
+@query("w06_next_numbers", "SELECT o_orderstatus, greatest(1, coalesce(max(o_orderkey) FILTER (o_orderkey % 7 > 0), 0) + 1) AS \"next\" FROM orders GROUP BY ALL")
 def w06(spark, sf):
     k = c("o_orderkey")
-    o = bind.table(spark, sf, "orders").where(c("o_orderstatus") == "F")
+    o = bind.table(spark, sf, "orders")
     ids = o.select("o_orderstatus", F.when(k % 7 == 0, F.concat(LIT("MX"), k)).otherwise(F.format_string("M%04d", k)).alias("measurement_id"))
     return C.next_numbers(ids, "measurement_id", "M", keys=["o_orderstatus"])
 
@@ -522,16 +522,17 @@ def a19(spark, sf):
 
 
 @query("a19_histogram_fit_parity", """
-WITH l AS (SELECT vec_id, list_transform(list_slice(embedding, 1, 6), lambda x: floor(x*10)::BIGINT) AS a, embedding[1]::DOUBLE AS f FROM embeddings)
-SELECT vec_id, 6::BIGINT AS left_bins, CASE WHEN vec_id % 4 = 0 THEN 5 ELSE 6 END::BIGINT AS right_bins, vec_id % 4 > 0 AND vec_id % 3 > 0 AS counts_equal, CASE WHEN vec_id % 4 > 0 THEN CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 0 END::DOUBLE END AS counts_max, round(abs(f - (f + 0.5)), 9) AS fit_abs, round(0.5/abs(f), 5) AS fit_rel FROM l""")
+WITH l AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x*10)::BIGINT) AS a, embedding[1]::DOUBLE AS f, embedding[64]::DOUBLE AS g FROM embeddings),
+m AS (SELECT *, CASE WHEN vec_id % 4 = 0 THEN list_slice(a, 1, 63) WHEN vec_id % 3 = 0 THEN list_transform(a, lambda x, i: CASE WHEN i % 9 = vec_id % 9 THEN x + i ELSE x END) ELSE a END AS b FROM l)
+SELECT vec_id, len(a) AS left_bins, len(b) AS right_bins, a = b AS counts_equal, CASE WHEN len(a) = len(b) THEN list_max(list_transform(a, lambda x, i: abs(x - b[i])))::DOUBLE END AS counts_max, round(abs(f - g), 9) AS fit_abs, round(abs(f - g)/abs(f), 5) AS fit_rel FROM m""")
 def a19b(spark, sf):
     e = bind.table(spark, sf, "embeddings")
-    counts = F.transform(F.slice("embedding", 1, 6), lambda x: F.floor(x * 10))
+    counts = F.transform("embedding", lambda x: F.floor(x * 10))
     left = e.select("vec_id", counts.alias("counts"), F.array(LIT(0.0)).alias("edges"))
-    other = F.when(c("vec_id") % 4 == 0, F.slice(counts, 1, 5)).when(c("vec_id") % 3 == 0, F.transform(counts, lambda x, i: F.when(i == 2, x + 2).otherwise(x))).otherwise(counts)
+    other = F.when(c("vec_id") % 4 == 0, F.slice(counts, 1, 63)).when(c("vec_id") % 3 == 0, F.transform(counts, lambda x, i: F.when((i + 1) % 9 == c("vec_id") % 9, x + i + 1).otherwise(x))).otherwise(counts)
     h = parity.histogram_parity(left, e.select("vec_id", other.alias("counts"), F.array(LIT(0.0)).alias("edges")), ["vec_id"])
-    f = F.element_at("embedding", 1).cast("double")
-    fit = e.select("vec_id", parity.fit_parity(f, f + 0.5).alias("f"))
+    first, last = (F.element_at("embedding", i).cast("double") for i in (1, 64))
+    fit = e.select("vec_id", parity.fit_parity(first, last).alias("f"))
     return h.join(fit, "vec_id").select("vec_id", "left_bins", "right_bins", "counts_equal", c("counts_max_difference").alias("counts_max"), r("f.absolute", 9).alias("fit_abs"), r("f.relative", 5).alias("fit_rel"))
 
 

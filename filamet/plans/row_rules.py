@@ -337,12 +337,12 @@ def p25(spark, sf):
 
 
 @query("p26_section_array_stats", """
-WITH a AS (SELECT vec_id, list_transform(list_slice(embedding, 1, 5), lambda x: abs(x)::DOUBLE) AS w, list_filter(list_transform(list_slice(embedding, 6, 9), lambda x: CASE WHEN x > 0 THEN x::DOUBLE END), lambda x: x IS NOT NULL) AS d FROM embeddings)
+WITH a AS (SELECT vec_id, list_transform(list_slice(embedding, 1, 32), lambda x: abs(x)::DOUBLE) AS w, list_filter(list_transform(list_slice(embedding, 33, 64), lambda x: CASE WHEN x > 0 THEN x::DOUBLE END), lambda x: x IS NOT NULL) AS d FROM embeddings)
 SELECT vec_id, round(list_stddev_pop(w) / list_avg(w), 6) AS cv, round(list_avg(d), 6) AS mean_discrepancy FROM a""")
 def p26(spark, sf):
     e = bind.table(spark, sf, "embeddings")
-    w = F.transform(F.slice("embedding", 1, 5), lambda x: F.abs(x).cast("double"))
-    d = F.transform(F.slice("embedding", 6, 4), lambda x: F.when(x > 0, x.cast("double")))
+    w = F.transform(F.slice("embedding", 1, 32), lambda x: F.abs(x).cast("double"))
+    d = F.transform(F.slice("embedding", 33, 32), lambda x: F.when(x > 0, x.cast("double")))
     return e.select("vec_id", r(R.array_cv(w)).alias("cv"), r(R.array_mean(d)).alias("mean_discrepancy"))
 
 

@@ -195,11 +195,11 @@ def a14(spark, sf):
 
 
 @query("a36_candidate_samples", """
-WITH k AS (SELECT vec_id, label, list_slice(embedding, 1, 3 + label) AS w, abs(embedding[64])::DOUBLE AS len FROM embeddings),
+WITH k AS (SELECT vec_id, label, list_filter(embedding, lambda x: x > 0 OR label % 2 = 0) AS w, abs(embedding[64])::DOUBLE AS len FROM embeddings),
 s AS (SELECT vec_id, unnest(w)::DOUBLE AS v, len/len(w) AS wt FROM k WHERE vec_id % 6 > 0 AND len > 0)
 SELECT vec_id, count(*) AS n, round(sum(wt), 9) AS mass, round(sum(v*wt), 9) AS moment FROM s GROUP BY vec_id""")
 def a36(spark, sf):
-    e = bind.table(spark, sf, "embeddings").select("vec_id", F.transform(F.expr("slice(embedding, 1, 3 + label)"), lambda v: v.cast("double")).alias("w"),
+    e = bind.table(spark, sf, "embeddings").select("vec_id", F.transform(F.filter("embedding", lambda v: (v > 0) | (c("label") % 2 == 0)), lambda v: v.cast("double")).alias("w"),
         F.when(c("vec_id") % 6 > 0, F.abs(F.element_at("embedding", 64)).cast("double")).otherwise(0.0).alias("line"))
     s = L.candidate_samples(e, ["vec_id"], "line", "w")
     return s.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), r(F.sum("weight"), 9).alias("mass"), r(F.sum(c("value") * c("weight")), 9).alias("moment"))
