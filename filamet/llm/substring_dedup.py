@@ -109,43 +109,30 @@ def _split128(value: int) -> tuple[int, int]:
 
 
 def _describe(width: int):
-    """Per document: word count, 128-bit name of the word sequence, digest, whether some window has no settled symbol."""
+    """Per document: word count, 128-bit name of the word sequence, digest, whether some window has no
+    settled symbol, and the names of the settled symbols if it is long enough for a window."""
 
     def run(batches):
         for ids, texts in rows(batches, "id", "text"):
             lists, h, doc, lens = _batch(texts)
-            _, own, lo, hi = recompress(h, doc)
+            sym, own, lo, hi = recompress(h, doc)
             bare = _starts(lens, width) & ~_covered(lo, hi, len(h), width)
             open_ = np.bincount(doc[bare], minlength=len(lists)) > 0
             joined = [b" ".join(ws) for ws in lists]
             names = [_split128(xxhash.xxh3_128_intdigest(j)) for j in joined]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(lens), pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64()),
-                 pa.array([hashlib.sha256(j).hexdigest() for j in joined]), pa.array(open_)],
-                ["id", "n", "s1", "s2", "sha", "open"])
-
-    return run
-
-
-def _symbols(width: int):
-    """(name, s1): settled symbols of every text long enough for a window."""
-
-    def run(batches):
-        for (texts,) in rows(batches, "text"):
-            lists, h, doc, lens = _batch(texts)
-            sym, own, lo, hi = recompress(h, doc)
             keep = (lens[own] >= width) & (lo >= 0) & (hi <= len(h)) & (hi - lo <= width)
             sym, own = sym[keep], own[keep]
-            if not len(sym):
-                continue
             # once per document
             by = np.lexsort((sym, own))
             sym, own = sym[by], own[by]
             once = np.ones(len(sym), dtype=bool)
             once[1:] = (sym[1:] != sym[:-1]) | (own[1:] != own[:-1])
             sym, own = sym[once], own[once]
-            text_name = np.array([_split128(xxhash.xxh3_128_intdigest(b" ".join(ws)))[0] for ws in lists], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(sym)), pa.array(text_name[own])], ["name", "s1"])
+            symbols = pa.ListArray.from_arrays(pa.array(np.searchsorted(own, np.arange(len(lists) + 1)).astype(np.int32)), pa.array(signed(sym)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(lens), pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64()),
+                 pa.array([hashlib.sha256(j).hexdigest() for j in joined]), pa.array(open_), symbols],
+                ["id", "n", "s1", "s2", "sha", "open", "symbols"])
 
     return run
 
@@ -218,10 +205,11 @@ def substring_dedup(docs: DataFrame, *, id_col: str = ID, text_col: str = TEXT,
     the group without comparing them.  Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    about = stored(docs.mapInArrow(_describe(width), "id long, n long, s1 long, s2 long, sha string, open boolean"), "texts")
+    # the corpus is recompressed once for all of this
+    about = stored(docs.mapInArrow(_describe(width), "id long, n long, s1 long, s2 long, sha string, open boolean, symbols array<long>"), "texts")
     lead = stored(about.where(f"id is not null and n >= {width}").groupBy("s1", "s2").agg(F.min("id").alias("lead"), F.max("open").alias("open")), "leads")
 
-    symbols = docs.mapInArrow(_symbols(width), "name long, s1 long")
+    symbols = about.select(F.explode("symbols").alias("name"), "s1")
     names = symbols.groupBy("name").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).where("a <> b").select("name")
     shared = symbols.join(names, "name").groupBy("s1").agg(F.collect_set("name").alias("shared"))
     look = stored(lead.join(shared, "s1", "left").where("open or shared is not null").select(F.col("lead").alias("id"), "s1", "s2", "shared"), "shared-symbols")
@@ -235,7 +223,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = ID, text_col: str = TEXT,
     cut = cut.mapInArrow(_cut(width), "id long, s1 long, s2 long, removed long, cut_sha string, kept string")
     cut = (cut if keep_text else cut.drop("kept")).dropDuplicates(["id", "s1", "s2"])
 
-    out = about.join(lead.drop("open"), ["s1", "s2"], "left").join(cut, ["id", "s1", "s2"], "left")
+    out = about.drop("symbols").join(lead.drop("open"), ["s1", "s2"], "left").join(cut, ["id", "s1", "s2"], "left")
     copy = F.coalesce(F.col("lead") < F.col("id"), F.lit(False))
     result = out.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_words"),
