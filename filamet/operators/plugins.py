@@ -1,4 +1,4 @@
-"""User methods over the samples of an image, run block by block and merged."""
+"""User methods over the samples of an image, run block by block and merged level by level."""
 
 from __future__ import annotations
 
@@ -8,19 +8,55 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from filamet.operators.ordered import order_bucket, ordered
+from filamet.session import stored
+
 Step = Callable[[pd.DataFrame], pd.DataFrame]
 
+#: partial results that one call of ``combine`` or ``merge`` sees
+FAN_IN = 16
+
+
+def blocks(samples: DataFrame, keys: Sequence[str], rows_per_block: int) -> DataFrame:
+    """Distinct rows with ``_block`` and how many ``_copies`` of the row are in it.
+
+    Rows are numbered in the order of all their columns, so blocks are full and depend on the data
+    alone; equal rows are one entry with a count, spread over as many blocks as they fill.
+    """
+    keys = list(keys)
+    order = [c for c in samples.columns if c not in keys]
+    folded = samples.groupBy(*samples.columns).agg(F.count(F.lit(1)).alias("_m"))
+    run = ordered(order_bucket(folded, keys, order), keys, order, sums={"_end": F.col("_m")})
+    first, size = F.col("_end") - F.col("_m"), F.lit(rows_per_block)
+    spread = run.withColumn("_block", F.explode(F.sequence(F.floor(first / size), F.floor((F.col("_end") - 1) / size))))
+    copies = F.least("_end", (F.col("_block") + 1) * size) - F.greatest(first, F.col("_block") * size)
+    return spread.select(*samples.columns, "_block", copies.alias("_copies"))
+
 
 def run_method(
-    samples: DataFrame, keys: Sequence[str], partial: Step, merge: Step, partial_schema: str, result_schema: str, *, rows_per_block: int = 100_000,
+    samples: DataFrame, keys: Sequence[str], partial: Step, merge: Step, partial_schema: str, result_schema: str, *, combine: Step | None = None, rows_per_block: int = 100_000, fan_in: int = FAN_IN,
 ) -> DataFrame:
     """Apply a user method to each image.
 
-    ``partial`` sees one block of an image's rows and returns a few rows; ``merge`` sees all
-    partial rows of an image.  Blocks are dealt by row hash, so no image is ever held whole.
+    ``partial`` sees one block of an image's rows and returns a few rows.  ``combine`` turns partial rows
+    of up to ``fan_in`` blocks into partial rows again, level by level, and ``merge`` makes the result of
+    the last ``fan_in``, so no call sees an image whole, whatever its size.  Both must not depend on how
+    blocks are grouped.  Without ``combine``, ``merge`` sees the partial rows of all blocks.
     """
     keys = list(keys)
-    sizes = samples.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows_per_block).alias("_k"))
-    dealt = samples.join(sizes, keys).withColumn("_block", F.pmod(F.xxhash64(*samples.columns), F.col("_k")))
-    parts = dealt.drop("_k").groupBy(*keys, "_block").applyInPandas(lambda p: partial(p.drop(columns="_block")), partial_schema)
-    return parts.groupBy(*keys).applyInPandas(merge, result_schema)
+
+    def first(p: pd.DataFrame) -> pd.DataFrame:
+        rows = p.loc[p.index.repeat(p["_copies"])].drop(columns=["_block", "_copies"]).reset_index(drop=True)
+        return partial(rows).assign(_block=p["_block"].iloc[0])
+
+    with_block = f"{partial_schema}, _block long"
+    parts = blocks(samples, keys, rows_per_block).groupBy(*keys, "_block").applyInPandas(first, with_block)
+    if combine is not None:
+        parts = stored(parts, "partials")
+        while (parts.agg(F.max("_block")).first()[0] or 0) >= fan_in:
+
+            def level(p: pd.DataFrame) -> pd.DataFrame:
+                return combine(p.drop(columns="_block")).assign(_block=p["_block"].iloc[0] // fan_in)
+
+            parts = stored(parts.withColumn("_up", F.floor(F.col("_block") / fan_in)).groupBy(*keys, "_up").applyInPandas(lambda p: level(p.drop(columns="_up")), with_block), "partials")
+    return parts.drop("_block").groupBy(*keys).applyInPandas(merge, result_schema)

@@ -562,11 +562,14 @@ def x01(spark, sf):
     def partial(p: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{"image_id": p.image_id.iloc[0], "method": p.method.iloc[0], "n": len(p), "wx": (p.weight * p.value).sum(), "w": p.weight.sum(), "top": p.value.max()}])
 
+    def combine(p: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"image_id": p.image_id.iloc[0], "method": p.method.iloc[0], "n": p.n.sum(), "wx": p.wx.sum(), "w": p.w.sum(), "top": p.top.max()}])
+
     def merge(p: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{"image_id": p.image_id.iloc[0], "method": p.method.iloc[0], "n": p.n.sum(), "weighted_mean": p.wx.sum() / p.w.sum(), "top": p.top.max()}])
 
     s = bind.samples(spark, sf).select("image_id", "method", "value", "weight")
-    out = plugins.run_method(s, IM, partial, merge, "image_id long, method string, n long, wx double, w double, top double", "image_id long, method string, n long, weighted_mean double, top double", rows_per_block=500)
+    out = plugins.run_method(s, ["image_id", "method"], partial, merge, "image_id long, method string, n long, wx double, w double, top double", "image_id long, method string, n long, weighted_mean double, top double", combine=combine, rows_per_block=100)
     return out.select("image_id", "method", "n", r("weighted_mean", 8).alias("weighted_mean"), r("top").alias("top"))
 
 

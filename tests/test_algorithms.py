@@ -457,3 +457,20 @@ def test_best_of_three_masks(spark):
     stripes = sum(4 < r < 20 and k % 8 in (2, 3) and 2 < k < 22 for r in range(24) for k in range(24))
     assert masks[1, "otsu"] == masks[2, "otsu"] == stripes and got[1][1] > 0.3 and got[2][1] > 0.3
     assert got[3] == ("local", 0.05)
+
+
+def test_methods_merge_in_levels(spark):
+    """No call sees more than ``fan_in`` partial results; equal rows spread over full blocks."""
+    df = spark.range(3000).select(F.when(F.col("id") < 2500, 1).otherwise(2).alias("img"), F.when(F.col("id") % 10 < 9, 7).otherwise(F.col("id")).alias("v"))
+    sizes = plugins.blocks(df, ["img"], 100).groupBy("img", "_block").agg(F.sum("_copies").alias("n")).collect()
+    assert all(r["n"] == 100 for r in sizes) and len(sizes) == 30
+
+    def fold(p):
+        assert len(p) <= 4, "too many partial results at once"
+        return pd.DataFrame([{"img": p.img.iloc[0], "n": p.n.sum(), "s": p.s.sum(), "most": max(len(p), p.most.max())}])
+
+    out = plugins.run_method(
+        df, ["img"], lambda p: pd.DataFrame([{"img": p.img.iloc[0], "n": len(p), "s": p.v.sum(), "most": 1}]), fold, "img int, n long, s long, most long", "img int, n long, s long, most long",
+        combine=fold, rows_per_block=100, fan_in=4).collect()
+    want = {r["img"]: (r["n"], r["s"]) for r in df.groupBy("img").agg(F.count("*").alias("n"), F.sum("v").alias("s")).collect()}
+    assert {r["img"]: (r["n"], r["s"]) for r in out} == want and max(r["most"] for r in out) == 4
