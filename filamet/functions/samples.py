@@ -28,6 +28,18 @@ def contract_problem(value: Column, weight: Column, unit: Column) -> Column:
     )
 
 
+def result_problem(version: Column, image: Column, unit: Column, confidence: Column, runtime: Column, distribution_units: Column) -> Column:
+    """First broken rule of a method's result; null when fine.  ``distribution_units`` lists the units of its distributions."""
+    blank = lambda c: F.coalesce(F.trim(c.cast("string")), F.lit("")) == ""
+    return (
+        F.when(blank(version) | blank(image) | blank(unit), "REQUIRED_FIELD_MISSING")
+        # no confidence and no runtime are fine; NaN is not within any range
+        .when(confidence.isNotNull() & ~F.coalesce((confidence >= 0) & (confidence <= 1), F.lit(False)), "CONFIDENCE_OUT_OF_RANGE")
+        .when(runtime < 0, "RUNTIME_NEGATIVE")
+        .when(F.exists(F.coalesce(distribution_units, F.array().cast("array<string>")), lambda u: ~u.eqNullSafe(unit)), "UNIT_MISMATCH")
+    )
+
+
 def paired_edge_quality(
     r_minus: Column, r_plus: Column, coherence: Column, tangent: Column, normal: Column, edt: Column,
     *, low_coherence: float = 0.15, high_asymmetry: float = 0.5, min_tangent: float = 0.5,

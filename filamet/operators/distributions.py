@@ -330,6 +330,13 @@ def measurement_histogram(df: DataFrame, keys: Sequence[str], x: str, bins: int
     return weighted_histogram(df.withColumn("_one", F.lit(1.0)), keys, [], x, "_one", edges).drop("h", "density")
 
 
+def unweighted_summary(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
+    """n, mean, median, P05 and P95 without weights."""
+    df = present(df, x)
+    q = exact_quantiles(df, keys, x, [0.05, 0.5, 0.95], names=["p05", "median", "p95"])
+    return join_groups(agg(df, keys, F.count(x).alias("n"), F.avg(x).alias("mean")), q, keys)
+
+
 def mean_and_median(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     df = present(df, x)
     return join_groups(agg(df, keys, F.count(x).alias("n"), F.avg(x).alias("mean")), exact_quantiles(df, keys, x, [0.5], names=["median"]), keys)

@@ -100,6 +100,19 @@ def estimator_distances(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return d.select(*keys, label.alias("pair"), F.col("w1_unweighted").alias("w1"))
 
 
+def estimator_medians(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Median of the six estimators per image, each over the samples it accepts, and the acceptance shares.
+
+    Columns as in :func:`estimator_distances`.  The distance transform has no acceptance of its own.
+    """
+    keys = list(keys)
+    masks = {"edt_raw": ("edt", None), "edt_refined": ("redt", None), "edge_raw": ("edge", "edge"), "edge_refined": ("redge", "redge"), "profile_raw": ("profile", "profile"), "profile_refined": ("rprofile", "rprofile")}
+    value = lambda v, m: usable(F.col(v)) if m is None else F.when(F.col(f"{m}_accepted"), usable(F.col(v)))
+    q = multi_quantiles(df, keys, {(n, 0.5): (n, value(v, m)) for n, (v, m) in masks.items()})
+    shares = df.groupBy(*keys).agg(*[F.avg(F.col(f"{m}_accepted").cast("double")).alias(f"{n}_acceptance") for n, (_, m) in masks.items() if m])
+    return shares.join(q, keys, "left")
+
+
 def refinement_effect(distances: DataFrame, image: str, pair: str = "pair") -> DataFrame:
     """How many images agree better after refinement, and the median distances."""
     wide = distances.groupBy(image).agg(*[F.max(F.when(F.col(pair) == p, F.col("w1"))).alias(p) for p in ("edt_edge_raw", "edt_edge_refined")])

@@ -8,18 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filamet import schemas as S
-from filamet.operators.quantiles import exact_quantiles, multi_quantiles
+from filamet.operators.groups import attach_row
+from filamet.operators.distributions import pair_distances
+from filamet.operators.quantiles import exact_quantiles, multi_quantiles, weighted_quantiles
 from filamet.session import cut_lineage
 
 
 def estimator_table(summary: DataFrame, image: str, series: str, labels: Sequence[tuple[str, str]]) -> DataFrame:
-    """One row per image and listed estimator; a missing estimator keeps a blank row."""
+    """One row per image and listed estimator; a missing estimator keeps a blank row.
+
+    ``coverage`` is the estimator's share of ``total``, the samples that an image offers, if the summary has it.
+    """
     slots = F.array(*[F.struct(F.lit(k).alias(series), F.lit(v).alias("label")) for k, v in labels])
     grid = summary.select(image).distinct().withColumn("_s", F.explode(slots)).select(image, "_s.*")
     return grid.join(summary, [image, series], "left").select(
         image, "label", F.coalesce("n", F.lit(0)).alias("n"), "mean", F.col("p50").alias("median"),
         (F.col("p75") - F.col("p25")).alias("iqr"), "p05", "p95",
         F.when(F.col("n").isNull(), "NOT_RUN").otherwise("COMPLETE").alias("status"),
+        (F.col("n") / F.col("total") if "total" in summary.columns else F.lit(None).cast("double")).alias("coverage"),
     )
 
 
@@ -57,6 +63,12 @@ def status_matrix(results: DataFrame, images: DataFrame, image: str, methods: Se
     return images.select(image).distinct().join(wide, image, "left").fillna("NOT_RUN", list(methods))
 
 
+def median_matrix(medians: DataFrame, images: DataFrame, image: str, methods: Sequence[str], value: str = "median") -> DataFrame:
+    """image x method medians; null where a method has none."""
+    wide = medians.groupBy(image).pivot("method", list(methods)).agg(F.first(value))
+    return images.select(image).distinct().join(wide, image, "left")
+
+
 def status_counts(results: DataFrame) -> DataFrame:
     return results.groupBy("method", "status").agg(F.count(F.lit(1)).alias("n"))
 
@@ -89,6 +101,12 @@ def processed_images(results: DataFrame, image: str) -> DataFrame:
     return per.agg(F.count_if("_p").alias("processed"), F.count(F.lit(1)).alias("images"))
 
 
+def median_across_images(stats: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: the median of each per-image figure over the images that have it, and the number of images."""
+    q = multi_quantiles(stats, [], {(c, 0.5): (c, F.col(c)) for c in columns})
+    return attach_row(stats.agg(F.count(F.lit(1)).alias("images")), q)
+
+
 def quality_table(stats: DataFrame, flags: str) -> DataFrame:
     return stats.withColumn("notable_flags", F.coalesce(F.nullif(F.array_join(F.slice(flags, 1, 2), ", "), F.lit("")), F.lit("—")))
 
@@ -109,6 +127,28 @@ def secondary_pairs(distances: DataFrame, medians: DataFrame, image: str) -> Dat
     return distances.join(l, [image, "left"]).join(r, [image, "right"]).withColumn("median_difference", F.col("_l") - F.col("_r")).drop("_l", "_r")
 
 
+def report_pairs(
+    samples: DataFrame, keys: Sequence[str], series: str, x: str, w: str, *, primary: Sequence[tuple[str, str]], internal: Sequence[tuple[str, str]] = (), refinement: Sequence[tuple[str, str]] = (), tie: Sequence[str] = (),
+) -> DataFrame:
+    """The fixed pairs of the agreement section: ``section``, ``left``, ``right``, ``w1``, ``ks``, ``median_difference``.
+
+    Pairs of methods are weighted; pairs inside one method, raw and refined, are unweighted and have no
+    median difference.  A pair with an empty side has no row.
+    """
+    keys = list(keys)
+    sections = [("primary", p) for p in primary] + [("internal", p) for p in internal] + [("refinement", p) for p in refinement]
+    names = sorted({n for _, p in sections for n in p})
+    rows = samples.where(F.col(series).isin(names))
+    d = pair_distances(rows, keys, series, names, x, w, pairs=[p for _, p in sections])
+    section = F.coalesce(*[F.when((F.col("left") == a) & (F.col("right") == b), s) for s, (a, b) in sections])
+    medians = weighted_quantiles(rows, [*keys, series], x, w, [0.5], tie=tie, names=["_m"])
+    sides = [medians.select(*keys, F.col(series).alias(k), F.col("_m").alias(f"_{k}")) for k in ("left", "right")]
+    out = d.withColumn("section", section).join(sides[0], [*keys, "left"]).join(sides[1], [*keys, "right"])
+    main = F.col("section") == "primary"
+    return out.where(F.col("ks").isNotNull()).select(
+        *keys, "section", "left", "right", F.when(main, F.col("w1")).otherwise(F.col("w1_unweighted")).alias("w1"), "ks", F.when(main, F.col("_left") - F.col("_right")).alias("median_difference"))
+
+
 def candidate_rollup(candidates: DataFrame, keys: Sequence[str], flags: str, level: Column) -> DataFrame:
     """Excluded, measurable, high-confidence and to-review candidates per image."""
     bad = F.arrays_overlap(flags, F.array(*[F.lit(f) for f in S.CRITICAL_FLAGS]))

@@ -10,7 +10,7 @@ from filamet.operators import campaign as C
 from filamet.operators import distributions as D
 from filamet.operators import fitting, parity, plugins, reports
 from filamet.operators.groups import attach_row
-from filamet.operators.quantiles import weighted_quantiles
+from filamet.operators.quantiles import exact_quantiles, weighted_quantiles
 from filamet.plans import bind
 from filamet.plans.distribution_queries import IM, MEMBERS_SQL, SUMMARY_SQL, TIE, dist_sql, members, wq_sql
 from filamet.plans.registry import query, r
@@ -403,6 +403,26 @@ def j04(spark, sf):
     return p.select("image_id", c("left").alias("secondary"), c("right").alias("against"), r("w1", 9).alias("w1"), r("w1_unweighted", 9).alias("w1_unweighted"), r("ks", 10).alias("ks"), r("median_difference", 8).alias("median_difference"))
 
 
+# three methods, and estimators of one of them as series of their own
+REPORT_SERIES = """series AS (SELECT image_id, method, value, weight FROM samples
+  UNION ALL SELECT image_id, CASE WHEN ord2 <= 2 THEN 'RAW_EDGE' WHEN ord2 <= 4 THEN 'RIBBON_EDGE' ELSE 'PROFILE' END, value * (1 + ord2 / 50), weight FROM samples WHERE method = 'R')"""
+
+
+@query("j04_report_pairs", f"""
+WITH {REPORT_SERIES}, {dist_sql("series")}, {wq_sql("samples", "image_id, method", "[0.5]::DOUBLE[]")},
+p AS (SELECT *, CASE WHEN l = 'A' AND r IN ('N', 'R') THEN 'primary' WHEN (l, r) IN (('R', 'RAW_EDGE'), ('PROFILE', 'R')) THEN 'internal' WHEN (l, r) = ('RAW_EDGE', 'RIBBON_EDGE') THEN 'refinement' END AS section FROM dd)
+SELECT p.image_id, section, CASE WHEN section = 'internal' THEN 'R' ELSE l END AS "left", CASE WHEN section = 'internal' AND l = 'PROFILE' THEN l ELSE r END AS "right", round(CASE section WHEN 'primary' THEN w1 ELSE w1u END, 8) AS w1, round(ks, 10) AS ks,
+  round(CASE section WHEN 'primary' THEN a.v - b.v END, 8) AS median_difference FROM p LEFT JOIN wq a ON a.image_id = p.image_id AND a.method = l LEFT JOIN wq b ON b.image_id = p.image_id AND b.method = r WHERE section IS NOT NULL""", "samples")
+def j04_report(spark, sf):
+    s = bind.samples(spark, sf)
+    part = F.when(c("ord2") <= 2, "RAW_EDGE").when(c("ord2") <= 4, "RIBBON_EDGE").otherwise("PROFILE")
+    inner = s.where(c("method") == "R").withColumns({"method": part, "value": c("value") * (1 + c("ord2") / 50)})
+    p = reports.report_pairs(
+        s.unionByName(inner), ["image_id"], "method", "value", "weight", tie=TIE,
+        primary=[("A", "N"), ("A", "R")], internal=[("R", "RAW_EDGE"), ("R", "PROFILE")], refinement=[("RAW_EDGE", "RIBBON_EDGE")])
+    return p.select("image_id", "section", "left", "right", r("w1", 8).alias("w1"), r("ks", 10).alias("ks"), r("median_difference", 8).alias("median_difference"))
+
+
 @query("j19_refinement_pairs", SUMMARY_SQL + """
 SELECT m.image_id, 'EDGE' AS estimator, m.n, round(q.p50, 9) AS p50, m2.n AS refined_n, round(q2.p50 - q.p50, 8) AS median_change FROM m JOIN q USING (image_id, method) LEFT JOIN m m2 ON m2.image_id = m.image_id AND m2.method = 'N' LEFT JOIN q q2 ON q2.image_id = m.image_id AND q2.method = 'N' WHERE m.method = 'A'
 UNION ALL SELECT m.image_id, 'EDT', m.n, round(q.p50, 9), NULL, NULL FROM m JOIN q USING (image_id, method) WHERE m.method = 'R'""", "samples")
@@ -433,6 +453,15 @@ def a10(spark, sf):
     return reports.status_matrix(m, m, "image_id", ["A", "N", "R", "X"])
 
 
+@query("a10_median_matrix", """
+WITH m AS (SELECT image_id, method, quantile_cont(value, 0.5) AS m FROM samples GROUP BY ALL)
+SELECT image_id, round(max(m) FILTER (method = 'A'), 8) AS "A", round(max(m) FILTER (method = 'N'), 8) AS "N", round(max(m) FILTER (method = 'R'), 8) AS "R", NULL::DOUBLE AS "X" FROM m GROUP BY image_id""", "samples")
+def a10c(spark, sf):
+    s = bind.samples(spark, sf)
+    m = exact_quantiles(s, ["image_id", "method"], "value", [0.5], names=["median"])
+    return reports.median_matrix(m, m, "image_id", ["A", "N", "R", "X"]).select("image_id", *[r(k, 8).alias(k) for k in "ANRX"])
+
+
 @query("a10_status_counts", f"WITH {RESULTS_SQL} SELECT method, status, count(*) AS n FROM res GROUP BY ALL", "samples")
 def a10b(spark, sf):
     return reports.status_counts(method_results(spark, sf))

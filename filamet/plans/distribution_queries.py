@@ -212,16 +212,16 @@ def d11(spark, sf):
 
 @query("d12_estimator_table", SUMMARY_SQL + """,
 d(method, label) AS (VALUES ('A','Raw EDT'),('N','Raw Edge'),('R','Manual'),('X','Refined Edge')),
-i AS (SELECT DISTINCT image_id FROM samples)
+i AS (SELECT image_id, count(*) AS total FROM samples GROUP BY image_id)
 SELECT i.image_id, label, coalesce(n, 0)::BIGINT AS n, round(mean, 9) AS mean, round(p50, 9) AS median, round(p75-p25, 9) AS iqr, round(p05, 9) AS p05, round(p95, 9) AS p95,
-  CASE WHEN n IS NULL THEN 'NOT_RUN' ELSE 'COMPLETE' END AS status FROM i CROSS JOIN d LEFT JOIN m ON m.image_id = i.image_id AND m.method = d.method LEFT JOIN q ON q.image_id = i.image_id AND q.method = d.method""", "samples")
+  CASE WHEN n IS NULL THEN 'NOT_RUN' ELSE 'COMPLETE' END AS status, round(n / total, 9) AS coverage FROM i CROSS JOIN d LEFT JOIN m ON m.image_id = i.image_id AND m.method = d.method LEFT JOIN q ON q.image_id = i.image_id AND q.method = d.method""", "samples")
 def d12(spark, sf):
     from filamet.operators.reports import estimator_table
     s = bind.samples(spark, sf)
     return estimator_table(
-        D.weighted_summary(s, IM, "value", "weight", tie=TIE), "image_id", "method",
+        D.weighted_summary(s, IM, "value", "weight", tie=TIE).join(s.groupBy("image_id").agg(F.count(F.lit(1)).alias("total")), "image_id"), "image_id", "method",
         [("A", "Raw EDT"), ("N", "Raw Edge"), ("R", "Manual"), ("X", "Refined Edge")],
-    ).select("image_id", "label", "n", r("mean", 9).alias("mean"), r("median", 9).alias("median"), r("iqr", 9).alias("iqr"), r("p05", 9).alias("p05"), r("p95", 9).alias("p95"), "status")
+    ).select("image_id", "label", "n", r("mean", 9).alias("mean"), r("median", 9).alias("median"), r("iqr", 9).alias("iqr"), r("p05", 9).alias("p05"), r("p95", 9).alias("p95"), "status", r("coverage", 9).alias("coverage"))
 
 
 @query("a37_axis_range", f"""

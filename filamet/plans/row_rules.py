@@ -294,6 +294,19 @@ def p21(spark, sf):
     )
 
 
+@query("p21_result_contract", """
+WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 41 = 0 THEN '' ELSE 'v' || o_orderstatus END AS version, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 1 THEN o_totalprice/400000 ELSE o_totalprice/100000 END AS conf,
+  CASE WHEN o_orderkey % 23 = 0 THEN -1 ELSE o_custkey END::DOUBLE AS runtime, CASE o_orderstatus WHEN 'P' THEN ['um', 'nm'] WHEN 'O' THEN ['um'] ELSE NULL END AS units FROM orders)
+SELECT o_orderkey, CASE WHEN version = '' THEN 'REQUIRED_FIELD_MISSING' WHEN conf IS NOT NULL AND NOT (conf >= 0 AND conf <= 1) THEN 'CONFIDENCE_OUT_OF_RANGE' WHEN runtime < 0 THEN 'RUNTIME_NEGATIVE' WHEN list_contains(units, 'nm') THEN 'UNIT_MISMATCH' END AS problem FROM o""")
+def p21_result(spark, sf):
+    k = c("o_orderkey")
+    units = F.when(c("o_orderstatus") == "P", F.array(F.lit("um"), F.lit("nm"))).when(c("o_orderstatus") == "O", F.array(F.lit("um")))
+    version = F.when(k % 41 == 0, "").otherwise(F.concat(F.lit("v"), c("o_orderstatus")))
+    confidence = F.when(k % 5 == 1, c("o_totalprice") / 400000).when(k % 5 > 0, c("o_totalprice") / 100000)
+    runtime = F.when(k % 23 == 0, -1.0).otherwise(c("o_custkey").cast("double"))
+    return bind.table(spark, sf, "orders").select("o_orderkey", P.result_problem(version, k, F.lit("um"), confidence, runtime, units).alias("problem"))
+
+
 @query("p22_capability", """
 SELECT conv_id, turn, CASE role WHEN 'user' THEN 'AVAILABLE' ELSE 'UNAVAILABLE' END AS mask_state, 'UNAVAILABLE' AS graph_state, role = 'user' AS supports_mask FROM conversations""")
 def p22(spark, sf):

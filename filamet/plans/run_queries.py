@@ -138,6 +138,15 @@ def a23(spark, sf):
         r("median_edge_minus_edt", 8).alias("median_edge_minus_edt"))
 
 
+@query("a13_acceptance_medians", FV + """,
+s AS (SELECT image_id, avg(edge_accepted::INT) AS ea, avg(profile_accepted::INT) AS pa, quantile_cont(eme, 0.5) AS eme, quantile_cont(asym, 0.5) AS asym FROM v GROUP BY image_id)
+SELECT count(*) AS images, round(quantile_cont(ea, 0.5), 9) AS edge_acceptance, round(quantile_cont(pa, 0.5), 9) AS profile_acceptance, round(quantile_cont(eme, 0.5), 8) AS edge_minus_edt FROM s""")
+def a13_medians(spark, sf):
+    from filamet.operators.reports import median_across_images
+    m = median_across_images(FS.field_statistics(field_values(spark, sf), ["image_id"]), ["edge_acceptance_fraction", "profile_acceptance_fraction", "median_edge_minus_edt"])
+    return m.select("images", r("edge_acceptance_fraction", 9).alias("edge_acceptance"), r("profile_acceptance_fraction", 9).alias("profile_acceptance"), r("median_edge_minus_edt", 8).alias("edge_minus_edt"))
+
+
 @query("a09_flag_frequencies", FIELD_SQL + """,
 s AS (SELECT image_id, unnest(CASE ek WHEN 0 THEN ['POSSIBLE_CROSSING','AMBIGUOUS_LOCAL_WIDTH'] WHEN 1 THEN ['HIGH_ASYMMETRY'] ELSE [] END) AS flag FROM f UNION ALL SELECT DISTINCT image_id, 'EXPERIMENTAL' FROM f),
 k AS (SELECT image_id, flag, count(*) AS n FROM s GROUP BY ALL)
@@ -148,17 +157,24 @@ def a09(spark, sf):
     return FS.flag_counts(f, ["image_id"], "fl", extra).withColumn("share", r("share", 9))
 
 
-@query("a24_refinement_summary", """
-WITH k AS (SELECT l_suppkey AS image_id, l_returnflag <> 'R' AS acc, l_returnflag = 'A' AS ref, l_extendedprice/1009 AS shift, l_quantity AS w, l_extendedprice/2003 AS sm, CASE WHEN l_linenumber > 2 THEN l_partkey % 7 ELSE -1 END AS seg, l_linestatus = 'F' AS e, l_tax AS arc FROM lineitem)
+REFINED_SQL = """
+k AS (SELECT l_suppkey AS image_id, l_returnflag <> 'R' AS acc, l_returnflag = 'A' AS ref, l_extendedprice/1009 AS shift, l_quantity AS w, l_extendedprice/2003 AS sm, CASE WHEN l_linenumber > 2 THEN l_partkey % 7 ELSE -1 END AS seg, l_linestatus = 'F' AS e, l_tax AS arc FROM lineitem)"""
+
+
+@query("a24_refinement_summary", f"""WITH {REFINED_SQL}
 SELECT image_id, count(*) FILTER (acc) AS accepted_count, round(count(*) FILTER (ref)/count(*), 9) AS smooth_coverage, count(DISTINCT CASE WHEN seg >= 0 THEN seg END) AS segment_count, round(avg(CASE WHEN ref THEN e::INT END), 9) AS edge_share, round(sum(arc), 6) AS arc_length,
   round(quantile_cont(CASE WHEN acc THEN shift END, 0.5), 9) AS median_shift, round(quantile_cont(CASE WHEN acc THEN shift END, 0.9), 9) AS p90_shift, round(quantile_cont(CASE WHEN acc THEN shift/w END, 0.5), 9) AS median_fraction, round(quantile_cont(CASE WHEN ref THEN sm END, 0.9), 9) AS p90_smooth FROM k GROUP BY image_id""")
 def a24(spark, sf):
+    s = refined_per_image(spark, sf)
+    return s.select("image_id", "accepted_count", r("smooth_coverage", 9).alias("smooth_coverage"), "segment_count", r("edge_acceptance_among_refined", 9).alias("edge_share"), r("arc_length", 6).alias("arc_length"),
+                    r("median_shift", 9).alias("median_shift"), r("p90_shift", 9).alias("p90_shift"), r("median_shift_fraction", 9).alias("median_fraction"), r("p90_smooth_shift", 9).alias("p90_smooth"))
+
+
+def refined_per_image(spark, sf):
     li = bind.table(spark, sf, "lineitem").select(
         c("l_suppkey").alias("image_id"), (c("l_returnflag") != "R").alias("accepted"), (c("l_returnflag") == "A").alias("refined"), (c("l_extendedprice") / 1009).alias("shift"), c("l_quantity").alias("width"),
         (c("l_extendedprice") / 2003).alias("smooth_shift"), F.when(c("l_linenumber") > 2, c("l_partkey") % 7).otherwise(-1).alias("segment_id"), (c("l_linestatus") == "F").alias("edge_accepted"), F.lit(1.0).alias("edge"), c("l_tax").alias("arc_weight"))
-    s = FS.refinement_summary(li, ["image_id"])
-    return s.select("image_id", "accepted_count", r("smooth_coverage", 9).alias("smooth_coverage"), "segment_count", r("edge_acceptance_among_refined", 9).alias("edge_share"), r("arc_length", 6).alias("arc_length"),
-                    r("median_shift", 9).alias("median_shift"), r("p90_shift", 9).alias("p90_shift"), r("median_shift_fraction", 9).alias("median_fraction"), r("p90_smooth_shift", 9).alias("p90_smooth"))
+    return FS.refinement_summary(li, ["image_id"])
 
 
 def estimator_columns(spark, sf):
@@ -186,6 +202,30 @@ def a15(spark, sf):
     return FS.estimator_distances(estimator_columns(spark, sf), ["image_id"]).withColumn("w1", r("w1", 8))
 
 
+@query("a15_estimator_medians", f"""
+WITH {EST} SELECT image_id, round(quantile_cont(edt, 0.5), 8) AS edt_raw, round(quantile_cont(redt, 0.5), 8) AS edt_refined, round(quantile_cont(edge, 0.5) FILTER (ea), 8) AS edge_raw, round(quantile_cont(redge, 0.5) FILTER (rea), 8) AS edge_refined,
+  round(quantile_cont(profile, 0.5) FILTER (pa), 8) AS profile_raw, round(quantile_cont(rprofile, 0.5) FILTER (rpa), 8) AS profile_refined, round(avg(ea::INT), 9) AS edge_raw_acceptance, round(avg(rea::INT), 9) AS edge_refined_acceptance,
+  round(avg(pa::INT), 9) AS profile_raw_acceptance, round(avg(rpa::INT), 9) AS profile_refined_acceptance FROM e GROUP BY image_id""")
+def a15_medians(spark, sf):
+    m = FS.estimator_medians(estimator_columns(spark, sf), ["image_id"])
+    names = ("edt_raw", "edt_refined", "edge_raw", "edge_refined", "profile_raw", "profile_refined")
+    return m.select("image_id", *[r(k, 8).alias(k) for k in names], *[r(f"{k}_acceptance", 9).alias(f"{k}_acceptance") for k in names[2:]])
+
+
+@query("a14_refinement_medians", FV + f""", {REFINED_SQL},
+p AS (SELECT image_id, count(*) FILTER (ref)/count(*) AS cov, avg(CASE WHEN ref THEN e::INT END) AS share, quantile_cont(CASE WHEN acc THEN shift END, 0.5) AS ms, quantile_cont(CASE WHEN ref THEN sm END, 0.5) AS sms FROM k GROUP BY image_id),
+y AS (SELECT image_id, quantile_cont(asym, 0.5) AS asym FROM v GROUP BY image_id)
+SELECT count(*) AS images, round(quantile_cont(ms, 0.5), 9) AS center_shift, round(quantile_cont(sms, 0.5), 9) AS residual_shift, round(quantile_cont(cov, 0.5), 9) AS smooth_coverage, round(quantile_cont(share, 0.5), 9) AS edge_acceptance_refined,
+  (SELECT round(quantile_cont(asym, 0.5), 9) FROM y) AS asymmetry FROM p""")
+def a14_medians(spark, sf):
+    from filamet.operators.groups import attach_row
+    from filamet.operators.reports import median_across_images
+    m = median_across_images(refined_per_image(spark, sf), ["median_shift", "median_smooth_shift", "smooth_coverage", "edge_acceptance_among_refined"])
+    y = median_across_images(FS.field_statistics(field_values(spark, sf), ["image_id"]), ["edge_median_asymmetry"]).select("edge_median_asymmetry")
+    return attach_row(m, y).select("images", r("median_shift", 9).alias("center_shift"), r("median_smooth_shift", 9).alias("residual_shift"), r("smooth_coverage", 9).alias("smooth_coverage"),
+                                   r("edge_acceptance_among_refined", 9).alias("edge_acceptance_refined"), r("edge_median_asymmetry", 9).alias("asymmetry"))
+
+
 @query("a14_refinement_effect", f"""
 WITH {EST}, a AS (SELECT image_id, max(w1) FILTER (pair = 'edt_edge_raw') AS raw, max(w1) FILTER (pair = 'edt_edge_refined') AS ref FROM w GROUP BY image_id)
 SELECT count(*) AS images, count(*) FILTER (ref < raw) AS improved, round(quantile_cont(raw, 0.5), 8) AS median_raw, round(quantile_cont(ref, 0.5), 8) AS median_refined FROM a""")

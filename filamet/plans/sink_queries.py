@@ -89,15 +89,16 @@ def k05(spark, sf):
 
 
 @query("k06_method_documents", f"""
-WITH {RESULTS_SQL}, q AS (SELECT image_id, method, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median FROM samples GROUP BY ALL)
-SELECT image_id, method, status, mean, median FROM res JOIN q USING (image_id, method)""", "samples")
+WITH {RESULTS_SQL}, q AS (SELECT image_id, method, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.95), 6) AS p95 FROM samples GROUP BY ALL)
+SELECT image_id, method, status, q.n, mean, median, p05, p95 FROM res JOIN q USING (image_id, method)""", "samples")
 def k06(spark, sf):
     s = bind.samples(spark, sf)
-    dist = D.mean_and_median(s, IM, "value")
-    m = method_results(spark, sf).join(dist.drop("n"), IM).select("image_id", "method", "status", "quality_flags", r("mean").alias("mean"), r("median").alias("median"))
-    path = K.write_json(K.method_documents(m, "image_id", "method", ["status", "quality_flags", "mean", "median"]), K.scratch_path(spark, "documents"))
-    back = spark.read.schema("image_id long, methods map<string, struct<status:string,quality_flags:array<string>,mean:double,median:double>>").json(path)
-    return back.select("image_id", F.explode("methods").alias("method", "d")).select("image_id", "method", "d.status", "d.mean", "d.median")
+    dist = D.unweighted_summary(s, IM, "value")
+    figures = ["mean", "median", "p05", "p95"]
+    m = method_results(spark, sf).drop("n").join(dist, IM).select("image_id", "method", "status", "quality_flags", "n", *[r(k).alias(k) for k in figures])
+    path = K.write_json(K.method_documents(m, "image_id", "method", ["status", "quality_flags", "n", *figures]), K.scratch_path(spark, "documents"))
+    back = spark.read.schema("image_id long, methods map<string, struct<status:string,quality_flags:array<string>,n:bigint,mean:double,median:double,p05:double,p95:double>>").json(path)
+    return back.select("image_id", F.explode("methods").alias("method", "d")).select("image_id", "method", "d.status", "d.n", *[f"d.{k}" for k in figures])
 
 
 @query("k07_provenance", "SELECT 'DS' AS dataset_id, doc_id::VARCHAR AS case_id, sha256(text) AS sha256, lang AS resolution_class FROM documents")
@@ -153,6 +154,25 @@ def k11(spark, sf):
     return back.select("image_id", "method", "status", "common_distribution.n", r("common_distribution.mean").alias("mean"), r("common_distribution.median").alias("median"), r("common_distribution.p95").alias("p95"))
 
 
+@query("k11_campaign_payload", f"""
+WITH {RESULTS_SQL}, e AS (SELECT image_id, method, min(value) AS lo, max(value) AS hi FROM samples GROUP BY ALL),
+g AS (SELECT image_id, method, value, lo, hi, least(31, greatest(0, floor((value-lo)*(32/(hi-lo)))))::INTEGER AS i FROM samples JOIN e USING (image_id, method)),
+j AS (SELECT *, CASE WHEN value < i*((hi-lo)/32)+lo THEN i-1 ELSE i END AS k FROM g),
+b AS (SELECT image_id, method, CASE WHEN k < 31 AND value >= (k+1)*((hi-lo)/32)+lo THEN k+1 ELSE k END AS bin, count(*) AS n FROM j GROUP BY ALL),
+h AS (SELECT e.image_id, e.method, string_agg(coalesce(b.n, 0)::VARCHAR, ',' ORDER BY s.bin) AS hist FROM e CROSS JOIN (SELECT unnest(range(0, 32)) AS bin) s LEFT JOIN b ON b.image_id = e.image_id AND b.method = e.method AND b.bin = s.bin GROUP BY ALL),
+u AS (SELECT image_id, method, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(coalesce(stddev_samp(value), 0), 6) AS std, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.95), 6) AS p95, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM samples GROUP BY ALL)
+SELECT image_id, method, status, u.n, mean, median, std, p05, p95, hist, lo AS first_edge, hi AS last_edge FROM res JOIN u USING (image_id, method) JOIN h USING (image_id, method)""", "samples")
+def k11_campaign(spark, sf):
+    block = K.campaign_block(bind.samples(spark, sf), IM, "value", ["ord1", "ord2", "ord3"])
+    p = method_results(spark, sf).select("image_id", "method", "status", "quality_flags").join(block, IM)
+    path = K.write_json(p, K.scratch_path(spark, "campaign-payload"))
+    figures = "struct<n:bigint,mean:double,median:double,std:double,quantiles:array<double>,hist_values:array<bigint>,hist_edges:array<double>,fingerprint:string>"
+    back = spark.read.schema(f"image_id long, method string, status string, campaign {figures}").json(path).select("image_id", "method", "status", "campaign.*")
+    return back.select(
+        "image_id", "method", "status", "n", *[r(k).alias(k) for k in ("mean", "median", "std")], r(F.element_at("quantiles", 1)).alias("p05"), r(F.element_at("quantiles", 5)).alias("p95"),
+        F.array_join("hist_values", ",").alias("hist"), r(F.element_at("hist_edges", 1)).alias("first_edge"), r(F.element_at("hist_edges", -1)).alias("last_edge"))
+
+
 def _stream(spark, sf, name):
     schema = bind.table(spark, sf, name).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)

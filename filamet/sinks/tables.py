@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from filamet import schemas as S
 from filamet.functions.records import cell_position, clean_number, primary_unit, primary_value
-from filamet.operators.distributions import SUMMARY_NAMES
+from filamet.operators.distributions import SUMMARY_NAMES, SUMMARY_PROBS, common_edges, present, weighted_histogram
+from filamet.operators.groups import sd_or_zero
+from filamet.operators.quantiles import exact_quantiles
 from filamet.session import checkpoint_root
 
 
@@ -133,6 +135,26 @@ def result_payload(summary: DataFrame, status: DataFrame, image: str, method: st
     return status.join(summary, [image, method], "left").select(image, method, "status", "quality_flags", F.when(F.col("n").isNotNull(), dist).alias("common_distribution"))
 
 
+def campaign_block(samples: DataFrame, keys: Sequence[str], x: str, order: Sequence[str], bins: int = 32) -> DataFrame:
+    """The campaign form of a payload: unweighted figures, the histogram as arrays and the values' fingerprint.
+
+    One struct per group: n, mean, median, std (of a sample; 0 for one value), five quantiles, counts and
+    edges of ``bins`` equal bins, and the fingerprint of the values in ``order``.
+    """
+    keys = list(keys)
+    rows = present(samples, x)
+    base = rows.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), sd_or_zero(x).alias("std"))
+    q = exact_quantiles(rows, keys, x, SUMMARY_PROBS, names=SUMMARY_NAMES)
+    bars = weighted_histogram(rows.withColumn("_one", F.lit(1.0)), keys, [], x, "_one", common_edges(rows, keys, x, bins))
+    # a histogram has ``bins`` bars
+    hist = bars.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bin", F.col("n").alias("k"), "left_edge", "right_edge"))).alias("_h"))
+    prints = fingerprint(rows.withColumns({"row": F.xxhash64(*order), "col": F.lit(0)}), keys, x).select(*keys, "fingerprint")
+    out = base.join(q, keys).join(hist, keys).join(prints, keys)
+    edges = F.concat(F.transform("_h", lambda b: b["left_edge"]), F.array(F.element_at("_h", -1)["right_edge"]))
+    block = F.struct("n", "mean", F.col("p50").alias("median"), "std", F.array(*SUMMARY_NAMES).alias("quantiles"), F.transform("_h", lambda b: b["k"]).alias("hist_values"), edges.alias("hist_edges"), "fingerprint")
+    return out.select(*keys, block.alias("campaign"))
+
+
 def fingerprint(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Min, max, mean, non-zero count and an order-free content hash of each array.
 
