@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filamet import schemas as S
@@ -28,6 +30,26 @@ def contract_problem(value: Column, weight: Column, unit: Column) -> Column:
     )
 
 
+def series_rules(spark: SparkSession, methods: Sequence[tuple[str, str, Sequence[tuple[str, str]]]], *, manual: str, skip: Sequence[str]) -> DataFrame:
+    """Which distribution of a method is shown under which label, in which place.
+
+    ``methods`` lists method, label and its secondary estimators with their labels.  A method shows its
+    common distribution, the manual reference its native one; methods to ``skip`` show nothing.
+    """
+    rows = []
+    for method, label, secondary in methods:
+        if method not in skip:
+            rows.append((method, "native" if method == manual else "common", label))
+            rows += [(method, name, text) for name, text in secondary]
+    return spark.createDataFrame([(*r, i + 1) for i, r in enumerate(rows)], "method string, variant string, label string, position long")
+
+
+def display_series(distributions: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows of the distributions that are shown, with ``label`` and ``position``; others have no series."""
+    # the rules are a short list
+    return distributions.join(F.broadcast(rules), ["method", "variant"])
+
+
 def result_problem(version: Column, image: Column, unit: Column, confidence: Column, runtime: Column, distribution_units: Column) -> Column:
     """First broken rule of a method's result; null when fine.  ``distribution_units`` lists the units of its distributions."""
     blank = lambda c: F.coalesce(F.trim(c.cast("string")), F.lit("")) == ""

@@ -56,6 +56,21 @@ def s03(spark, sf):
     return files.inventory_table(i).select("case_id", "filename", "pixel_size_x", "footer_start_row", "footer_height_px", "magnification", "detector", "reader_flags", "zeiss_metadata_status", r("conversion_um_per_px", 12).alias("conversion_um_per_px"))
 
 
+@query("s03_short_inventory", """
+SELECT filename, CASE WHEN image_id % 5 = 0 THEN 'tiff' ELSE '' END AS format_id, width_px, height_px, CASE WHEN image_id % 7 = 0 THEN '' ELSE 'calibrated' END AS pixel_size_nm, CASE WHEN image_id % 2 = 0 THEN (image_id*10)::VARCHAR ELSE '' END AS magnification,
+  CASE WHEN image_id % 2 = 0 THEN width_px::VARCHAR ELSE '' END AS field_width, CASE WHEN image_id % 2 = 0 THEN 'um' ELSE '' END AS field_width_unit, '' AS field_height, '' AS field_height_unit, CASE WHEN image_id % 2 = 0 THEN (image_id % 30)::VARCHAR ELSE '' END AS eht_kv, '' AS wd_mm, '' AS detector, '' AS date, '' AS time,
+  CASE WHEN image_id % 3 = 0 THEN (image_id % 11)::VARCHAR ELSE '' END AS width_crosscheck_relative, '' AS height_crosscheck_relative FROM images""", "images")
+def s03_short(spark, sf):
+    i = c("image_id")
+    tags = {"ap_mag": (i * 10).cast("string"), "ap_width": c("width_px").cast("string"), "ap_width__unit": LIT("um"), "ap_actualkv": (i % 30).cast("string")}
+    some = F.when(i % 2 == 0, F.create_map(*[x for k, v in tags.items() for x in (LIT(k), v)])).otherwise(F.create_map().cast("map<string,string>"))
+    t = bind.images(spark, sf).withColumns({
+        "metadata": some, "format_id": F.when(i % 5 == 0, "tiff"), "pixel_size_x": F.when(i % 7 != 0, c("px")),
+        "width_crosscheck_relative": F.when(i % 3 == 0, i % 11), "height_crosscheck_relative": LIT(None).cast("double")})
+    out = files.short_inventory(t, expected=t.count())
+    return out.withColumn("pixel_size_nm", F.when(c("pixel_size_nm") != "", "calibrated").otherwise(""))
+
+
 @query("s04_flatten_metadata", """
 WITH k AS (SELECT event_id, props->>'k' AS v, event_type AS t FROM events)
 SELECT event_id, 'ap_k' AS key, v AS value FROM k UNION ALL SELECT event_id, 'ap_k__label', 'Label ' || t FROM k WHERE t <> 'error' UNION ALL SELECT event_id, 'ap_k__unit', 'nm' FROM k WHERE t = 'view' OR t = 'click'""")

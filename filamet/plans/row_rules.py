@@ -513,6 +513,18 @@ def p37(spark, sf):
     return bind.samples(spark, sf).groupBy("image_id", "method").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(d), "method").select("image_id", "label", "variant", "n")
 
 
+@query("p37_display_series", """
+WITH s AS (SELECT image_id, method, CASE WHEN ord2 <= 2 THEN 'common' WHEN ord2 <= 4 THEN 'native' WHEN ord2 = 5 THEN 'EDGE' ELSE 'PROFILE' END AS variant FROM samples),
+d(method, variant, label, pos) AS (VALUES ('A','common','Field EDT',1),('A','EDGE','Field Edge',2),('A','PROFILE','Field Profile',3),('R','native','Manual',4))
+SELECT image_id, label, pos::BIGINT AS position, count(*) AS n FROM s JOIN d USING (method, variant) GROUP BY ALL""", "samples")
+def p37_display(spark, sf):
+    # A has estimators of its own, R is the manual reference, N is an external result that is never shown
+    variant = F.when(c("ord2") <= 2, "common").when(c("ord2") <= 4, "native").when(c("ord2") == 5, "EDGE").otherwise("PROFILE")
+    s = bind.samples(spark, sf).select("image_id", "method", variant.alias("variant"))
+    rules = P.series_rules(spark, [("A", "Field EDT", [("EDGE", "Field Edge"), ("PROFILE", "Field Profile")]), ("R", "Manual", [])], manual="R", skip=["N"])
+    return P.display_series(s, rules).groupBy("image_id", "label", "position").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("p38_protocol_rules", """
 WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'NOPE' WHEN o_orderkey % 5 = 1 THEN 'DISTANCE' ELSE 'PROJECTED_WIDTH' END AS kind,
   CASE o_orderstatus WHEN 'F' THEN ['ACCEPTED','bogus'] WHEN 'O' THEN ['bogus'] ELSE ['PROPOSED','REJECTED'] END AS st,

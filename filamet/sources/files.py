@@ -56,6 +56,26 @@ def inventory_table(images: DataFrame, metadata: str = "metadata") -> DataFrame:
     return out.select(*S.INVENTORY_FIELDS, (F.col("pixel_size_x") * 1e6).alias("conversion_um_per_px"))
 
 
+#: fixed values: columns of the short inventory and the metadata they come from
+SHORT_INVENTORY = {
+    "magnification": "ap_mag", "field_width": "ap_width", "field_width_unit": "ap_width__unit", "field_height": "ap_height", "field_height_unit": "ap_height__unit",
+    "eht_kv": "ap_actualkv", "wd_mm": "ap_wd", "detector": "dp_detector_channel", "date": "ap_date", "time": "ap_time",
+}
+
+
+def short_inventory(images: DataFrame, metadata: str = "metadata", *, expected: int | None = None) -> DataFrame:
+    """The 17-column inventory by filename; what is missing is an empty string.
+
+    ``images`` has filename, format_id, width_px, height_px, pixel_size_x (metres, null without
+    calibration), a metadata map and the two cross-check columns.  ``expected`` rows are required if given.
+    """
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    meta = [text(F.try_element_at(metadata, F.lit(key))).alias(name) for name, key in SHORT_INVENTORY.items()]
+    checks = [text(F.col(k)).alias(k) for k in ("width_crosscheck_relative", "height_crosscheck_relative")]
+    out = images.select("filename", text(F.col("format_id")).alias("format_id"), "width_px", "height_px", text(F.col("pixel_size_x") * 1e9).alias("pixel_size_nm"), *meta, *checks)
+    return out if expected is None else require_count(out, expected, "inventory")
+
+
 def require_count(df: DataFrame, expected: int, name: str) -> DataFrame:
     """Fail with the row count when a dataset does not have the expected number of rows."""
     n = df.count()
