@@ -36,27 +36,20 @@ m AS (SELECT a, min(r) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id FROM c JOIN m ON c.rep = m.a
 """
 
-
-def _levels() -> str:
-    """Template tree level by level, as url_filter builds it."""
-    out = []
-    for k in range(4):
-        out.append(f"""c{k} AS (SELECT host, node, segs[{k + 1}] AS seg, sum(pages) AS n FROM r{k} WHERE len(segs) > {k} GROUP BY ALL),
-f{k} AS (SELECT host, node, seg FROM c{k} JOIN (SELECT host, node, sum(n) AS total FROM c{k} GROUP BY ALL) USING (host, node) WHERE n >= greatest(2, total * 0.02)),
-r{k + 1} AS (SELECT r.host, segs, pages, CASE WHEN len(segs) > {k} THEN r.node || '/' || coalesce(f.seg, '*') ELSE r.node END AS node, CASE WHEN len(segs) > {k} THEN r.node ELSE parent END AS parent FROM r{k} r LEFT JOIN f{k} f ON r.host = f.host AND r.node = f.node AND r.segs[{k + 1}] = f.seg)""")
-    return ",\n".join(out)
-
-
 URL_FILTER = r"""
 WITH u AS (SELECT page_id, coalesce(url, '') AS url, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1) AS h, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
 v AS (SELECT page_id, path, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, string_split(regexp_replace(regexp_replace(path, '^/', ''), '[0-9]+', '{n}', 'g'), '/') AS s0,
   TRY_CAST(nullif(regexp_extract(url, '/([0-9]{1,18})(?:\.html|/)?(?:[?#].*)?$', 1), '') AS BIGINT) AS key FROM u),
-b AS (SELECT page_id, path, host, key, CASE WHEN len(s0) > 4 THEN list_append(s0[1:3], array_to_string(s0[4:], '/')) ELSE s0 END AS segs FROM v),
+b AS (SELECT page_id, path, host, key, s0 AS segs FROM v),
 lb AS (SELECT doc_id AS key, min(quality) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 sh AS (SELECT host, segs, count(*) AS pages, coalesce(sum(good), 0) AS good, count(good) AS labelled FROM b LEFT JOIN lb USING (key) GROUP BY host, segs),
-r0 AS (SELECT host, segs, pages, '' AS node, '' AS parent FROM sh),
-""" + _levels() + r""",
-t AS (SELECT host, segs, node AS template, parent FROM r4),
+pt AS (SELECT host, segs, pages, pos, array_to_string(segs[1 : pos], '/') AS pre FROM (SELECT host, segs, pages, unnest(range(1, len(segs) + 1)) AS pos FROM sh)),
+of AS (SELECT host, pos, pre FROM pt GROUP BY ALL HAVING sum(pages) >= 30),
+ld AS (SELECT pt.host, pt.segs, count(of.pos) AS k FROM pt LEFT JOIN of ON of.host = pt.host AND of.pos = pt.pos AND of.pre = pt.pre GROUP BY pt.host, pt.segs),
+af AS (SELECT pt.*, k, array_to_string(pt.segs[1 : k], '/') AS base FROM pt JOIN ld USING (host, segs)),
+cm AS (SELECT host, k, base, pos, segs[pos] AS seg FROM af WHERE pos > k + 1 GROUP BY ALL HAVING sum(pages) >= 30),
+nm AS (SELECT af.host, af.segs, list(CASE WHEN af.pos <= af.k OR cm.seg IS NOT NULL THEN af.segs[af.pos] ELSE '*' END ORDER BY af.pos) AS names FROM af LEFT JOIN cm ON cm.host = af.host AND cm.k = af.k AND cm.base = af.base AND cm.pos = af.pos AND cm.seg = af.segs[af.pos] GROUP BY af.host, af.segs),
+t AS (SELECT host, segs, '/' || array_to_string(names, '/') AS template, CASE WHEN len(names) > 1 THEN '/' || array_to_string(names[1 : len(names) - 1], '/') ELSE '' END AS parent FROM nm),
 k AS (SELECT host, parent, template, sum(good) AS good, sum(labelled) AS n FROM sh JOIN t USING (host, segs) GROUP BY ALL),
 ks AS (SELECT k.*, sum(good) OVER w AS pg, sum(n) OVER w AS pn, sum(good) OVER (PARTITION BY host) AS hg, sum(n) OVER (PARTITION BY host) AS hn, sum(good) OVER () AS g, sum(n) OVER () AS al FROM k WINDOW w AS (PARTITION BY host, parent)),
 z AS (SELECT *, CASE WHEN pn > 0 THEN pg / pn ELSE 0.0 END::DOUBLE AS p FROM ks),

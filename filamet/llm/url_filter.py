@@ -1,27 +1,27 @@
 """URL filter: host and path rules first, else a tree of path templates.  DataFrame functions only.
 
-Paths become templates level by level.  Numbers are written ``{n}`` at once.  Below each node of a
-host's tree, a segment stays as it is if it carries a fair share of the node's pages, or labels enough
-to be tested by itself however large the node; all others are variable and generalise to ``*``.  Good and bad labels are counted per template.  Sibling templates
-whose good rate does not differ from that of all siblings (two-sided z below ``similar``) are merged
-into one branch and judged together.  A branch is rejected if its smoothed purity, the good rate
-drawn towards the host's and that towards the overall rate, is below ``least_purity``.
-
-Everything after the first aggregation works on distinct shapes of paths, with counts.
+Paths become templates at all levels together.  Numbers are written ``{n}`` at once.  A segment stays
+as it is if the path up to it is shared by at least LEAST_PAGES pages of the host, however many the host
+has; the next one is variable and generalises to ``*``.  What follows stays if LEAST_PAGES pages with
+the same leading part have it at that place, else it is variable too.  Good and bad labels are counted per
+template.  Sibling templates whose good rate does not differ from that of all siblings (two-sided z
+below ``SIMILAR``) are merged into one branch and judged together.  A branch is rejected if its smoothed
+purity, the good rate drawn towards the host's and that towards the overall rate, is below LEAST_PURITY.
+
+Everything after the first aggregation works on distinct shapes of paths, with counts.  The number of
+jobs and the plan do not depend on the depth of the paths.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filamet.llm.shared import ascii_lower, stored
 
-LEAST_SHARE = 0.02
-LEAST_LABELS = 30  # a rate of so many is near enough to normal for the z test
+LEAST_PAGES = 30  # a rate of so many is near enough to normal for the z test
 SIMILAR = 2.0
 PRIOR = 10.0
 LEAST_PURITY = 0.6
@@ -52,39 +52,36 @@ def segments(path: Column) -> Column:
     return F.split(F.regexp_replace(F.regexp_replace(path, "^/", ""), "[0-9]+", "{n}"), "/")
 
 
+def _prefixes(segs: Column) -> Column:
+    """Hash of every prefix of the segments."""
+    grow = lambda acc, x: F.concat(acc, F.array(F.xxhash64(F.get(acc, F.size(acc) - 1), x)))
+    return F.slice(F.aggregate(segs, F.array(F.lit(0).cast("long")), grow), F.lit(2), F.size(segs))
+
+
 def _templates(shapes: DataFrame) -> DataFrame:
-    """(host, segs) with counts -> adds template and parent.
+    """(host, shape, segs, pages) -> (host, shape, template, parent), in two aggregations whatever the depth.
 
-    One level after the other, until no path has a further segment; a shape alone below its node is
-    named to its end at once, as all its segments have the same counts.
+    The first counts prefixes and gives each shape the length of its leading part that stays; the second
+    counts what follows the first variable segment by that part, position and segment.
     """
-    rows = shapes.select("host", "segs", "pages", "labelled", F.lit("").alias("at"))
-    done: list[DataFrame] = []
-    k = 0
-    while True:
-        here = rows.withColumn("seg", F.get("segs", F.lit(k)))
-        child = here.groupBy("host", "at", "seg").agg(F.sum("pages").alias("n"), F.sum("labelled").alias("marks"), F.count(F.lit(1)).alias("shapes"))
-        total = child.groupBy("host", "at").agg(F.sum("n").alias("all"), F.sum("shapes").alias("below"))
-        fixed = (F.col("n") >= F.greatest(F.lit(2), F.col("all") * LEAST_SHARE)) | (F.col("marks") >= LEAST_LABELS)
-        known = child.join(total, ["host", "at"]).select("host", "at", "seg", fixed.alias("fixed"), (F.col("below") == 1).alias("alone")).where("fixed or alone")
-        step = here.join(known, ["host", "at", "seg"], "left").withColumns({"fixed": F.coalesce("fixed", F.lit(False)), "alone": F.coalesce("alone", F.lit(False))})
-        upto = F.when(F.col("alone"), F.size("segs")).otherwise(k + 1)
-        rest = F.slice("segs", F.lit(k + 1), upto - k)
-        names = F.when(F.col("fixed"), rest).otherwise(F.transform(rest, lambda x: F.lit("*")))
-        joined = lambda parts: F.concat("at", F.concat_ws("", F.transform(parts, lambda x: F.concat(F.lit("/"), x))))
-        level = step.select("host", "segs", "pages", "labelled", joined(names).alias("template"), joined(F.slice(names, F.lit(1), upto - k - 1)).alias("parent"), (upto == F.size("segs")).alias("over"))
-        level = stored(level, "url-level")
-        done.append(level.where("over").select("host", "segs", "template", "parent"))
-        rows = level.where("not over").select("host", "segs", "pages", "labelled", F.col("template").alias("at"))
-        if rows.isEmpty():
-            return reduce(DataFrame.unionAll, done)
-        k += 1
+    hashed = shapes.select("host", "shape", "pages", "segs", _prefixes(F.col("segs")).alias("hs"))
+    parts = hashed.select("host", "shape", "pages", F.explode("hs").alias("h"))
+    often = parts.groupBy("host", "h").agg(F.sum("pages").alias("n")).where(F.col("n") >= LEAST_PAGES).select("host", "h")
+    lead = parts.join(often, ["host", "h"], "left_semi").groupBy("host", "shape").agg(F.count(F.lit(1)).cast("int").alias("k"))
+    k = F.coalesce("k", F.lit(0))
+    led = stored(hashed.join(lead, ["host", "shape"], "left").select("host", "shape", "pages", "segs", k.alias("k"), F.coalesce(F.get("hs", k - 1), F.lit(0)).alias("base")), "url-leads")
+    after = led.select("host", "shape", "pages", "k", "base", F.posexplode("segs").alias("pos", "seg"))
+    common = after.where("pos > k").groupBy("host", "base", "pos", "seg").agg(F.sum("pages").alias("n")).where(F.col("n") >= LEAST_PAGES).select("host", "base", "pos", "seg", F.lit(True).alias("common"))
+    name = F.when((F.col("pos") < F.col("k")) | (F.col("common") & (F.col("pos") > F.col("k"))), F.col("seg")).otherwise("*")
+    named = after.join(common, ["host", "base", "pos", "seg"], "left").groupBy("host", "shape").agg(F.array_sort(F.collect_list(F.struct("pos", name.alias("name")))).alias("names"))
+    path = lambda names: F.array_join(F.transform(names, lambda x: F.concat(F.lit("/"), x["name"])), "")
+    return named.select("host", "shape", path(F.col("names")).alias("template"), path(F.slice("names", F.lit(1), F.size("names") - 1)).alias("parent"))
 
 
 def template_verdicts(shapes: DataFrame) -> DataFrame:
-    """(host, segs, pages, good, labelled) -> (host, segs, template, purity, verdict)."""
-    named = _templates(shapes)
-    counts = shapes.join(named, ["host", "segs"]).groupBy("host", "parent", "template").agg(F.sum("good").alias("good"), F.sum("labelled").alias("n"))
+    """(host, shape, segs, pages, good, labelled) -> (host, shape, template, purity, verdict)."""
+    named = stored(_templates(shapes), "url-templates")
+    counts = shapes.join(named, ["host", "shape"]).groupBy("host", "parent", "template").agg(F.sum("good").alias("good"), F.sum("labelled").alias("n"))
     siblings = counts.groupBy("host", "parent").agg(F.sum("good").alias("pg"), F.sum("n").alias("pn"))
     tested = counts.join(siblings, ["host", "parent"])
     p = F.when(F.col("pn") > 0, F.col("pg") / F.col("pn")).otherwise(0.0)
@@ -99,7 +96,7 @@ def template_verdicts(shapes: DataFrame) -> DataFrame:
     purity = merged.join(hosts, "host").withColumn("purity", smooth("bg", "bn", smooth("hg", "hn", F.lit(float(rate)))))
     found = tested.select("host", "parent", "template", "branch").join(purity.select("host", "parent", "branch", "purity"), ["host", "parent", "branch"])
     out = named.join(found, ["host", "parent", "template"])
-    return out.select("host", "segs", "template", "purity", F.when(F.col("purity") < LEAST_PURITY, F.lit("block")).otherwise(F.lit("allow")).alias("verdict"))
+    return out.select("host", "shape", "template", "purity", F.when(F.col("purity") < LEAST_PURITY, F.lit("block")).otherwise(F.lit("allow")).alias("verdict"))
 
 
 def url_filter(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule], *, id_col: str = "page_id", url_col: str = "url", label_key: Column | None = None) -> DataFrame:
@@ -108,15 +105,18 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule], *, id
     ``labels`` has columns key and good (1 or 0); ``label_key`` is the page's key, by default its id.
     Rules are a short list given in code.  Null urls, and urls without ``://``, have an empty host
     and path and one template.  Null ids keep their row.  Repeated pages count each time; of labels
-    given twice the lower one counts.  Without labels every template passes.  Other columns are ignored.
+    given twice the lower one counts.  Without labels every template passes.  An empty table gives no
+    rows.  Other columns are ignored.  A very long path is an array of its segments in one row.
     """
     url = F.col(url_col)
     base = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), (F.col(id_col) if label_key is None else label_key).cast("long").alias("key"))
-    base = stored(base.withColumn("segs", segments(F.col("path"))), "urls")
+    base = base.withColumn("segs", segments(F.col("path")))
+    # a shape goes by its digest, so that long paths are no keys
+    base = stored(base.withColumn("shape", F.md5(F.array_join("segs", "/"))), "urls")
     known = labels.where("key is not null and good is not null").groupBy("key").agg(F.min(F.col("good").cast("int")).alias("good"))
-    marks = base.where("key is not null").join(known, "key").groupBy("host", "segs").agg(F.sum("good").alias("good"), F.count("good").alias("labelled"))
-    shapes = base.groupBy("host", "segs").agg(F.count(F.lit(1)).alias("pages")).join(marks, ["host", "segs"], "left").fillna(0, ["good", "labelled"])
+    marks = base.where("key is not null").join(known, "key").groupBy("host", "shape").agg(F.sum("good").alias("good"), F.count("good").alias("labelled"))
+    shapes = base.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("pages"), F.min("segs").alias("segs")).join(marks, ["host", "shape"], "left").fillna(0, ["good", "labelled"])
     judged = stored(template_verdicts(stored(shapes, "url-shapes")), "url-verdicts")
     rule, says = first_rule(F.col("host"), F.col("path"), rules)
-    out = base.join(judged, ["host", "segs"])
+    out = base.join(judged, ["host", "shape"])
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(says, F.col("verdict")).alias("verdict"), "template", "purity")

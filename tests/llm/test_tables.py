@@ -208,6 +208,29 @@ def test_url_sections_of_a_hot_host(spark):
     assert got == {i: "allow" if good else "block" for i, _, good in rows}
 
 
+def test_url_sql_on_a_hot_host(spark, tmp_path):
+    """The query and its SQL on a host of 104 sections with one bad one, a host that parts late, and a path of 2000 segments."""
+    import duckdb
+
+    from filamet.llm.queries import op6
+    from filamet.llm.sql import URL_FILTER
+
+    letter = lambda i: f"{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}"
+    rows = [(i, f"http://hot.org/sec-{letter(i % 104)}/title-{letter(i // 104)}/{i}", int(i % 104 != 7)) for i in range(6240)]
+    rows += [(7000 + i, f"http://deep.net/{'/'.join('abcdefgh')}/{'bad' if i % 4 == 0 else 'good'}/t-{letter(i)}/{7000 + i}", int(i % 4 > 0)) for i in range(240)]
+    rows += [(8000, "http://long.org/" + "/".join(letter(k) for k in range(2000)), 1), (8001, None, 0), (8002, "http://hot.org", None), (8003, "no url", 1)]
+    spark.createDataFrame([r[:2] for r in rows], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    with duckdb.connect() as con:
+        for name in ("pages", "labels"):
+            con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+        want = con.execute(URL_FILTER).fetchall()
+    got = [tuple(r) for r in op6(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    bad = {r[0] for r in got if r[4] == "block"}
+    assert {i for i, _, q in rows if q == 0 and i != 8001 and i < 7000} <= bad and not bad & {i for i, _, q in rows if q == 1 and i < 7000}
+
+
 # -- mixing -------------------------------------------------------------------------------------
 
 
