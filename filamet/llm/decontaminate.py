@@ -186,4 +186,4 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, *, id_col: str = ID,
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = TEXT, width: int = 5, percent: int = 80) -> DataFrame:
     """Rows of ``docs``, all columns, that hold no benchmark item (rows with a null text stay)."""
     found = _contained(docs, benchmark, text_col, "item_id", TEXT, width, percent)
-    return without(docs, F.coalesce(F.xxhash64(text_col), F.lit(0)), stored(found.select(F.col("k1").alias("key")).distinct(), "contaminated"))
+    return without(docs, _text_key(F.col(text_col)), stored(found.select("k1", "k2").distinct(), "contaminated"))

@@ -31,9 +31,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from filamet.llm.graph import components
-from filamet.llm.shared import ID, TEXT, hash_words, id_filter, mix, passing, rows, shingles, signed, split_words, stored, summed_chunks, without
+from filamet.llm.shared import ID, TEXT, free_name, hash_words, id_filter, mix, passing, rows, shingles, signed, split_words, stored, summed_chunks, without
 
 ORDERS = 3
 COUNTERS = 1 << 18
@@ -239,6 +240,11 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = ID, text_col: str = TEXT, wi
     (null if there is none).  Repeated rows and ids give a row each; equal texts are one node, so a
     group of copies costs one row per copy, never pairs.  Other columns are ignored.
     """
+    return _classes(docs, id_col, text_col, width, percent, lower).select("doc_id", "n_shingles", "component_id")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, lower: bool = True) -> DataFrame:
+    """The rows of ``ngram_jaccard`` with the name of the row's shingle set (k1, k2) and of its component (label)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     first = stored(docs.mapInArrow(_count(width, lower), "id long, n long, k1 long, k2 long, chunk int, counts binary"), "ngram-sketch")
@@ -282,10 +288,12 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = ID, text_col: str = TEXT, wi
 
     named = nodes.withColumn("node", _name())
     label = named.join(linked, "node").groupBy("label").agg(F.min("id").alias("component_id"))
-    per_node = linked.join(label, "label").select("node", "component_id")
+    per_node = linked.join(label, "label", "left").select("node", "label", "component_id")
     own = named.where("n > 0").groupBy("node").agg(F.min("id").alias("_own"))
     out = named.join(own, "node", "left").join(per_node, "node", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") > 0, F.col("_own")), "id").alias("component_id"))
+    return out.select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") > 0, F.col("_own")), "id").alias("component_id"),
+        "k1", "k2", F.coalesce("label", "node").alias("label"))
 
 
 def _name_texts(width: int, lower: bool):
@@ -307,23 +315,52 @@ def required_overlap(n: int, m: int, percent: int = 80) -> int:
     return math.ceil(percent * (n + m) / (100 + percent))
 
 
+def _with_names(at: int, width: int, lower: bool):
+    """Adds the name (k1, k2) of each row's shingle set; column ``at`` is the text."""
+
+    def run(batches):
+        for batch in batches:
+            names = [_node(s) for s in _sets(batch.column(at).to_pylist(), width, lower)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64())], [*batch.schema.names, "k1", "k2"])
+
+    return run
+
+
 def drop_similar(docs: DataFrame, *, id_col: str = ID, text_col: str = TEXT, width: int = 5, percent: int = 80) -> DataFrame:
     """Rows of ``docs``, all columns, with one document left of each component: the one with the least id.
 
-    Rows that repeat an id and its text count as one document.  Rows with a null id stay.
+    A document is an id with a set of shingles, so rows that repeat both count as one, while another
+    text under the same id is judged by itself.  Of a component without any id one row stays.  Rows
+    with an empty or null text are similar to nothing and stay, repeated ones with one id as one row.
     """
-    found = stored(ngram_jaccard(docs, id_col=id_col, text_col=text_col, width=width, percent=percent), "ngram-components")
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").cast("long").alias("key")).distinct()
-    again = stored(found.where("component_id = doc_id").groupBy(F.col("doc_id").cast("long").alias("key")).count().where("count > 1").select("key"), "repeated-ids")
-    left = without(docs, F.col(id_col).cast("long"), gone)
-    if again.isEmpty():
+    found = stored(_classes(docs, id_col, text_col, width, percent), "ngram-components")
+    found = found.withColumn("doc_id", F.col("doc_id").cast("long"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    keeper = found.where("n_shingles > 0").groupBy("label").agg(F.min(order).alias("_k")).select(F.col("_k.doc_id").alias("i"), F.col("_k.k1").alias("a"), F.col("_k.k2").alias("b"))
+    same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b"))
+    judged = found.join(keeper.withColumn("first", F.lit(True)), same, "left").withColumn("stays", F.coalesce("first", F.lit(False)) | (F.col("n_shingles") == 0))
+    each = stored(judged.groupBy("doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("rows"), F.max("stays").alias("stays"), F.max("n_shingles").alias("n")), "ngram-judged")
+
+    # an id with one row is judged by the id alone
+    ids = each.where("doc_id is not null").groupBy("doc_id").agg(F.sum("rows").alias("rows"), F.max("stays").alias("stays"))
+    left = without(docs, [F.col(id_col).cast("long")], ids.where("rows = 1 and not stays").select("doc_id"))
+    unclear = stored(ids.where("rows > 1").select("doc_id"), "repeated-ids")
+    if unclear.isEmpty() and each.where("doc_id is null").isEmpty():
         return left
-    bitmap = id_filter(again)
-    name = "_key"
-    while name in docs.columns:
-        name += "_"
-    keyed = left.withColumn(name, F.col(id_col).cast("long"))
-    once = keyed.where(F.col(name).isNotNull()).transform(lambda d: passing(d, name, bitmap))
-    rank = Window.partitionBy(name, F.xxhash64(text_col)).orderBy(F.lit(0))
-    once = once.withColumn(f"{name}n", F.row_number().over(rank)).where(F.col(f"{name}n") == 1).drop(name, f"{name}n")
-    return passing(keyed, name, bitmap, inverse=True).drop(name).unionByName(once)
+    key = free_name(left, "_key")
+    keyed = left.withColumn(key, F.col(id_col).cast("long"))
+    listed = passing(keyed.where(F.col(key).isNotNull()), key, id_filter(unclear))
+    clear = passing(keyed.where(F.col(key).isNotNull()), key, id_filter(unclear), inverse=True)
+    some = listed.join(unclear.withColumnRenamed("doc_id", key), key, "left_semi").select(keyed.columns).unionByName(keyed.where(F.col(key).isNull()))
+    rest = clear.unionByName(listed.join(unclear.withColumnRenamed("doc_id", key), key, "left_anti").select(keyed.columns))
+    # the others get the name of their set, and are judged by both
+    columns = [f"c{i}" for i in range(len(some.columns))]
+    plain = some.toDF(*columns)
+    schema = StructType([*plain.schema.fields, StructField("k1", LongType()), StructField("k2", LongType())])
+    named = plain.mapInArrow(_with_names(some.columns.index(text_col), width, True), schema)
+    mine = columns[some.columns.index(key)]
+    verdicts = each.select(F.col("doc_id").alias("_i"), F.col("k1").alias("_a"), F.col("k2").alias("_b"), "stays", "n").where("stays")
+    kept = named.join(verdicts, F.col(mine).eqNullSafe(F.col("_i")) & (F.col("k1") == F.col("_a")) & (F.col("k2") == F.col("_b")))
+    whole = F.col(mine).isNull() & (F.col("n") == 0)
+    once = kept.where(~whole).dropDuplicates([mine, "k1", "k2"]).select(columns).unionByName(kept.where(whole).select(columns))
+    return rest.unionByName(once.toDF(*some.columns)).drop(key)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from filamet.session import checkpoint_root, find_package
 
 ARROW_ROWS = 1000
+ARROW_BYTES = 8_000_000
 
 
 def prepare(spark: SparkSession) -> None:
@@ -24,6 +26,7 @@ def prepare(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -32,10 +35,35 @@ ID = "doc_id"
 TEXT = "text"
 
 
+_NOTED: list[list[str]] = []
+
+
+@contextmanager
+def noted():
+    """Collect the paths of the tables stored in this block, for ``delete_tables``."""
+    _NOTED.append([])
+    try:
+        yield _NOTED[-1]
+    finally:
+        _NOTED.pop()
+
+
+def delete_tables(spark: SparkSession, paths: Iterable[str], keep: DataFrame) -> None:
+    """Delete stored tables, but for those that ``keep`` reads."""
+    used = keep.inputFiles()
+    for path in paths:
+        name = path.rsplit("/", 1)[1]
+        if not any(f"/{name}/" in u for u in used):
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table once to the shared folder and read it back; survives lost executors."""
     path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _NOTED:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -53,6 +81,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column has it; Spark does not tell cases apart."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def total(cols: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a + b, cols)
 
@@ -189,15 +225,13 @@ def passing(docs: DataFrame, column: str, bitmap, inverse: bool = False) -> Data
     return docs.mapInArrow(run, docs.schema)
 
 
-def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose 64-bit key is not in the one-column table ``gone``.
+def without(docs: DataFrame, keys: Sequence[Column], gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose keys are not a row of ``gone``; the first key has 64 bits.
 
-    Only rows whose key may be listed (by a bitmap of fixed size) are shuffled for the exact join.
+    Only rows whose first key may be listed (by a bitmap of fixed size) are shuffled for the exact join.
     """
-    name = "_key"
-    while name in docs.columns:
-        name += "_"
-    bitmap = id_filter(gone)
-    keyed = docs.withColumn(name, key)
-    listed = passing(keyed, name, bitmap).join(gone.toDF(name), name, "left_anti")
-    return passing(keyed, name, bitmap, inverse=True).drop(name).unionByName(listed.drop(name))
+    names = [free_name(docs, f"_key{i}") for i in range(len(keys))]
+    bitmap = id_filter(gone.select(gone.columns[0]))
+    keyed = docs.withColumns(dict(zip(names, keys, strict=True)))
+    listed = passing(keyed, names[0], bitmap).join(gone.toDF(*names), names, "left_anti")
+    return passing(keyed, names[0], bitmap, inverse=True).drop(*names).unionByName(listed.drop(*names))

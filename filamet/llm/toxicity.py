@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filamet.llm.shared import ID, TEXT, id_filter, passing, stored
+from filamet.llm.shared import ID, TEXT, free_name, id_filter, passing, stored
 
 SAMPLE_ROWS = 60_000  # labelled rows that the model is fitted on, about
 LEXICON = 20_000  # tokens with a score of their own
@@ -243,7 +243,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = ID, text_col:
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
     """Rows of ``docs``, all columns, whose text is not predicted toxic."""
     model = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, labels, id_col, text_col)))
-    flag = "_toxicity"
-    while flag in docs.columns:
-        flag += "_"
+    flag = free_name(docs, "_toxicity")
     return docs.withColumn(flag, judge(F.col(text_col), model)["score"]).where(F.col(flag) < 0.5).drop(flag)

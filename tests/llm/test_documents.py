@@ -88,6 +88,16 @@ def test_drop_similar(docs, rows, odd):
     assert set(drop_similar(odd).columns) == set(odd.columns)
 
 
+def test_drop_similar_by_id_and_text(spark):
+    """Another text under the id of a dropped copy stays; copies without an id are reduced to one."""
+    t, other, third = ("alpha beta gamma delta epsilon zeta eta theta iota kappa", "one two three four five six seven", "red green blue yellow black white")
+    rows = [(1, t), (2, t), (2, other), (2, other), (3, other.upper()), (None, third), (None, third), (None, t), (None, None), (None, ""), (5, None), (5, ""), (6, "x y z a b c d")]
+    docs = spark.createDataFrame([(*r, "u") for r in rows], "doc_id long, text string, _KEY0 string")
+    got = [(r["doc_id"], (r["text"] or "").lower()) for r in drop_similar(docs).collect()]
+    assert Counter(got) == Counter([(1, t), (2, other), (None, third), (None, ""), (None, ""), (5, ""), (6, "x y z a b c d")])
+    assert drop_similar(docs).columns == docs.columns
+
+
 def cut(rows, width=50):
     first = {}
     for i, t, *_ in rows:
