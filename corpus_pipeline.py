@@ -21,18 +21,27 @@ from filamet.llm.decontaminate import drop_contaminated
 from filamet.llm.mixing import mix_sources
 from filamet.llm.ngram_join import drop_similar
 from filamet.llm.queries import token_digest
-from filamet.llm.shared import prepare, stored, table
+from filamet.llm.shared import delete_tables, noted, prepare, stored, table
 from filamet.llm.toxicity import drop_toxic
 
 MIX_SHARE = 0.95
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+_tables: list[str] = []  # stored by the stages before, whose output is written by now
+
+
 def stage(fn: Stage) -> Stage:
+    """A stage reads the written output of the one before, so what that one stored on the way can go."""
+
     @wraps(fn)
     def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         prepare(spark)
-        return fn(spark, docs, sf_dir)
+        delete_tables(spark, _tables, docs)
+        with noted() as paths:
+            out = fn(spark, docs, sf_dir)
+        _tables[:] = paths
+        return out
 
     return call
 
