@@ -174,8 +174,8 @@ def k11_campaign(spark, sf):
 
 
 def _stream(spark, sf, name):
-    schema = bind.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    # a table is one file or a folder of part files; a stream takes a file only as a pattern
+    return spark.readStream.schema(bind.table(spark, sf, name).schema).parquet(f"{sf}/{{{name}}}.parquet")
 
 
 @query("r01_incremental_campaign", """

@@ -157,3 +157,17 @@ def test_batches_read_their_own_buckets(spark, tmp_path):
     # a replayed batch sees only what came before it
     assert index.unseen(spark.createDataFrame([(331,), (3,)], "id long"), 11).count() == 1
     assert index.unseen(spark.createDataFrame([(331,), (3,)], "id long"), 12).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_campaign_reads_a_table_in_one_file_or_many(spark, tmp_path, parts):
+    from filamet.plans import catalog
+
+    rows = [(i, "word " * i, 5 * i) for i in range(1, 80)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(parts).write.parquet(f"{tmp_path}/docs")
+    if parts == 1:
+        next((tmp_path / "docs").glob("part-*.parquet")).rename(tmp_path / "documents.parquet")
+    else:
+        (tmp_path / "docs").rename(tmp_path / "documents.parquet")
+    got = {r.doc_id: (r.status, r.sha256) for r in catalog.QUERIES["r01_incremental_campaign"](spark, str(tmp_path)).collect()}
+    assert got == {i: ("FAILED", None) if n < 200 else ("COMPLETE", hashlib.sha256(t.encode()).hexdigest()) for i, t, n in rows}
