@@ -474,3 +474,18 @@ def test_methods_merge_in_levels(spark):
         combine=fold, rows_per_block=100, fan_in=4).collect()
     want = {r["img"]: (r["n"], r["s"]) for r in df.groupBy("img").agg(F.count("*").alias("n"), F.sum("v").alias("s")).collect()}
     assert {r["img"]: (r["n"], r["s"]) for r in out} == want and max(r["most"] for r in out) == 4
+
+
+@pytest.mark.parametrize("query", ["j07_stage_parity", "a25_first_divergence", "j08_case_assembly"])
+def test_stages_of_single_precision_agree_with_sql(spark, tmp_path, query):
+    import duckdb
+
+    from filamet.plans import catalog
+
+    rows = [(i, [x] * 64, 0) for i, x in enumerate((0.29, 0.57, 0.58, -0.29, 0.123), 1) for i in (i, i + 13, i + 26, i + 39)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        want = con.execute(catalog.SQL[query]).fetchall()
+    got = [tuple(r) for r in catalog.QUERIES[query](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
