@@ -84,14 +84,17 @@ def extrema_labels(df: DataFrame, keys: Sequence[str], x: str, ident: str) -> Da
     """MIN / MED / MAX labels per fiber: all three for one row, no MED for two rows.
 
     Aggregates instead of ranks, so a fiber of any size needs no sort.  Distances to the median
-    that agree to 1e-12 of it count as a tie.
+    that exceed the smallest one by at most 1e-12 of the median tie with it; the smallest value is taken.
     """
     keys = list(keys)
     med = exact_quantiles(df, keys, x, [0.5], names=["_med"])
     order = F.struct(F.col(x), F.col(ident))
-    near = F.struct(F.round(F.abs(F.col(x) / F.col("_med") - 1), 12).alias("d"), F.col(x), F.col(ident))
-    picked = df.join(med, keys).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(order)[ident].alias("_lo"), F.max(order)[ident].alias("_hi"), F.min(near)[ident].alias("_mid"),
+    away = F.abs(F.col(x) / F.col("_med") - 1)
+    ends = df.join(med, keys).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(order)[ident].alias("_lo"), F.max(order)[ident].alias("_hi"), F.min(away).alias("_d"), F.first("_med").alias("_med"),
+    )
+    picked = df.join(ends, keys).where(away <= F.col("_d") + 1e-12).groupBy(*keys).agg(
+        F.min(order)[ident].alias("_mid"), *[F.first(c).alias(c) for c in ("_n", "_lo", "_hi")],
     )
     labels = F.array(
         F.struct(F.lit(0).alias("o"), F.lit("MIN").alias("label"), F.col("_lo").alias(ident)),

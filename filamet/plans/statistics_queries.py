@@ -73,8 +73,9 @@ def a05(spark, sf):
 
 @query("w01_extrema_labels", f"""
 WITH {USED}, m AS (SELECT *, quantile_cont(v, 0.5) OVER (PARTITION BY image_id, fiber_id) AS med, count(*) OVER (PARTITION BY image_id, fiber_id) AS n FROM used),
+d AS (SELECT *, abs(v/med-1) AS away, min(abs(v/med-1)) OVER (PARTITION BY image_id, fiber_id) AS least FROM m),
 k AS (SELECT *, row_number() OVER (PARTITION BY image_id, fiber_id ORDER BY v, measurement_id) AS lo, row_number() OVER (PARTITION BY image_id, fiber_id ORDER BY v DESC, measurement_id DESC) AS hi,
-  row_number() OVER (PARTITION BY image_id, fiber_id ORDER BY round(abs(v/med-1), 12), v, measurement_id) AS mid FROM m)
+  row_number() OVER (PARTITION BY image_id, fiber_id ORDER BY away > least + 1e-12::DOUBLE, v, measurement_id) AS mid FROM d)
 SELECT image_id, fiber_id, measurement_id, concat_ws(',', CASE WHEN lo = 1 THEN 'MIN' END, CASE WHEN mid = 1 AND n <> 2 THEN 'MED' END, CASE WHEN hi = 1 THEN 'MAX' END) AS labels
 FROM k WHERE lo = 1 OR hi = 1 OR (mid = 1 AND n <> 2)""", "measurements")
 def w01(spark, sf):

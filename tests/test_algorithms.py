@@ -489,3 +489,23 @@ def test_stages_of_single_precision_agree_with_sql(spark, tmp_path, query):
         want = con.execute(catalog.SQL[query]).fetchall()
     got = [tuple(r) for r in catalog.QUERIES[query](spark, str(tmp_path)).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_rows_as_far_from_the_median_tie(spark, tmp_path):
+    import duckdb
+
+    from filamet.plans import bind, catalog
+
+    # distances of the two middle rows that rounding would part, in the last pairs by engine
+    pairs = [(1209.92, 3039.11), (13319.89, 15980.75), (7982.94, 8446.02), (48484.97, 50648.3), (3236.14, 5529.02), (6756.1, 10386.1)]
+    rows = [(4 * i + k, 1, i, i, "A", "F", x, 1.0, 0.0, 0.0, None) for i, (a, b) in enumerate(pairs) for k, x in enumerate((a / 2, a, b, b * 2))]
+    names = ("orderkey", "linenumber", "partkey", "suppkey", "returnflag", "linestatus", "extendedprice", "quantity", "discount", "tax", "shipdate")
+    kinds = ("long", "int", "long", "long", "string", "string", "double", "double", "double", "double", "date")
+    spark.createDataFrame(rows, ", ".join(f"l_{n} {k}" for n, k in zip(names, kinds, strict=True))).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+        con.execute(f"CREATE VIEW measurements AS {bind.CTES['measurements']}")
+        want = con.execute(catalog.SQL["w01_extrema_labels"]).fetchall()
+    got = [tuple(r) for r in catalog.QUERIES["w01_extrema_labels"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+    assert sorted(m for *_, m, label in got if label == "MED") == sorted(f"{4 * i + 1}-1-{i}-{i}" for i in range(len(pairs)))
