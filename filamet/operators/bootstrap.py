@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filamet.operators.ordered import order_bucket, ordered, with_value_bucket
 from filamet.operators.quantiles import exact_quantiles
-from filamet.session import cut_lineage
+from filamet.session import find_package, stored
 
 BLOCK = 100_000
+#: images with at most so many sections are drawn from as one row
+WHOLE = 20_000
+#: draws of one task, in a few seconds
+TASK_DRAWS = 4_000_000
 
 
 def draw(seed: int, n: Column, *path: Column) -> Column:
@@ -26,31 +36,85 @@ def _slots(df: DataFrame, size: str, name: str, spread: list[str]) -> DataFrame:
     return dealt.withColumn(name, F.explode(F.sequence(first, F.least(first + BLOCK - 1, F.col(size))))).drop("_blk")
 
 
+def _drawn(paths: Iterable[bytes]) -> np.ndarray:
+    """First 32 bits of each path's digest, the number that ``draw`` takes modulo the group's size."""
+    return np.frombuffer(b"".join([md5(p).digest() for p in paths]), dtype=">u4")[::4].astype("i8")
+
+
+def _image_medians(seed: int):
+    """For every image slot: the median of each fiber slot's resampled sections.
+
+    Sections are numbered by value, so the median of the drawn ones stands at the middle of their
+    sorted numbers.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [str(k).encode() for k in range(1, WHOLE + 1)]
+        for batch in batches:
+            for fibers, slots in zip(batch.column("fibers"), batch.column("slots"), strict=True):
+                values = fibers.values.flatten().to_numpy(zero_copy_only=False)
+                n_sec = np.array([len(f) for f in fibers])
+                first = np.cumsum(n_sec) - n_sec
+                own = names[: len(n_sec)]
+                reps, places = (slots.values.field(k).to_pylist() for k in ("r", "si"))
+                some = max(1, WHOLE // len(values))
+                for at in range(0, len(reps), some):
+                    r = reps[at : at + some]
+                    paths = [f"{seed}|{a}|{b}|".encode() + f for a, b in zip(r, places[at : at + some], strict=True) for f in own]
+                    f = _drawn(paths) % len(n_sec)
+                    sizes = n_sec[f]
+                    drawn = _drawn(p + s for p, n in zip([p + b"|" for p in paths], sizes.tolist(), strict=True) for s in names[:n])
+                    # sorted within each fiber slot
+                    keys = np.repeat(np.arange(len(sizes)) * WHOLE, sizes) + drawn % np.repeat(sizes, sizes)
+                    keys.sort()
+                    start = np.cumsum(sizes) - sizes
+                    low, high = (values[first[f] + keys[start + k] % WHOLE] for k in ((sizes - 1) // 2, sizes // 2))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(r, dtype="i4"), len(n_sec))), pa.array(low + (high - low) * 0.5)], ["r", "m"])
+
+    return run
+
+
 def hierarchical_bootstrap(df: DataFrame, image: str, fiber: str, x: str, ident: str, *, replicates: int, seed: int = 42) -> DataFrame:
     """Mean and 95 % interval of the median of fiber medians over the replicates.
 
-    Members are numbered once; each resampled slot draws a number and joins to it, so no group
-    is ever collected.  ``image`` must be numeric; ``ident`` orders sections within a fiber.
+    Members are numbered once; each resampled image slot draws a number and joins to it.  An image of at
+    most ``WHOLE`` sections is one row, from which its slots draw without another shuffle; sections of
+    a larger one join slot by slot, so no such group is ever collected.  ``image`` must be numeric;
+    ``ident`` orders sections within a fiber.
     """
-    rows = df.select(F.col(image).alias("img"), F.col(fiber).alias("fib"), F.col(x).alias("v"), F.col(ident).alias("id")).where(F.col("v").isNotNull())
-    sec = ordered(with_value_bucket(rows, ["img", "fib"], "v", ["id"]), ["img", "fib"], ["v", "id"], number="s")
+    find_package(df.sparkSession)
+    rows = df.select(F.col(image).alias("img"), F.col(fiber).alias("fib"), F.col(x).alias("v"), F.col(ident).alias("id")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     sizes = rows.groupBy("img", "fib").agg(F.count(F.lit(1)).alias("n_sec"))
-    fib = ordered(order_bucket(sizes, ["img"], ["fib"]), ["img"], ["fib"], number="f")
-    per_image = fib.groupBy("img").agg(F.count(F.lit(1)).alias("n_fib"))
-    img = ordered(order_bucket(per_image, [], ["img"]), [], ["img"], number="i", count="n_img")
+    fib = stored(ordered(order_bucket(sizes, ["img"], ["fib"]), ["img"], ["fib"], number="f"), "fibers")
+    per_image = fib.groupBy("img").agg(F.count(F.lit(1)).alias("n_fib"), F.sum("n_sec").alias("n_rows"))
+    img = stored(ordered(order_bucket(per_image, [], ["img"]), [], ["img"], number="i", count="n_img"), "images")
 
     # every image slot of every replicate draws an image
     plan = img.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).select("r", F.col("i").alias("si"), draw(seed, F.col("n_img"), F.col("r"), F.col("i")).alias("i"))
+    small = F.col("n_rows") <= WHOLE
+    # the drawing takes time by its draws, not by the few bytes that it reads
+    tasks = max(1, math.ceil(replicates * (img.agg(F.sum("n_rows")).first()[0] or 0) / TASK_DRAWS))
+    per_fiber = rows.join(img.where(small).select("img"), "img").groupBy("img", "fib").agg(F.array_sort(F.collect_list("v")).alias("vs"))
+    whole = per_fiber.repartition(tasks, "img").groupBy("img").agg(F.transform(F.array_sort(F.collect_list(F.struct("fib", "vs"))), lambda s: s["vs"]).alias("fibers"))
+    chosen = plan.join(img.where(small).select("i", "img"), "i").repartition(tasks, "img").groupBy("img").agg(F.collect_list(F.struct("r", "si")).alias("slots"))
+    medians = chosen.join(whole, "img").select("fibers", "slots").mapInArrow(_image_medians(seed), "r int, m double")
+    if img.where(~small).limit(1).count():
+        medians = medians.unionByName(_joined_medians(rows, fib, img.where(~small), plan, seed))
+    per_rep = exact_quantiles(stored(medians, "medians"), ["r"], "m", [0.5], names=["m"])
+    # one row per replicate from here on
+    return per_rep.agg(
+        F.avg("m").alias("bootstrap_mean"), F.percentile("m", 0.025).alias("ci_lower"), F.percentile("m", 0.975).alias("ci_upper"),
+        F.count("m").alias("replicates"),
+    )
+
+
+def _joined_medians(rows: DataFrame, fib: DataFrame, img: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """Medians of the fiber slots of the images given, of any size: every resampled slot joins to its section."""
+    sec = ordered(with_value_bucket(rows.join(img.select("img"), "img"), ["img", "fib"], "v", ["id"]), ["img", "fib"], ["v", "id"], number="s")
     plan = plan.join(img.select("i", "img", "n_fib"), "i")
     plan = _slots(plan, "n_fib", "sf", ["r", "si"])
     plan = plan.withColumn("f", draw(seed, F.col("n_fib"), F.col("r"), F.col("si"), F.col("sf"))).join(fib, ["img", "f"])
     plan = _slots(plan.select("r", "si", "sf", "img", "fib", "n_sec"), "n_sec", "ss", ["r", "si", "sf"])
     plan = plan.withColumn("s", draw(seed, F.col("n_sec"), F.col("r"), F.col("si"), F.col("sf"), F.col("ss")))
     drawn = plan.join(sec.select("img", "fib", "s", "v"), ["img", "fib", "s"])
-    medians = cut_lineage(exact_quantiles(drawn, ["r", "si", "sf"], "v", [0.5], names=["m"]))
-    per_rep = exact_quantiles(medians, ["r"], "m", [0.5], names=["m"])
-    # one row per replicate from here on
-    return per_rep.agg(
-        F.avg("m").alias("bootstrap_mean"), F.percentile("m", 0.025).alias("ci_lower"), F.percentile("m", 0.975).alias("ci_upper"),
-        F.count("m").alias("replicates"),
-    )
+    return exact_quantiles(drawn, ["r", "si", "sf"], "v", [0.5], names=["m"]).select("r", "m")

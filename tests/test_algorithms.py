@@ -509,3 +509,17 @@ def test_rows_as_far_from_the_median_tie(spark, tmp_path):
     got = [tuple(r) for r in catalog.QUERIES["w01_extrema_labels"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want)
     assert sorted(m for *_, m, label in got if label == "MED") == sorted(f"{4 * i + 1}-1-{i}-{i}" for i in range(len(pairs)))
+
+
+def test_bootstrap_draws_from_whole_images_or_joins_sections(spark, monkeypatch):
+    from filamet.operators import bootstrap
+
+    rng = np.random.default_rng(5)
+    rows = [(i, f"F{f:03d}", float(rng.integers(1, 9)), f"{i}-{f}-{s}") for i in range(4) for f in range(3) for s in range(1 + i + 2 * f)]
+    df = spark.createDataFrame(rows, "img long, fib string, v double, id string")
+    draw = lambda: tuple(bootstrap.hierarchical_bootstrap(df, "img", "fib", "v", "id", replicates=20).first())
+    with monkeypatch.context() as m:
+        m.setattr(bootstrap, "_joined_medians", None)  # images of this size take no join by section
+        whole = draw()
+    monkeypatch.setattr(bootstrap, "WHOLE", 12)  # images of 9, 12, 15 and 18 sections
+    assert draw() == pytest.approx(whole, abs=1e-12) and whole[3] == 20
