@@ -33,7 +33,7 @@ def field_statistics(df: DataFrame, keys: Sequence[str]) -> DataFrame:
         ("imbalance", 0.5): ("median_imbalance", usable(F.col("imbalance"))),
         ("imbalance", 0.9): ("p90_imbalance", usable(F.col("imbalance"))),
         ("edge_minus_edt", 0.5): ("median_edge_minus_edt", usable(F.col("edge_minus_edt"))),
-    })
+    }, count_first=True)
     return base.join(q, keys, "left")
 
 
@@ -66,7 +66,7 @@ def refinement_summary(df: DataFrame, keys: Sequence[str]) -> DataFrame:
         ("shift", 0.5): ("median_shift", F.when(acc, F.col("shift"))), ("shift", 0.9): ("p90_shift", F.when(acc, F.col("shift"))),
         ("frac", 0.5): ("median_shift_fraction", F.when(acc, F.col("shift") / F.col("width"))),
         ("smooth", 0.5): ("median_smooth_shift", F.when(ref, F.col("smooth_shift"))), ("smooth", 0.9): ("p90_smooth_shift", F.when(ref, F.col("smooth_shift"))),
-    })
+    }, count_first=True)
     return base.join(q, keys, "left").withColumns({"coverage": F.col("accepted_count") / F.col("n"), "smooth_coverage": F.col("smoothed_count") / F.col("n")})
 
 
@@ -108,7 +108,7 @@ def estimator_medians(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
     masks = {"edt_raw": ("edt", None), "edt_refined": ("redt", None), "edge_raw": ("edge", "edge"), "edge_refined": ("redge", "redge"), "profile_raw": ("profile", "profile"), "profile_refined": ("rprofile", "rprofile")}
     value = lambda v, m: usable(F.col(v)) if m is None else F.when(F.col(f"{m}_accepted"), usable(F.col(v)))
-    q = multi_quantiles(df, keys, {(n, 0.5): (n, value(v, m)) for n, (v, m) in masks.items()})
+    q = multi_quantiles(df, keys, {(n, 0.5): (n, value(v, m)) for n, (v, m) in masks.items()}, count_first=True)
     shares = df.groupBy(*keys).agg(*[F.avg(F.col(f"{m}_accepted").cast("double")).alias(f"{n}_acceptance") for n, (_, m) in masks.items() if m])
     return shares.join(q, keys, "left")
 
