@@ -150,14 +150,31 @@ def review_state(events: DataFrame, case: str, cell: str, status: str, ts: str,
     )
 
 
+def _later(held: tuple | None, now: tuple) -> tuple:
+    """The later of two states of a cell (status, time, tiebreak, revisions), with the revisions of both."""
+    if held is None:
+        return tuple(now)
+    late = now if (now[1], now[2]) > (held[1], held[2]) else held
+    return (*late[:3], held[3] + now[3])
+
+
+#: cells of a case that share one state value; further cells have an entry each
+FEW_CELLS = 1024
+
+
 class _ReviewProcessor(StatefulProcessor):
     """Cells of an open case: status, time, tiebreak, revisions and the number of the case's opening.
 
-    The batch that brings a closing event ends the case: its cells leave the state.  A later event opens it again; its
-    revisions count anew under the next opening, so rows written before stay right.
+    Each access to the state is a call to the JVM, so the first FEW_CELLS cells of a case are read and written
+    at once.  The batch that brings a closing event ends the case: its cells leave the state.  A later event opens
+    it again; its revisions count anew under the next opening, so rows written before stay right.
     """
 
+    def __init__(self) -> None:
+        self.few_cells = FEW_CELLS
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.few = handle.getValueState("few", "cell array<string>, status array<string>, ts array<bigint>, tie array<bigint>, revisions array<bigint>")
         self.cells = handle.getMapState("cells", "cell string", "status string, ts long, tie long, revisions long")
         self.opening = handle.getValueState("opening", "ts long, tie long")
 
@@ -165,26 +182,37 @@ class _ReviewProcessor(StatefulProcessor):
         import pandas as pd
 
         changed: dict[str, tuple] = {}
-        closed = False
+        closed, first = False, None
         for frame in rows:
-            if not self.opening.exists():
-                first = frame.sort_values(["ts", "tie"]).iloc[0]
-                self.opening.update((int(first["ts"]), int(first["tie"])))
             closed = closed or bool(frame["closes"].any())
-            for cell, part in frame.groupby("cell", sort=False):
-                last = part.sort_values(["ts", "tie"]).iloc[-1]
-                now = (last["status"], int(last["ts"]), int(last["tie"]), len(part))
-                if self.cells.containsKey((cell,)):
-                    status, ts, tie, n = self.cells.getValue((cell,))
-                    now = (*(now[:3] if (now[1], now[2]) > (ts, tie) else (status, ts, tie)), n + now[3])
-                self.cells.updateValue((cell,), now)
-                changed[cell] = now
+            for cell, *now in zip(frame["cell"], frame["status"], frame["ts"].map(int), frame["tie"].map(int), strict=True):
+                changed[cell] = _later(changed.get(cell), (*now, 1))
+                at = (now[1], now[2])
+                first = at if first is None or at < first else first
+        if not changed:
+            return
         opened = self.opening.get()
+        if opened is None:
+            opened = first
+            self.opening.update(first)
+        held = self.few.get()
+        few = {cell: tuple(now) for cell, *now in zip(*held, strict=True)} if held else {}
+        more = self.cells.exists()
+        for cell, now in changed.items():
+            if cell not in few and more and self.cells.containsKey((cell,)):
+                changed[cell] = _later(self.cells.getValue((cell,)), now)
+                self.cells.updateValue((cell,), changed[cell])
+            elif cell in few or len(few) < self.few_cells:
+                changed[cell] = few[cell] = _later(few.get(cell), now)
+            else:
+                self.cells.updateValue((cell,), now)
         if closed:
             self.cells.clear()
+            self.few.clear()
             self.opening.clear()
-        if changed:
-            yield pd.DataFrame([(key[0], cell, *row, f"{opened[0]}-{opened[1]}") for cell, row in changed.items()], columns=["case", "cell", "status", "ts", "tie", "revisions", "opening"])
+        else:
+            self.few.update(tuple(list(column) for column in zip(*((cell, *now) for cell, now in few.items()), strict=True)))
+        yield pd.DataFrame([(key[0], cell, *row, f"{opened[0]}-{opened[1]}") for cell, row in changed.items()], columns=["case", "cell", "status", "ts", "tie", "revisions", "opening"])
 
     def close(self) -> None:
         pass

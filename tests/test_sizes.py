@@ -50,3 +50,21 @@ def test_rows_of_small_groups_are_shuffled_once(spark, name):
     assert plan.count("Exchange") <= (2 if name in ("grid", "several") else 1)
     if name == "estimators":
         assert out.count() == 20 * len(W1_PAIRS)
+
+
+def test_review_state_with_few_and_many_cells(spark, tmp_path, monkeypatch):
+    """Cells beyond the shared value have entries of their own; both kinds count on over batches."""
+    from filamet.streaming import campaign as SC
+
+    monkeypatch.setattr(SC, "FEW_CELLS", 3, raising=False)
+    rows = [(case, cell, f"S{k}", 100 * k + cell, k) for k in range(3) for case, cells in ((1, 8), (2, 2), (3, 4)) for cell in range(cells) if (cell + k) % 3 or case == 2]
+    df = spark.createDataFrame(rows, "case_id int, cell int, status string, s int, event_id int").select("case_id", "cell", "status", F.timestamp_seconds("s").alias("ts"), "event_id")
+    src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
+    sizes = []
+    for k in range(3):
+        df.where(F.col("event_id") == k).coalesce(1).write.mode("append").parquet(src)
+        sizes += SC.run_review_state(spark.readStream.schema(df.schema).parquet(src), "case_id", "cell", "status", "ts", "event_id", out, ck).values()
+    got = sorted((int(r["case"]), int(r["cell"]), r["status"], r["revisions"]) for r in SC.read_review_state(spark, out).collect())
+    want = sorted((r["case_id"], r["cell"], r["status"], r["revisions"]) for r in SC.review_state(df, "case_id", "cell", "status", "ts", "event_id").collect())
+    assert got == want and len(got) == 14
+    assert SC.FEW_CELLS == 3 and max(sizes) < len(got) + 3  # a value for the first cells of a case, its opening, entries for the others
