@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filamet.functions.geometry import point_in_polygon
+from filamet.operators.ordered import large_groups
 from filamet.session import stored
 
 #: places that a leaf may hold, and cells per side of the grid that splits a larger node
@@ -15,6 +18,9 @@ CROWD = 64
 FAN = 8
 ROOT = 1
 MAX_DEPTH = 9  # a path keeps FAN * FAN numbers per level in a long
+#: references and locations of a group that are compared at once, without a tree
+FEW_REFS = 1000
+FEW_LOCATIONS = 4000
 
 
 def nearest(
@@ -22,11 +28,9 @@ def nearest(
 ) -> DataFrame:
     """For every query location the nearest reference of its group (columns ``x``, ``y``).
 
-    Both sides fold to distinct locations first; of references at one place the first in
-    ``order`` stays, and ``order`` also breaks ties of distance.  The places form a tree of cells
-    (``cell_tree``).  A location first descends to the leaf that lies nearest on every level; the best
-    reference there bounds its distance.  Then it descends again into the nodes that lie within the
-    bound, of which there are few wherever it stands: none but those that could hold the answer.
+    Locations are distinct; of references at one place the first in ``order`` stays, and ``order`` also
+    breaks ties of distance.  A group of up to FEW_REFS references and FEW_LOCATIONS rows is one row of
+    two lists that are compared whole; the references of larger ones form a tree of cells.
     Locations and references with a null, NaN or infinite coordinate have no distance: they are
     left out, as are locations of groups without references and those with none within ``radius``.
     Returns one row per distinct location.
@@ -34,15 +38,60 @@ def nearest(
     keys, order, payload = list(keys), list(order), list(payload)
     refs, queries = _located(refs), _located(queries)
     rank = F.struct(*order, *[p for p in payload if p not in order])
+    crowded = [large_groups(df, keys, n) for df, n in ((refs, FEW_REFS), (queries, FEW_LOCATIONS))]
+    crowded = [g for g in crowded if g is not None]
+    if not crowded:
+        found = _nearest_few(queries, refs, keys, rank)
+    else:
+        large = crowded[0] if len(crowded) == 1 else crowded[0].unionByName(crowded[1]).distinct()
+        few = _nearest_few(*(df.join(large, keys, "left_anti") for df in (queries, refs)), keys, rank)
+        found = few.unionByName(_nearest_many(*(df.join(large, keys, "left_semi") for df in (queries, refs)), keys, rank, radius))
+    within = F.lit(True) if radius is None else F.col("_b.d") <= float(radius)
+    return found.where(within).select(*keys, "x", "y", F.col("_b.d").alias("distance"), *[F.col(f"_b._ref.{p}").alias(p) for p in payload])
+
+
+def nearest_of(x: pd.Series, y: pd.Series, rx: pd.Series, ry: pd.Series) -> pd.DataFrame:
+    """For every row, the distance ``d`` of each location to its nearest reference and that one's index ``i``, the lowest on a tie."""
+    distances, indices = [], []
+    for a, b, c, e in zip(x, y, rx, ry):
+        d = np.empty(len(a))
+        i = np.empty(len(a), dtype=np.int32)
+        with np.errstate(over="ignore"):
+            for k in range(0, len(a), 256):
+                dx, dy = a[k : k + 256, None] - c, b[k : k + 256, None] - e
+                all_d = np.sqrt(dx * dx + dy * dy)
+                i[k : k + 256] = all_d.argmin(axis=1)
+                d[k : k + 256] = all_d.min(axis=1)
+        distances.append(d)
+        indices.append(i)
+    return pd.DataFrame({"d": distances, "i": indices})
+
+
+def _nearest_few(queries: DataFrame, refs: DataFrame, keys: list[str], rank: Column) -> DataFrame:
+    """Groups that fit in a row: their references in order and their locations as lists, compared in one call."""
+    real = lambda c: (F.col(c).cast("double") + 0.0).alias(c)  # noqa: E731  -0.0 is 0.0
+    q = queries.groupBy(*keys).agg(F.collect_set(F.struct(real("x"), real("y"))).alias("_q"))
+    r = refs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(rank.alias("_ref"), real("x"), real("y")))).alias("_r"))
+    near = F.pandas_udf(nearest_of, "d array<double>, i array<int>")("_q.x", "_q.y", "_r.x", "_r.y")
+    hits = q.join(r, keys).withColumn("_h", near)
+    best = F.transform(F.arrays_zip("_q", "_h.d", "_h.i"), lambda h: F.struct(h["_q"]["x"].alias("x"), h["_q"]["y"].alias("y"), F.struct(h["d"].alias("d"), F.get("_r", h["i"])["_ref"].alias("_ref")).alias("_b")))
+    return hits.select(*keys, F.explode(best).alias("_e")).select(*keys, "_e.*")
+
+
+def _nearest_many(queries: DataFrame, refs: DataFrame, keys: list[str], rank: Column, radius: float | None) -> DataFrame:
+    """Groups of any size, over a tree of cells (``cell_tree``).
+
+    A location first descends to the leaf that lies nearest on every level; the best reference there
+    bounds its distance.  Then it descends again into the nodes that lie within the bound, of which
+    there are few wherever it stands: none but those that could hold the answer.
+    """
     places = stored(refs.groupBy(*keys, F.col("x").alias("rx"), F.col("y").alias("ry")).agg(F.min(rank).alias("_ref")), "places")
     inner, leaves, depth = cell_tree(places, keys)
     here = queries.select(*keys, "x", "y").distinct()
     first = stored(_bounds(here, inner, leaves, depth, keys), "bounds")
     if radius is not None:
         first = first.withColumn("_bound", F.least("_bound", F.lit(float(radius))))
-    found = _candidates(first, inner, depth, keys).join(leaves, [*keys, "_path"]).groupBy(*keys, "x", "y").agg(F.min(_best()).alias("_b"))
-    within = F.lit(True) if radius is None else F.col("_b.d") <= float(radius)
-    return found.where(within).select(*keys, "x", "y", F.col("_b.d").alias("distance"), *[F.col(f"_b._ref.{p}").alias(p) for p in payload])
+    return _candidates(first, inner, depth, keys).join(leaves, [*keys, "_path"]).groupBy(*keys, "x", "y").agg(F.min(_best()).alias("_b"))
 
 
 def _best() -> Column:

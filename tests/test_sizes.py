@@ -68,3 +68,27 @@ def test_review_state_with_few_and_many_cells(spark, tmp_path, monkeypatch):
     want = sorted((r["case_id"], r["cell"], r["status"], r["revisions"]) for r in SC.review_state(df, "case_id", "cell", "status", "ts", "event_id").collect())
     assert got == want and len(got) == 14
     assert SC.FEW_CELLS == 3 and max(sizes) < len(got) + 3  # a value for the first cells of a case, its opening, entries for the others
+
+
+def test_nearest_in_rows_and_in_trees(spark, monkeypatch):
+    """Groups that fit in a row are not cut into cells; those beyond either limit are, with the same answers."""
+    from filamet.operators import spatial
+
+    rng = np.random.default_rng(8)
+    sizes = {1: (80, 30), 2: (300, 20), 3: (5, 90), 4: (0, 7), 5: (9, 0)}
+    draw = lambda k: pd.concat([pd.DataFrame({"g": g, "x": rng.integers(-9, 9, n[k]) / 2, "y": rng.integers(-9, 9, n[k]) * 1.0}) for g, n in sizes.items()], ignore_index=True)
+    refs = spark.createDataFrame(draw(0).assign(p=lambda d: [f"r{k}" for k in d.index]))
+    queries = spark.createDataFrame(pd.concat([draw(1), pd.DataFrame({"g": [1, 1], "x": [0.0, -0.0], "y": [-0.0, 0.0]})]))
+    trees, cell_tree = [], spatial.cell_tree
+    monkeypatch.setattr(spatial, "cell_tree", lambda *a: trees.append(1) or cell_tree(*a))
+    got = []
+    for few in (10**6, 60, 0):  # all in rows, some in trees, all in trees
+        monkeypatch.setattr(spatial, "FEW_REFS", few or 1, raising=False)
+        monkeypatch.setattr(spatial, "FEW_LOCATIONS", few or 1, raising=False)
+        out = spatial.nearest(queries, refs, ["g"], order=["p"], payload=["p"], radius=3.0).toPandas()
+        got.append(out.sort_values(["g", "x", "y"]).reset_index(drop=True))
+        assert len(trees) == (0 if few == 10**6 else 1)
+        trees.clear()
+    assert len(got[0]) > 80 and set(got[0].g) == {1, 2, 3}
+    for other in got[1:]:
+        pd.testing.assert_frame_equal(got[0], other[got[0].columns], check_exact=True)
