@@ -147,13 +147,14 @@ def equalize(pixels: DataFrame, keys: Sequence[str], value: str, *, levels: int
     })
     # half a level's own pixels count, except at the two ends of the scale
     own = F.when((F.col("level") > 0) & (F.col("level") < levels - 1), F.col("n")).otherwise(0)
-    err = (F.col("target") + 1) * (F.col("_tot") / targets) - F.col("_cum") + own / 2
-    # fixed value: square root of the double epsilon
-    err = F.when(err < -F.col("_tot") * 1.4901161193847656e-08, F.col("_tot").cast("double")).otherwise(err)
-    mapped = (
-        h.withColumn("target", F.explode(F.sequence(F.lit(0), F.lit(targets - 1))))
-        .groupBy(*keys, "level").agg(F.min(F.struct(err.alias("e"), "target"))["target"].alias("_t"))
-    )
+    share = F.col("_tot") / targets
+    # fixed value: square root of the double epsilon; an error below it counts as the largest one
+    least = -F.col("_tot") * 1.4901161193847656e-08
+    # errors never decrease with the target, so the first one that counts is the smallest; it is next to the guess
+    guess = F.floor((F.col("_cum") - own / 2 + least) / share).cast("int")
+    near = [F.greatest(F.lit(0), F.least(F.lit(targets - 1), guess + k)) for k in (-1, 0, 1)]
+    first = F.coalesce(*[F.when((t + 1) * share - F.col("_cum") + own / 2 >= least, t) for t in near], F.lit(0))
+    mapped = h.select(*keys, "level", first.alias("_t"))
     lut = mapped.select(*keys, "level", quantize(F.col("_t") / (targets - 1), levels - 1).alias("equalized"))
     return pixels.withColumn("level", level_of(F.col(value), levels)).join(lut, [*keys, "level"]).drop("level")
 

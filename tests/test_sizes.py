@@ -92,3 +92,24 @@ def test_nearest_in_rows_and_in_trees(spark, monkeypatch):
     assert len(got[0]) > 80 and set(got[0].g) == {1, 2, 3}
     for other in got[1:]:
         pd.testing.assert_frame_equal(got[0], other[got[0].columns], check_exact=True)
+
+
+def test_equalize_without_a_row_per_target(spark):
+    """The target of a level is found in the row of the level; as the smallest of all errors, the lowest target on a tie."""
+    from filamet.operators import pixels
+
+    rng = np.random.default_rng(2)
+    sizes = [1, 2, 64, 128, 500, 1000]
+    rows = pd.concat([pd.DataFrame({"g": g, "u": np.clip(np.round(rng.normal(0.5, 0.3, n), rng.integers(1, 4)), 0, 1)}) for g, n in enumerate(sizes)], ignore_index=True)
+    for targets in (64, 7):
+        out = pixels.equalize(spark.createDataFrame(rows), ["g"], "u", targets=targets)
+        assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {(r["g"], r["u"]): r["equalized"] for r in out.collect()}
+        for g, p in rows.groupby("g"):
+            level = np.rint(p.u * 255)
+            n = level.value_counts().sort_index()
+            own = np.where((n.index > 0) & (n.index < 255), n, 0)
+            err = (np.arange(targets)[:, None] + 1) * (len(p) / targets) - n.cumsum().to_numpy() + own / 2
+            err[err < -len(p) * 1.4901161193847656e-08] = len(p)
+            lut = dict(zip(n.index, np.rint(err.argmin(axis=0) / (targets - 1) * 255) / 255))
+            assert all(got[g, u] == lut[k] for u, k in zip(p.u, level))
