@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from filamet import schemas as S
 from filamet.operators.ordered import order_bucket, ordered
+from filamet.session import stored
 
 MANIFEST_SCHEMA = "dataset_id string, cases array<struct<case_id:string,filename:string,absolute_path:string,sha256:string,resolution_class:string>>"
 
@@ -22,6 +23,8 @@ def scan_files(spark: SparkSession, path: str, pattern: str = "*.{tif,tiff,TIF,T
 def number_cases(files: DataFrame, *, name: str = "filename", fmt: str = "ZEISS_%03d") -> DataFrame:
     """Case ids by sorted filename.  Only names and hashes are ordered, never file contents."""
     cols = [c for c in files.columns if c != name]
+    # ordering reads its rows several times; contents are read and hashed once
+    files = stored(files, "files")
     numbered = ordered(order_bucket(files, [], [name, *cols]), [], [name, *cols], number="case_ord")
     return numbered.withColumn("case_id", F.format_string(fmt, "case_ord"))
 

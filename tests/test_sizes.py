@@ -113,3 +113,20 @@ def test_equalize_without_a_row_per_target(spark):
             err[err < -len(p) * 1.4901161193847656e-08] = len(p)
             lut = dict(zip(n.index, np.rint(err.argmin(axis=0) / (targets - 1) * 255) / 255))
             assert all(got[g, u] == lut[k] for u, k in zip(p.u, level))
+
+
+def test_contents_are_hashed_once(spark, monkeypatch):
+    """Ordering reads names and hashes again and again, but not what they are made of."""
+    from filamet.sources import files
+
+    monkeypatch.setattr(ordered, "ROWS_PER_BUCKET", 40)
+    hashed = spark.sparkContext.accumulator(0)
+
+    def digest(i):
+        hashed.add(1)
+        return f"h{i * 31 % 100:03d}"
+
+    f = spark.range(400).select(F.concat(F.lit("f"), (F.col("id") % 7).cast("string")).alias("filename"), F.udf(digest)("id").alias("sha256"))
+    got = [(r["filename"], r["sha256"]) for r in files.number_cases(f).orderBy(F.length("case_id"), "case_id").collect()]
+    assert got == sorted((f"f{i % 7}", f"h{i * 31 % 100:03d}") for i in range(400))
+    assert hashed.value == 400
