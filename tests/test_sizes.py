@@ -130,3 +130,18 @@ def test_contents_are_hashed_once(spark, monkeypatch):
     got = [(r["filename"], r["sha256"]) for r in files.number_cases(f).orderBy(F.length("case_id"), "case_id").collect()]
     assert got == sorted((f"f{i % 7}", f"h{i * 31 % 100:03d}") for i in range(400))
     assert hashed.value == 400
+
+
+def test_blocks_of_small_groups_are_shuffled_once(spark, monkeypatch):
+    """Rows of small groups are numbered in one window; in pieces the blocks hold the same rows."""
+    from filamet.operators import plugins
+
+    df = samples(spark).select("g", "m", "x")
+    out = plugins.blocks(df, ["g"], 25)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = []
+    for rows in (100_000, 30, 1):
+        monkeypatch.setattr(ordered, "ROWS_PER_BUCKET", rows)
+        b = plugins.blocks(df, ["g"], 25).groupBy("g", "_block", "m", "x").agg(F.sum("_copies").alias("n"))
+        got.append(sorted(tuple(r) for r in b.collect()))
+    assert got[0] == got[1] == got[2] and sum(r[-1] for r in got[0]) == 353
