@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from filamet.operators.components import connected_components
 from filamet.operators.distributions import bin_index, edge
 from filamet.operators.quantiles import exact_quantiles
+from filamet.session import stored
 
 
 def foreground(value: Column, level: Column | float) -> Column:
@@ -74,7 +75,7 @@ NO_PIXELS = 128.0  # fixed value
 
 
 def otsu(pixels: DataFrame, keys: Sequence[str], value: str, bins: int = 256) -> DataFrame:
-    """Otsu threshold per group over equal bins; at most ``bins`` rows per group reach the windows.
+    """Otsu threshold per group over equal bins; only bins that hold pixels reach the windows.
 
     Pixels that are null, NaN or infinite are left out; a group without any other gets NO_PIXELS.
     """
@@ -83,21 +84,26 @@ def otsu(pixels: DataFrame, keys: Sequence[str], value: str, bins: int = 256) ->
     pixels = pixels.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     edges = common_range(pixels, keys, value, bins)
     h = pixels.join(edges, keys).groupBy(*keys, bin_index(F.col(value), F.col("lo"), F.col("hi"), F.col("bins")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    full = edges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1))).join(h, [*keys, "bin"], "left")
     lo, hi, nb, i = F.col("lo"), F.col("hi"), F.col("bins"), F.col("bin")
-    full = full.withColumns({"n": F.coalesce("n", F.lit(0)), "center": (edge(lo, hi, nb, i) + edge(lo, hi, nb, i + 1)) / 2})
-    run = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*keys)
+    full = h.join(edges, keys).withColumn("center", (edge(lo, hi, nb, i) + edge(lo, hi, nb, i + 1)) / 2)
+    order, whole = Window.partitionBy(*keys).orderBy("bin"), Window.partitionBy(*keys)
+    run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     full = full.withColumns({
-        "_w1": F.sum("n").over(run), "_s1": F.sum(F.col("n") * F.col("center")).over(run),
+        "_w1": F.sum("n").over(run), "_s1": F.sum(F.col("n") * F.col("center")).over(run), "_next": F.lead("bin").over(order), "_prev": F.lag("bin").over(order),
         "_w": F.sum("n").over(whole), "_s": F.sum(F.col("n") * F.col("center")).over(whole),
     })
     w2 = F.col("_w") - F.col("_w1")
     m1 = F.col("_s1") / F.greatest(F.col("_w1").cast("double"), F.lit(1e-12))
     m2 = (F.col("_s") - F.col("_s1")) / F.greatest(w2.cast("double"), F.lit(1e-12))
-    full = full.where(F.col("bin") < F.col("bins") - 1).withColumn("_v", F.col("_w1") * w2 * (m1 - m2) * (m1 - m2))
-    full = full.withColumn("_best", F.max("_v").over(whole))
-    pick = full.groupBy(*keys).agg(F.floor(F.avg(F.when(F.col("_v") >= F.col("_best") - 1e-5, F.col("bin")))).cast("int").alias("_i"))
+    # bins without pixels repeat the value of the bin before them; those below the first have the value 0
+    last = F.least(F.coalesce(F.col("_next") - 1, nb - 2), nb - 2)
+    span = lambda v, a, z: F.struct(v.alias("v"), a.alias("a"), z.alias("z"))
+    below = F.when(F.col("_prev").isNull() & (i > 0), span(F.lit(0.0), F.lit(0), F.least(i - 1, nb - 2)))
+    spans = F.array_compact(F.array(below, F.when(i <= last, span(F.col("_w1") * w2 * (m1 - m2) * (m1 - m2), i, last))))
+    full = full.withColumn("_spans", spans).withColumn("_best", F.max(F.array_max(F.transform("_spans", lambda p: p["v"]))).over(whole))
+    best = full.select(*keys, "_best", F.explode("_spans").alias("_p")).where(F.col("_p.v") >= F.col("_best") - 1e-5)
+    size = (F.col("_p.z") - F.col("_p.a") + 1).cast("long")
+    pick = best.groupBy(*keys).agg(F.floor(F.sum(size * (F.col("_p.a") + F.col("_p.z"))) / 2 / F.sum(size)).cast("int").alias("_i"))
     found = pick.join(edges, keys).select(*keys, ((edge(lo, hi, nb, F.col("_i")) + edge(lo, hi, nb, F.col("_i") + 1)) / 2).alias("threshold"))
     return groups.join(found, keys, "left").select(*keys, F.coalesce("threshold", F.lit(NO_PIXELS)).alias("threshold"))
 
@@ -262,7 +268,9 @@ def auto_threshold(pixels: DataFrame, keys: Sequence[str], value: str, height: s
     """The best of the three masks per group: ``method`` and ``score``; on a tie the earlier of MASKS."""
     keys = list(keys)
     area = pixels.groupBy(*keys).agg(F.count(F.lit(1)).alias("pixels")).withColumn("method", F.explode(F.array(*[F.lit(m) for m in MASKS])))
-    labels = connected_components(candidate_masks(pixels, keys, value, height, width), [*keys, "method"])
+    # components read the masks twice
+    masks = stored(candidate_masks(pixels, keys, value, height, width), "masks")
+    labels = connected_components(masks, [*keys, "method"])
     return best_mask(mask_quality(labels, area, [*keys, "method"]), keys, "method", MASKS)
 
 

@@ -145,3 +145,21 @@ def test_blocks_of_small_groups_are_shuffled_once(spark, monkeypatch):
         b = plugins.blocks(df, ["g"], 25).groupBy("g", "_block", "m", "x").agg(F.sum("_copies").alias("n"))
         got.append(sorted(tuple(r) for r in b.collect()))
     assert got[0] == got[1] == got[2] and sum(r[-1] for r in got[0]) == 353
+
+
+def test_otsu_on_bins_with_pixels(spark):
+    """No row per empty bin; empty bins count in the mean of the best ones all the same."""
+    from filamet.operators import pixels
+
+    rng = np.random.default_rng(6)
+    groups = [np.r_[rng.normal(2, 1, 40), rng.normal(9, 1, 30)], np.full(5, 3.25), 1 + rng.random(30) * 1e-6, np.array([0.0, 1.0]), rng.random(300) * 255, np.array([-4.0, 7.0, 7.0])]
+    df = spark.createDataFrame(pd.DataFrame({"g": np.repeat(np.arange(len(groups)), [len(v) for v in groups]), "v": np.concatenate(groups)}))
+    out = pixels.otsu(df, ["g"], "v")
+    assert "sequence(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["g"]: r["threshold"] for r in out.collect()}
+    for g, v in enumerate(groups):
+        n, edges = np.histogram(v, 256)
+        c = (edges[:-1] + edges[1:]) / 2
+        w, s = n.cumsum(), (n * c).cumsum()
+        score = (w * (w[-1] - w) * (s / np.maximum(w, 1e-12) - (s[-1] - s) / np.maximum(w[-1] - w, 1e-12)) ** 2)[:-1]
+        assert got[g] == pytest.approx(c[int(np.flatnonzero(score >= score.max() - 1e-5).mean())], rel=1e-12)
