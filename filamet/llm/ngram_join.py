@@ -4,13 +4,17 @@ Two documents can only reach a Jaccard similarity t if they share a token among
 ``n - ceil(t n) + 1`` tokens of each, under *any* global token order.  Several orders are used; a
 pair is verified only if it passes the prefix filter of every one.
 
-Orders put rare tokens first.  How often a token occurs is read from a sketch of fixed size: one
-row of counters per order, each with its own hash, so the orders err on different tokens.  Passages
-that thousands of documents share therefore stand last in every order and produce no candidates.
+Orders put rare tokens first.  The first one knows how many of the documents that may have a partner
+hold a token.  For the others this is read from a sketch of fixed size: one row of counters per
+order, each with its own hash, so the orders err on different tokens.  The counters of a large corpus
+are full and tell only very frequent tokens apart; a first order by them lets tokens of a few
+hundred documents into the prefixes, which grow clusters with the square of the corpus.
 
 Steps, all in Spark:
 
-1. Count the sketch; emit the prefix tokens of the first order.
+1. Count the sketch.  Of tokens in the emptier cells, the same ones for all documents, see which have
+   one document only.  A document with as many of its own as its prefix is long has no partner.
+   The others' sets are stored; their tokens are counted and the rarest form the prefixes.
 2. Tokens shared by up to SMALL documents give pairs with their number of shared prefix tokens.  As
    at most ``n - prefix`` tokens can be shared beyond the prefix, a pair needs a minimum of them;
    shared tokens that are too frequent to be paired count as shared until proven otherwise.
@@ -43,6 +47,8 @@ SALT_ROWS = 100_000
 SMALL = 32
 UNIT_DOCS = 512
 UNIT_TOKENS = 2_000_000
+#: share of all tokens that are looked up at least, for documents to have enough of their own
+LOOKED_UP = 0.35
 
 
 def _node(tokens: np.ndarray) -> tuple[int, int]:
@@ -99,40 +105,50 @@ def _prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def _prefixes(sketch, width: int, percent: int, lower: bool):
-    """Prefix tokens of the first order with the text's name and size; salt is -1 for tokens that need none."""
+def _looked_up(sketch, limit: int, width: int, lower: bool):
+    """Tokens whose cell of the first order counts up to ``limit``, with the text's name."""
 
     def run(batches):
-        counts = sketch.value
+        counts = sketch.value[0]
         for (texts,) in rows(batches, "text"):
-            token, k1, salt, size = [], [], [], []
+            token, k1 = [], []
             for s in _sets(texts, width, lower):
-                if not len(s):
-                    continue
-                first, often = _ordered(s, counts, 0)
-                m = _prefix_length(len(s), percent)
-                a, _ = _node(s)
-                token.append(first[:m])
-                parts = 1 + often[:m] // SALT_ROWS
-                salt.append(np.where(parts > 1, (a & 0xFFFFFFFF) % parts, -1).astype(np.int32))
-                k1.append(np.full(m, a, dtype=np.int64))
-                size.append(np.full(m, len(s), dtype=np.int32))
-            if token:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(token))), *(pa.array(np.concatenate(x)) for x in (salt, k1, size))], ["token", "salt", "k1", "n"])
+                some = s[counts[_cells(s, 0)] <= limit]
+                token.append(some)
+                k1.append(np.full(len(some), _node(s)[0], dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(token))), pa.array(np.concatenate(k1))], ["token", "k1"])
+
+    return run
+
+
+def _tokens(sketch):
+    """Tokens of each set with its name and size; salt is -1 for tokens that need none, the others have their counter."""
+
+    def run(batches):
+        counts = sketch.value[0]
+        for k1, raw in rows(batches, "k1", "tokens"):
+            sizes = np.array([len(b) // 8 for b in raw])
+            s, name = np.frombuffer(b"".join(raw), dtype=np.uint64), np.repeat(np.array(k1, dtype=np.int64), sizes)
+            often = counts[_cells(s, 0)]
+            parts = 1 + often // SALT_ROWS
+            salt = np.where(parts > 1, (name & 0xFFFFFFFF) % parts, -1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(s)), pa.array(salt), pa.array(np.where(parts > 1, often, 0)), pa.array(name), pa.array(np.repeat(sizes, sizes).astype(np.int32))],
+                ["token", "salt", "often", "k1", "n"])
 
     return run
 
 
 def _texts(width: int, lower: bool):
-    """Shingle sets of the clustered documents, kept if the text is the one the node was named after."""
+    """Shingle sets of the documents, kept if the text is the one the node was named after."""
 
     def run(batches):
-        for label, k1, k2, texts in rows(batches, "label", "k1", "k2", "text"):
+        for k1, k2, texts in rows(batches, "k1", "k2", "text"):
             sets = list(_sets(texts, width, lower))
             keep = [i for i, s in enumerate(sets) if _node(s) == (k1[i], k2[i])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([label[i] for i in keep], pa.int64()), pa.array([k1[i] for i in keep], pa.int64()), pa.array([k2[i] for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary())],
-                ["label", "k1", "k2", "tokens"])
+                [pa.array([k1[i] for i in keep], pa.int64()), pa.array([k2[i] for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary())],
+                ["k1", "k2", "tokens"])
 
     return run
 
@@ -195,6 +211,37 @@ def _name():
     return F.concat_ws(":", F.col("k1").cast("string"), F.col("k2").cast("string"))
 
 
+def _length(n, percent: int):
+    """``_prefix_length`` of a column."""
+    return n - F.ceil(n * percent / 100) + 1
+
+
+def _open_names(docs: DataFrame, nodes: DataFrame, sketch, counters: np.ndarray, width: int, percent: int, lower: bool) -> DataFrame:
+    """First halves of the names of the documents that may have a partner.
+
+    Two documents with a link differ by less than a prefix of either, so one that has a prefix of tokens
+    of its own is done.  Documents that share the first half of their name are never done.
+    """
+    sizes = np.sort(counters[0])
+    limit = min(SALT_ROWS, int(sizes[np.searchsorted(np.cumsum(sizes), LOOKED_UP * sizes.sum())])) if sizes.any() else 0
+    looked_up = docs.select("text").mapInArrow(_looked_up(sketch, limit, width, lower), "token long, k1 long")
+    # copies of a text have one name
+    single = looked_up.repartition("token").groupBy("token").agg(F.min("k1").alias("k1"), F.max("k1").alias("last")).where("k1 = last")
+    own = single.groupBy("k1").agg(F.count(F.lit(1)).alias("own"))
+    named = nodes.where("n > 0").groupBy("k1").agg(F.max("n").alias("n"), F.min("k2").alias("k2"), F.max("k2").alias("last"))
+    return named.join(own, "k1", "left").where((F.coalesce("own", F.lit(0)) < _length(F.col("n"), percent)) | (F.col("k2") != F.col("last"))).select("k1")
+
+
+def _rarest(tokens: DataFrame, percent: int) -> DataFrame:
+    """Prefix tokens of the first order: by the number of sets that hold them, in which those of one set come first and are left out."""
+    run = Window.partitionBy("token", "salt")
+    met = tokens.repartition("token", "salt").withColumn("m", F.count(F.lit(1)).over(run)).where("m > 1 or salt >= 0")
+    own = Window.partitionBy("k1")
+    # should two sets share the first half of their name, both prefixes only get longer
+    rank = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy(F.when(F.col("salt") < 0, F.col("m")).otherwise(F.col("often")), "token"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= _length(F.col("n"), percent)).select("token", "salt", "k1", "n")
+
+
 def _candidates(prefix: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b) that hold every similar pair in one component, and (node, heavy) tokens per document.
 
@@ -252,28 +299,28 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     sketch = spark.sparkContext.broadcast(counters)
 
     nodes = first.where("chunk is null").select("id", "n", "k1", "k2")
-    prefix = docs.select("text").mapInArrow(_prefixes(sketch, width, percent, lower), "token long, salt int, k1 long, n int")
-    edges, load = _candidates(prefix, percent)
-    clusters = components(edges)
-
     # one text per node
-    member = nodes.where("n > 0").join(clusters.withColumnRenamed("node", "k1"), "k1").withColumn("node", _name()).groupBy("node", "label", "k1", "k2").agg(F.min("id").alias("id"), F.max("n").alias("n"))
-    member = stored(member, "ngram-members")
+    member = nodes.where("n > 0").join(_open_names(docs, nodes, sketch, counters, width, percent, lower), "k1").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.max("n").alias("n"))
+    member = stored(member.withColumn("node", _name()), "ngram-members")
     some = passing(docs, "id", id_filter(member.select("id")))
-    known = member.where("id is not null").join(some, "id").select("label", "k1", "k2", "text")
-    unnamed = member.where("id is null").join(docs.where("id is null").mapInArrow(_name_texts(width, lower), "k1 long, k2 long, text string"), ["k1", "k2"]).select("label", "k1", "k2", "text")
-    sets = known.unionByName(unnamed).mapInArrow(_texts(width, lower), "label long, k1 long, k2 long, tokens binary").dropDuplicates(["k1", "k2"])
+    known = member.where("id is not null").join(some, "id").select("k1", "k2", "text")
+    unnamed = member.where("id is null").join(docs.where("id is null").mapInArrow(_name_texts(width, lower), "k1 long, k2 long, text string"), ["k1", "k2"]).select("k1", "k2", "text")
+    sets = known.unionByName(unnamed).mapInArrow(_texts(width, lower), "k1 long, k2 long, tokens binary").dropDuplicates(["k1", "k2"])
     sets = stored(sets.withColumn("node", _name()), "ngram-sets")
+    prefix = _rarest(sets.select("k1", "tokens").mapInArrow(_tokens(sketch), "token long, salt int, often long, k1 long, n int"), percent)
+    edges, load = _candidates(prefix, percent)
+    clusters = components(edges)
 
+    member = stored(member.join(clusters.withColumnRenamed("node", "k1"), "k1"), "ngram-clusters")
     size = member.groupBy("label").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens"))
     size = stored(size.select("label", F.greatest(F.ceil(F.col("docs") / UNIT_DOCS), F.ceil(F.col("tokens") / UNIT_TOKENS)).cast("int").alias("blocks")), "ngram-sizes")
-    placed = sets.join(size, "label").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    placed = sets.join(member.join(size, "label").select("node", "label", "blocks"), "node").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     small = placed.where("blocks = 1").select(F.col("label").cast("string").alias("unit"), F.lit(0).alias("side"), "k1", "k2", "tokens")
     big = placed.where("blocks > 1")
     # the document with the most frequent tokens is central: it has the fewest of its own
     lead = member.join(size.where("blocks > 1"), "label").join(load.withColumnRenamed("node", "k1"), "k1", "left").groupBy("label", "blocks").agg(F.max(F.struct(F.coalesce("heavy", F.lit(0)).alias("heavy"), "node")).alias("l")).select("label", "blocks", F.col("l.node").alias("node"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    centre = lead.join(sets.drop("label"), "node").withColumn("j", every).select(F.concat_ws("/", "label", "j").alias("unit"), F.lit(0).alias("side"), "k1", "k2", "tokens")
+    centre = lead.join(sets, "node").withColumn("j", every).select(F.concat_ws("/", "label", "j").alias("unit"), F.lit(0).alias("side"), "k1", "k2", "tokens")
     around = big.select(F.concat_ws("/", "label", "block").alias("unit"), F.lit(1).alias("side"), "k1", "k2", "tokens")
     find = lambda units: units.groupBy("unit").applyInArrow(_links(sketch, percent), "a string, b string")
     first_links = stored(find(small.unionByName(centre).unionByName(around)), "ngram-links")

@@ -80,6 +80,25 @@ def test_jaccard_odd(odd, empty):
     assert ngram_jaccard(empty).count() == 0
 
 
+def test_jaccard_with_full_counters(spark, monkeypatch):
+    # the counters of a large corpus tell a passage of 120 documents from their own words no more
+    import filamet.llm.ngram_join as j
+
+    rng = np.random.default_rng(3)
+    full = lambda *a: j_summed(*a) + rng.integers(0, 1000, (a[1], a[2]))
+    edges = []
+    j_summed, j_components = j.summed_chunks, j.components
+    monkeypatch.setattr(j, "summed_chunks", full)
+    monkeypatch.setattr(j, "components", lambda e: edges.append(e.count()) or j_components(e))
+    passage = " ".join(f"p{k}" for k in range(20))
+    texts = [" ".join(f"w{i}x{k}" for k in range(100)) + " " + passage for i in range(120)]
+    texts += [texts[7] + " more"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard(df).collect()}
+    assert got == {i: i for i in range(120)} | {120: 7}
+    assert edges[0] <= 3  # once a star over all documents of the passage
+
+
 def test_drop_similar(docs, rows, odd):
     kept = {r["doc_id"] for r in drop_similar(docs).collect()}
     assert kept == {i for i, _, c in components_of(sets_of(rows)) if c == i}
