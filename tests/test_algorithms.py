@@ -135,6 +135,25 @@ def test_bootstrap_query_draws_all_replicates(spark, tmp_path):
     assert (got.bootstrap_mean, got.ci_lower, got.ci_upper) == pytest.approx((np.mean(medians), *np.percentile(medians, [2.5, 97.5])), abs=1e-6)
 
 
+def test_draws_of_many_paths_at_once():
+    from hashlib import md5
+
+    from filamet.operators import bootstrap as b
+
+    rng = np.random.default_rng(5)
+    for seed, room, top in ((42, 44, 10**7), (0, 12, 10), (10**30, 64, 10**4)):
+        start = np.frombuffer(str(seed).encode(), dtype=np.uint8)
+        text, size = np.zeros((b.LANES + 7, room), dtype=np.uint8), np.full(b.LANES + 7, len(start))
+        text[:, : len(start)] = start
+        parts = []
+        for _ in range(4):
+            parts.append(rng.integers(1, top, len(text)) if top > 10 else rng.integers(1, 10, len(text)))
+            b._append(text, size, parts[-1])
+            got = b._drawn(text, size)  # what it writes behind the path is gone with the next number
+            want = [int(md5("|".join(map(str, (seed, *path))).encode()).hexdigest()[:8], 16) for path in zip(*parts, strict=True)]
+            assert got.tolist() == want
+
+
 def test_next_numbers_per_project(spark):
     from filamet.operators.campaign import next_numbers
 
